@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerline.llm import sharding, simhash, vector_search
+from ledgerline.llm import minhash, repeats, sharding, simhash, vector_search
 from ledgerline.llm.common import load
 
 
@@ -14,6 +14,14 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_report(load(spark, sf_dir, "documents"))
 
 
+def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(load(spark, sf_dir, "documents"))
+
+
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.repeat_report(load(spark, sf_dir, "documents"))
+
+
 def op9_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = vector_search.quantised(load(spark, sf_dir, "embeddings"))
     return vector_search.exact_top_k(vectors, vectors.filter("vec_id % 50 = 0"))
@@ -25,6 +33,8 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op3_near_duplicates": op3_near_duplicates,
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op9_exact_topk": op9_exact_topk,
     "op10_sharding": op10_sharding,
 }
