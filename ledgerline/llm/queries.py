@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerline.llm import minhash, repeats, sharding, simhash, vector_search
+from ledgerline.llm import minhash, packing, repeats, sharding, simhash, toxicity, vector_search
 from ledgerline.llm.common import load
 
 
@@ -14,6 +15,10 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_report(load(spark, sf_dir, "documents"))
 
 
+def op2_packing(spark: SparkSession, sf_dir: str, tokenizer: str = "word_bpe_49k.json") -> DataFrame:
+    return packing.packed(load(spark, sf_dir, "documents"), public_tokenizers.path(tokenizer))
+
+
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(load(spark, sf_dir, "documents"))
 
@@ -22,6 +27,10 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.repeat_report(load(spark, sf_dir, "documents"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_report(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
 def op9_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = vector_search.quantised(load(spark, sf_dir, "embeddings"))
     return vector_search.exact_top_k(vectors, vectors.filter("vec_id % 50 = 0"))
@@ -33,8 +42,10 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op2_packing": op2_packing,
     "op3_near_duplicates": op3_near_duplicates,
     "op7_suffix_dedup": op7_suffix_dedup,
+    "op8_toxicity": op8_toxicity,
     "op9_exact_topk": op9_exact_topk,
     "op10_sharding": op10_sharding,
 }
