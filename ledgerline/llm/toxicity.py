@@ -43,8 +43,12 @@ def subwords(token: str, low: int = 3, high: int = 5, buckets: int = BUCKETS) ->
     return [zlib.crc32(g.encode("utf-8", "surrogatepass")) % buckets for g in grams]
 
 
-def train(texts: list[str], labels: np.ndarray, weights: np.ndarray, dim: int = 8, steps: int = 60, rate: float = 0.2, seed: int = 1) -> Model:
-    """Full-batch Adam on vectors, class weights and bias of the weighted cross-entropy."""
+def train(texts: list[str], labels: np.ndarray, weights: np.ndarray, dim: int = 4, steps: int = 60, rate: float = 0.1, power: float = 0.5, smooth: float = 5.0, least: float = 1.0, gain: float = 10.0, seed: int = 1) -> Model:
+    """Partially adaptive descent on vectors, class weights and bias of the weighted cross-entropy.
+
+    A component's step is its mean gradient over a root (`power` of the mean square) of its size: less levelled than
+    Adam, so that subwords of one text don't learn as fast as those that many texts share.
+    """
     if len(set(labels.tolist())) < 2:
         return Model(0.0 if not len(labels) else (30.0 if labels[0] else -30.0), np.zeros(BUCKETS, np.float32))
     index: dict[str, int] = {}
@@ -60,17 +64,25 @@ def train(texts: list[str], labels: np.ndarray, weights: np.ndarray, dim: int =
     parts = [subwords(w) for w in index]
     sizes = np.array([len(p) for p in parts])
     of = np.repeat(np.arange(len(parts)), sizes)
-    bucket = np.concatenate([np.array(p) for p in parts]) if parts else np.empty(0, np.int64)
+    bucket = np.concatenate([np.array(p) for p in parts])
+    # subwords that the classes use at nearly one rate stay 0; the rest start from their log odds
+    seen = [np.bincount(bucket, np.bincount(word, labels[doc] == y, len(parts))[of], BUCKETS) for y in (0, 1)]
+    odds = np.log((seen[1] + smooth) / (seen[0] * (seen[1].sum() / max(1.0, seen[0].sum())) + smooth))
+    keep = np.abs(odds[bucket]) >= least
+    of, bucket = of[keep], bucket[keep]
     used, bucket = np.unique(bucket, return_inverse=True)
-    part = 1.0 / sizes[of] if len(parts) else np.empty(0)
+    part = 1.0 / sizes[of]
     rng = np.random.default_rng(seed)
-    vectors = rng.uniform(-1 / dim, 1 / dim, (len(used), dim))
+    vectors = rng.uniform(-0.1, 0.1, (len(used), dim))
+    vectors[:, 0] = odds[used]
     softmax, bias = rng.normal(0, 0.5, (2, dim)), np.zeros(2)
+    softmax[:, 0] = (-gain, gain)
     goal = np.eye(2)[labels]
     weights = weights / weights.sum()
-    moments = [[np.zeros_like(p), np.zeros_like(p)] for p in (vectors, softmax, bias)]
-    add = lambda at, values, n: np.stack([np.bincount(at, v, n) for v in values.T], axis=1)
-    for step in range(1, steps + 1):
+    moving = [(np.zeros_like(p), np.zeros_like(p)) for p in (vectors, softmax, bias)]
+    scale: list[float] = []
+    add = lambda at, values, n: np.stack([np.bincount(at, v, n) for v in np.ascontiguousarray(values.T)], axis=1)
+    for step in range(steps):
         words = add(of, vectors[bucket] * part[:, None], len(parts))
         x = add(doc, words[word] * share[:, None], len(texts))
         logits = x @ softmax.T + bias
@@ -80,10 +92,12 @@ def train(texts: list[str], labels: np.ndarray, weights: np.ndarray, dim: int =
         back = error @ softmax
         to_words = add(word, back[doc] * share[:, None], len(parts))
         gradients = (add(bucket, to_words[of] * part[:, None], len(used)), error.T @ x, error.sum(axis=0))
-        for value, gradient, (m, v) in zip((vectors, softmax, bias), gradients, moments, strict=True):
-            m += 0.1 * (gradient - m)
-            v += 0.01 * (gradient**2 - v)
-            value -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
+        if not step:
+            scale = [1 / max(1e-12, np.abs(g).max()) for g in gradients]
+        for value, gradient, (m, v), by in zip((vectors, softmax, bias), gradients, moving, scale, strict=True):
+            m += 0.1 * (by * gradient - m)
+            v += 0.01 * ((by * gradient) ** 2 - v)
+            value -= rate * (m / (1 - 0.9 ** (step + 1))) / ((v / (1 - 0.99 ** (step + 1))) ** power + 1e-8)
     value = np.zeros(BUCKETS, np.float32)
     value[used] = vectors @ (softmax[1] - softmax[0])
     return Model(float(bias[1] - bias[0]), value)
