@@ -7,9 +7,12 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerline.llm import minhash, packing, repeats, sharding, simhash, toxicity, vector_search
+from ledgerline.llm import html_text, minhash, mixing, packing, repeats, sharding, simhash, token_counts, toxicity, vector_search
 from ledgerline.llm.common import load
 
+#: Target shares of the expected tokens of documents labelled with quality 0 and 1.
+MIXTURE = [0.1, 0.9]
+
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_report(load(spark, sf_dir, "documents"))
@@ -23,6 +26,18 @@ def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(load(spark, sf_dir, "documents"))
 
 
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.page_texts(load(spark, sf_dir, "pages"))
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed_rates(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"), MIXTURE)
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str, vocabulary: str = "piece_bpe_32k.model") -> DataFrame:
+    return token_counts.counted(load(spark, sf_dir, "documents"), public_tokenizers.path(vocabulary))
+
+
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.repeat_report(load(spark, sf_dir, "documents"))
 
@@ -44,6 +59,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_packing": op2_packing,
     "op3_near_duplicates": op3_near_duplicates,
+    "op4_html_text": op4_html_text,
+    "op5_mixing": op5_mixing,
+    "op6_token_counts": op6_token_counts,
     "op7_suffix_dedup": op7_suffix_dedup,
     "op8_toxicity": op8_toxicity,
     "op9_exact_topk": op9_exact_topk,
