@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from ledgerline.llm.common import materialize, unit_hash
 
@@ -110,7 +111,7 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "quality", per_class:
 def posteriors(docs: DataFrame, model: Classifier, *keep: str) -> DataFrame:
     """The kept columns, tokens, posterior (array, in the order of the model's domains)."""
     table, scale, bias, prior = model.table.astype(np.float32), model.scale, model.bias, model.prior
-    schema = docs.select(*keep).schema.add("__tokens", "long").add("__posterior", "array<double>")
+    schema = docs.select(*keep).schema.add("__tokens", "long").add("__posterior", ArrayType(DoubleType()))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
