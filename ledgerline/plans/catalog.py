@@ -1,4 +1,11 @@
 """Every query of the engine by name, with its SQL."""
 
+from __future__ import annotations
+
+from ledgerline.plans import rollup_queries, text_queries
+
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
+for module in (rollup_queries, text_queries):
+    QUERIES |= module.QUERIES
+    ORACLE_SQL |= module.ORACLE_SQL
