@@ -87,10 +87,9 @@ def regions_of(body: str | None) -> list[str]:
 
 def in_area(found: Column, regions: list[str]) -> Column:
     names = [r.strip().lower() for r in regions if r.strip()]
-    out = F.lit(False)
-    for r in names:
-        out = out | F.exists(found, lambda f, r=r: F.lower(F.trim(f)).contains(r) | F.lit(r).contains(F.lower(F.trim(f))))
-    return out
+    regions = F.transform(F.array(*map(F.lit, names)), F.lower) if names else F.array().cast("array<string>")
+    place = lambda f: F.lower(F.trim(f))
+    return F.exists(found, lambda f: F.exists(regions, lambda r: place(f).contains(r) | r.contains(place(f))))
 
 
 def with_deposits(rocks: DataFrame, deposits: DataFrame) -> DataFrame:
