@@ -1,7 +1,7 @@
 """Mixing sources to target weights with soft membership.
 
 A classifier trained on a labelled table (multinomial naive Bayes over hashed words, softmax of the mean log likelihood
-a word, scaled by a temperature that is fitted jointly with the biases) predicts each document's domain posteriors. Rates
+a word, with a scale and biases that are fitted across halves of the sample) predicts each document's domain posteriors. Rates
 then minimise the squared distance between the domains' expected tokens, the sum of rate * tokens * posterior, and their
 targets, subject to rate >= `least` (0 or more). Every projected-gradient step moves a document by its own posteriors
 times the domains' residuals, scaled by the inverse of the domains' Gram matrix, so all that the driver sees and sends
@@ -71,7 +71,7 @@ def softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=-1, keepdims=True)
 
 
-def train(texts: list[str], labels: list[int], sizes: dict[int, int], smooth: float = 0.5, steps: int = 300) -> Classifier:
+def train(texts: list[str], labels: list[int], sizes: dict[int, int], smooth: float = 0.5, steps: int = 60) -> Classifier:
     domains = sorted(sizes)
     prior = np.array([sizes[d] for d in domains], float)
     prior /= prior.sum()
@@ -85,11 +85,16 @@ def train(texts: list[str], labels: list[int], sizes: dict[int, int], smooth: fl
     tables = [logs(counts[1]), logs(counts[0])]
     x = np.array([mean_likelihoods(t, tables[h])[1] for t, h in zip(texts, half.tolist(), strict=True)]).reshape(-1, len(domains))
     weight = prior[y] / np.maximum(1, np.bincount(y, minlength=len(domains)))[y] if len(y) else np.empty(0)
-    scale, bias, goal = 20.0, np.log(prior), np.eye(len(domains))[y]
-    for step in range(steps if len(y) else 0):
-        error = (softmax(scale * x + bias) - goal) * weight[:, None]
-        scale = max(0.0, scale - 2000 / (1 + step / 50) * float((error * (x - x.mean(axis=1, keepdims=True))).sum()))
-        bias = bias - 0.5 * error.sum(axis=0)
+    goal = np.eye(len(domains))[y]
+    best, scale, bias = np.inf, 0.0, np.log(prior)
+    for trial in np.geomspace(0.5, 512, 11) if len(y) else ():
+        b = np.log(prior)
+        for _ in range(steps):
+            p = softmax(trial * x + b)
+            b = b - ((p - goal) * weight[:, None]).sum(axis=0)
+        loss = -float((weight * np.log(np.maximum((softmax(trial * x + b) * goal).sum(axis=1), 1e-12))).sum())
+        if loss < best - 1e-9:
+            best, scale, bias = loss, float(trial), b
     return Classifier(domains, logs(counts.sum(axis=0)), scale, bias, prior)
 
 
