@@ -142,7 +142,8 @@ def rate(steps: list[list[float]], least: float) -> Column:
 
 
 def solve(judged: DataFrame, n: int, weights: list[float] | None, least: float, total: float | None, most: int = 30, near: float = 1e-4) -> list[list[float]]:
-    """The steps that bring the expected tokens of the domains to their targets. judged: tokens, posterior.
+    """The steps that bring the expected tokens of the domains as near to their targets as they get. judged: tokens,
+    posterior. Targets that no rates reach (posteriors too soft for them) leave the least-squares remainder.
 
     weights: the domains' target shares. total: tokens to reach; by default the tokens there are, or, if rates under 1
     aren't allowed, the least number for which no domain has to shrink.
@@ -166,11 +167,11 @@ def solve(judged: DataFrame, n: int, weights: list[float] | None, least: float,
         reached = judged.agg(*[F.sum(t * rate(trial, least) * p[i]) for i in range(n)]).first()
         moved = np.array([x or 0.0 for x in reached]) - target
         if np.linalg.norm(moved) < np.linalg.norm(error) * (1 - 1e-6):
-            steps, error = trial, moved
-        elif size < 1e-3:
+            steps, error, size = trial, moved, min(1.0, 2 * size)
+        elif size < 1e-4:
             break
         else:
-            size /= 2
+            size /= 4
     return steps
 
 
