@@ -13,7 +13,9 @@ Null text: the end id alone. Repeated rows: packed as often as they occur. Empty
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,27 +30,55 @@ END = 2
 #: Lengths, by frequency, that combinations of three and of four draw from freely (the last one is given by the sum).
 FREE3, FREE4 = 160, 40
 #: Chunks of text whose ids a worker remembers.
-CACHE = 1 << 18
+CACHE = 1 << 19
+
+
+def _byte_letters() -> dict[int, str]:
+    """How a byte-level vocabulary writes bytes: printable ones as they are, the others as the letters from 256 on."""
+    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    hidden = [b for b in range(256) if b not in set(shown)]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
 class TokenBytes(dict):
-    """Little-endian 32-bit ids of chunks without white space; the tokenizer never joins ids across white space."""
+    """Little-endian 32-bit ids of chunks without white space; the tokenizer never joins ids across white space.
+
+    A chunk that ends in full stops or commas after a letter is cut there, as the tokenizer cuts it; capitals are
+    lowered, as it lowers them; and a word of letters in normal form goes straight to the merges. The chunks seen last
+    are remembered in two generations.
+    """
 
     def __init__(self, path: str, limit: int = CACHE):
         from tokenizers import Tokenizer
 
         self.path, self.limit, self.old = path, limit, {}
         self.tokenizer = Tokenizer.from_file(path)
+        self.model, self.letters = self.tokenizer.model, _byte_letters()
 
     def encode(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def work_out(self, chunk: str) -> bytes:
+        base = chunk.rstrip(".,")
+        if base != chunk and base and base[-1].isalpha():
+            return self[base] + self[chunk[len(base) :]]
+        low = chunk.lower()
+        if unicodedata.is_normalized("NFC", chunk):
+            if low != chunk and max(chunk) < "\u0130":
+                return self[low]
+            if low == chunk and chunk.isalpha():
+                word = chunk.encode().decode("latin-1").translate(self.letters)
+                return array("I", [t.id for t in self.model.tokenize(word)]).tobytes()
+        return self.encode(chunk)
 
     def __missing__(self, chunk: str) -> bytes:
+        found = self.old.get(chunk)
+        if found is None:
+            found = self.work_out(chunk)
         if len(self) >= self.limit:
             self.old = dict(self)
             self.clear()
-        found = self.old.get(chunk)
-        self[chunk] = found = self.encode(chunk) if found is None else found
+        self[chunk] = found
         return found
 
     def of(self, text: str) -> bytes:
