@@ -32,7 +32,7 @@ def rocks_of(table: DataFrame) -> DataFrame:
 
 def deposits_of(table: DataFrame) -> DataFrame:
     require_columns(table, ["Name", "Type", "FoundAt"])
-    places = F.filter(F.transform(F.split(F.coalesce("FoundAt", F.lit("")), ","), F.trim), lambda x: x != "")
+    places = F.filter(F.transform(F.split(F.coalesce("FoundAt", F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != "")
     return table.filter(F.coalesce(F.trim("Name"), F.lit("")) != "").select(F.trim("Name").alias("name"), F.trim("Type").alias("type"), places.alias("found_at"))
 
 
