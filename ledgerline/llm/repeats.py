@@ -247,8 +247,11 @@ def repeat_report(docs: DataFrame, span: int = 200) -> DataFrame:
 def without_repeats(docs: DataFrame, span: int = 200) -> DataFrame:
     """docs with the repeated strings gone from text (broken characters at the cuts too); rows left without a word go."""
     body = text_of().cast("binary")
-    gone = removals(docs, span).select("t1", "nb", "kept")
-    left = F.expr("try_validate_utf8(string(kept))")
-    clean = F.when(F.col("kept").isNull(), F.col("text")).otherwise(F.coalesce(left, F.regexp_replace(F.expr("make_valid_utf8(string(kept))"), "�", "")))
-    out = docs.withColumn("t1", F.xxhash64(body)).withColumn("nb", F.length(body).cast("long")).join(gone, list(_KEY), "left")
-    return out.withColumn("__emptied", F.col("kept").isNotNull() & ~clean.rlike(r"\S")).withColumn("text", clean).filter("NOT __emptied").select(*docs.columns)
+    gone = removals(docs, span).select(F.col("t1").alias("__t1"), F.col("nb").alias("__nb"), F.col("kept").alias("__kept"))
+    whole = F.expr("try_validate_utf8(string(__kept))")
+    clean = F.when(F.col("__kept").isNull(), F.col("text")).otherwise(
+        F.coalesce(whole, F.regexp_replace(F.expr("make_valid_utf8(string(__kept))"), "\ufffd", ""))
+    )
+    out = docs.withColumn("__t1", F.xxhash64(body)).withColumn("__nb", F.length(body).cast("long")).join(gone, ["__t1", "__nb"], "left")
+    emptied = F.col("__kept").isNotNull() & ~clean.rlike(r"\S")
+    return out.filter(~emptied).withColumn("text", clean).select(*docs.columns)

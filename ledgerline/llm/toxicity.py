@@ -147,11 +147,11 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", per_class: in
     return train([r["text"] for r in rows], y, weights)
 
 
-def scored(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
-    """The kept columns of docs, and `score`."""
+def scored(docs: DataFrame, model: Model, *keep: str, name: str = "score") -> DataFrame:
+    """The kept columns of docs, and the score under the name."""
     bias, value = model.bias, model.value
     mark = f"{bias}:{zlib.crc32(value.tobytes())}"
-    schema = docs.select(*keep).schema.add("score", "double")
+    schema = docs.select(*keep).schema.add(name, "double")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if mark not in _known:
@@ -160,7 +160,7 @@ def scored(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
         words = _known[mark]
         for batch in batches:
             found = [text_score(t, bias, words) for t in batch.column(batch.num_columns - 1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, pa.float64())], [*keep, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, pa.float64())], [*keep, name])
 
     return docs.select(*keep, F.col("text").alias("__text")).mapInArrow(score, schema)
 
@@ -174,4 +174,4 @@ def toxicity_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def without_toxic(docs: DataFrame, labels: DataFrame, limit: float = 0.5) -> DataFrame:
     """The rows of docs that score under the limit."""
-    return scored(docs, fit(docs, labels), *docs.columns).filter(F.col("score") < limit).select(*docs.columns)
+    return scored(docs, fit(docs, labels), *docs.columns, name="__toxicity").filter(F.col("__toxicity") < limit).select(*docs.columns)

@@ -2,7 +2,7 @@
 
 import random
 
-DOC = "doc_id long, text string, lang string, source string, n_chars long, key string, n string"
+DOC = "doc_id long, text string, lang string, source string, n_chars long, key string, n string, score double, t1 string, kept string, unit int, bucket int, node string"
 
 
 def awkward(spark, seed=3):
@@ -21,7 +21,7 @@ def awkward(spark, seed=3):
         texts.append(" ".join(word() for _ in range(20)) + " " + passage + " " + word())
     texts.append(" ".join(word() for _ in range(30_000)))
     texts.append("xyz " * 500)
-    rows = [(i, t, "en", f"s{i % 3}" if i % 5 else None, len(t or ""), "k", "n") for i, t in enumerate(texts)]
+    rows = [(i, t, "en", f"s{i % 3}" if i % 5 else None, len(t or ""), "k", "n", 0.1, "t", "kept", 1, 2, "node") for i, t in enumerate(texts)]
     rows += [rows[3], rows[3], rows[45]]
     r.shuffle(rows)
     return spark.createDataFrame(rows, DOC)
