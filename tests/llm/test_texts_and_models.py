@@ -182,8 +182,8 @@ def test_toxicity_ignores_the_labels_of_held_out_rows(spark):
 def test_toxicity_with_awkward_rows(spark):
     docs, labels, _ = labelled(spark, 80)
     rough = awkward(spark)
-    got = toxicity.scored(rough, toxicity.fit(docs, labels), *rough.columns)
-    assert got.count() == rough.count() and got.filter("score IS NULL OR score < 0 OR score > 1").count() == 0
+    got = toxicity.scored(rough, toxicity.fit(docs, labels), *rough.columns, name="s")
+    assert got.count() == rough.count() and got.filter("s IS NULL OR s < 0 OR s > 1").count() == 0
     none = labels.filter("false")
     assert {r.score for r in toxicity.toxicity_report(docs, none).collect()} == {0.5}
     assert toxicity.toxicity_report(empty(spark), labels).collect() == []
