@@ -94,7 +94,7 @@ def template(x: Column) -> Column:
 def stored_variant(x: Column) -> Column:
     """The narrower reading that is kept with a mission."""
     t = F.lower(F.coalesce(x, F.lit("")))
-    return F.when(t.contains("singletomulti"), "SINGLE_TO_MULTI").when(t.contains("multitosingle") | t.contains("multi2tosingle"), "MULTI_TO_SINGLE").when(t.contains("atob"), "A_TO_B").otherwise("MANUAL")
+    return F.when(t.rlike("singletomulti|single_to_multi"), "SINGLE_TO_MULTI").when(t.rlike("multitosingle|multi2tosingle|multi_to_single"), "MULTI_TO_SINGLE").when(t.rlike("atob|a_to_b"), "A_TO_B").otherwise("MANUAL")
 
 
 def stored_grade(x: Column) -> Column:

@@ -10,7 +10,9 @@ PAYOUT_STEPS = [(0.75, 0.76), (0.5, 0.45), (0.25, 0.15)]
 PAYOUT_SNAP = 250
 CAPACITY_WARN = 0.8
 #: Labels.
-VARIANT_LABELS = {"A_TO_B": "A → B", "SINGLE_TO_MULTI": "Single → Multi", "MULTI_TO_SINGLE": "Multi → Single", "MANUAL": "Manual"}
+VARIANT_LABELS = {"A_TO_B": "A → B", "SINGLE_TO_MULTI": "Single → Multi", "MULTI_TO_SINGLE": "Multi → Single", "MANUAL": "Manual Entry"}
+GRADE_LABELS = {"SMALL": "Small", "SUPPLY": "Supply Grade", "BULK": "Bulk", "UNKNOWN": "—"}
+STATUS_LABELS = {"accepted": "ACCEPTED", "in_progress": "IN PROGRESS", "complete": "COMPLETE", "abandoned": "ABANDONED"}
 RARITIES = ["Common", "Uncommon", "Rare", "Epic", "Legendary"]
 
 
@@ -65,7 +67,7 @@ def grouped_number(x: Column) -> Column:
 
 
 def payout_display(payout: Column, confidence: Column) -> Column:
-    return F.when(payout.isNull(), "—").otherwise(
+    return F.when(payout.isNull() | F.coalesce(confidence == "unknown", F.lit(False)), "—").otherwise(
         F.concat(F.when(confidence == "approximate", "~").otherwise(""), grouped_number(payout), F.lit(" aUEC"))
     )
 

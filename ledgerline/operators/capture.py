@@ -13,16 +13,13 @@ from ledgerline.operators.correlate import nearest_missions
 ROW_SHARE, MARGIN_SHARE, GUTTER_SHARE, ROWS_A_SIDE = 0.6, 0.03, 0.08, 2
 WIDE_LABELS = ["REWARD", "PAYOUT", "PAY", "CONTRACT", "CONTRACTED", "DEADLINE", "BONUS"]
 SETTLE_MS, TTL_MS, NEAR_MS = 3000, 60_000, 30_000
-_LOOK_ALIKE = str.maketrans("1|058", "IIOSB")
 
 
 def loosely(text: str, label: str) -> bool:
-    """Equal after look-alikes are levelled, or one is the other's beginning and a letter short of the label at most."""
-    a = "".join(c for c in text.upper() if c.isascii() and (c.isalnum() or c == "|")).translate(_LOOK_ALIKE)
-    b = label.translate(_LOOK_ALIKE)
-    a = "".join(c for c in a if c.isalpha())
-    short, long = sorted((a, b), key=len)
-    return bool(a) and (a == b or (long.startswith(short) and len(short) >= len(b) - 1))
+    """Equal by their letters, or one is the other's beginning and a letter short of the label at most."""
+    letters = "".join(c for c in text.upper() if c.isascii() and c.isalpha())
+    short, long = sorted((letters, label), key=len)
+    return bool(letters) and (letters == label or (long.startswith(short) and len(short) >= len(label) - 1))
 
 
 class Page:

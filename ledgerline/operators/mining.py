@@ -9,11 +9,28 @@ from ledgerline.functions.scalars import rarity_rank
 
 #: What a body's places are called, in the order in which bodies are tried.
 BODY_KEYWORDS = {
-    "Pyro": "pyro|pyam-|ruin station|checkmate|starlight|rod's fuel|rat's nest|dudley|patch city|ashland|gaslight|rappel|shepherd's rest|bueno ravine|canard view|last landings|orbituary|endgame|feo canyon|seer's canyon|refinery ",
-    "Hurston": "hur-|hurston|lorville|everus|teasa|hdms-|hdpc-|edmond|stanhope",
-    "microTech": "mic-|microtech|new babbage|babbage|port tressler|tressler|rayari|shubin mining facility sm|the necropolis|outpost 54|ghost hollow|shady glen|bountiful harvest|dunboro|frostbite|frigid knot|clio|calliope|euterpe",
-    "ArcCorp": "arc-|arccorp|area 18|area18|baijini|lyria|wala|humboldt|shubin mining facility sal|shubin mining facility scd|shubin mining facility smca|loveridge|shady|the orphanage|wikelo",
-    "Crusader": "cru-|crusader|orison|seraphim|port olisar|olisar|cellin|yela|daymar|gallete|kudre|bountiful|brio's breaker|dinger's|nuen|shubin mining facility smo|tram & myers|benson|the golden riviera|raven's roost",
+    "Pyro": [
+        "pyro", "pyam-", "ruin station", "checkmate", "starlight", "rod's fuel", "rat's nest", "dudley", "patch city",
+        "ashland", "gaslight", "rappel", "shepherd's rest", "bueno ravine", "canard view", "last landings",
+        "orbituary", "endgame", "feo canyon", "seer's canyon", "refinery ",
+    ],
+    "Hurston": [
+        "hur-", "hurston", "lorville", "everus", "teasa", "hdms-", "hdpc-", "edmond", "stanhope",
+    ],
+    "microTech": [
+        "mic-", "microtech", "new babbage", "babbage", "port tressler", "tressler", "rayari",
+        "shubin mining facility sm", "the necropolis", "outpost 54", "ghost hollow", "shady glen", "bountiful harvest",
+        "dunboro", "frostbite", "frigid knot", "clio", "calliope", "euterpe",
+    ],
+    "ArcCorp": [
+        "arc-", "arccorp", "area 18", "area18", "baijini", "lyria", "wala", "humboldt", "shubin mining facility sal",
+        "shubin mining facility scd", "shubin mining facility smca", "loveridge", "shady", "the orphanage", "wikelo",
+    ],
+    "Crusader": [
+        "cru-", "crusader", "orison", "seraphim", "port olisar", "olisar", "cellin", "yela", "daymar", "gallete",
+        "kudre", "bountiful", "brio's breaker", "dinger's", "nuen", "shubin mining facility smo", "tram & myers",
+        "benson", "the golden riviera", "raven's roost",
+    ],
 }
 #: Regions of the bodies and of their systems.
 LOCAL_REGIONS = {
@@ -73,7 +90,7 @@ def body_of(place: Column) -> Column:
     out = F.lit(None).cast("string")
     for body, words in reversed(BODY_KEYWORDS.items()):
         hit = F.lit(False)
-        for w in words.split("|"):
+        for w in words:
             hit = hit | p.contains(w)
         out = F.when(hit, body).otherwise(out)
     return F.when(p != "", out)

@@ -159,7 +159,7 @@ ORACLE_SQL = {
            CASE WHEN scu_total > 96 THEN 'over' WHEN scu_total / 96 >= 0.8 THEN 'warn' ELSE 'ok' END AS tier FROM t""",
     "ordered_destinations": "SELECT n_name AS name, n_regionkey = 2 AS is_cargo_center FROM nation",
     "payout_labels": f"""WITH {A.SQL_MISSIONS} SELECT id, CASE WHEN payout IS NULL THEN '—' ELSE CASE WHEN payout_confidence = 'approximate' THEN '~' ELSE '' END || format('{{:,}}', payout) || ' aUEC' END AS payout_label,
-           CASE variant WHEN 'A_TO_B' THEN 'A → B' WHEN 'SINGLE_TO_MULTI' THEN 'Single → Multi' WHEN 'MULTI_TO_SINGLE' THEN 'Multi → Single' ELSE 'Manual' END AS variant_label FROM missions""",
+           CASE variant WHEN 'A_TO_B' THEN 'A → B' WHEN 'SINGLE_TO_MULTI' THEN 'Single → Multi' WHEN 'MULTI_TO_SINGLE' THEN 'Multi → Single' ELSE 'Manual Entry' END AS variant_label FROM missions""",
     "location_match_join": """SELECT 'port ' || lower(a.n_name) || ' dock' AS "current", b.n_name AS name FROM nation a JOIN nation b ON contains('port ' || lower(a.n_name) || ' dock', lower(b.n_name))""",
     "session_promotion": """SELECT user_id, CASE WHEN bool_or(event_id % 4 = 0) THEN 'live' ELSE 'historical' END AS session,
            arg_min(props, event_id) FILTER (WHERE event_type = 'signup') AS first_accept, arg_max(props, event_id) FILTER (WHERE event_type = 'view') AS last_marker, min(event_id) AS first_seq FROM events GROUP BY user_id""",

@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Kinds of terminals, words of ports and of distribution points.
-TERMINAL_TYPES = ["commodity", "item", "vehicle", "fuel", "refinery", "cargo", "station", "outpost", "city", "terminal"]
-PORT_WORDS = "(?i)port|station|harbor|harbour|gateway|hub|spaceport"
-DISTRIBUTION = "(?i)distribution|logistics|depot|warehouse"
+TERMINAL_TYPES = ["station", "city", "outpost", "distribution", "venue", "terminal"]
+PORT_WORDS = r"(?i)spaceport|space port|landing|terminal|port\b"
+DISTRIBUTION = r"(?i)distribution cent|logistics depot|cargo cent|S\dDC\d|S\dLD\d"
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -89,9 +89,9 @@ def ships_of(raw: DataFrame) -> DataFrame:
 
 def venue_of(name: Column) -> Column:
     """The last but one part of `a - b - c`, if it reads like a port."""
-    parts = F.split(name, " - ")
+    parts = F.filter(F.transform(F.split(name, " - "), lambda x: F.trim(x)), lambda x: x != "")
     venue = F.get(parts, F.size(parts) - 2)
-    return F.when((F.size(parts) >= 3) & venue.rlike(PORT_WORDS), F.trim(venue))
+    return F.when((F.size(parts) >= 3) & venue.rlike(PORT_WORDS), venue)
 
 
 def is_distribution_point(name: Column) -> Column:
