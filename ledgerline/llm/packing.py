@@ -231,7 +231,7 @@ def packed(docs: DataFrame, path: str, window: int = WINDOW, seed: int = 3) -> D
         histogram[length] = n
     slots = docs.sparkSession.createDataFrame(plan(histogram, window), "length long, lo long, hi long, base long, offset long")
     placed = dense_positions(
-        cut.withColumn("mix", unit_hash(F.lit(seed), "doc_id", "start")), ["length"], ["mix", "doc_id", "start"], F.col("mix"), "place"
+        cut.withColumn("mix", unit_hash(F.lit(seed), "doc_id", "start")), ["length"], ["mix", "doc_id", "start", "ids_crc32"], F.col("mix"), "place"
     )
     # the slots are bounded by the plan (window lengths, a bounded set of combinations), so they are broadcast
     return placed.join(

@@ -97,7 +97,7 @@ def shard_rows(docs: DataFrame, shards: int = 8, seed: int = 7) -> DataFrame:
         homes = homes.unionByName(spark.createDataFrame(placed, "unit string, shard int"))
     located = rows.join(homes, "unit")
     shuffled = located.withColumn("mix", unit_hash(F.lit(seed + 1), "unit", "doc_id"))
-    slotted = dense_positions(shuffled, ["shard"], ["mix", "doc_id"], F.col("mix"), "slot")
+    slotted = dense_positions(shuffled, ["shard"], ["mix", "doc_id", "text_crc32"], F.col("mix"), "slot")
     return slotted.select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )
