@@ -209,3 +209,25 @@ def test_reference_and_state(spark, tmp_path):
     assert reference.deposits_of(reference.read_csv(spark, str(tmp_path / "dep.csv"))).first().found_at == ["A", "B", "C"]
     old = spark.createDataFrame([("a", "complete")], "id string, status string")
     assert state.migrated(old, "missions").first().terminal_source == "game"
+
+
+def test_geometry(spark):
+    from ledgerline.functions import geometry as G
+
+    df = spark.createDataFrame([((0.1, 0.2, 0.5, 0.9), (80.0, 10.0, -40.0, 30.0), 1000.0, 500.0)], "r struct<x:double,y:double,w:double,h:double>, s struct<x:double,y:double,width:double,height:double>, w double, h double")
+    row = df.select(
+        G.crop_rect(F.col("r"), F.col("w"), F.col("h")).alias("crop"), G.selection_to_source(F.col("s"), F.lit(100.0), F.lit(50.0), F.col("w"), F.col("h")).alias("sel"),
+        G.full_frame_scale(F.col("w"), F.col("h")).alias("scale"), G.crop_rect(F.col("r"), F.lit(0.0), F.col("h")).alias("none"), G.capture_delay(F.lit(99_999.0)).alias("delay"), G.nearest_option(F.lit(750), [500, 1000]).alias("option"),
+    ).first()
+    assert tuple(row.crop) == (100, 100, 500, 400) and tuple(row.sel) == (400, 100, 400, 300) and row.scale == 2.4 and tuple(row.none) == (0, 0, 0, 0) and row.delay == 3000 and row.option == 500
+
+
+def test_reports(spark):
+    from ledgerline.operators import reports
+
+    m = spark.createDataFrame([("a", "T", None, "A_TO_B", "BULK", "accepted", "log", None, None)], "id string, title string, giver string, variant string, grade string, status string, source string, payout long, payout_confidence string")
+    legs = spark.createDataFrame([("a", "o", "dropoff", "", 9, 4, None, False)], "mission_id string, objective_id string, kind string, commodity string, scu_total long, scu_delivered long, location string, completed boolean")
+    text = reports.mission_blocks(m, legs).first().text
+    assert text.splitlines()[0] == "mission a" and text.splitlines()[-1] == "    - [dropoff] (no commodity) 4/9 SCU -> (no location) (open) [o]" and "  payout   : — (unknown)" in text
+    assert tuple(reports.status_line(m).first()) == (1, "accepted=1")
+    assert [r.title for r in reports.manual_drafts(spark.createDataFrame([(" ",), (" x ",)], "title string")).collect()] == [reports.DEFAULT_TITLE, "x"]
