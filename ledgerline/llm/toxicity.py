@@ -16,6 +16,7 @@ more than once counts as toxic if any of its labels does. Repeated rows are scor
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -25,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerline.llm.common import held
+
 BUCKETS = 1 << 17
 EDGE = ".,;:!?\"'()[]{}<>|*#-_/\\"
 
@@ -51,27 +54,36 @@ def train(texts: list[str], labels: np.ndarray, weights: np.ndarray, dim: int =
     """
     if len(set(labels.tolist())) < 2:
         return Model(0.0 if not len(labels) else (30.0 if labels[0] else -30.0), np.zeros(BUCKETS, np.float32))
+    # typed arrays: lists of numbers would take several times the memory
     index: dict[str, int] = {}
-    doc, word, share = [], [], []
+    doc, word, share, parts, bucket = array("i"), array("i"), array("d"), array("i"), array("i")
     for i, text in enumerate(texts):
         counts = Counter(text.split())
         total = sum(counts.values())
         for w, n in counts.items():
+            if w not in index:
+                index[w] = len(index)
+                grams = subwords(w)
+                parts.append(len(grams))
+                bucket.extend(grams)
             doc.append(i)
-            word.append(index.setdefault(w, len(index)))
+            word.append(index[w])
             share.append(n / total)
-    doc, word, share = np.array(doc, np.int64), np.array(word, np.int64), np.array(share)
-    parts = [subwords(w) for w in index]
-    sizes = np.array([len(p) for p in parts])
-    of = np.repeat(np.arange(len(parts)), sizes)
-    bucket = np.concatenate([np.array(p) for p in parts])
+    words_seen = len(index)
+    del index
+    doc, word, share, sizes, bucket = (np.array(x) for x in (doc, word, share, parts, bucket))
+    of = np.repeat(np.arange(words_seen, dtype=np.int32), sizes)
     # subwords that the classes use at nearly one rate stay 0; the rest start from their log odds
-    seen = [np.bincount(bucket, np.bincount(word, labels[doc] == y, len(parts))[of], BUCKETS) for y in (0, 1)]
+    seen = [np.bincount(bucket, np.bincount(word, labels[doc] == y, words_seen)[of], BUCKETS) for y in (0, 1)]
     odds = np.log((seen[1] + smooth) / (seen[0] * (seen[1].sum() / max(1.0, seen[0].sum())) + smooth))
     keep = np.abs(odds[bucket]) >= least
     of, bucket = of[keep], bucket[keep]
     used, bucket = np.unique(bucket, return_inverse=True)
     part = 1.0 / sizes[of]
+    telling = np.zeros(words_seen, bool)
+    telling[of] = True
+    at = telling[word]  # the other words add nothing to a text's sum
+    doc, word, share = doc[at], word[at], share[at]
     rng = np.random.default_rng(seed)
     vectors = rng.uniform(-0.1, 0.1, (len(used), dim))
     vectors[:, 0] = odds[used]
@@ -83,14 +95,14 @@ def train(texts: list[str], labels: np.ndarray, weights: np.ndarray, dim: int =
     scale: list[float] = []
     add = lambda at, values, n: np.stack([np.bincount(at, v, n) for v in np.ascontiguousarray(values.T)], axis=1)
     for step in range(steps):
-        words = add(of, vectors[bucket] * part[:, None], len(parts))
+        words = add(of, vectors[bucket] * part[:, None], words_seen)
         x = add(doc, words[word] * share[:, None], len(texts))
         logits = x @ softmax.T + bias
         p = np.exp(logits - logits.max(axis=1, keepdims=True))
         p /= p.sum(axis=1, keepdims=True)
         error = (p - goal) * weights[:, None]
         back = error @ softmax
-        to_words = add(word, back[doc] * share[:, None], len(parts))
+        to_words = add(word, back[doc] * share[:, None], words_seen)
         gradients = (add(bucket, to_words[of] * part[:, None], len(used)), error.T @ x, error.sum(axis=0))
         if not step:
             scale = [1 / max(1e-12, np.abs(g).max()) for g in gradients]
@@ -104,7 +116,7 @@ def train(texts: list[str], labels: np.ndarray, weights: np.ndarray, dim: int =
 
 
 class _WordValue(dict):
-    def __init__(self, value: np.ndarray, limit: int = 1 << 20):
+    def __init__(self, value: np.ndarray, limit: int = 1 << 19):
         self.value, self.limit = value, limit
 
     def __missing__(self, token: str) -> float:
@@ -114,9 +126,6 @@ class _WordValue(dict):
         return x
 
 
-_known: dict[str, _WordValue] = {}
-
-
 def text_score(text: str | None, bias: float, words: _WordValue) -> float:
     tokens = text.split() if text else []
     logit = bias + (sum(map(words.__getitem__, tokens)) / len(tokens) if tokens else 0.0)
@@ -150,14 +159,11 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", per_class: in
 def scored(docs: DataFrame, model: Model, *keep: str, name: str = "score") -> DataFrame:
     """The kept columns of docs, and the score under the name."""
     bias, value = model.bias, model.value
-    mark = f"{bias}:{zlib.crc32(value.tobytes())}"
+    mark = f"toxicity {bias}:{zlib.crc32(value.tobytes())}"
     schema = docs.select(*keep).schema.add(name, "double")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if mark not in _known:
-            _known.clear()
-            _known[mark] = _WordValue(value)
-        words = _known[mark]
+        words = held(mark, lambda: _WordValue(value))
         for batch in batches:
             found = [text_score(t, bias, words) for t in batch.column(batch.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, pa.float64())], [*keep, name])
