@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
-from ledgerline.llm.common import materialize, unit_hash
+from ledgerline.llm.common import held, materialize, unit_hash
 
 BUCKETS = 1 << 16
 
@@ -45,7 +45,7 @@ def _bucket(word: str) -> int:
 
 
 class _Rows(dict):
-    def __init__(self, limit: int = 1 << 20):
+    def __init__(self, limit: int = 1 << 18):
         self.limit = limit
 
     def __missing__(self, word: str) -> int:
@@ -55,14 +55,11 @@ class _Rows(dict):
         return b
 
 
-_rows = _Rows()
-
-
 def mean_likelihoods(text: str | None, table: np.ndarray) -> tuple[int, np.ndarray]:
     words = text.split() if text else []
     if not words:
         return 0, np.zeros(table.shape[1])
-    at = np.fromiter(map(_rows.__getitem__, words), np.int64, len(words))
+    at = np.fromiter(map(held("mixing", _Rows).__getitem__, words), np.int64, len(words))
     return len(words), table[at].mean(axis=0)
 
 

@@ -23,14 +23,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import dense_positions, materialize, unit_hash
+from ledgerline.llm.common import dense_positions, held, materialize, unit_hash
 
 WINDOW = 4096
 END = 2
 #: Lengths, by frequency, that combinations of three and of four draw from freely (the last one is given by the sum).
 FREE3, FREE4 = 160, 40
 #: Chunks of text whose ids a worker remembers.
-CACHE = 1 << 19
+CACHE = 3 << 17
 
 
 def _byte_letters() -> dict[int, str]:
@@ -87,14 +87,8 @@ class TokenBytes(dict):
         return b"".join(map(self.__getitem__, text.split()))
 
 
-_ready: dict[str, TokenBytes] = {}
-
-
 def token_bytes(path: str) -> TokenBytes:
-    if path not in _ready:
-        _ready.clear()
-        _ready[path] = TokenBytes(path)
-    return _ready[path]
+    return held(f"tokens {path}", lambda: TokenBytes(path))
 
 
 def pieces(docs: DataFrame, path: str, window: int = WINDOW) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.llm import suffix_array
-from ledgerline.llm.common import materialize, text_of
+from ledgerline.llm.common import held, materialize, text_of
 
 GRAM = 32
 #: Starts worked on at a time, and bytes of contexts in a shard.
@@ -75,6 +75,7 @@ def anchors(texts: DataFrame, span: int) -> DataFrame:
     """t1, nb, s, n, h of texts (t1, nb, text as binary): the contexts of each text and their anchors' hashes."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held("repeats", dict)  # nothing is remembered here, but what other operators left in the worker goes
         for batch in batches:
             rows, s, n, h = [], [], [], []
             for row, text in enumerate(batch.column(2)):
@@ -137,6 +138,7 @@ def _shard_repeats(bodies: DataFrame, span: int) -> DataFrame:
     ).withColumn("i", F.least("part", "other")).withColumn("j", F.greatest("part", "other"))
 
     def sort(key: tuple, table: pa.Table) -> pa.Table:
+        held("repeats", dict)
         i, j = key[2].as_py(), key[3].as_py()
         part, n = table.column("part").to_numpy(), table.column("n").to_numpy().astype(np.int64)
         found = []

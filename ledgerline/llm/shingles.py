@@ -5,9 +5,11 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
+from ledgerline.llm.common import held
+
 WIDTH = 5
 #: Word hashes kept at a time in a worker.
-CACHE = 1 << 20
+CACHE = 1 << 19
 
 
 class _WordHash(dict):
@@ -18,8 +20,6 @@ class _WordHash(dict):
         return h
 
 
-_words = _WordHash()
-
 
 def _mixed(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
@@ -35,7 +35,7 @@ def shingle_set(text: bytes | None, width: int = WIDTH) -> np.ndarray:
     words = text.lower().split() if text else []
     if not words:
         return np.empty(0, np.uint64)
-    codes = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
+    codes = np.fromiter(map(held("shingles", _WordHash).__getitem__, words), np.uint64, len(words))
     width = min(width, len(words))
     n = len(words) - width + 1
     h = codes[:n].copy()

@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerline.llm.common import held
+
 MARK = "▁"
 PENALTY = 10.0
 
@@ -78,17 +80,11 @@ class Counter(dict):
         return sum(map(self.__getitem__, (text[1:] if text[0] == " " else text).split(" ")))
 
 
-_ready: dict[str, Counter] = {}
-
-
 def counted(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_chars, n_tokens."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if path not in _ready:
-            _ready.clear()
-            _ready[path] = Counter(pieces_of(path))
-        counter = _ready[path]
+        counter = held(f"counts {path}", lambda: Counter(pieces_of(path)))
         for batch in batches:
             n = [counter.of(t) for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64())], ["doc_id", "n_chars", "n_tokens"])
