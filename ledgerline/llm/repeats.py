@@ -183,7 +183,8 @@ def removals(docs: DataFrame, span: int = 200) -> DataFrame:
     body = text_of().cast("binary")
     texts = docs.select(F.xxhash64(body).alias("t1"), F.length(body).cast("long").alias("nb"), body.alias("text"))
     found = materialize(anchors(texts, span), "repeat-anchors")
-    often = found.groupBy("h").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("h")
+    # written out, so that the joins below read shuffles on both sides and a hot anchor can be split
+    often = materialize(found.groupBy("h").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("h"), "repeat-often")
     places = (
         found.join(often, "h")
         .groupBy("t1", "nb", "s", "n", "h")
@@ -197,7 +198,7 @@ def removals(docs: DataFrame, span: int = 200) -> DataFrame:
     counted = materialize(
         contexts.groupBy("h", "c", "n").agg(F.sum("copies").alias("k"), F.min(F.struct("t1", "nb", "s")).alias("at")), "repeat-contexts"
     )
-    several = counted.groupBy("h").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("h")
+    several = materialize(counted.groupBy("h").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("h"), "repeat-several")
     wanted = counted.join(several, "h").groupBy(F.col("at.t1").alias("t1"), F.col("at.nb").alias("nb")).agg(
         F.collect_list(F.struct(F.col("at.s").alias("s"), "n", "h", F.lit(1).cast("long").alias("copies"))).alias("places")
     )
