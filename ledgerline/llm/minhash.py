@@ -146,7 +146,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, side: int = 6, rows: int
     """doc_id, n_shingles, component_id, kept: a row a row of docs (doc_id, text)."""
     base = materialize(signed(docs, side, rows), "minhash-signed")
     named = base.filter("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = named.groupBy("h1", "h2").agg(F.min("doc_id").alias("node"))
+    # written out, so that the join reads shuffles on both sides and a hot class can be split; so are `full` and `centres`
+    classes = materialize(named.groupBy("h1", "h2").agg(F.min("doc_id").alias("node")), "minhash-classes")
     members = materialize(
         base.join(classes, ["h1", "h2"], "left").select(
             "doc_id", "n_shingles", F.when(F.col("doc_id").isNull() | (F.col("n_shingles") == 0), F.col("doc_id")).otherwise(F.col("node")).alias("node"),
@@ -160,7 +161,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85, side: int = 6, rows: int
         .select("node", "i", "x", F.posexplode("v").alias("j", "y"))
         .select("node", F.xxhash64("i", "j", "x", "y").alias("key"))
     )
-    full = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo <> hi").drop("hi")
+    full = materialize(
+        keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo <> hi").drop("hi"), "minhash-full"
+    )
     buckets = materialize(keys.join(full, "key"), "minhash-buckets")
     texts = materialize(
         docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("binary").alias("text")).join(
@@ -169,7 +172,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, side: int = 6, rows: int
         "minhash-texts",
     )
     met = buckets.groupBy("node").agg(F.sum("n").alias("met"))
-    centres = buckets.join(met, "node").groupBy("key").agg(F.max(F.struct("met", (-F.col("node")).alias("x")))["x"].alias("x")).select("key", (-F.col("x")).alias("centre"))
+    best = F.max(F.struct("met", (-F.col("node")).alias("x")))["x"]
+    centres = materialize(buckets.join(met, "node").groupBy("key").agg(best.alias("x")).select("key", (-F.col("x")).alias("centre")), "minhash-centres")
     stars = buckets.join(centres, "key").filter("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct()
     links = materialize(confirmed(stars, texts, percent), "minhash-links")
     labels = materialize(components(links), "minhash-labels")
