@@ -228,7 +228,10 @@ def marked_by_article(page: str | None) -> tuple[str, int, int] | None:
 
 def weights_for(pages: DataFrame, sample: int = 300) -> Weights:
     """Weights from LABELLED and at most `sample` pages, chosen by a hash, that hold one article element."""
-    some = pages.filter(F.lower("html").contains("<article")).orderBy(F.xxhash64(F.lit(23), "page_id"), "page_id").select("html").limit(sample).collect()
+    marked = pages.filter(F.lower("html").contains("<article")).select("page_id")
+    chosen = marked.orderBy(F.xxhash64(F.lit(23), "page_id"), "page_id").limit(sample)
+    # at most `sample` ids, so they are broadcast; only these pages travel to the driver
+    some = pages.join(F.broadcast(chosen.distinct()), "page_id").dropDuplicates(["page_id"]).orderBy("page_id").select("html").collect()
     return fit(LABELLED * 4 + [x for r in some if (x := marked_by_article(r["html"]))])
 
 
