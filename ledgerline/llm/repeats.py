@@ -32,8 +32,8 @@ from ledgerline.llm import suffix_array
 from ledgerline.llm.common import held, materialize, text_of
 
 GRAM = 32
-#: Starts worked on at a time, and bytes of contexts in a shard.
-STRETCH, SHARD_BYTES = 1 << 18, 2 << 20
+#: Starts worked on at a time, and bytes of contexts in a shard or a part of a hot anchor.
+STRETCH, SHARD_BYTES = 1 << 18, 1 << 20
 ANCHORS = "t1 long, nb long, s int, n int, h long"
 _TABLE = np.random.default_rng(5).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _PLACE = np.uint64((1 << 24) - 1)
@@ -102,6 +102,7 @@ def _contexts(candidates: DataFrame, span: int, with_bytes: bool) -> DataFrame:
     schema = "t1 long, nb long, s int, n int, h long, c long, copies long" + ", body binary" * with_bytes
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held("repeats", dict)
         for batch in batches:
             places = batch.column(3)
             sizes = np.diff(places.offsets.to_numpy())
@@ -129,7 +130,7 @@ def _shard_repeats(bodies: DataFrame, span: int) -> DataFrame:
     sizes = bodies.groupBy("h").agg(F.sum(F.length("body")).alias("bytes"))
     total = sizes.agg(F.sum("bytes")).first()[0] or 0
     shards = max(1, -(-total // SHARD_BYTES))
-    parts = F.ceil(F.col("bytes") / (SHARD_BYTES // 2)).cast("int")
+    parts = F.ceil(F.col("bytes") / SHARD_BYTES).cast("int")
     sized = bodies.join(sizes.select("h", F.when(F.col("bytes") > SHARD_BYTES, parts).otherwise(1).alias("parts")), "h")
     split = F.col("parts") > 1
     dealt = sized.select(
@@ -214,6 +215,7 @@ def removals(docs: DataFrame, span: int = 200) -> DataFrame:
     )
 
     def strike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held("repeats", dict)
         for batch in batches:
             removed, runs, kept = [], [], []
             for text, parts in zip(batch.column(2), batch.column(3), strict=True):

@@ -100,23 +100,25 @@ def repeated(data: np.ndarray, valid: np.ndarray, span: int) -> np.ndarray:
     return out & valid
 
 
-def also_in(data: np.ndarray, valid: np.ndarray, other: np.ndarray, other_valid: np.ndarray, span: int, block: int = 1 << 16) -> np.ndarray:
+def also_in(data: np.ndarray, valid: np.ndarray, other: np.ndarray, other_valid: np.ndarray, span: int, block: int = 1 << 14) -> np.ndarray:
     """Which valid places of one shard start a string of `span` bytes that a valid place of another shard starts:
-    a binary search of the one shard's strings, in order, in the sorted strings of the other."""
+    a binary search of the one shard's strings, in order, in the sorted strings of the other. Blocks of both meet only
+    where their ranges overlap."""
     out = np.zeros(len(data), bool)
     order = suffix_array(other)
     order = order[other_valid[order]]
     mine = suffix_array(data)
     mine = mine[valid[mine]]
-    offsets = np.arange(span)
-    strings = lambda d, at: np.ascontiguousarray(d[at[:, None] + offsets]).view(f"S{span}").ravel()
+    if not len(order) or not len(mine):
+        return out
+    strings = lambda d, at: np.lib.stride_tricks.sliding_window_view(d, span)[at].view(f"S{span}").ravel()
+    begins = np.arange(0, len(mine), block)
+    heads, tails = strings(data, mine[begins]), strings(data, mine[np.minimum(begins + block, len(mine)) - 1])
     for a in range(0, len(order), block):
         theirs = strings(other, order[a : a + block])
-        for b in range(0, len(mine), block):
-            part = mine[b : b + block]
+        for k in np.flatnonzero((tails >= theirs[0]) & (heads <= theirs[-1])):
+            part = mine[begins[k] : begins[k] + block]
             ours = strings(data, part)
-            if ours[-1] < theirs[0] or ours[0] > theirs[-1]:
-                continue
             at = np.minimum(np.searchsorted(theirs, ours), len(theirs) - 1)
             out[part[theirs[at] == ours]] = True
     return out
