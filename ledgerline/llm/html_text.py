@@ -4,7 +4,10 @@ A page is a sequence of words and tags. Words score positive, tags negative, wor
 weights are log odds of lying inside the main region, fitted on labelled pages: the ones below, and pages of the table
 whose own markup labels them (one <article>). One linear scan (Kadane) finds the contiguous region with the best sum.
 Elements that their name or class says are menus, adverts, forms, comments and the like are left out wherever they
-stand, and cost the region a penalty.
+stand, and cost the region a penalty. A class, id, role or label says so as a whole: each of its words is a mark, or
+a mark beside a word of place ("ad-banner", "site-footer"; not "has-sidebar" or "share-price-table"). Headings are never
+marked, nor is anything inside an article by its id. A marked element, form or header with most of the words of the
+core (the longest unmarked article or main; the page, if none has a tenth of its words) costs the penalty and is read.
 
 Text between block tags is a block: references decoded, white space turned into one space, trimmed; blocks are joined
 by two newlines. Nothing is cut for length. Null, empty or wordless html: an empty text. A boilerplate element that
@@ -34,10 +37,13 @@ BLOCKS = frozenset(
     "head header hgroup hr html legend li main menu nav ol p pre section summary table tbody tfoot thead tr ul".split()
 )
 SPACED = frozenset(["br", "td", "th"])
+HEADINGS = frozenset(["h1", "h2", "h3", "h4", "h5", "h6"])
 LEFT_OUT = frozenset("nav footer aside form button select option menu dialog header label input".split())
+#: Left out even with most of the words.
+ALWAYS = LEFT_OUT - {"form", "header"}
 VOID = frozenset(["input", "br", "hr", "img", "meta", "link"])
-ATTRIBUTE = re.compile(r"\b(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-PART = re.compile(r"[A-Za-z][a-z]*|[A-Z]+")
+ATTRIBUTE = re.compile(r"([^\s/>=]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
+PART = re.compile(r"[A-Z]+(?![a-z])|[A-Za-z][a-z]*")
 #: Words of class, id and role that mark what is not the article.
 MARKS = frozenset(
     "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent contentinfo cookie cookies "
@@ -46,6 +52,8 @@ MARKS = frozenset(
     "subscription toolbar widget".split()
 )
 PAGE_MARKS = frozenset(["header", "masthead"])
+#: Words that say where a marked element stands.
+PLACES = frozenset("site main top bottom left right primary secondary global".split())
 
 
 @dataclass
@@ -67,33 +75,79 @@ class Piece:
     at: int = 0
 
 
-def _marked(rest: str) -> tuple[bool, bool]:
-    words: set[str] = set()
+def _marked(rest: str, ids: bool = True) -> tuple[bool, bool]:
+    """Whether a whole class, role, label or (with `ids`) id is made of marks, and of marks of a page's head."""
+    marked = page_marked = False
     if "=" in rest:
         for m in ATTRIBUTE.finditer(rest):
-            words |= {w.lower() for w in PART.findall(m[1] or m[2] or m[3] or "")}
-    return bool(words & MARKS), bool(words & PAGE_MARKS)
+            kind, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+            if kind in ("class", "role") or (kind == "id" and ids):
+                names = value.split()
+            elif kind == "aria-label":
+                names = [value]
+            else:
+                continue
+            for name in names:
+                words = {w.lower() for w in PART.findall(name)}
+                if words <= MARKS | PAGE_MARKS | PLACES:
+                    marked |= bool(words & MARKS)
+                    page_marked |= bool(words & PAGE_MARKS)
+    return marked, page_marked
+
+
+def _ends(found: list[re.Match]) -> dict[int, int]:
+    """The closing tag of each tag that has one."""
+    ends: dict[int, int] = {}
+    opened: dict[str, list[int]] = {}
+    for i, m in enumerate(found):
+        if m["name"]:
+            stack = opened.setdefault(m["name"].lower(), [])
+            if not m["close"]:
+                if not m["rest"].endswith("/"):
+                    stack.append(i)
+            elif stack:
+                ends[stack.pop()] = i
+    return ends
+
+
+class _Core:
+    """Where the page's words outside links are."""
+
+    def __init__(self, page: str, found: list[re.Match], ends: dict[int, int]) -> None:
+        self.upto: list[int] = []  # words before a token
+        n, at, past = 0, 0, -1
+        spans = []
+        for i, m in enumerate(found):
+            if i > past:
+                n += len(page[at : m.start()].split())
+            self.upto.append(n)
+            at = m.end()
+            if m["name"] and not m["close"]:
+                name = m["name"].lower()
+                if (name == "a" or name in ALWAYS) and i in ends:
+                    past = max(past, ends[i])
+                elif name in ("article", "main") and not _marked(m["rest"])[0]:
+                    spans.append((i, ends.get(i, len(found))))
+        self.upto.append(n + len(page[at:].split()))
+        words = lambda x: self.upto[x[1]] - self.upto[x[0]]
+        whole = (0, len(found))
+        longest = max(spans, key=words, default=whole)
+        self.span = longest if words(longest) * 10 >= self.upto[-1] else whole
+        self.words = self.upto[self.span[1]] - (self.upto[self.span[0]] if self.span != whole else 0)
+
+    def held_by(self, begin: int, end: int) -> bool:
+        """Whether the element from one token to another has most of the core."""
+        a, b = max(begin, self.span[0]), min(end, self.span[1])
+        return a < b and (self.upto[b] - self.upto[a]) * 2 > self.words
 
 
 def pieces(page: str) -> list[Piece]:
     """The page's texts and tags in order; a boilerplate element is one piece."""
     found = list(TOKEN.finditer(page))
-    closers: dict[str, list[int]] = {}
-    for i, m in enumerate(found):
-        if m["name"]:
-            closers.setdefault(m["name"].lower(), []).append(i)
-
-    def end_of(i: int, name: str) -> int | None:
-        depth = 0
-        for j in closers[name]:
-            if j >= i:
-                depth += -1 if found[j]["close"] else not found[j]["rest"].endswith("/")
-                if depth <= 0:
-                    return j
-        return None
-
+    ends = _ends(found)
+    core: _Core | None = None
     out: list[Piece] = []
-    at, i, links, inside = 0, 0, 0, 0
+    at, i, links, inside, articles = 0, 0, 0, 0, 0
 
     def add_text(a: int, b: int) -> None:
         if a < b:
@@ -113,16 +167,23 @@ def pieces(page: str) -> list[Piece]:
                     links = max(0, links - 1)
                 elif name in ("article", "main"):
                     inside = max(0, inside - 1)
+                    if name == "article":
+                        articles = max(0, articles - 1)
                 out.append(Piece("tag", "/" + name, at=m.start()))
             else:
-                marked, page_marked = _marked(rest)
-                drop = name in LEFT_OUT or marked or page_marked
+                marked, page_marked = _marked(rest, ids=not articles)
+                drop = name in LEFT_OUT or ((marked or page_marked) and name not in HEADINGS)
                 if not marked and inside and (name == "header" or (page_marked and name not in LEFT_OUT)):
                     drop = False
                 if name in ("html", "body", "article", "main"):
                     drop = marked and name == "article"
-                end = end_of(i, name) if drop and name not in VOID and not rest.endswith("/") else None
-                if end is not None and end > i:
+                end = ends.get(i) if drop and name not in VOID else None
+                if end is not None and name not in ALWAYS:
+                    core = core or _Core(page, found, ends)
+                    if core.held_by(i, end):
+                        out.append(Piece("gone", name, at=m.start()))
+                        end = None
+                if end is not None:
                     out.append(Piece("gone", name, at=m.start()))
                     i, at = end, found[end].end()
                 else:
@@ -130,6 +191,7 @@ def pieces(page: str) -> list[Piece]:
                         links += 1
                     elif name in ("article", "main"):
                         inside += 1
+                        articles += name == "article"
                     out.append(Piece("tag", name, at=m.start()))
         elif m["raw"]:
             out.append(Piece("gone", m["raw"].lower(), at=m.start()))

@@ -141,6 +141,29 @@ def test_page_texts_on_the_sample_table(spark):
         assert got[r.page_id] == html_text.blocks(html_text.pieces(inner))
 
 
+TALE = "a plain text of words " * 20
+WHOLE = [
+    *[f"<body><div class='{c}'><p>{TALE}</p></div></body>" for c in ("layout has-sidebar", "content no-sidebar", "page with-comments", "layout sidebar", "social", "sidebar-left")],
+    *[f"<body><div class='{c}'><article><p>{TALE}</p></article><div class=comments><p>{'so nice ' * 300}</p></div></div></body>" for c in ("has-sidebar", "sidebar", "left-sidebar")],
+    f"<body><form id=login><div><p>{TALE}</p></div><select><option>{'choice ' * 30}</option></select></form></body>",
+    f"<body><div data-class='ad' title='class=ad'><p>{TALE}</p></div><footer>{'small print ' * 300}</footer></body>",
+    f"<body><article class='post promoted'><p>{TALE}</p></article></body>",
+]
+IN_ARTICLE = ['<h2 id="related-work">{}</h2>', '<h2 class="notice">{}</h2>', '<section id="comments-on-method"><p>{}</p></section>', '<section id="comments"><p>{}</p></section>', '<div class="share-price-table"><p>{}</p></div>', '<div class="relatedWork">{}</div>']
+
+
+def test_marks_leave_the_text_whole():
+    w = html_text.fit(html_text.LABELLED)
+    for page in WHOLE:
+        assert html_text.main_text(page, w) == TALE.strip(), page
+    for part in IN_ARTICLE:
+        page = f"<body><article><p>{TALE}</p>{part.format('the part')}<p>{TALE}</p></article></body>"
+        assert html_text.main_text(page, w) == f"{TALE.strip()}\n\nthe part\n\n{TALE.strip()}", part
+    for part in ("<div class='ad'>{}</div>", "<div class='x ad-banner'>{}</div>", "<div class=ADS>{}</div>", "<div class='socialShare'>{}</div>", "<div role=navigation>{}</div>", "<div aria-label='Main menu'>{}</div>", "<nav>{}</nav>"):
+        page = f"<body><article><p>{TALE}</p>{part.format('the part')}<p>{TALE}</p></article></body>"
+        assert html_text.main_text(page, w) == f"{TALE.strip()}\n\n{TALE.strip()}", part
+
+
 def test_long_page_is_whole():
     page = "<article><p>" + "word " * 200_000 + "</p></article>"
     assert len(html_text.main_text(page, html_text.fit(html_text.LABELLED)).split()) == 200_000
