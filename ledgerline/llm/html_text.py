@@ -11,7 +11,7 @@ core (the longest unmarked article or main; the page, if none has a tenth of its
 
 Text between block tags is a block: references decoded, white space turned into one space, trimmed; blocks are joined
 by two newlines. Nothing is cut for length. Null, empty or wordless html: an empty text. A boilerplate element that
-is never closed ends where it begins. Repeated rows: extracted each. Empty table: no rows.
+is never closed, or closes itself, ends where it begins; script, style, textarea and title run to the page's end. Repeated rows: extracted each. Empty table: no rows.
 """
 
 from __future__ import annotations
@@ -27,9 +27,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: What follows a tag's name: quotes open only after "=", so a stray one can't reach over ">".
+REST = r"(?:[\s/]++|=?[^\s/>=]++(?:\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>]*+))?+|=)*+"
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|noscript|template|textarea|title|svg|iframe|object|canvas)\b[^>]*>(?:.*?</(?P=raw)\s*>|.*\Z)"
-    r"|<(?P<close>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>",
+    rf"<!--.*?(?:-->|\Z)|(?P<tag><(?P<raw>script|style|textarea|title)(?![a-zA-Z0-9:-]){REST}>)(?:.*?</(?P=raw)\s*>|.*\Z)"
+    rf"|<(?P<close>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<rest>{REST})>|<[!?][^>]*>",
     re.S | re.I,
 )
 BLOCKS = frozenset(
@@ -37,10 +39,11 @@ BLOCKS = frozenset(
     "head header hgroup hr html legend li main menu nav ol p pre section summary table tbody tfoot thead tr ul".split()
 )
 SPACED = frozenset(["br", "td", "th"])
+EMBEDDED = frozenset("noscript template svg iframe object canvas".split())
 HEADINGS = frozenset(["h1", "h2", "h3", "h4", "h5", "h6"])
 LEFT_OUT = frozenset("nav footer aside form button select option menu dialog header label input".split())
 #: Left out even with most of the words.
-ALWAYS = LEFT_OUT - {"form", "header"}
+ALWAYS = LEFT_OUT - {"form", "header"} | EMBEDDED
 VOID = frozenset(["input", "br", "hr", "img", "meta", "link"])
 ATTRIBUTE = re.compile(r"([^\s/>=]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
 PART = re.compile(r"[A-Z]+(?![a-z])|[A-Za-z][a-z]*")
@@ -95,15 +98,41 @@ def _marked(rest: str, ids: bool = True) -> tuple[bool, bool]:
     return marked, page_marked
 
 
-def _ends(found: list[re.Match]) -> dict[int, int]:
+@dataclass
+class Token:
+    start: int
+    end: int
+    raw: bool = False
+    close: bool = False
+    name: str = ""
+    rest: str = ""
+
+
+def _tokens(page: str) -> list[Token]:
+    """Comments, raw elements and tags in order. Inside an svg a raw tag may close itself."""
+    found: list[Token] = []
+    at, drawings = 0, 0
+    while m := TOKEN.search(page, at):
+        at = m.end()
+        name = (m["name"] or m["raw"] or "").lower()
+        rest = m["rest"] or ""
+        if m["raw"] and drawings and m["tag"].endswith("/>"):
+            at = m.end("tag")
+        elif name == "svg" and not rest.endswith("/"):
+            drawings = max(0, drawings + (-1 if m["close"] else 1))
+        found.append(Token(m.start(), at, bool(m["raw"]), bool(m["close"]), name, rest))
+    return found
+
+
+def _ends(found: list[Token]) -> dict[int, int]:
     """The closing tag of each tag that has one."""
     ends: dict[int, int] = {}
     opened: dict[str, list[int]] = {}
     for i, m in enumerate(found):
-        if m["name"]:
-            stack = opened.setdefault(m["name"].lower(), [])
-            if not m["close"]:
-                if not m["rest"].endswith("/"):
+        if m.name and not m.raw:
+            stack = opened.setdefault(m.name, [])
+            if not m.close:
+                if not m.rest.endswith("/"):
                     stack.append(i)
             elif stack:
                 ends[stack.pop()] = i
@@ -113,20 +142,20 @@ def _ends(found: list[re.Match]) -> dict[int, int]:
 class _Core:
     """Where the page's words outside links are."""
 
-    def __init__(self, page: str, found: list[re.Match], ends: dict[int, int]) -> None:
+    def __init__(self, page: str, found: list[Token], ends: dict[int, int]) -> None:
         self.upto: list[int] = []  # words before a token
         n, at, past = 0, 0, -1
         spans = []
         for i, m in enumerate(found):
             if i > past:
-                n += len(page[at : m.start()].split())
+                n += len(page[at : m.start].split())
             self.upto.append(n)
-            at = m.end()
-            if m["name"] and not m["close"]:
-                name = m["name"].lower()
+            at = m.end
+            if not m.close:
+                name = m.name
                 if (name == "a" or name in ALWAYS) and i in ends:
                     past = max(past, ends[i])
-                elif name in ("article", "main") and not _marked(m["rest"])[0]:
+                elif name in ("article", "main") and not _marked(m.rest)[0]:
                     spans.append((i, ends.get(i, len(found))))
         self.upto.append(n + len(page[at:].split()))
         words = lambda x: self.upto[x[1]] - self.upto[x[0]]
@@ -143,7 +172,7 @@ class _Core:
 
 def pieces(page: str) -> list[Piece]:
     """The page's texts and tags in order; a boilerplate element is one piece."""
-    found = list(TOKEN.finditer(page))
+    found = _tokens(page)
     ends = _ends(found)
     core: _Core | None = None
     out: list[Piece] = []
@@ -158,21 +187,23 @@ def pieces(page: str) -> list[Piece]:
 
     while i < len(found):
         m = found[i]
-        add_text(at, m.start())
-        at = m.end()
-        if m["name"]:
-            name, rest = m["name"].lower(), m["rest"]
-            if m["close"]:
+        add_text(at, m.start)
+        at = m.end
+        if m.raw:
+            out.append(Piece("gone", m.name, at=m.start))
+        elif m.name:
+            name, rest = m.name, m.rest
+            if m.close:
                 if name == "a":
                     links = max(0, links - 1)
                 elif name in ("article", "main"):
                     inside = max(0, inside - 1)
                     if name == "article":
                         articles = max(0, articles - 1)
-                out.append(Piece("tag", "/" + name, at=m.start()))
+                out.append(Piece("tag", "/" + name, at=m.start))
             else:
                 marked, page_marked = _marked(rest, ids=not articles)
-                drop = name in LEFT_OUT or ((marked or page_marked) and name not in HEADINGS)
+                drop = name in ALWAYS or name in LEFT_OUT or ((marked or page_marked) and name not in HEADINGS)
                 if not marked and inside and (name == "header" or (page_marked and name not in LEFT_OUT)):
                     drop = False
                 if name in ("html", "body", "article", "main"):
@@ -181,20 +212,18 @@ def pieces(page: str) -> list[Piece]:
                 if end is not None and name not in ALWAYS:
                     core = core or _Core(page, found, ends)
                     if core.held_by(i, end):
-                        out.append(Piece("gone", name, at=m.start()))
+                        out.append(Piece("gone", name, at=m.start))
                         end = None
                 if end is not None:
-                    out.append(Piece("gone", name, at=m.start()))
-                    i, at = end, found[end].end()
+                    out.append(Piece("gone", name, at=m.start))
+                    i, at = end, found[end].end
                 else:
                     if name == "a":
                         links += 1
                     elif name in ("article", "main"):
                         inside += 1
                         articles += name == "article"
-                    out.append(Piece("tag", name, at=m.start()))
-        elif m["raw"]:
-            out.append(Piece("gone", m["raw"].lower(), at=m.start()))
+                    out.append(Piece("tag", name, at=m.start))
         i += 1
     add_text(at, len(page))
     return out

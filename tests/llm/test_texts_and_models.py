@@ -164,6 +164,23 @@ def test_marks_leave_the_text_whole():
         assert html_text.main_text(page, w) == f"{TALE.strip()}\n\n{TALE.strip()}", part
 
 
+ICONS = [
+    ("<p>one two</p>{}<p>three four</p>", ["<svg class='i'/>", "<svg/>", "<svg>", "<canvas>", "<object data=x>", "<iframe src=x>", "<svg class=\"a>b\"/>", "<svg><title/><style/><svg><path/></svg>no</svg>", "<svg><svg>no</svg>no</svg>", "<svg><title>no</title></svg>", "<template><template>no</template>no</template>", "<noscript>no</noscript>", "<canvas/>", "<script>'</p>'</script>", "<title>no</title>"]),
+    ("<p>one two</p>{}<p>three four</p><svg></svg>", ["<svg/>", "<svg class='i' />", "<svg/><svg>no</svg>"]),
+    ("<p>one two</p>{}<p>three four</p><i title='x'></i>", ["<b title=it's></b>", "<b it's></b>", "<b title=5\"></b>", "<b ' ></b>", "<b title = 'a>b'></b>", "<b title='a>b\"'></b>"]),
+]
+
+
+def test_icons_and_stray_quotes_swallow_nothing():
+    w = html_text.fit(html_text.LABELLED)
+    for page, parts in ICONS:
+        for part in parts:
+            assert html_text.main_text(f"<article>{page.format(part).replace('two', TALE)}</article>".replace("three", TALE), w) == f"one {TALE.strip()}\n\n{TALE.strip()} four", part
+    for name in ("script", "style", "textarea", "title"):
+        assert html_text.main_text(f"<p>one two three four</p><{name}>gone <p>gone too</p>", w) == "one two three four"
+    assert html_text.main_text("<p>one two</p>" + "<a title=\"x\" b='y' " * 3000, w).startswith("one two")
+
+
 def test_long_page_is_whole():
     page = "<article><p>" + "word " * 200_000 + "</p></article>"
     assert len(html_text.main_text(page, html_text.fit(html_text.LABELLED)).split()) == 200_000
