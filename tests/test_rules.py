@@ -115,6 +115,49 @@ def test_payouts(spark, done, awards, want):
     assert {r.mission_id: (r.payout, r.payout_confidence) for r in correlate.attributed(a, m).collect()} == want
 
 
+def greedy(awards, done, window):
+    """All awards against all completions: (amount, ts, seq) and (id, ts, seq)."""
+    paid, sure = {}, {}
+    for amount, ts, seq in sorted(awards, key=lambda x: x[2]):
+        near = [i for i, t, s in sorted(done, key=lambda x: x[1:]) if i not in paid and ts - window <= t <= ts and s < seq]
+        if near:
+            paid[near[0]] = amount
+            for i in near:
+                sure[i] = "approximate" if len(near) > 1 else sure.get(i, "confirmed")
+    return {i: (paid.get(i), c) for i, c in sure.items()}
+
+
+def test_payout_query_meets_every_completion(spark):
+    from ledgerline.plans import graph_queries as Q
+    from tests.conftest import SF
+
+    done = [(r.id, r.completed_at, r.end_seq) for r in Q._completions(spark, SF).collect() if r.giver != "Other"]
+    want = greedy([(r.amount, r.ts, r.seq) for r in Q._awards(spark, SF).collect()], done, Q.HOUR)
+    got = {r.mission_id: (r.payout, r.payout_confidence) for r in Q.payout_greedy(spark, SF).collect()}
+    assert got == want and len({c for _, c in want.values()}) == 2
+
+
+@pytest.mark.parametrize("step", [3, 40, 400])
+def test_payouts_of_logs_in_clusters(spark, step):
+    r = random.Random(step)
+    done, awards, want = [], [], {}
+    for log in ("x", "y", None):
+        t, mine, his = 0, [], []
+        for seq in range(60):
+            t += r.randint(0, step)
+            if r.random() < 0.5:
+                mine.append((f"{log}{seq}", t, seq))
+            else:
+                his.append((seq, t, seq))
+        done += [(log, *x) for x in mine]
+        awards += [(log, *x) for x in his]
+        want |= greedy(his, mine, 100)
+    m = spark.createDataFrame([(k, i, t, "complete", "game", "Covalex", s) for k, i, t, s in done], "log string, id string, completed_at long, status string, terminal_source string, giver string, end_seq long")
+    a = spark.createDataFrame(awards, "log string, amount long, ts long, seq long")
+    got = {x.mission_id: (x.payout, x.payout_confidence) for x in correlate.attributed(a, m, 100, ("log",)).collect()}
+    assert got == want
+
+
 def test_stop_groups_golden(spark):
     m = spark.createDataFrame([("m1", "accepted", "live"), ("m2", "accepted", "live")], "id string, status string, session string")
     rows = [("m1", "d0", "Ice", 13, "Cass", True), ("m1", "d1", "Food", 188, "Teasa", False), ("m1", "d2", "Ice", 9, "Farn", False), ("m1", "d3", "Food", 150, "Cass", False), ("m2", "d0", "Ice", 20, "Cass", False)]
