@@ -91,11 +91,13 @@ def normalized_title(x: Column) -> Column:
 
 def nearest_missions(pending: DataFrame, missions: DataFrame, within: int = 30_000) -> DataFrame:
     """pending (pending_id, mission_id, title, ts) with `match`: the mission of that id, else the one of equal title
-    accepted nearest in time (the first created of equally near ones)."""
+    accepted nearest in time (the first created of equally near ones): an equi-join on title and time cells, then the gap."""
     ids = missions.select(F.col("id").alias("mission_id"), F.col("id").alias("by_id"))
     exact = pending.join(ids, "mission_id", "left")
     named = missions.select("id", normalized_title(F.col("title")).alias("key"), "accepted_at", "created_seq")
-    near = pending.withColumn("key", normalized_title(F.col("title"))).join(named, "key").withColumn("gap", F.abs(F.col("accepted_at") - F.col("ts"))).filter(F.col("gap") <= within)
+    cell = lambda c: F.floor(F.col(c) / max(within, 1))
+    around = pending.withColumn("key", normalized_title(F.col("title"))).withColumn("__cell", F.explode(F.array(*[cell("ts") + i for i in (-1, 0, 1)])))
+    near = around.join(named.withColumn("__cell", cell("accepted_at")), ["key", "__cell"]).withColumn("gap", F.abs(F.col("accepted_at") - F.col("ts"))).filter(F.col("gap") <= within)
     best = near.groupBy("pending_id").agg(F.min_by("id", F.struct("gap", "created_seq")).alias("by_title"))
     return exact.join(best, "pending_id", "left").select("pending_id", F.coalesce("by_id", "by_title").alias("match"))
 

@@ -158,6 +158,23 @@ def test_payouts_of_logs_in_clusters(spark, step):
     assert got == want
 
 
+@pytest.mark.parametrize("within", [0, 1, 7, 100])
+def test_nearest_missions_meet_in_time_cells(spark, within):
+    r = random.Random(within)
+    m = [(f"m{i}", r.choice(["A  b", "c"]), r.choice([None, r.randint(-300, 300)]), i) for i in range(120)]
+    p = [(i, "m5" if i % 9 == 0 else "none", r.choice([" a B ", "C"]), r.choice([None, r.randint(-300, 300)])) for i in range(120)]
+    key = lambda x: " ".join(x.lower().split())
+    want = {}
+    for i, mission, title, ts in p:
+        near = [(abs(at - ts), seq, name) for name, t, at, seq in m if ts is not None and at is not None and key(t) == key(title) and abs(at - ts) <= within]
+        want[i] = mission if mission == "m5" else min(near)[2] if near else None
+    pending = spark.createDataFrame(p, "pending_id long, mission_id string, title string, ts long")
+    got = correlate.nearest_missions(pending, spark.createDataFrame(m, "id string, title string, accepted_at long, created_seq long"), within)
+    assert {x.pending_id: x.match for x in got.collect()} == want
+    joins = [x for x in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join Inner" in x]
+    assert len(joins) == 1 and "__cell" in joins[0]
+
+
 def test_stop_groups_golden(spark):
     m = spark.createDataFrame([("m1", "accepted", "live"), ("m2", "accepted", "live")], "id string, status string, session string")
     rows = [("m1", "d0", "Ice", 13, "Cass", True), ("m1", "d1", "Food", 188, "Teasa", False), ("m1", "d2", "Ice", 9, "Farn", False), ("m1", "d3", "Food", 150, "Cass", False), ("m2", "d0", "Ice", 20, "Cass", False)]
