@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline.llm import minhash, mixing, packing, repeats, toxicity
-from ledgerline.llm.common import load, shared_dir
+from ledgerline.llm.common import dense_positions, load, shared_dir
 from ledgerline.llm.queries import MIXTURE
 
 TOKENIZER = "word_bpe_49k.json"
@@ -26,11 +26,24 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest doc_id of each group of documents with a shingle similarity of 0.8 stays; rows without an id too."""
-    groups = minhash.near_duplicates(docs, percent=80, side=7)
-    kept = groups.filter("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    one_each = docs.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).join(kept, "doc_id", "left_semi")
-    return one_each.unionByName(docs.filter("doc_id IS NULL")).select(*docs.columns)
+    """The smallest doc_id of each group of documents with a shingle similarity of 0.8 stays; rows without an id too.
+
+    Rows of one id and text are one document, of which the least row stays. An id with several texts is as many
+    documents: then (id, hash of the text) are numbered in order and the numbers stand for the ids.
+    """
+    rows = docs.filter("doc_id IS NOT NULL").withColumn("__text", F.xxhash64("text"))
+    texts = rows.groupBy("doc_id").agg(F.min("__text").alias("a"), F.max("__text").alias("b"))
+    ids = texts.agg(F.max(F.col("a") != F.col("b")).alias("several"), F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).first()
+    if ids.several:
+        place = (F.col("doc_id").cast("double") - float(ids.least)) / (float(ids.most) - float(ids.least) + 1)
+        numbers = dense_positions(rows.select("doc_id", "__text").distinct(), [], ["doc_id", "__text"], place, "__id")
+        rows = rows.join(numbers, ["doc_id", "__text"])
+    else:
+        rows = rows.withColumn("__id", F.col("doc_id").cast("long"))
+    groups = minhash.near_duplicates(rows.select(F.col("__id").alias("doc_id"), "text"), percent=80, side=7)
+    kept = groups.filter("kept").select(F.col("doc_id").alias("__id")).distinct()
+    one_each = rows.groupBy("__id").agg(F.min(F.struct(*docs.columns)).alias("row")).join(kept, "__id", "left_semi").select("row.*")
+    return one_each.unionByName(docs.filter("doc_id IS NULL"))
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

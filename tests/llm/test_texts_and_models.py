@@ -265,6 +265,18 @@ def test_mixing_with_awkward_rows(spark):
     assert mixing.mixed_rates(docs, labels.filter("false")).filter("rate <> 1").count() == 0
 
 
+def test_one_id_with_several_texts(spark):
+    r = random.Random(1)
+    text = lambda: " ".join("".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(60))
+    a, b, c = text(), text(), text()
+    near = a + " end"
+    rows = [(3, a, "x"), (5, near, "x"), (5, b, "x"), (7, c, "y"), (7, c, "x"), (8, c + " end", "x"), (9, b, "x"), (9, None, "x"), (None, a, "x")]
+    want = Counter([(3, a, "x"), (5, b, "x"), (7, c, "x"), (9, None, "x"), (None, a, "x")])
+    for order in (rows, rows[::-1]):
+        docs = spark.createDataFrame(order, "doc_id long, text string, source string")
+        assert Counter(tuple(x) for x in corpus_pipeline.drop_near_duplicates(spark, docs, SF).collect()) == want
+
+
 def test_pipeline_stages(spark, tmp_path):
     import shutil
 
