@@ -10,11 +10,13 @@ class sizes of all labelled rows; it uses their whole texts. Everything else cov
 
 Texts without words (null, empty, blank) get the score of the softmax's bias alone. With labels of one class only or
 none, the score is that class or 0. Null labels and labels without a document are left out; a doc_id that is labelled
-more than once counts as toxic if any of its labels does. Repeated rows are scored each. Empty table: no rows.
+more than once counts as toxic if any of its labels does; of several texts of a labelled doc_id the least is learned.
+Repeated rows are scored each. Empty table: no rows.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from array import array
 from collections import Counter
@@ -46,11 +48,16 @@ def subwords(token: str, low: int = 3, high: int = 5, buckets: int = BUCKETS) ->
     return [zlib.crc32(g.encode("utf-8", "surrogatepass")) % buckets for g in grams]
 
 
-def train(texts: list[str], labels: np.ndarray, weights: np.ndarray, dim: int = 4, steps: int = 60, rate: float = 0.1, power: float = 0.5, smooth: float = 5.0, least: float = 1.0, gain: float = 10.0, seed: int = 1) -> Model:
-    """Partially adaptive descent on vectors, class weights and bias of the weighted cross-entropy.
+def train(
+    texts: list[str], labels: np.ndarray, weights: np.ndarray, dim: int = 4, steps: int = 50, rate: float = 0.05, least: int = 2, smooth: float = 60.0, penalty: float = 3.0, seed: int = 1
+) -> Model:
+    """Momentum descent on vectors, class weights and bias of the weighted cross-entropy, from a random start.
 
-    A component's step is its mean gradient over a root (`power` of the mean square) of its size: less levelled than
-    Adam, so that subwords of one text don't learn as fast as those that many texts share.
+    Subwords of under `least` words of documents are left out. A vector's step is its gradient divided by the spread
+    that its subword has over documents (plus that of `smooth` single uses), whatever their labels: a step is then as
+    long as the gradient stands out from chance, so common subwords don't drown the rare ones nor the other way round.
+    Steps shorten to nothing. The loss has a penalty on the lengths of vectors (`penalty` times the first gradients'
+    mean size, applied by shrinking after each step), so vectors that the loss doesn't need end at zero.
     """
     if len(set(labels.tolist())) < 2:
         return Model(0.0 if not len(labels) else (30.0 if labels[0] else -30.0), np.zeros(BUCKETS, np.float32))
@@ -71,45 +78,60 @@ def train(texts: list[str], labels: np.ndarray, weights: np.ndarray, dim: int =
             share.append(n / total)
     words_seen = len(index)
     del index
-    doc, word, share, sizes, bucket = (np.array(x) for x in (doc, word, share, parts, bucket))
-    of = np.repeat(np.arange(words_seen, dtype=np.int32), sizes)
-    # subwords that the classes use at nearly one rate stay 0; the rest start from their log odds
-    seen = [np.bincount(bucket, np.bincount(word, labels[doc] == y, words_seen)[of], BUCKETS) for y in (0, 1)]
-    odds = np.log((seen[1] + smooth) / (seen[0] * (seen[1].sum() / max(1.0, seen[0].sum())) + smooth))
-    keep = np.abs(odds[bucket]) >= least
-    of, bucket = of[keep], bucket[keep]
-    used, bucket = np.unique(bucket, return_inverse=True)
-    part = 1.0 / sizes[of]
-    telling = np.zeros(words_seen, bool)
-    telling[of] = True
-    at = telling[word]  # the other words add nothing to a text's sum
-    doc, word, share = doc[at], word[at], share[at]
-    rng = np.random.default_rng(seed)
-    vectors = rng.uniform(-0.1, 0.1, (len(used), dim))
-    vectors[:, 0] = odds[used]
-    softmax, bias = rng.normal(0, 0.5, (2, dim)), np.zeros(2)
-    softmax[:, 0] = (-gain, gain)
-    goal = np.eye(2)[labels]
+    doc, word, share, sizes = (np.array(x) for x in (doc, word, share, parts))
+    bucket = np.array(bucket)
+    met = np.bincount(bucket, np.repeat(np.bincount(word, minlength=words_seen), sizes), BUCKETS)
+    keep = met[bucket] >= least
+    held_parts = np.add.reduceat(keep, np.cumsum(sizes) - sizes)  # of each word
+    used, bucket = np.unique(bucket[keep], return_inverse=True)
+    del keep, met
     weights = weights / weights.sum()
-    moving = [(np.zeros_like(p), np.zeros_like(p)) for p in (vectors, softmax, bias)]
-    scale: list[float] = []
-    add = lambda at, values, n: np.stack([np.bincount(at, v, n) for v in np.ascontiguousarray(values.T)], axis=1)
+    goal = np.eye(2)[labels]
+
+    def spread(of_words: np.ndarray) -> np.ndarray:
+        """What the words have, summed up by subword."""
+        return np.bincount(bucket, np.repeat(of_words, held_parts), len(used))
+
+    def texts_from(vectors: np.ndarray) -> np.ndarray:
+        out = np.empty((len(texts), dim))
+        ends = np.cumsum(held_parts)
+        for d in range(dim):
+            sums = np.concatenate([[0.0], np.cumsum(vectors[:, d][bucket])])
+            words = (sums[ends] - sums[ends - held_parts]) / sizes
+            out[:, d] = np.bincount(doc, words[word] * share, len(texts))
+        return out
+
+    single = np.bincount(word, (share * weights[doc]) ** 2, words_seen) / sizes**2
+    noise = spread(single)
+    scale = 1 / np.sqrt(noise + smooth * noise.sum() / max(1, int(np.bincount(word, minlength=words_seen) @ held_parts)))
+    rng = np.random.default_rng(seed)
+    vectors = rng.normal(0, 1, (len(used), dim)) * scale[:, None]
+    size = np.sqrt((texts_from(vectors) ** 2).mean())
+    scale /= size
+    vectors *= 0.1 / size
+    softmax, bias = rng.normal(0, dim**-0.5, (2, dim)), np.log(np.maximum(weights @ goal, 1e-9))
+    moving = [np.zeros_like(p) for p in (vectors, softmax, bias)]
+    first = 0.0
+    level = [0.0, 0.0, 0.0]  # mean squares of the three gradients
     for step in range(steps):
-        words = add(of, vectors[bucket] * part[:, None], words_seen)
-        x = add(doc, words[word] * share[:, None], len(texts))
+        x = texts_from(vectors)
         logits = x @ softmax.T + bias
         p = np.exp(logits - logits.max(axis=1, keepdims=True))
         p /= p.sum(axis=1, keepdims=True)
         error = (p - goal) * weights[:, None]
         back = error @ softmax
-        to_words = add(word, back[doc] * share[:, None], words_seen)
-        gradients = (add(bucket, to_words[of] * part[:, None], len(used)), error.T @ x, error.sum(axis=0))
-        if not step:
-            scale = [1 / max(1e-12, np.abs(g).max()) for g in gradients]
-        for value, gradient, (m, v), by in zip((vectors, softmax, bias), gradients, moving, scale, strict=True):
-            m += 0.1 * (by * gradient - m)
-            v += 0.01 * ((by * gradient) ** 2 - v)
-            value -= rate * (m / (1 - 0.9 ** (step + 1))) / ((v / (1 - 0.99 ** (step + 1))) ** power + 1e-8)
+        of_words = [np.bincount(word, back[doc, d] * share, words_seen) / sizes for d in range(dim)]
+        gradients = (np.stack([spread(x) for x in of_words], axis=1) * scale[:, None], error.T @ x, error.sum(axis=0))
+        for i, (value, gradient, m) in enumerate(zip((vectors, softmax, bias), gradients, moving, strict=True)):
+            m += 0.2 * (gradient - m)
+            level[i] += 0.05 * (float((gradient**2).mean()) - level[i])
+            length = rate * (1 - step / steps) / math.sqrt(level[i] / (1 - 0.95 ** (step + 1)) + 1e-300)
+            move = length * m / (1 - 0.8 ** (step + 1))
+            value -= move if i else move * scale[:, None]
+            if not i:
+                first = first or penalty * math.sqrt((gradient**2).mean())
+                norm = np.sqrt((vectors**2).sum(axis=1)) / scale
+                vectors *= np.maximum(0, 1 - length * first / np.maximum(norm, 1e-12))[:, None]
     value = np.zeros(BUCKETS, np.float32)
     value[used] = vectors @ (softmax[1] - softmax[0])
     return Model(float(bias[1] - bias[0]), value)
@@ -148,7 +170,7 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", per_class: in
         some = given.filter(F.col("y") == y).orderBy(F.xxhash64(F.lit(17), "doc_id"), "doc_id").limit(per_class)
         chosen = some if chosen is None else chosen.unionByName(some)
     # at most 2 * per_class ids, so they are broadcast and the documents aren't shuffled
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).collect()
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text")).collect()
     rows = sorted((r for r in rows if (r["text"] or "").split()), key=lambda r: r["doc_id"])
     y = np.array([r["y"] for r in rows], np.int64)
     found = Counter(y.tolist())

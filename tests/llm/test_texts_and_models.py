@@ -212,6 +212,50 @@ def test_toxicity_on_held_out_rows(spark):
     assert all(0 <= g.score <= 1 and g.predicted == int(g.score >= 0.5) for g in got.values())
 
 
+def toxic_texts(n, seed):
+    """Texts of invented words, a third of them with one or two words of a bad list; `twist` misspells these."""
+    r = random.Random(seed)
+    made = random.Random(1)
+    common = ["".join(made.choice("abcdefghiklmnoprstu") for _ in range(made.randint(3, 9))) for _ in range(400)]
+    bad = ["gronkhead", "vlimpish", "dratzel", "snurfling"]
+    rows = []
+    for i in range(n):
+        words = [r.choice(common) for _ in range(r.randint(20, 60))]
+        if i % 3 == 0:
+            words[r.randrange(len(words))] = r.choice(bad)
+        rows.append((" ".join(words), int(i % 3 == 0)))
+    twist = lambda t: " ".join(w[:-2] + "q" + w[-1] if w in bad else w for w in t.split())
+    return rows, twist
+
+
+def test_joint_training_learns_what_the_start_does_not_know():
+    rows, twist = toxic_texts(900, 5)
+    texts, y = [t for t, _ in rows], np.array([v for _, v in rows])
+    new, _ = toxic_texts(300, 6)
+
+    def accuracy(model, change=lambda t: t):
+        words = toxicity._WordValue(model.value)
+        return np.mean([(toxicity.text_score(change(t), model.bias, words) >= 0.5) == v for t, v in new])
+
+    trained, start = (toxicity.train(texts, y, np.ones(len(y)), steps=n) for n in (50, 0))
+    assert accuracy(trained) > 0.95 and accuracy(start) < 0.7
+    # spellings that training never saw share n-grams with words that it did
+    assert accuracy(trained, twist) > 0.85
+
+
+def test_a_score_is_the_softmax_of_the_averaged_subword_vectors():
+    rows, _ = toxic_texts(300, 7)
+    model = toxicity.train([t for t, _ in rows], np.array([v for _, v in rows]), np.ones(len(rows)))
+    text = rows[0][0] + " Gronkhead!! twice twice"
+    by_hand = 0.0
+    for token in text.split():
+        marked = "<" + token.strip(toxicity.EDGE).lower() + ">"
+        grams = [marked] + [marked[i:j] for i in range(len(marked)) for j in range(i + 3, min(i + 5, len(marked)) + 1)]
+        by_hand += sum(float(model.value[zlib.crc32(g.encode()) % toxicity.BUCKETS]) for g in grams) / len(grams)
+    by_hand = model.bias + by_hand / len(text.split())
+    assert abs(toxicity.text_score(text, model.bias, toxicity._WordValue(model.value)) - 1 / (1 + np.exp(-by_hand))) < 1e-6
+
+
 def test_toxicity_ignores_the_labels_of_held_out_rows(spark):
     docs, labels, _ = labelled(spark, 80)
     flipped = labels.withColumn("toxic", F.when(toxicity.held_out(), 1 - F.col("toxic")).otherwise(F.col("toxic")))
