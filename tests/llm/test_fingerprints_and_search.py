@@ -101,12 +101,30 @@ def test_top_k_equals_brute_force(spark, blocks):
     assert {tuple(x) for x in got.collect()} == brute_top(rows)
 
 
-def test_cell_bounds_hold(spark):
+def test_cell_bounds_hold():
     r = np.random.default_rng(1)
-    q, v = r.integers(-300, 300, (20, 16)), r.integers(-300, 300, (50, 16))
-    for bits in (1, 4, 12):
-        low, high = vector_search.bounds(q, v, bits)
-        assert (low <= q @ v.T).all() and (q @ v.T <= high).all()
+    q, v = r.integers(-300, 300, (20, 16)).astype(float), r.integers(-300, 300, (50, 16)).astype(float)
+    v[3] *= 1e6
+    v[4, 2] = 3e17
+    for bits in (1, 4, 8):
+        low, high = vector_search.bounds(q, *vector_search.cells_of(v, bits))
+        true = np.clip(q @ v.T, -(2.0**63), 2.0**63)
+        assert (low <= true + 1e-9 * np.abs(true)).all() and (true - 1e-9 * np.abs(true) <= high).all()
+
+
+def test_huge_components_and_large_groups_of_copies(spark):
+    r = np.random.default_rng(4)
+    rows = [(i, [float(x) for x in r.normal(0, 1, 6)]) for i in range(60)]
+    rows += [(100 + i, [0.5] * 6) for i in range(200)] + [(50, [0.5] * 6)] * 9 + [(900, [1e17] + [0.0] * 5), (901, [-1e300] * 6), (950, [2.0**40] * 6)]
+    vectors = vector_search.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    got = vector_search.exact_top_k(vectors, vectors.filter("vec_id % 50 = 0"), vector_block=16, query_block=2)
+    most = lambda x: max(-(1 << 63), min((1 << 63) - 1, x))
+    whole = [(i, [math.floor(256 * max(-1e150, min(1e150, x))) if abs(x) < 1e150 else int(math.copysign(1e150, x)) for x in v]) for i, v in rows]
+    want = Counter()
+    for q, a in {(i, tuple(v)) for i, v in whole if i % 50 == 0}:
+        scores = sorted((-most(sum(x * y for x, y in zip(a, b))), i) for i, b in whole if i != q)[:5]
+        want.update((q, n, i, -s) for n, (s, i) in enumerate(scores, 1))
+    assert Counter(tuple(x) for x in got.collect()) == want
 
 
 def test_top_k_of_nothing(spark):
