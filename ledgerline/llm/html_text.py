@@ -3,11 +3,14 @@
 A page is a sequence of words and tags. Words score positive, tags negative, words in links by their own weight; the
 weights are log odds of lying inside the main region, fitted on labelled pages: the ones below, and pages of the table
 whose own markup labels them (one <article>). One linear scan (Kadane) finds the contiguous region with the best sum.
-Elements that their name or class says are menus, adverts, forms, comments and the like are left out wherever they
-stand, and cost the region a penalty. A class, id, role or label says so as a whole: each of its words is a mark, or
-a mark beside a word of place ("ad-banner", "site-footer"; not "has-sidebar" or "share-price-table"). Headings are never
-marked, nor is anything inside an article by its id. A marked element, form or header with most of the words of the
-core (the longest unmarked article or main; the page, if none has a tenth of its words) costs the penalty and is read.
+
+The names of elements (class, role, label; outside articles the id) are weighed on the same pages: the weights of a
+name's words sum up to the log odds that words under it are main text, and a word that no labelled page knows speaks
+for the text. Where an element's least name outweighs a word, every word in it scores below zero;
+the element is left out wherever it stands and costs the region a penalty. So are the elements that are by definition
+not text (navigation, footer, aside, form, embedded objects). Headings are never left out by name. An element left out
+by name, a form or a header with most of the words of the core (the longest article or main that isn't left out; the
+page, if none has a tenth of its words) costs the penalty and is read.
 
 Text between block tags is a block: references decoded, white space turned into one space, trimmed; blocks are joined
 by two newlines. Nothing is cut for length. Null, empty or wordless html: an empty text. A boilerplate element that
@@ -23,6 +26,7 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -47,16 +51,10 @@ ALWAYS = LEFT_OUT - {"form", "header"} | EMBEDDED
 VOID = frozenset(["input", "br", "hr", "img", "meta", "link"])
 ATTRIBUTE = re.compile(r"([^\s/>=]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
 PART = re.compile(r"[A-Z]+(?![a-z])|[A-Za-z][a-z]*")
-#: Words of class, id and role that mark what is not the article.
-MARKS = frozenset(
-    "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent contentinfo cookie cookies "
-    "disclaimer disqus footer form login menu modal nav navbar navigation newsletter notice notices overlay pagination pager popup promo "
-    "promoted promotion recommended related reply replies respond search share sharing sidebar signup skip social sponsor sponsored subscribe "
-    "subscription toolbar widget".split()
-)
-PAGE_MARKS = frozenset(["header", "masthead"])
-#: Words that say where a marked element stands.
-PLACES = frozenset("site main top bottom left right primary secondary global".split())
+#: The weight of a name's word that no labelled page knows.
+UNKNOWN = 4.0
+#: Before the words of names inside an article or main, which have a further weight of their own.
+INSIDE = "in:"
 
 
 @dataclass
@@ -66,6 +64,11 @@ class Weights:
     linked: float = -1.0
     left_out: float = -3.0
     unseen: float = -1.0
+    names: dict[str, float] = field(default_factory=dict)
+
+    def of_name(self, words: tuple[str, ...], inside: bool) -> float:
+        """What a name says of its element; inside: of an article or main."""
+        return sum(self.names.get(x, UNKNOWN) + (self.names.get(INSIDE + x, 0.0) if inside else 0.0) for x in words)
 
 
 @dataclass
@@ -78,9 +81,9 @@ class Piece:
     at: int = 0
 
 
-def _marked(rest: str, ids: bool = True) -> tuple[bool, bool]:
-    """Whether a whole class, role, label or (with `ids`) id is made of marks, and of marks of a page's head."""
-    marked = page_marked = False
+def names_of(rest: str, ids: bool = True) -> list[tuple[str, ...]]:
+    """The words of each class, role, label and (with `ids`) id."""
+    found: list[tuple[str, ...]] = []
     if "=" in rest:
         for m in ATTRIBUTE.finditer(rest):
             kind, value = m[1].lower(), m[2] or m[3] or m[4] or ""
@@ -90,12 +93,13 @@ def _marked(rest: str, ids: bool = True) -> tuple[bool, bool]:
                 names = [value]
             else:
                 continue
-            for name in names:
-                words = {w.lower() for w in PART.findall(name)}
-                if words <= MARKS | PAGE_MARKS | PLACES:
-                    marked |= bool(words & MARKS)
-                    page_marked |= bool(words & PAGE_MARKS)
-    return marked, page_marked
+            found += [words for name in names if (words := tuple({w.lower(): 0 for w in PART.findall(name)}))]
+    return found
+
+
+def _left_out(rest: str, w: Weights, ids: bool = True, inside: bool = False) -> bool:
+    """Whether the names make each word of the element score below zero."""
+    return any(w.of_name(x, inside) + w.word < 0 for x in names_of(rest, ids))
 
 
 @dataclass
@@ -142,7 +146,7 @@ def _ends(found: list[Token]) -> dict[int, int]:
 class _Core:
     """Where the page's words outside links are."""
 
-    def __init__(self, page: str, found: list[Token], ends: dict[int, int]) -> None:
+    def __init__(self, page: str, found: list[Token], ends: dict[int, int], w: Weights) -> None:
         self.upto: list[int] = []  # words before a token
         n, at, past = 0, 0, -1
         spans = []
@@ -155,7 +159,7 @@ class _Core:
                 name = m.name
                 if (name == "a" or name in ALWAYS) and i in ends:
                     past = max(past, ends[i])
-                elif name in ("article", "main") and not _marked(m.rest)[0]:
+                elif name in ("article", "main") and not _left_out(m.rest, w):
                     spans.append((i, ends.get(i, len(found))))
         self.upto.append(n + len(page[at:].split()))
         words = lambda x: self.upto[x[1]] - self.upto[x[0]]
@@ -170,7 +174,7 @@ class _Core:
         return a < b and (self.upto[b] - self.upto[a]) * 2 > self.words
 
 
-def pieces(page: str) -> list[Piece]:
+def pieces(page: str, w: Weights) -> list[Piece]:
     """The page's texts and tags in order; a boilerplate element is one piece."""
     found = _tokens(page)
     ends = _ends(found)
@@ -202,15 +206,13 @@ def pieces(page: str) -> list[Piece]:
                         articles = max(0, articles - 1)
                 out.append(Piece("tag", "/" + name, at=m.start))
             else:
-                marked, page_marked = _marked(rest, ids=not articles)
-                drop = name in ALWAYS or name in LEFT_OUT or ((marked or page_marked) and name not in HEADINGS)
-                if not marked and inside and (name == "header" or (page_marked and name not in LEFT_OUT)):
-                    drop = False
+                named = name not in HEADINGS and _left_out(rest, w, not articles, inside > 0)
+                drop = named or name in ALWAYS or (name in LEFT_OUT and not (name == "header" and inside))
                 if name in ("html", "body", "article", "main"):
-                    drop = marked and name == "article"
+                    drop = named and name == "article"
                 end = ends.get(i) if drop and name not in VOID else None
                 if end is not None and name not in ALWAYS:
-                    core = core or _Core(page, found, ends)
+                    core = core or _Core(page, found, ends, w)
                     if core.held_by(i, end):
                         out.append(Piece("gone", name, at=m.start))
                         end = None
@@ -268,52 +270,127 @@ def blocks(parts: list[Piece]) -> str:
 
 
 def main_text(page: str | None, w: Weights) -> str:
-    parts = pieces(page) if page else []
+    parts = pieces(page, w) if page else []
     first, last = best_region(parts, w)
     return blocks(parts[first : last + 1])
 
 
-def fit(labelled: list[tuple[str, int, int]]) -> Weights:
-    """Weights from pages with the places where their main region begins and ends."""
-    tags = {True: Counter(), False: Counter()}
+Labelled = tuple[str, list[tuple[int, int]]]  # a page, and where its main text begins and ends
+
+
+def _odds(a: float, b: float) -> float:
+    return math.log((a + 0.5) / (b + 0.5))
+
+
+def _clip(x: float, low: float, high: float) -> float:
+    return max(low, min(high, x))
+
+
+def fit_names(labelled: list[Labelled], steps: int = 400, keep: float = 0.01) -> dict[str, float]:
+    """Weights of words of names, whose sum is the log odds that words under a name are main text: logistic regression
+    over the distinct names of the pages, with a small penalty (`keep`) on the weights."""
+    seen: dict[tuple[str, ...], list[int]] = {}
+    for page, spans in labelled:
+        found = _tokens(page)
+        ends = _ends(found)
+        opened: list[tuple[int, list[tuple[str, ...]], bool]] = []  # closing tag, names, whether an article or main
+        at = 0
+        for i, m in enumerate([*found, Token(len(page), len(page))]):
+            if n := len(page[at : m.start].split()):
+                main = any(a <= at < b for a, b in spans)
+                for name in {x for _, names, _ in opened for x in names}:
+                    seen.setdefault(name, [0, 0])[main] += n
+            at = m.end
+            opened = [x for x in opened if x[0] > i]
+            if m.name and not m.close and i in ends:
+                inside = any(x[2] for x in opened)
+                names = [(*x, *(INSIDE + word for word in x if inside)) for x in names_of(m.rest)]
+                opened.append((ends[i], names, m.name in ("article", "main")))
+    words = sorted({word for name in seen for word in name})
+    place = {word: i for i, word in enumerate(words)}
+    x = np.zeros((len(seen), len(words)))
+    for row, name in enumerate(seen):
+        x[row, [place[word] for word in name]] = 1
+    goal = np.array([main / (main + other) for other, main in seen.values()])
+    weight = np.zeros(len(words))
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-(x @ weight)))
+        weight -= 0.5 * (x.T @ (p - goal) + keep * weight)
+    return dict(zip(words, weight.tolist(), strict=True))
+
+
+def fit(labelled: list[Labelled]) -> Weights:
+    """Weights from pages with the places where their main text begins and ends."""
+    tags: dict[bool, Counter] = {True: Counter(), False: Counter()}
     words: Counter = Counter()
-    for page, begin, end in labelled:
-        for p in pieces(page):
-            inside = begin <= p.at < end
+    names = Weights(names=fit_names(labelled))
+    for page, spans in labelled:
+        for p in pieces(page, names):
+            inside = any(a <= p.at < b for a, b in spans)
             if p.kind == "text":
                 words[inside, p.linked] += p.words
             elif p.kind == "tag":
                 tags[inside][p.key] += 1
-    odds = lambda a, b: math.log((a + 0.5) / (b + 0.5))
-    clip = lambda x, low, high: max(low, min(high, x))
-    scale = lambda k: clip(odds(tags[True][k], tags[False][k]) * 2, -24.0, -0.2)
+    scale = lambda k: _clip(_odds(tags[True][k], tags[False][k]) * 2, -24.0, -0.2)
     return Weights(
         tags={k: scale(k) for k in tags[True].keys() | tags[False].keys()},
-        word=clip(odds(words[True, False], words[False, False]) / 2, 0.25, 2.0),
-        linked=clip(odds(words[True, True], words[False, True]) / 2, -2.0, 0.5),
+        word=_clip(_odds(words[True, False], words[False, False]) / 2, 0.25, 2.0),
+        linked=_clip(_odds(words[True, True], words[False, True]) / 2, -2.0, 0.5),
+        names=names.names,
     )
 
 
-def _example(*parts: str) -> tuple[str, int, int]:
-    before, main, after = parts
-    return before + main + after, len(before), len(before) + len(main)
+def _example(*parts: str) -> Labelled:
+    """A page of parts that are by turns not main text and main text."""
+    spans, at = [], 0
+    for i, part in enumerate(parts):
+        if i % 2:
+            spans.append((at, at + len(part)))
+        at += len(part)
+    return "".join(parts), spans
 
 
 _PROSE = "<p>" + "several plain words that tell a story at some length, with a <a href='x'>link</a> and <b>weight</b>. " * 4 + "</p>"
-#: Labelled pages of common layouts: what comes before, the main region, what comes after.
+
+
+def _named(*names: str) -> str:
+    return "".join(f'<div class="{x}"><span>short words beside it</span> <a>a link</a></div>' for x in names)
+
+
+def _inner(*names: str) -> str:
+    return "".join(f'<div class="{x}">{_PROSE}</div>' for x in names)
+
+
+#: Labelled pages of common layouts, the names of their elements with them.
 LABELLED = [
     _example("<html><body><div><ul><li><a>home</a></li><li><a>news</a></li></ul></div><article>", "<h1>A title</h1>" + _PROSE * 3, "</article><div><a>next page</a> <a>previous page</a></div></body></html>"),
     _example("<html><body><table><tr><td><a>start</a></td></tr></table><div>", "<h1>A title of words</h1>" + _PROSE * 2 + "<h2>Part</h2>" + _PROSE, "</div><div><ul><li><a>about us</a></li><li><a>contact</a></li></ul></div><div>all rights reserved</div></body></html>"),
     _example("<html><body><section><a>log in</a></section><main>", "<h2>Words</h2>" + _PROSE + "<ul><li>one point made</li><li>another point made</li></ul>" + _PROSE + "<blockquote>said somebody once</blockquote>", "</main><section><h3>more</h3><a>other things to read</a></section></body></html>"),
     _example("<html><body><div><div>short line</div></div><div><div>", _PROSE * 4, "</div></div><div><span>made with care</span></div></body></html>"),
+    # names around and between the text of an article
+    _example(
+        '<html><body><div class="site page wrapper has-sidebar no-ads with-menu"><div class="site-header masthead banner">a name</div>' + _named("main-nav navbar", "menu", "main-menu", "primary-menu", "navigation top", "breadcrumb", "breadcrumbs-list", "toolbar login", "skip-link", "search-box")
+        + '<div id="main" class="container main-content layout"><article class="post entry">', '<header class="header entry-header">The title of it</header>' + _inner("entry-content", "post-body text", "article-text section"),
+        _named("ad", "ads", "ad-slot", "adv", "advert", "adverts-box", "advertisement", "advertising-block", "share", "share-buttons", "sharing social", "promo", "promo-box", "newsletter-signup", "related", "related-posts", "sponsor", "sponsored-content"),
+        _inner("story-text", "body content-block", "list-item", "story"),
+        "</article></div>" + _named("comments", "comments-area", "comment-list", "comment reply", "replies respond", "disqus") + _named("sidebar left", "sidebar-right", "sidebar", "widget", "widget-area secondary") + _named("pagination", "pager bottom", "site-footer", "footer global") + "</div></body></html>",
+    ),
+    # and of a page without one
+    _example(
+        '<html><body>' + _named("cookie-notice", "cookies", "consent", "notice", "notices", "modal", "popup", "overlay", "banner-top", "login-form", "contentinfo", "toolbar") + '<div id="page" class="wrapper outer inner"><div class="content">',
+        "<h1>A title of words</h1>" + _inner("text", "post-content", "section-body", "main-text", "article-body"),
+        _named("recommended", "recommended-list", "related-list", "promoted", "promotion", "disclaimer", "social-links", "subscribe", "subscription-box", "signup", "newsletter", "ad-container", "ad-banner", "advertisement-wrapper"),
+        _inner("content-area", "page-content", "item-text"),
+        "</div>" + _named("reply-list", "comment-form", "respond", "menu-list", "footer-links", "nav-links", "pager-links", "sidebar-content", "widget-content") + "</div></body></html>",
+    ),
 ]
 
 
-def marked_by_article(page: str | None) -> tuple[str, int, int] | None:
+def marked_by_article(page: str | None) -> Labelled | None:
     if page and len(re.findall(r"<article\b", page, re.I)) == 1:
         a, b = re.search(r"<article\b[^>]*>", page, re.I), page.lower().rfind("</article")
         if a and b > a.end():
-            return page, a.end(), b
+            return page, [(a.end(), b)]
     return None
 
 
@@ -322,7 +399,7 @@ def weights_for(pages: DataFrame, sample: int = 300) -> Weights:
     marked = pages.filter(F.lower("html").contains("<article")).select("page_id")
     chosen = marked.orderBy(F.xxhash64(F.lit(23), "page_id"), "page_id").limit(sample)
     # at most `sample` ids, so they are broadcast; only these pages travel to the driver
-    some = pages.join(F.broadcast(chosen.distinct()), "page_id").dropDuplicates(["page_id"]).orderBy("page_id").select("html").collect()
+    some = pages.join(F.broadcast(chosen.distinct()), "page_id").groupBy("page_id").agg(F.min("html").alias("html")).orderBy("page_id").collect()
     return fit(LABELLED * 4 + [x for r in some if (x := marked_by_article(r["html"]))])
 
 

@@ -1,8 +1,11 @@
 """Packing, page text, mixing, token counts, toxicity and the pipeline."""
 
 import random
+import re
+import time
 import zlib
 from collections import Counter, defaultdict
+from html.parser import HTMLParser
 
 import numpy as np
 import public_tokenizers
@@ -133,12 +136,88 @@ def test_page_texts(spark):
     assert html_text.page_texts(df.limit(0)).collect() == []
 
 
-def test_page_texts_on_the_sample_table(spark):
+class Reader(HTMLParser):
+    """Blocks of the inside of an article as Python's own parser reads them."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.blocks = [""]
+
+    def handle_data(self, data):
+        self.blocks[-1] += data
+
+    def handle_starttag(self, tag, attrs):
+        if tag in ("p", "h1", "h2", "ul", "ol", "li", "div", "table", "tr", "blockquote", "pre"):
+            self.blocks.append("")
+        elif tag in ("br", "td"):
+            self.blocks[-1] += " "
+
+    def handle_endtag(self, tag):
+        self.handle_starttag(tag, [])
+
+
+def test_page_texts_on_the_sample_table_equal_another_parser(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     got = {r.page_id: r.text for r in html_text.page_texts(pages).collect()}
     for r in pages.collect():
-        inner = r.html[r.html.index("<article>") + 9 : r.html.index("</article>")]
-        assert got[r.page_id] == html_text.blocks(html_text.pieces(inner))
+        reader = Reader()
+        reader.feed(r.html[r.html.index("<article>") + 9 : r.html.index("</article>")])
+        reader.close()
+        assert got[r.page_id] == "\n\n".join(x for b in reader.blocks if (x := " ".join(b.split())))
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(["text", "tag", "gone"]), st.sampled_from(["p", "div", "a", "x"]), st.integers(0, 6), st.booleans()), max_size=14))
+def test_the_region_is_the_best_of_all_intervals(parts):
+    parts = [html_text.Piece(kind, key, words=n, linked=linked) for kind, key, n, linked in parts]
+    w = html_text.Weights(tags={"p": -0.25, "div": -3.0, "a": -0.5})
+    value = [p.words * (w.linked if p.linked else w.word) if p.kind == "text" else w.left_out if p.kind == "gone" else w.tags.get(p.key, w.unseen) for p in parts]
+    first, last = html_text.best_region(parts, w)
+    best = max([sum(value[i : j + 1]) for i in range(len(value)) for j in range(i, len(value))], default=0)
+    assert sum(value[first : last + 1]) == max(best, 0)
+
+
+def test_many_elements_take_time_in_proportion():
+    w = html_text.fit(html_text.LABELLED)
+    took = []
+    for n in (4000, 16000):
+        page = "<body><article>" + "<p>some words</p><div class=ad><div>x</div></div>" * n + "</article></body>"
+        began = time.process_time()
+        assert html_text.main_text(page, w).count("some words") == n
+        took.append(time.process_time() - began)
+    assert took[1] < 8 * took[0]
+
+
+#: Pages labelled by hand: what is text stands between [[ and ]].
+BY_HAND = [
+    """<!doctype html><html><body class="home blog"><header id="masthead" class="site-header"><a href="/">The Daily Lamp</a><nav class="main-nav"><ul><li><a>World</a><li><a>Sports</a></ul></nav></header>
+    <div class="content-wrap has-sidebar"><main><article class="hentry"><h1>[[Rain returns to the valley]]</h1><p class="lede">[[After two dry months the rivers of the valley are rising again, and farmers who had begun to sell their herds say that they will wait.]]</p>
+    <div class="ad-slot"><a>Cheap boots for wet days, now half the price</a></div><p>[[The water board expects the lower dam to be full by the end of the week, which would be the first time in four years.]]</p><ul><li>[[Roads to the north stay closed]]</li><li>[[Ferries run as planned]]</li></ul>
+    <div class="share-buttons"><a>Tweet this</a> <a>Mail this</a></div></article></main><aside><h3>Most read</h3><a>Ten soups for the autumn</a></aside></div>
+    <section class="comments"><h3>2 comments</h3><p>I have never seen so much water in my life, and I am seventy years old now.</p><p>What about the bridge at the mill, does anybody know when it opens again?</p></section><footer>All rights reserved</footer></body></html>""",
+    """<html><body><div id="wrapper"><div id="top-menu" class="menu"><a>Start</a> | <a>Archive</a> | <a>About</a></div><form action="/post.aspx" id="aspnetForm"><div class="post-text"><h2>[[How I mended an old radio]]</h2>
+    <p>[[The set came from my grandfather's attic and had not played a note since the sixties. I opened it on the kitchen table with no plan at all.]]</p><p title=don't>[[First I looked for the valves, and found that one of them was cracked from top to bottom.]]</p>
+    <table class="share-prices"><tr><td>[[Valve]]</td><td>[[four pounds]]</td></tr><tr><td>[[Cord]]</td><td>[[two pounds]]</td></tr></table><p>[[With the new valve in place it hummed, crackled and then played a waltz.]]</p></div></form>
+    <div class="pager"><a>Older posts</a></div><div class="copyright footer">Made with a typewriter</div></div></body></html>""",
+    """<html><head><style>.x{}</style></head><body><div class="cookie-consent">This site uses cookies to make your visit better. Accept all cookies or read our policy.</div><table width="100%"><tr><td class="leftnav"><a>Home</a><br><a>Recipes</a><br><a>Tips</a></td>
+    <td><h1>[[Plain bread]]</h1><p>[[Mix five cups of flour with two of water, a spoon of salt and some yeast; knead until the dough no longer sticks to the board.]]</p><p class="related-work">[[Work that is related to the shaping of loaves is told in the next part.]]</p>
+    <p>[[Let it rest under a cloth for two hours, shape it, let it rest again, and bake it in a hot oven until it sounds hollow.]]</p></td></tr></table><div id="newsletter-signup">Get one recipe a week by mail</div><script>var a = "<p>no text</p>";</script></body></html>""",
+    """<html><body><div id="page" class="no-ads"><h1>[[Minutes of the garden club]]</h1><p>[[Present were nine members and two guests. The minutes of the last meeting were read and accepted without changes.]]</p><p>[[The hedge along the lane will be cut in March, weather allowing, and the pond will be cleaned by the younger members.]]</p>
+    <div class="relatedPosts"><a>Minutes of May</a><a>Minutes of June</a></div></div><ol class="commentlist"><li class="comment">Thank you for the notes, I could not be there myself this time.</li></ol></body></html>""",
+    """<html><body><nav>Home Products Contact</nav><div class="story"><p>[[The old clock on the town hall has stopped again, at ten past four, as it did in the winter of the great snow.]]</p><div class="social"><a>Like</a><a>Follow</a></div><blockquote>[[It stops when somebody important leaves the town, says the keeper.]]</blockquote>
+    <div class="promo-box">Win a watch! Take part in our quiz today.</div><p>[[Nobody has told him yet who that might be, but the baker's shop has been shut since Monday, and people draw their own conclusions.]]</p></div><div class="widget sidebar"><h4>Weather</h4>Rain</div></body></html>""",
+]
+
+
+def test_words_found_on_pages_labelled_by_hand():
+    w = html_text.fit(html_text.LABELLED)
+    hit = got_all = want_all = 0
+    for page in BY_HAND:
+        got = Counter(html_text.main_text(page.replace("[[", "").replace("]]", ""), w).split())
+        want = Counter(" ".join(re.findall(r"\[\[(.*?)\]\]", page)).split())
+        hit, got_all, want_all = hit + sum((got & want).values()), got_all + sum(got.values()), want_all + sum(want.values())
+    print("precision", hit / got_all, "recall", hit / want_all)
+    assert hit / got_all > 0.97 and hit / want_all > 0.99
 
 
 TALE = "a plain text of words " * 20
