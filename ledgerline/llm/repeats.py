@@ -10,7 +10,9 @@ in one place isn't possible, so shards are formed by content:
 3. Equal contexts count as one with its number of occurrences: from two on, all its strings repeat.
 4. Where an anchor has several contexts, these go to the shard of the anchor: its suffix array, common prefixes and
    runs of at least `span` show which strings of different contexts are equal. An anchor with more bytes than a shard
-   may hold is cut into parts; each part has its own suffix array, and pairs of parts are merged by binary search.
+   may hold is cut into parts; each part has its own suffix array and hands on the digest of each of its distinct
+   strings. Digests are dealt out by value, and the sorted digests of the parts are merged by binary search, so an
+   anchor costs its strings once, however many parts it has.
 5. What goes from a text depends on the text alone, so copies are worked out once.
 
 Texts are UTF-8 bytes; null counts as empty; under `span` bytes nothing goes. Repeated rows are occurrences each.
@@ -25,19 +27,27 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.llm import suffix_array
-from ledgerline.llm.common import held, materialize, text_of
+from ledgerline.llm.common import discard, held, materialize, text_of
 
 GRAM = 32
 #: Starts worked on at a time, and bytes of contexts in a shard or a part of a hot anchor.
 STRETCH, SHARD_BYTES = 1 << 18, 1 << 20
-ANCHORS = "t1 long, nb long, s int, n int, h long"
+ANCHORS = "t1 long, t2 long, s int, n int, h long"
+#: Digests of a hot anchor that are merged in one task.
+DIGESTS = 1 << 17
 _TABLE = np.random.default_rng(5).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _PLACE = np.uint64((1 << 24) - 1)
-_KEY = ("t1", "nb")
+_KEY = ("t1", "t2")
+
+
+def _keys(body: Column) -> list[Column]:
+    """What a text is known by: 64 bits of one hash, 32 of another, and its length."""
+    second = F.shiftleft(F.xxhash64(F.lit(1), body), 32).bitwiseOR(F.length(body).cast("long"))
+    return [F.xxhash64(body).alias("t1"), second.alias("t2")]
 
 
 def anchor_stretches(data: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -72,7 +82,7 @@ def _signed(values: list[int]) -> pa.Array:
 
 
 def anchors(texts: DataFrame, span: int) -> DataFrame:
-    """t1, nb, s, n, h of texts (t1, nb, text as binary): the contexts of each text and their anchors' hashes."""
+    """t1, t2, s, n, h of texts (t1, t2, text as binary): the contexts of each text and their anchors' hashes."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held("repeats", dict)  # nothing is remembered here, but what other operators left in the worker goes
@@ -91,7 +101,7 @@ def anchors(texts: DataFrame, span: int) -> DataFrame:
                 row = pa.array(np.concatenate(rows))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).take(row), batch.column(1).take(row), pa.array(np.concatenate(s).astype(np.int32)), pa.array(np.concatenate(n).astype(np.int32)), _signed(h)],
-                    ["t1", "nb", "s", "n", "h"],
+                    ["t1", "t2", "s", "n", "h"],
                 )
 
     return texts.mapInArrow(scan, ANCHORS)
@@ -99,7 +109,7 @@ def anchors(texts: DataFrame, span: int) -> DataFrame:
 
 def _contexts(candidates: DataFrame, span: int, with_bytes: bool) -> DataFrame:
     """A row an entry of `places`: its context's hash c, and its bytes if asked for."""
-    schema = "t1 long, nb long, s int, n int, h long, c long, copies long" + ", body binary" * with_bytes
+    schema = "t1 long, t2 long, s int, n int, h long, c long, copies long" + ", body binary" * with_bytes
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held("repeats", dict)
@@ -113,13 +123,13 @@ def _contexts(candidates: DataFrame, span: int, with_bytes: bool) -> DataFrame:
             views = [memoryview(x.as_buffer()) for x in text]
             bodies = [views[r][a : a + b + span - 1] for r, a, b in zip(row.to_pylist(), s.to_pylist(), n.to_pylist(), strict=True)]
             columns = [batch.column(0).take(row), batch.column(1).take(row), s, n, flat.field("h"), _signed([xxhash.xxh3_64_intdigest(x) for x in bodies]), flat.field("copies")]
-            names = ["t1", "nb", "s", "n", "h", "c", "copies"]
+            names = ["t1", "t2", "s", "n", "h", "c", "copies"]
             if with_bytes:
                 columns.append(pa.array([bytes(x) for x in bodies], pa.binary()))
                 names.append("body")
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return candidates.select("t1", "nb", "text", "places").mapInArrow(cut, schema)
+    return candidates.select("t1", "t2", "text", "places").mapInArrow(cut, schema)
 
 
 def _shard_repeats(bodies: DataFrame, span: int) -> DataFrame:
@@ -127,80 +137,86 @@ def _shard_repeats(bodies: DataFrame, span: int) -> DataFrame:
 
     bodies: h, c, n, body; one row a distinct context.
     """
-    sizes = bodies.groupBy("h").agg(F.sum(F.length("body")).alias("bytes"))
-    total = sizes.agg(F.sum("bytes")).first()[0] or 0
-    shards = max(1, -(-total // SHARD_BYTES))
+    # written out, so that the join reads shuffles on both sides and a hot anchor can be split
+    sizes = materialize(bodies.groupBy("h").agg(F.sum(F.length("body")).alias("bytes")), "repeat-sizes")
+    total, most = sizes.agg(F.sum("bytes"), F.max("bytes")).first()
+    shards = max(1, -(-(total or 0) // SHARD_BYTES))
+    split = F.col("bytes") > SHARD_BYTES
     parts = F.ceil(F.col("bytes") / SHARD_BYTES).cast("int")
-    sized = bodies.join(sizes.select("h", F.when(F.col("bytes") > SHARD_BYTES, parts).otherwise(1).alias("parts")), "h")
-    split = F.col("parts") > 1
-    dealt = sized.select(
+    dealt = bodies.join(sizes, "h").select(
         "h", "c", "n", "body", split.alias("hot"), F.when(split, F.col("h")).otherwise(F.pmod(F.xxhash64("h"), F.lit(shards))).alias("shard"),
-        F.pmod(F.xxhash64("c", "n"), F.col("parts")).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"),
-    ).withColumn("i", F.least("part", "other")).withColumn("j", F.greatest("part", "other"))
+        F.when(split, F.pmod(F.xxhash64("c", "n"), parts).cast("int")).otherwise(0).alias("part"),
+    )
 
     def sort(key: tuple, table: pa.Table) -> pa.Table:
+        """The repeats of one shard or part; of a part also the digest d1, d2 of each distinct string."""
         held("repeats", dict)
-        i, j = key[2].as_py(), key[3].as_py()
-        part, n = table.column("part").to_numpy(), table.column("n").to_numpy().astype(np.int64)
-        found = []
-
-        def text(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-            body = table.column("body").take(pa.array(rows)).combine_chunks()
-            data = np.frombuffer(b"".join(x.as_py() for x in body), np.uint8)
-            begins = np.concatenate([[0], np.cumsum(n[rows] + span - 1)])[:-1]
-            valid = np.zeros(len(data), bool)
-            for b, m in zip(begins.tolist(), n[rows].tolist(), strict=True):
-                valid[b : b + m] = True
-            return data, valid, begins
-
-        def tell(rows: np.ndarray, hits: np.ndarray, begins: np.ndarray) -> None:
-            edge = np.flatnonzero(np.diff(np.concatenate([[0], hits.astype(np.int8), [0]])))
-            first, last = edge[::2], edge[1::2] - 1
-            of = np.searchsorted(begins, first, "right") - 1
-            found.append((rows[of], first - begins[of], last - begins[of]))
-
-        if i == j:
-            rows = np.arange(table.num_rows)
-            data, valid, begins = text(rows)
-            tell(rows, suffix_array.repeated(data, valid, span), begins)
-        else:
-            sides = [np.flatnonzero(part == x) for x in (i, j)]
-            (a, va, ba), (b, vb, bb) = (text(x) for x in sides)
-            if len(a) and len(b):
-                tell(sides[0], suffix_array.also_in(a, va, b, vb, span), ba)
-                tell(sides[1], suffix_array.also_in(b, vb, a, va, span), bb)
-        rows, lo, hi = (np.concatenate([f[k] for f in found]) if found else np.empty(0, np.int64) for k in range(3))
-        at = pa.array(rows.astype(np.int64))
-        return pa.table({"h": table.column("h").take(at), "c": table.column("c").take(at), "n": table.column("n").take(at), "lo": pa.array(lo.astype(np.int32)), "hi": pa.array(hi.astype(np.int32))})
-
-    return dealt.groupBy("hot", "shard", "i", "j").applyInArrow(sort, "h long, c long, n int, lo int, hi int")
+        n = table.column("n").to_numpy().astype(np.int64)
+        data = np.frombuffer(b"".join(table.column("body").to_pylist()), np.uint8)
+        begins = np.cumsum(n + span - 1) - (n + span - 1)
+        edge = np.zeros(len(data) + 1, np.int8)
+        np.add.at(edge, begins, 1)
+        np.add.at(edge, begins + n, -1)
+        hits, single = suffix_array.repeated(data, np.cumsum(edge[:-1], dtype=np.int8) > 0, span)
+        steps = np.flatnonzero(np.diff(np.concatenate([[0], hits.astype(np.int8), [0]])))
+        first, last = steps[::2], steps[1::2] - 1
+        digests: list[pa.Array] = [pa.nulls(len(first), pa.int64())] * 2
+        if key[0].as_py():
+            view = memoryview(data)
+            first, last = np.concatenate([first, single]), np.concatenate([last, single])
+            digests = [pa.concat_arrays([nulls, _signed([xxhash.xxh3_64_intdigest(view[p : p + span], seed=i) for p in single.tolist()])]) for i, nulls in enumerate(digests)]
+        of = np.searchsorted(begins, first, "right") - 1
+        at, small = pa.array(of), lambda x: pa.array((x - begins[of]).astype(np.int32))
+        part = pa.array(np.full(len(of), key[2].as_py(), np.int32))
+        return pa.table({c: table.column(c).take(at) for c in ("h", "c", "n")} | {"lo": small(first), "hi": small(last), "part": part, "d1": digests[0], "d2": digests[1]})
+
+    found = dealt.groupBy("hot", "shard", "part").applyInArrow(sort, "h long, c long, n int, lo int, hi int, part int, d1 long, d2 long")
+    own = ["h", "c", "n", "lo", "hi"]
+    if (most or 0) <= SHARD_BYTES:
+        return found.select(*own)
+    found = materialize(found, "repeat-parts")
+    strings = found.filter("d1 IS NOT NULL")
+    counts = materialize(strings.groupBy("h").agg(F.ceil(F.count(F.lit(1)) / DIGESTS).alias("buckets")), "repeat-digests")
+    placed = strings.join(counts, "h").withColumn("bucket", F.pmod("d1", "buckets"))
+
+    def merge(table: pa.Table) -> pa.Table:
+        keys = np.empty(table.num_rows, "V16")
+        keys.view(">u8").reshape(-1, 2)[:, 0], keys.view(">u8").reshape(-1, 2)[:, 1] = (table.column(c).to_numpy().view(np.uint64) for c in ("d1", "d2"))
+        keys, part = keys.view("S16"), table.column("part").to_numpy()
+        order = np.lexsort((keys, part))
+        cuts = np.flatnonzero(np.diff(part[order])) + 1
+        met = suffix_array.in_several(np.split(keys[order], cuts))
+        return table.select(own).take(pa.array(order[np.concatenate(met)]))
+
+    return found.filter("d1 IS NULL").select(*own).unionByName(placed.select(*own, "part", "d1", "d2", "bucket").groupBy("h", "bucket").applyInArrow(merge, "h long, c long, n int, lo int, hi int"))
 
 
 def removals(docs: DataFrame, span: int = 200) -> DataFrame:
-    """t1, nb (the key of a text: xxhash64 and bytes), n_removed, n_spans, kept (binary), kept_sha256.
+    """t1, t2 (the key of a text), n_removed, n_spans, kept (binary), kept_sha256.
 
     Only texts that lose something have a row, and each distinct text has one.
     """
     body = text_of().cast("binary")
-    texts = docs.select(F.xxhash64(body).alias("t1"), F.length(body).cast("long").alias("nb"), body.alias("text"))
+    texts = docs.select(*_keys(body), body.alias("text"))
     found = materialize(anchors(texts, span), "repeat-anchors")
     # written out, so that the joins below read shuffles on both sides and a hot anchor can be split
     often = materialize(found.groupBy("h").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("h"), "repeat-often")
     places = (
         found.join(often, "h")
-        .groupBy("t1", "nb", "s", "n", "h")
-        .agg(F.count(F.lit(1)).alias("copies"))
+        .groupBy(*_KEY, "s")  # not by h too: the join's partitioning would do for that, and a hot anchor stay in one task
+        .agg(F.first("n").alias("n"), F.first("h").alias("h"), F.count(F.lit(1)).alias("copies"))
         .groupBy(*_KEY)
         .agg(F.collect_list(F.struct("s", "n", "h", "copies")).alias("places"))
     )
-    single = texts.filter(F.col("nb") >= span).dropDuplicates(list(_KEY))
+    single = texts.filter(F.length("text") >= span).dropDuplicates(list(_KEY))
     candidates = materialize(single.join(places, list(_KEY)), "repeat-candidates")
+    discard(found, often)
     contexts = _contexts(candidates, span, with_bytes=False)
     counted = materialize(
-        contexts.groupBy("h", "c", "n").agg(F.sum("copies").alias("k"), F.min(F.struct("t1", "nb", "s")).alias("at")), "repeat-contexts"
+        contexts.groupBy("h", "c", "n").agg(F.sum("copies").alias("k"), F.min(F.struct("t1", "t2", "s")).alias("at")), "repeat-contexts"
     )
     several = materialize(counted.groupBy("h").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("h"), "repeat-several")
-    wanted = counted.join(several, "h").groupBy(F.col("at.t1").alias("t1"), F.col("at.nb").alias("nb")).agg(
+    wanted = counted.join(several, "h").groupBy(F.col("at.t1").alias("t1"), F.col("at.t2").alias("t2")).agg(
         F.collect_list(F.struct(F.col("at.s").alias("s"), "n", "h", F.lit(1).cast("long").alias("copies"))).alias("places")
     )
     bodies = materialize(
@@ -230,11 +246,11 @@ def removals(docs: DataFrame, span: int = 200) -> DataFrame:
                 kept.append(data[~gone].tobytes())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(kept, pa.binary()), pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string())],
-                ["t1", "nb", "n_removed", "n_spans", "kept", "kept_sha256"],
+                ["t1", "t2", "n_removed", "n_spans", "kept", "kept_sha256"],
             )
 
-    return candidates.drop("places").join(spans, list(_KEY)).select("t1", "nb", "text", "spans").mapInArrow(
-        strike, "t1 long, nb long, n_removed long, n_spans long, kept binary, kept_sha256 string"
+    return candidates.drop("places").join(spans, list(_KEY)).select("t1", "t2", "text", "spans").mapInArrow(
+        strike, "t1 long, t2 long, n_removed long, n_spans long, kept binary, kept_sha256 string"
     )
 
 
@@ -242,7 +258,7 @@ def repeat_report(docs: DataFrame, span: int = 200) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256: a row a row of docs."""
     body = text_of().cast("binary")
     gone = removals(docs, span).drop("kept")
-    rows = docs.select("doc_id", F.xxhash64(body).alias("t1"), F.length(body).cast("long").alias("nb"), F.sha2(body, 256).alias("own"))
+    rows = docs.select("doc_id", *_keys(body), F.length(body).cast("long").alias("nb"), F.sha2(body, 256).alias("own"))
     return rows.join(gone, list(_KEY), "left").select(
         "doc_id", F.col("nb").alias("n_bytes"), F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"),
         F.coalesce("n_spans", F.lit(0)).cast("long").alias("n_spans"), F.coalesce("kept_sha256", "own").alias("kept_sha256"),
@@ -252,11 +268,11 @@ def repeat_report(docs: DataFrame, span: int = 200) -> DataFrame:
 def without_repeats(docs: DataFrame, span: int = 200) -> DataFrame:
     """docs with the repeated strings gone from text (broken characters at the cuts too); rows left without a word go."""
     body = text_of().cast("binary")
-    gone = removals(docs, span).select(F.col("t1").alias("__t1"), F.col("nb").alias("__nb"), F.col("kept").alias("__kept"))
+    gone = removals(docs, span).select(F.col("t1").alias("__t1"), F.col("t2").alias("__t2"), F.col("kept").alias("__kept"))
     whole = F.expr("try_validate_utf8(string(__kept))")
     clean = F.when(F.col("__kept").isNull(), F.col("text")).otherwise(
         F.coalesce(whole, F.regexp_replace(F.expr("make_valid_utf8(string(__kept))"), "\ufffd", ""))
     )
-    out = docs.withColumn("__t1", F.xxhash64(body)).withColumn("__nb", F.length(body).cast("long")).join(gone, ["__t1", "__nb"], "left")
+    out = docs.select("*", *[k.alias(f"__{name}") for k, name in zip(_keys(body), _KEY, strict=True)]).join(gone, ["__t1", "__t2"], "left")
     emptied = F.col("__kept").isNotNull() & ~clean.rlike(r"\S")
     return out.filter(~emptied).withColumn("text", clean).select(*docs.columns)

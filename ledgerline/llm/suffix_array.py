@@ -89,36 +89,30 @@ def common_prefixes(data: np.ndarray, sa: np.ndarray) -> np.ndarray:
     return out
 
 
-def repeated(data: np.ndarray, valid: np.ndarray, span: int) -> np.ndarray:
-    """Which valid places start a string of `span` bytes that another valid place starts too."""
+def repeated(data: np.ndarray, valid: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which valid places start a string of `span` bytes that another valid place starts too, and one valid place of
+    each distinct string."""
+    out = np.zeros(len(data), bool)
+    if not len(data):
+        return out, np.empty(0, np.int64)
     sa = suffix_array(data)
     run = np.cumsum(common_prefixes(data, sa) < span) - 1
-    seen = np.bincount(run, weights=valid[sa], minlength=len(data) and run[-1] + 1) if len(data) else np.empty(0)
-    out = np.zeros(len(data), bool)
-    if len(data):
-        out[sa] = seen[run] >= 2
-    return out & valid
+    out[sa] = np.bincount(run, weights=valid[sa])[run] >= 2
+    places = np.flatnonzero(valid[sa])
+    return out & valid, sa[places[np.unique(run[places], return_index=True)[1]]]
 
 
-def also_in(data: np.ndarray, valid: np.ndarray, other: np.ndarray, other_valid: np.ndarray, span: int, block: int = 1 << 14) -> np.ndarray:
-    """Which valid places of one shard start a string of `span` bytes that a valid place of another shard starts:
-    a binary search of the one shard's strings, in order, in the sorted strings of the other. Blocks of both meet only
-    where their ranges overlap."""
-    out = np.zeros(len(data), bool)
-    order = suffix_array(other)
-    order = order[other_valid[order]]
-    mine = suffix_array(data)
-    mine = mine[valid[mine]]
-    if not len(order) or not len(mine):
-        return out
-    strings = lambda d, at: np.lib.stride_tricks.sliding_window_view(d, span)[at].view(f"S{span}").ravel()
-    begins = np.arange(0, len(mine), block)
-    heads, tails = strings(data, mine[begins]), strings(data, mine[np.minimum(begins + block, len(mine)) - 1])
-    for a in range(0, len(order), block):
-        theirs = strings(other, order[a : a + block])
-        for k in np.flatnonzero((tails >= theirs[0]) & (heads <= theirs[-1])):
-            part = mine[begins[k] : begins[k] + block]
-            ours = strings(data, part)
-            at = np.minimum(np.searchsorted(theirs, ours), len(theirs) - 1)
-            out[part[theirs[at] == ours]] = True
-    return out
+def in_several(parts: list[np.ndarray]) -> list[np.ndarray]:
+    """For sorted arrays without repeats: which of each one's values another one has too. The arrays are merged one
+    after the other, each by binary search in what was merged before."""
+    merged = parts[0][:0]
+    common = merged
+    for part in parts:
+        at = np.searchsorted(merged, part)
+        met = np.zeros(len(part), bool)
+        inside = at < len(merged)
+        met[inside] = merged[at[inside]] == part[inside]
+        common = np.concatenate([common, part[met]])
+        merged = np.insert(merged, at[~met], part[~met])
+    common = np.unique(common)
+    return [common[np.minimum(np.searchsorted(common, p), len(common) - 1)] == p if len(common) else np.zeros(len(p), bool) for p in parts]

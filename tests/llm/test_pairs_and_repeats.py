@@ -87,6 +87,7 @@ def struck(rows, span):
 @pytest.mark.parametrize("shard", [2 << 20, 1500])
 def test_repeats_equal_brute_force(spark, shard, monkeypatch):
     monkeypatch.setattr(repeats, "SHARD_BYTES", shard)
+    monkeypatch.setattr(repeats, "DIGESTS", 40)
     docs = awkward(spark)
     assert sorted(tuple(r) for r in repeats.repeat_report(docs).collect()) == struck(docs.collect(), 200)
 
@@ -108,6 +109,27 @@ def test_without_repeats_keeps_what_is_single(spark):
     assert got == {1: "one -é", 2: " two", 3: "three", 4: None}
 
 
+def test_a_hot_anchor_in_many_parts(spark, monkeypatch):
+    """Texts that share the anchors of one passage of under 200 bytes, and some whole strings around it."""
+    monkeypatch.setattr(repeats, "SHARD_BYTES", 3000)
+    monkeypatch.setattr(repeats, "DIGESTS", 300)
+    r = np.random.default_rng(3)
+    noise = lambda n: "".join(chr(97 + x) for x in r.integers(0, 26, n))
+    common = noise(190)
+    ends = [noise(30) for _ in range(12)]
+    texts = [noise(int(r.integers(0, 40))) + common + (ends[int(r.integers(0, 12))] if i % 3 else noise(30)) for i in range(150)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert sorted(tuple(x) for x in repeats.repeat_report(docs).collect()) == struck(docs.collect(), 200)
+
+
+def test_merged_parts_tell_what_several_have():
+    r = np.random.default_rng(0)
+    parts = [np.unique(r.integers(0, 60, n)) for n in (0, 5, 40, 1, 20, 0)]
+    seen = Counter(x for p in parts for x in p.tolist())
+    for part, met in zip(parts, suffix_array.in_several(parts), strict=True):
+        assert met.tolist() == [seen[x] > 1 for x in part.tolist()]
+
+
 @pytest.mark.parametrize("text", [b"", b"a", b"aaaaaaaaaaaaaaaaaaaaaaaaaa", b"banana bandana banana", bytes(range(256)) * 2, b"\0\0\0\0ab\0\0\0\0\0\0", b"mississippi" * 9])
 def test_suffix_array_and_prefixes(text):
     data = np.frombuffer(text, np.uint8)
