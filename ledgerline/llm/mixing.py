@@ -49,9 +49,11 @@ class _Rows(dict):
         self.limit = limit
 
     def __missing__(self, word: str) -> int:
-        if len(self) >= self.limit:
-            self.clear()
-        self[word] = b = _bucket(word)
+        b = _bucket(word)
+        if len(word) <= 64:  # what is remembered is bounded in bytes too
+            if len(self) >= self.limit:
+                self.clear()
+            self[word] = b
         return b
 
 

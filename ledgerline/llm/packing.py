@@ -13,6 +13,7 @@ Null text: the end id alone. Repeated rows: packed as often as they occur. Empty
 
 from __future__ import annotations
 
+import json
 import unicodedata
 import zlib
 from array import array
@@ -29,6 +30,8 @@ WINDOW = 4096
 END = 2
 #: Lengths, by frequency, that combinations of three and of four draw from freely (the last one is given by the sum).
 FREE3, FREE4 = 160, 40
+#: Lengths, by frequency, that are taken several times, and those that one more length is drawn from beside them.
+REPEATED, BESIDE = 120, 24
 #: Chunks of text whose ids a worker remembers.
 CACHE = 3 << 17
 
@@ -40,8 +43,24 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
+#: The rules of tokenizer files for which the short ways below hold.
+RULES = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+#: Longer chunks are not remembered, so that what a worker remembers is bounded in bytes too.
+SHORT = 64
+
+
 class TokenBytes(dict):
-    """Little-endian 32-bit ids of chunks without white space; the tokenizer never joins ids across white space.
+    """Little-endian 32-bit ids of chunks without white space, for tokenizers of RULES; they never join ids across white
+    space. Texts of any other tokenizer go to it whole.
 
     A chunk that ends in full stops or commas after a letter is cut there, as the tokenizer cuts it; capitals are
     lowered, as it lowers them; and a word of letters in normal form goes straight to the merges. The chunks seen last
@@ -54,6 +73,8 @@ class TokenBytes(dict):
         self.path, self.limit, self.old = path, limit, {}
         self.tokenizer = Tokenizer.from_file(path)
         self.model, self.letters = self.tokenizer.model, _byte_letters()
+        rules = json.loads(self.tokenizer.to_str())
+        self.known = all(rules[k] == v for k, v in RULES.items()) and rules["model"]["type"] == "BPE"
 
     def encode(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
@@ -75,6 +96,8 @@ class TokenBytes(dict):
         found = self.old.get(chunk)
         if found is None:
             found = self.work_out(chunk)
+        if len(chunk) > SHORT:
+            return found
         if len(self) >= self.limit:
             self.old = dict(self)
             self.clear()
@@ -82,7 +105,7 @@ class TokenBytes(dict):
         return found
 
     def of(self, text: str) -> bytes:
-        if any(c in text for c in "\x1c\x1d\x1e\x1f"):  # white space to Python alone
+        if not self.known or any(c in text for c in "\x1c\x1d\x1e\x1f"):  # white space to Python alone
             return self.encode(text)
         return b"".join(map(self.__getitem__, text.split()))
 
@@ -120,7 +143,8 @@ def pieces(docs: DataFrame, path: str, window: int = WINDOW) -> DataFrame:
 
 
 def combinations(histogram: np.ndarray, window: int) -> list[tuple[int, ...]]:
-    """Up to four lengths of the histogram (more if all equal) that fill the window."""
+    """Up to four lengths of the histogram that fill the window, or one of the most frequent as often as there are
+    pieces of it, and one or two others."""
     there = np.flatnonzero(histogram[1:]) + 1
     present = set(there.tolist())
     common = there[np.argsort(-histogram[there], kind="stable")].tolist()
@@ -135,6 +159,14 @@ def combinations(histogram: np.ndarray, window: int) -> list[tuple[int, ...]]:
             for c in common[j:FREE4]:
                 if window - a - b - c in present:
                     out.add(tuple(sorted((a, b, c, window - a - b - c), reverse=True)))
+    for a in common[:REPEATED]:
+        for times in range(2, min(window // a, int(histogram[a])) + 1):
+            gap = window - times * a
+            if gap in present:
+                out.add(tuple(sorted((a,) * times + (gap,), reverse=True)))
+            for b in common[:BESIDE]:
+                if gap > b and gap - b in present:
+                    out.add(tuple(sorted((a,) * times + (b, gap - b), reverse=True)))
     return sorted(out, reverse=True)
 
 
@@ -190,20 +222,27 @@ def greedy(rest: np.ndarray, window: int) -> Iterator[tuple[tuple[int, ...], int
 
 
 def plan(histogram: np.ndarray, window: int) -> list[tuple[int, int, int, int, int]]:
-    """Slots (length, lo, hi, sequence, offset): pieces lo to hi - 1 of a length go to sequences from `sequence` on."""
+    """Slots (length, lo, hi, sequence, offset): pieces lo to hi - 1 of a length go to sequences from `sequence` on.
+
+    The counts are solved and rounded again over what is left, until no combination fits; the rest is packed greedily.
+    """
     rest = histogram.astype(np.int64).copy()
     chosen: list[tuple[tuple[int, ...], int]] = []
-    sets = combinations(rest, window)
-    if sets:
+    placed = 1
+    while placed and (sets := combinations(rest, window)):
         x = non_negative_counts(sets, rest.astype(float))
+        placed, carried = 0, 0.5
         for i in np.argsort(-x, kind="stable"):
-            if x[i] < 0.5:
-                break
+            # what rounding takes from one count goes on to the next
+            carried += x[i]
             lengths, times = np.unique(sets[i], return_counts=True)
-            n = min(int(x[i] + 0.5), int((rest[lengths] // times).min()))
+            n = min(int(carried), int((rest[lengths] // times).min()))
             if n > 0:
+                carried -= n
                 rest[lengths] -= n * times
                 chosen.append((sets[i], n))
+                placed += n
+            carried = min(carried, 2.0)
     chosen += greedy(rest, window)
     used = np.zeros(window + 1, np.int64)
     slots, sequence = [], 0

@@ -161,7 +161,8 @@ def near_fingerprints(prints: DataFrame, column: str = "fingerprint_bits", radiu
 def simhash_report(docs: DataFrame, radius: int = 3) -> DataFrame:
     """document_fingerprints, and near_distinct: the other distinct fingerprints of the table within the radius."""
     marks = materialize(document_fingerprints(docs), "simhash-marks")
-    near = near_fingerprints(marks, radius=radius)
+    # written out, so that the join reads shuffles on both sides and the rows of one fingerprint can be split
+    near = materialize(near_fingerprints(marks, radius=radius), "simhash-near")
     return marks.join(near, "fingerprint_bits", "left").select(
         "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next",
         F.coalesce("near_distinct", F.lit(0)).cast("long").alias("near_distinct"),

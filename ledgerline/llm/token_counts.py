@@ -72,9 +72,11 @@ class Counter(dict):
         return score[n], count[n]
 
     def __missing__(self, word: str) -> int:
-        if len(self) >= self.limit:
-            self.clear()
-        self[word] = n = self.best(MARK + word)[1]
+        n = self.best(MARK + word)[1]
+        if len(word) <= 64:  # what is remembered is bounded in bytes too
+            if len(self) >= self.limit:
+                self.clear()
+            self[word] = n
         return n
 
     def of(self, text: str | None) -> int:

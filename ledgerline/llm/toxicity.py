@@ -142,9 +142,11 @@ class _WordValue(dict):
         self.value, self.limit = value, limit
 
     def __missing__(self, token: str) -> float:
-        if len(self) >= self.limit:
-            self.clear()
-        self[token] = x = float(self.value[subwords(token)].mean())
+        x = float(self.value[subwords(token)].mean())
+        if len(token) <= 64:  # what is remembered is bounded in bytes too
+            if len(self) >= self.limit:
+                self.clear()
+            self[token] = x
         return x
 
 

@@ -47,6 +47,12 @@ def test_cached_ids_equal_the_tokenizer(text):
     assert tokens.of(text) == tokens.encode(text)
 
 
+def test_another_tokenizer_gets_texts_whole():
+    tokens = packing.TokenBytes(public_tokenizers.path("byte_bpe_50k.json"))
+    text = "Some  Words, it's ten 1000 words.\n\n  é " * 3
+    assert not tokens.known and tokens.of(text) == tokens.encode(text)
+
+
 def check_packing(rows, got, window=4096):
     tok = Tokenizer.from_file(WORDS)
     ids = {t: tok.encode(t or "", add_special_tokens=False).ids + [2] for t in {r.text for r in rows}}
