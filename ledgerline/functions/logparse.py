@@ -31,6 +31,10 @@ def bracketed(value: Column, name: str) -> Column:
     return F.nullif(F.trim(F.regexp_extract(value, name + r"\s*:?\s*\[([^\]]*)\]", 1)), F.lit(""))
 
 
+def bracketed_once(value: Column, name: str) -> Column:
+    return F.nullif(F.trim(F.regexp_extract(value, name + r"\s*\[([^\]]+)\]", 1)), F.lit(""))
+
+
 def line_ms(value: Column) -> Column:
     iso = found(value, r"^<(\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(?:\.\d+)?Z)>")
     # fractions of any length; six digits are kept
@@ -54,15 +58,23 @@ def clean_route_name(x: Column) -> Column:
     return F.nullif(F.trim(F.regexp_replace(x, r"\s{2,}", " ")), F.lit(""))
 
 
-def title_route(title: Column) -> Column:
-    """struct pickup, dropoff: from the title's last part, `A > B` or `from A`."""
-    plain = F.trim(F.regexp_replace(F.regexp_replace(title, r"(?i)</?EM\d+\s*/?>", " "), r"\s+", " "))
-    last = F.trim(F.element_at(F.split(plain, r"\|"), -1))
+def last_part(title: Column) -> Column:
+    """What follows the title's last bar, without its marks."""
+    plain = F.regexp_replace(F.regexp_replace(title, r"(?i)</?EM\d+\s*/?>", " "), r"\s+", " ")
+    return F.trim(F.element_at(F.split(plain, r"\|"), -1))
+
+
+def route_side(last: Column, side: int) -> Column:
+    """The pickup (0) or dropoff (1) of a title's last part, `A > B` or `from A`."""
     arrow = F.instr(last, ">")
-    return F.struct(
-        F.when(arrow > 0, clean_route_name(F.substring_index(last, ">", 1))).otherwise(clean_route_name(found(last, r"(?i)^from\s+(.+)\z"))).alias("pickup"),
-        F.when(arrow > 0, clean_route_name(last.substr(arrow + 1, F.length(last)))).alias("dropoff"),
-    )
+    if side:
+        return F.when(arrow > 0, clean_route_name(last.substr(arrow + 1, F.length(last))))
+    return clean_route_name(F.when(arrow > 0, F.substring_index(last, ">", 1)).otherwise(found(last, r"(?i)^from\s+(.+)\z")))
+
+
+def title_route(title: Column) -> Column:
+    """struct pickup, dropoff."""
+    return F.struct(route_side(last_part(title), 0).alias("pickup"), route_side(last_part(title), 1).alias("dropoff"))
 
 
 def commodity_token(template: Column) -> Column:
@@ -127,50 +139,63 @@ def is_cargo_title(x: Column) -> Column:
     return F.coalesce(x.rlike("(?i)haul|cargo"), F.lit(False))
 
 
+def fenced(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with further columns that are worked out once a row: a generator of one row keeps the optimizer from copying
+    their expressions into whatever uses them."""
+    row = F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))
+    return df.select("*", F.inline(row))
+
+
 def with_events(lines: DataFrame) -> DataFrame:
     """lines with the columns of schemas.EVENTS but seq; lines that are no event are gone."""
     v = F.col("value")
-    text = found(v, r'(?s)Added notification\s+"(.*?)"\s+\[\d+\]\s+to queue')
-    mission, objective = bracketed(v, "MissionId"), bracketed(v, "ObjectiveId")
+    closes = v.contains(COMPLETED[0]) | v.contains(COMPLETED[1])
+    tag = F.when(v.contains(NOTIFICATION), "note").when(v.contains(MARKER), "marker").when(closes, "closed").when(v.contains(ENDED), "ended").when(v.contains(INVENTORY), "inventory")
+    keep = [c for c in lines.columns if c != "value"]
+    tagged = fenced(lines.filter(tag.isNotNull()), tag=tag, ts=line_ms(v)).filter("ts IS NOT NULL")
+    at = lambda name, x: F.when(F.col("tag") == name, x)
+    mark = lambda pattern: at("marker", bracketed_once(v, pattern))
+    read = fenced(
+        tagged,
+        text=at("note", found(v, r'(?s)Added notification\s+"(.*?)"\s+\[\d+\]\s+to queue')),
+        m=F.when(F.col("tag").isin("note", "ended"), bracketed(v, "MissionId")).otherwise(F.coalesce(mark("missionId"), at("closed", found(v, r"mission_id\s+(\S+)")))),
+        o=F.coalesce(at("note", bracketed(v, "ObjectiveId")), mark("objectiveId"), at("closed", found(v, r"objective_id\s+(\S+)"))),
+        giver=mark("generator name"), contract_template=mark("contract"), contract_definition_id=mark("contractDefinitionId"),
+        completion_type=at("ended", F.lower(bracketed(v, "CompletionType"))), location_id=at("inventory", bracketed(v, r"\bLocation")),
+    )
+    text, m, o = F.col("text"), F.col("m"), F.col("o")
     declared = r"(?s)^New Objective:\s*Deliver\s+\d+\s*/\s*(\d+)\s+SCU of\s+(.+?)\s+to\s+(.+?)\s*:?\s*\z"
-    raw_title = F.regexp_extract(text, r"(?s)^Contract Accepted:\s*(.*)\z", 1)
-    title = F.nullif(clean_title(raw_title), F.lit(""))
-    note, marker = v.contains(NOTIFICATION), v.contains(MARKER)
-    closed = v.contains(COMPLETED[0]) | v.contains(COMPLETED[1])
-    ended = F.lower(bracketed(v, "CompletionType"))
-    mark = {k: F.nullif(F.trim(F.regexp_extract(v, p + r"\s*\[([^\]]+)\]", 1)), F.lit("")) for k, p in (("m", "missionId"), ("g", "generator name"), ("c", "contract"), ("o", "objectiveId"), ("d", "contractDefinitionId"))}
-    place = r"position\s*\[x:\s*" + NUMBER + r",\s*y:\s*" + NUMBER + r",\s*z:\s*" + NUMBER + r"\]"
-    done_m, done_o = found(v, r"mission_id\s+(\S+)"), found(v, r"objective_id\s+(\S+)")
+    titled = fenced(read, raw_title=F.when(text.startswith("Contract Accepted:"), F.regexp_extract(text, r"(?s)^Contract Accepted:\s*(.*)\z", 1)))
+    cleaned = fenced(titled, title=F.nullif(clean_title(F.col("raw_title")), F.lit("")), last=last_part(F.col("raw_title")))
     kinds = [
-        ("missionAccepted", note & text.startswith("Contract Accepted:") & mission.isNotNull() & title.isNotNull()),
-        ("objectiveDeclared", note & text.rlike(declared) & mission.isNotNull() & leg_kind(objective).isNotNull()),
-        ("payoutAwarded", note & text.rlike(r"^Awarded\s+\d+\s+aUEC\b")),
-        ("fined", note & text.rlike(r"^Fined\s+\d+\s+UEC\b")),
-        ("missionMarker", ~note & marker & mark["m"].isNotNull() & mark["g"].isNotNull() & mark["c"].isNotNull() & leg_kind(mark["o"]).isNotNull()),
-        ("objectiveCompleted", ~note & ~marker & closed & v.contains("MISSION_OBJECTIVE_STATE_COMPLETED") & done_m.isNotNull() & done_o.isNotNull()),
-        ("missionEnded", ~note & ~marker & ~closed & v.contains(ENDED) & mission.isNotNull() & ended.isin("complete", "abandon")),
-        ("locationInventory", ~note & ~marker & ~closed & ~v.contains(ENDED) & v.contains(INVENTORY) & bracketed(v, r"\bLocation").isNotNull()),
+        ("missionAccepted", m.isNotNull() & F.col("title").isNotNull()),
+        ("objectiveDeclared", m.isNotNull() & leg_kind(o).isNotNull() & text.rlike(declared)),
+        ("payoutAwarded", text.rlike(r"^Awarded\s+\d+\s+aUEC\b")),
+        ("fined", text.rlike(r"^Fined\s+\d+\s+UEC\b")),
+        ("missionMarker", (F.col("tag") == "marker") & m.isNotNull() & F.col("giver").isNotNull() & F.col("contract_template").isNotNull() & leg_kind(o).isNotNull()),
+        ("objectiveCompleted", (F.col("tag") == "closed") & m.isNotNull() & o.isNotNull() & v.contains("MISSION_OBJECTIVE_STATE_COMPLETED")),
+        ("missionEnded", (F.col("tag") == "ended") & m.isNotNull() & F.col("completion_type").isin("complete", "abandon")),
+        ("locationInventory", F.col("location_id").isNotNull()),
     ]
     kind = F.lit(None).cast("string")
     for name, condition in reversed(kinds):
         kind = F.when(condition, name).otherwise(kind)
+    typed = fenced(cleaned, type=kind).filter("type IS NOT NULL")
     of = lambda *names: F.col("type").isin(*names)
-    pick = lambda *pairs: F.coalesce(*[F.when(of(*((n,) if isinstance(n, str) else n)), x) for n, x in pairs])
-    typed = lines.withColumn("ts", line_ms(v)).withColumn("type", F.when(F.col("ts").isNotNull(), kind)).filter("type IS NOT NULL")
-    o_id = pick(("objectiveDeclared", objective), ("missionMarker", mark["o"]), ("objectiveCompleted", done_o))
-    route = title_route(raw_title)
+    when = lambda x, *names: F.when(of(*names), x)
+    place = r"position\s*\[x:\s*" + NUMBER + r",\s*y:\s*" + NUMBER + r",\s*z:\s*" + NUMBER + r"\]"
+    position = F.struct(*[F.regexp_extract(v, place, i).cast("double").alias(c) for i, c in enumerate("xyz", 1)])
+    amount = F.regexp_extract(text, r"^(?:Awarded|Fined)\s+(\d+)\s+", 1)
     return typed.select(
-        *[c for c in lines.columns if c != "value"], "type", "ts",
-        pick((("missionAccepted", "objectiveDeclared", "missionEnded"), mission), ("missionMarker", mark["m"]), ("objectiveCompleted", done_m)).alias("mission_id"),
-        o_id.alias("objective_id"), F.when(of("objectiveDeclared", "missionMarker"), leg_kind(o_id)).alias("kind"),
-        F.when(of("missionAccepted"), title).alias("title"), F.when(of("missionAccepted"), route["pickup"]).alias("title_pickup"), F.when(of("missionAccepted"), route["dropoff"]).alias("title_dropoff"),
-        F.when(of("missionMarker"), mark["g"]).alias("giver"), F.when(of("missionMarker"), mark["c"]).alias("contract_template"), F.when(of("missionMarker"), mark["d"]).alias("contract_definition_id"),
-        F.when(of("missionMarker") & v.rlike(place), F.struct(*[F.regexp_extract(v, place, i).cast("double").alias(c) for i, c in enumerate("xyz", 1)])).alias("position"),
-        F.when(of("objectiveDeclared"), F.trim(F.regexp_extract(text, declared, 2))).alias("commodity"), F.when(of("objectiveDeclared"), F.regexp_extract(text, declared, 1)).cast("long").alias("scu_total"),
-        F.when(of("objectiveDeclared"), F.trim(F.regexp_extract(text, declared, 3))).alias("location"), F.when(of("missionEnded"), ended).alias("completion_type"),
-        F.when(of("missionEnded"), F.trim(F.regexp_extract(v, r"Reason\s*\[([^\]]*)\]", 1))).alias("reason"),
-        pick(("payoutAwarded", F.regexp_extract(text, r"^Awarded\s+(\d+)\s+aUEC\b", 1)), ("fined", F.regexp_extract(text, r"^Fined\s+(\d+)\s+UEC\b", 1))).cast("long").alias("amount"),
-        F.when(of("locationInventory"), bracketed(v, r"\bLocation")).alias("location_id"),
+        *keep, "type", "ts", when(m, "missionAccepted", "objectiveDeclared", "missionEnded", "missionMarker", "objectiveCompleted").alias("mission_id"),
+        when(o, "objectiveDeclared", "missionMarker", "objectiveCompleted").alias("objective_id"), when(leg_kind(o), "objectiveDeclared", "missionMarker").alias("kind"),
+        when(F.col("title"), "missionAccepted").alias("title"), when(route_side(F.col("last"), 0), "missionAccepted").alias("title_pickup"), when(route_side(F.col("last"), 1), "missionAccepted").alias("title_dropoff"),
+        *[when(F.col(c), "missionMarker").alias(c) for c in ("giver", "contract_template", "contract_definition_id")],
+        F.when(of("missionMarker") & v.rlike(place), position).alias("position"),
+        when(F.trim(F.regexp_extract(text, declared, 2)), "objectiveDeclared").alias("commodity"), when(F.regexp_extract(text, declared, 1), "objectiveDeclared").cast("long").alias("scu_total"),
+        when(F.trim(F.regexp_extract(text, declared, 3)), "objectiveDeclared").alias("location"), when(F.col("completion_type"), "missionEnded").alias("completion_type"),
+        when(F.trim(F.regexp_extract(v, r"Reason\s*\[([^\]]*)\]", 1)), "missionEnded").alias("reason"), when(amount, "payoutAwarded", "fined").cast("long").alias("amount"),
+        when(F.col("location_id"), "locationInventory").alias("location_id"),
     )
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ledgerline.functions import logparse as P
+from ledgerline.sources.scratch import written
 
 
 def first_of(value: Column, when: Column | None = None) -> Column:
@@ -98,8 +99,10 @@ def with_title_places(missions: DataFrame, legs: DataFrame) -> DataFrame:
 
 
 def reduce_events(events: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """missions, legs, awards (amount, ts, seq), fines (amount, ts)."""
-    legs = reduce_legs(events)
+    """missions, legs, awards (amount, ts, seq), fines (amount, ts). Events are parsed once: they and the legs are
+    written out, as several aggregations read them."""
+    events = written(events, "events")
+    legs = written(reduce_legs(events), "legs")
     missions = reduce_missions(events, legs)
     awards = events.filter("type = 'payoutAwarded'").groupBy("amount", "ts").agg(F.min("seq").alias("seq"))
     fines = events.filter("type = 'fined'").select("amount", "ts").distinct()

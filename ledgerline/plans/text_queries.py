@@ -17,20 +17,29 @@ NAMES = ["Aluminum", "Titanium", "Hydrogen", "Processed Food", "Pressurized Ice"
 
 
 def log_lines(spark, d):
-    """One line an event; the kind of event says which line."""
+    """One line an event; the kind of event, and for clicks its number, says which line. Missions are users and numbers."""
     e = A.table(spark, d, "events")
     k = F.get_json_object("props", "$.k").cast("long")
     stamp = F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSS")
-    uid = F.col("user_id").cast("string")
+    said, leg = k.cast("string"), (k % 10).cast("string")
+    uid = F.concat(F.col("user_id").cast("string"), F.lit("_"), (k % 5).cast("string"))
     ids = F.concat(F.lit("MissionId: [m"), uid, F.lit("]"))
     note = lambda text, rest="": F.concat(F.lit('<SHUDEvent_OnNotification> Added notification "'), text, F.lit('" [7] to queue. New queue size: 1, '), ids, F.lit(rest))
+    done = lambda objective: F.concat(F.lit("<ObjectiveComplete> mission_id m"), uid, F.lit(" objective_id "), objective, F.lit(" state MISSION_OBJECTIVE_STATE_COMPLETED"))
     kind = F.col("event_type")
+    click = (
+        F.when(k < 40, done(F.concat(F.lit("pickup_"), leg, F.lit("_0")))).when(k < 60, done(F.lit("dropoff_1_0")))
+        .when(k < 70, F.concat(F.lit("<EndMission> "), ids, F.when(k < 65, " CompletionType[Complete]").otherwise(" CompletionType[Abandon]"), F.lit(" Reason[over]")))
+        .when(k < 80, note(F.concat(F.lit("Fined "), said, F.lit(" UEC: late"))))
+        .when(k < 90, F.concat(F.lit("<RequestLocationInventory> Player asks at Location[Stanton_Depot_"), leg, F.lit("]")))
+        .otherwise(F.concat(F.lit("<MissionEnded> noise for mission_id m"), uid))
+    )
     body = (
-        F.when(kind == "signup", note(F.concat(F.lit("Contract Accepted: <EM4>[BP]*</EM4> Haul "), k.cast("string"), F.lit(" | Depot "), k.cast("string"), F.lit(" > Port : ")), ", ObjectiveId: []"))
-        .when(kind == "view", F.concat(F.lit("<CLocalMissionPhaseMarker::CreateMarker> Creating marker: missionId [m"), uid, F.lit("], generator name [Covalex_Hauling], contract [HaulCargo_AToB_Waste_PressIce_Stanton1_SupplyGrade], contractDefinitionId [d"), k.cast("string"), F.lit("], objectiveId [pickup_"), k.cast("string"), F.lit("_0], position [x: 1.5, y: -2.0, z: "), k.cast("string"), F.lit(".25]")))
+        F.when(kind == "signup", note(F.concat(F.lit("Contract Accepted: <EM4>[BP]*</EM4> Haul "), said, F.lit(" | Depot "), said, F.lit(" > Port : ")), ", ObjectiveId: []"))
+        .when(kind == "view", F.concat(F.lit("<CLocalMissionPhaseMarker::CreateMarker> Creating marker: missionId [m"), uid, F.lit("], generator name [Covalex_Hauling], contract [HaulCargo_AToB_Waste_PressIce_Stanton1_SupplyGrade], contractDefinitionId [d"), said, F.lit("], objectiveId [pickup_"), leg, F.lit("_0], position [x: 1.5, y: -2.0, z: "), said, F.lit(".25]")))
         .when(kind == "purchase", note(F.concat(F.lit("Awarded "), F.floor("value").cast("string"), F.lit(" aUEC: done"))))
-        .when(kind == "error", note(F.concat(F.lit("New Objective: Deliver 0/"), k.cast("string"), F.lit(" SCU of Waste to Everus Harbor:")), ", ObjectiveId: [dropoff_1_0]"))
-        .otherwise(F.concat(F.lit("<MissionEnded> noise for mission_id m"), uid))
+        .when(kind == "error", note(F.concat(F.lit("New Objective: Deliver 0/"), said, F.lit(" SCU of Waste to Everus Harbor:")), ", ObjectiveId: [dropoff_1_0]"))
+        .otherwise(click)
     )
     return e.select(
         "event_id", F.when(F.col("event_id") % 4 == 0, "live").otherwise("historical").alias("source"), F.lit(0).alias("file_rank"), F.col("event_id").cast("int").alias("line_no"),
@@ -42,42 +51,64 @@ def parse_log_lines(spark, d):
     e = P.parse_lines(log_lines(spark, d).drop("event_id"))
     return e.select(
         "seq", "source", "type", "ts", "mission_id", "objective_id", "kind", "title", "title_pickup", "title_dropoff", "giver", "contract_definition_id", F.col("position.z").alias("z"), "commodity",
-        "scu_total", "location", "amount",
+        "scu_total", "location", "completion_type", "reason", "amount", "location_id",
     )
 
 
-PARSED_SQL = """SELECT event_id AS seq, CASE WHEN event_id % 4 = 0 THEN 'live' ELSE 'historical' END AS source,
-       CASE event_type WHEN 'signup' THEN 'missionAccepted' WHEN 'view' THEN 'missionMarker' WHEN 'purchase' THEN 'payoutAwarded' ELSE 'objectiveDeclared' END AS type,
-       epoch_us(ts) // 1000 AS ts, CASE WHEN event_type <> 'purchase' THEN 'm' || user_id END AS mission_id,
-       CASE event_type WHEN 'view' THEN 'pickup_' || k || '_0' WHEN 'error' THEN 'dropoff_1_0' END AS objective_id, CASE event_type WHEN 'view' THEN 'pickup' WHEN 'error' THEN 'dropoff' END AS kind,
-       CASE WHEN event_type = 'signup' THEN 'Haul ' || k || ' | Depot ' || k || ' > Port' END AS title, CASE WHEN event_type = 'signup' THEN 'Depot ' || k END AS title_pickup, CASE WHEN event_type = 'signup' THEN 'Port' END AS title_dropoff,
-       CASE WHEN event_type = 'view' THEN 'Covalex_Hauling' END AS giver, CASE WHEN event_type = 'view' THEN 'd' || k END AS contract_definition_id, CASE WHEN event_type = 'view' THEN CAST(k AS DOUBLE) + 0.25 END AS z,
-       CASE WHEN event_type = 'error' THEN 'Waste' END AS commodity, CASE WHEN event_type = 'error' THEN k END AS scu_total, CASE WHEN event_type = 'error' THEN 'Everus Harbor' END AS location,
-       CASE WHEN event_type = 'purchase' THEN CAST(floor(value) AS BIGINT) END AS amount
-FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events) WHERE event_type <> 'click'"""
+PARSED_SQL = """SELECT seq, source, type, ts, CASE WHEN type NOT IN ('payoutAwarded', 'fined', 'locationInventory') THEN 'm' || user_id || '_' || (k % 5) END AS mission_id,
+       CASE WHEN type = 'missionMarker' OR (type = 'objectiveCompleted' AND k < 40) THEN 'pickup_' || (k % 10) || '_0' WHEN type IN ('objectiveDeclared', 'objectiveCompleted') THEN 'dropoff_1_0' END AS objective_id,
+       CASE type WHEN 'missionMarker' THEN 'pickup' WHEN 'objectiveDeclared' THEN 'dropoff' END AS kind,
+       CASE WHEN type = 'missionAccepted' THEN 'Haul ' || k || ' | Depot ' || k || ' > Port' END AS title, CASE WHEN type = 'missionAccepted' THEN 'Depot ' || k END AS title_pickup, CASE WHEN type = 'missionAccepted' THEN 'Port' END AS title_dropoff,
+       CASE WHEN type = 'missionMarker' THEN 'Covalex_Hauling' END AS giver, CASE WHEN type = 'missionMarker' THEN 'd' || k END AS contract_definition_id, CASE WHEN type = 'missionMarker' THEN CAST(k AS DOUBLE) + 0.25 END AS z,
+       CASE WHEN type = 'objectiveDeclared' THEN 'Waste' END AS commodity, CASE WHEN type = 'objectiveDeclared' THEN k END AS scu_total, CASE WHEN type = 'objectiveDeclared' THEN 'Everus Harbor' END AS location,
+       CASE WHEN type = 'missionEnded' THEN CASE WHEN k < 65 THEN 'complete' ELSE 'abandon' END END AS completion_type, CASE WHEN type = 'missionEnded' THEN 'over' END AS reason,
+       CASE type WHEN 'payoutAwarded' THEN CAST(floor(value) AS BIGINT) WHEN 'fined' THEN k END AS amount, CASE WHEN type = 'locationInventory' THEN 'Stanton_Depot_' || (k % 10) END AS location_id
+FROM (SELECT *, event_id AS seq, CASE WHEN event_id % 4 = 0 THEN 'live' ELSE 'historical' END AS source, epoch_us(ts0) // 1000 AS ts,
+             CASE event_type WHEN 'signup' THEN 'missionAccepted' WHEN 'view' THEN 'missionMarker' WHEN 'purchase' THEN 'payoutAwarded' WHEN 'error' THEN 'objectiveDeclared'
+                  ELSE CASE WHEN k < 60 THEN 'objectiveCompleted' WHEN k < 70 THEN 'missionEnded' WHEN k < 80 THEN 'fined' WHEN k < 90 THEN 'locationInventory' END END AS type
+      FROM (SELECT * EXCLUDE (ts), ts AS ts0, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events)) WHERE type IS NOT NULL"""
 
 
 def reduced_missions(spark, d):
     m, _, _, _ = E.reduce_events(P.parse_lines(log_lines(spark, d).drop("event_id")))
-    return m.select("id", "title", "giver", "variant", "grade", "status", "accepted_at", "session", "created_seq", "title_pickup", "contract_definition_id")
-
-
-REDUCED_SQL = f"""WITH p AS ({PARSED_SQL}), f AS (SELECT * FROM p WHERE mission_id IS NOT NULL)
+    return m.select("id", "title", "giver", "variant", "grade", "status", "accepted_at", "completed_at", "terminal_source", "session", "created_seq", "title_pickup", "contract_definition_id")
+
+
+#: Legs with the first and last completion and the game's last word on the mission; the state of a mission at each completion.
+STATES_SQL = f"""p AS ({PARSED_SQL}), f AS (SELECT * FROM p WHERE mission_id IS NOT NULL),
+ends AS (SELECT mission_id, arg_max(completion_type, seq) AS completion_type, arg_max(ts, seq) AS end_ts, max(seq) FILTER (WHERE completion_type = 'complete') AS end_seq FROM f WHERE type = 'missionEnded' GROUP BY mission_id),
+l AS (SELECT mission_id, objective_id, min(seq) AS first_seq, min(seq) FILTER (WHERE type = 'objectiveCompleted') AS done_seq, max(seq) FILTER (WHERE type = 'objectiveCompleted') AS redone_seq,
+             coalesce(arg_max(kind, seq) FILTER (WHERE kind IS NOT NULL), 'dropoff') AS kind, bool_or(type = 'missionMarker') AS marked FROM f WHERE objective_id IS NOT NULL GROUP BY mission_id, objective_id),
+looks AS (SELECT e.mission_id, e.seq, e.ts, count(*) FILTER (WHERE l.first_seq <= e.seq) AS legs, count(*) FILTER (WHERE l.done_seq <= e.seq) AS closed
+          FROM f e JOIN l ON l.mission_id = e.mission_id WHERE e.type = 'objectiveCompleted' GROUP BY e.mission_id, e.seq, e.ts),
+state AS (SELECT mission_id, arg_max(legs > 0 AND legs = closed, seq) AS whole, arg_max(closed, seq) AS closed, coalesce(max(seq) FILTER (WHERE legs <> closed), -1) AS broken FROM looks GROUP BY mission_id),
+since AS (SELECT k.mission_id, arg_min(k.ts, k.seq) AS since FROM looks k JOIN state s ON s.mission_id = k.mission_id WHERE k.legs > 0 AND k.legs = k.closed AND k.seq > s.broken GROUP BY k.mission_id)"""
+REDUCED_SQL = f"""WITH {STATES_SQL}, m AS (
 SELECT mission_id AS id, coalesce(arg_min(title, seq) FILTER (WHERE type = 'missionAccepted'), '') AS title, arg_max(giver, seq) FILTER (WHERE type = 'missionMarker') AS giver,
-       CASE WHEN bool_or(type = 'missionMarker') THEN 'A_TO_B' ELSE 'MANUAL' END AS variant, CASE WHEN bool_or(type = 'missionMarker') THEN 'SUPPLY' ELSE 'UNKNOWN' END AS grade, 'accepted' AS status,
+       CASE WHEN bool_or(type = 'missionMarker') THEN 'A_TO_B' ELSE 'MANUAL' END AS variant, CASE WHEN bool_or(type = 'missionMarker') THEN 'SUPPLY' ELSE 'UNKNOWN' END AS grade,
        coalesce(CASE WHEN arg_min(type, seq) IN ('missionMarker', 'missionAccepted') THEN arg_min(ts, seq) END, arg_min(ts, seq) FILTER (WHERE type = 'missionAccepted')) AS accepted_at,
        CASE WHEN bool_or(source = 'live') THEN 'live' ELSE 'historical' END AS session, min(seq) AS created_seq, arg_min(title_pickup, seq) FILTER (WHERE type = 'missionAccepted') AS title_pickup,
-       arg_max(contract_definition_id, seq) FILTER (WHERE type = 'missionMarker') AS contract_definition_id FROM f GROUP BY mission_id"""
+       arg_max(contract_definition_id, seq) FILTER (WHERE type = 'missionMarker') AS contract_definition_id FROM f GROUP BY mission_id)
+SELECT m.*, CASE WHEN ends.completion_type = 'complete' THEN 'complete' WHEN ends.completion_type IS NOT NULL THEN 'abandoned' WHEN state.whole THEN 'complete' WHEN state.closed > 0 THEN 'in_progress' ELSE 'accepted' END AS status,
+       CASE WHEN ends.completion_type IS NOT NULL THEN end_ts ELSE since END AS completed_at, CASE WHEN ends.completion_type IS NOT NULL THEN 'game' END AS terminal_source
+FROM m LEFT JOIN ends ON ends.mission_id = id LEFT JOIN state ON state.mission_id = id LEFT JOIN since ON since.mission_id = id"""
 
 
 def reduced_legs(spark, d):
     _, legs, _, _ = E.reduce_events(P.parse_lines(log_lines(spark, d).drop("event_id")))
-    return legs.select("mission_id", "objective_id", "kind", "commodity", "scu_total", "completed", "pos_z")
-
-
-REDUCED_LEGS_SQL = f"""WITH p AS ({PARSED_SQL}) SELECT mission_id, objective_id, any_value(kind) AS kind, CASE WHEN any_value(kind) = 'pickup' THEN 'Pressurized Ice' ELSE 'Waste' END AS commodity,
-       coalesce(arg_max(scu_total, seq) FILTER (WHERE type = 'objectiveDeclared'), 0) AS scu_total, false AS completed, arg_max(z, seq) FILTER (WHERE type = 'missionMarker') AS pos_z
-FROM p WHERE objective_id IS NOT NULL GROUP BY mission_id, objective_id"""
+    return legs.select("mission_id", "objective_id", "kind", "commodity", "scu_total", "scu_delivered", "location", "completed", "pos_z")
+
+
+REDUCED_LEGS_SQL = f"""WITH {STATES_SQL}, t AS (
+SELECT l.*, greatest(redone_seq, CASE WHEN first_seq < end_seq THEN end_seq END) AS gone FROM l LEFT JOIN ends ON ends.mission_id = l.mission_id),
+v AS (SELECT f.mission_id, f.objective_id, arg_max(location, seq) FILTER (WHERE type = 'objectiveDeclared') AS location, arg_max(scu_total, seq) FILTER (WHERE type = 'objectiveDeclared') AS scu_total,
+             arg_max(scu_total, seq) FILTER (WHERE type = 'objectiveDeclared' AND seq < gone) AS moved, arg_max(z, seq) FILTER (WHERE type = 'missionMarker') AS pos_z
+      FROM f JOIN t ON t.mission_id = f.mission_id AND t.objective_id = f.objective_id GROUP BY f.mission_id, f.objective_id),
+n AS (SELECT mission_id, kind, count(*) AS n FROM l GROUP BY mission_id, kind),
+a AS (SELECT mission_id, arg_min(title_pickup, seq) FILTER (WHERE type = 'missionAccepted') AS title_pickup, arg_min(title_dropoff, seq) FILTER (WHERE type = 'missionAccepted') AS title_dropoff FROM f GROUP BY mission_id HAVING bool_or(type = 'missionMarker'))
+SELECT t.mission_id, t.objective_id, t.kind, CASE WHEN v.scu_total IS NOT NULL THEN 'Waste' WHEN t.marked THEN 'Pressurized Ice' ELSE '' END AS commodity, coalesce(v.scu_total, 0) AS scu_total, coalesce(v.moved, 0) AS scu_delivered,
+       CASE WHEN v.location IS NULL AND n.n = 1 THEN CASE t.kind WHEN 'pickup' THEN a.title_pickup ELSE a.title_dropoff END ELSE v.location END AS location, t.gone IS NOT NULL AS completed, v.pos_z
+FROM t JOIN v ON v.mission_id = t.mission_id AND v.objective_id = t.objective_id JOIN n ON n.mission_id = t.mission_id AND n.kind = t.kind LEFT JOIN a ON a.mission_id = t.mission_id"""
 
 
 def template_parse(spark, d):
