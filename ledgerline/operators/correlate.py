@@ -102,34 +102,43 @@ def nearest_missions(pending: DataFrame, missions: DataFrame, within: int = 30_0
     return exact.join(best, "pending_id", "left").select("pending_id", F.coalesce("by_id", "by_title").alias("match"))
 
 
-def paired_legs(legs: pd.DataFrame) -> pd.DataFrame:
-    """One edge a dropoff of a mission: an unused pickup of its commodity, else the next unused one, else the first."""
-    legs = legs.sort_values("objective_id")
-    picks = legs[legs["kind"] == "pickup"].to_dict("records")
-    used: set[str] = set()
-    out = []
-    for d in legs[legs["kind"] == "dropoff"].to_dict("records"):
-        free = [p for p in picks if p["objective_id"] not in used]
-        pick = next((p for p in free if p["commodity"] and p["commodity"] == d["commodity"]), None) or next(iter(free), None) or next(iter(picks), None)
-        if pick:
-            used.add(pick["objective_id"])
-        name = lambda x: x["location"] if x and x["location"] is not None else "Unknown"
-        out.append((
-            d["mission_id"], f"{d['mission_id']}:{pick['objective_id'] if pick else 'none'}->{d['objective_id']}", name(pick), name(d),
-            d["commodity"] or (pick["commodity"] if pick else "") or "", d["scu_total"], bool(pick) and pick["location"] is not None, d["location"] is not None, bool(d["completed"]) and (not pick or bool(pick["completed"])),
-        ))
-    return pd.DataFrame(out, columns=EDGE_COLUMNS)
-
-
-EDGE_COLUMNS = ["mission_id", "edge_id", "from_location", "to_location", "commodity", "scu", "from_known", "to_known", "done"]
-EDGES = "mission_id string, edge_id string, from_location string, to_location string, commodity string, scu long, from_known boolean, to_known boolean, done boolean"
+def paired(picks: Column, drops: Column) -> Column:
+    """An array of structs d, p: each dropoff with its pickup, in order: an unused one of its commodity, else the next
+    unused one, else the first (null without any). picks, drops: arrays of structs with objective_id and commodity."""
+
+    def claim(state: Column, d: Column) -> Column:
+        same = F.filter(state["free"], lambda p: (p["commodity"] != "") & (p["commodity"] == d["commodity"]))
+        pick = F.coalesce(F.get(same, F.lit(0)), F.get(state["free"], F.lit(0)), F.get(picks, F.lit(0)))
+        # a list of one, so that the pick is worked out once
+        after = F.transform(
+            F.array(pick),
+            lambda p: F.struct(
+                F.filter(state["free"], lambda x: ~x["objective_id"].eqNullSafe(p["objective_id"])).alias("free"),
+                F.concat(state["out"], F.array(F.struct(d.alias("d"), p.alias("p")))).alias("out"),
+            ),
+        )
+        return F.get(after, F.lit(0))
+
+    none = F.filter(F.transform(drops, lambda d: F.struct(d.alias("d"), F.get(picks, F.lit(0)).alias("p"))), lambda _: F.lit(False))
+    return F.aggregate(drops, F.struct(picks.alias("free"), none.alias("out")), claim, lambda state: state["out"])
 
 
 def route_edges(missions: DataFrame, legs: DataFrame) -> DataFrame:
-    """The haul graph of the open missions. A mission's legs are paired in order inside one group."""
+    """The haul graph of the open missions: one edge a dropoff. A mission's legs, a bounded handful, are gathered in one
+    array and paired by a fold over its dropoffs."""
     mine = missions.filter(F.col("status").isin("accepted", "in_progress")).select(F.col("id").alias("mission_id"))
-    rows = legs.join(mine, "mission_id", "left_semi").select("mission_id", "objective_id", "kind", "commodity", "scu_total", "location", "completed")
-    return rows.groupBy("mission_id").applyInPandas(paired_legs, EDGES)
+    leg = F.struct("objective_id", "commodity", "scu_total", "location", "completed")
+    of = lambda kind: F.array_sort(F.collect_list(F.when(F.col("kind") == kind, leg)))
+    both = legs.join(mine, "mission_id", "left_semi").groupBy("mission_id").agg(of("pickup").alias("picks"), of("dropoff").alias("drops"))
+    edges = both.select("mission_id", F.inline(paired(F.col("picks"), F.col("drops"))))
+    name = lambda c: F.coalesce(F.col(c), F.lit("Unknown"))
+    text = lambda c: F.nullif(F.col(c), F.lit(""))
+    return edges.select(
+        "mission_id", F.concat("mission_id", F.lit(":"), F.coalesce("p.objective_id", F.lit("none")), F.lit("->"), "d.objective_id").alias("edge_id"),
+        name("p.location").alias("from_location"), name("d.location").alias("to_location"), F.coalesce(text("d.commodity"), text("p.commodity"), F.lit("")).alias("commodity"),
+        F.col("d.scu_total").alias("scu"), F.col("p.location").isNotNull().alias("from_known"), F.col("d.location").isNotNull().alias("to_known"),
+        (F.coalesce("d.completed", F.lit(False)) & (F.col("p").isNull() | F.coalesce("p.completed", F.lit(False)))).alias("done"),
+    )
 
 
 def route_stop_count(edges: DataFrame) -> DataFrame:

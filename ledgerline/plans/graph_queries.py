@@ -146,7 +146,27 @@ _ROCKS = """rocks AS (SELECT p_name || ' ' || p_partkey AS name, ['Common','Unco
 _AWARDS = "a AS (SELECT CAST(floor(value) AS BIGINT) AS amount, epoch_us(ts) // 1000 AS ts, min(event_id) AS seq FROM events WHERE event_type = 'purchase' GROUP BY ALL)"
 _VISITS = """v AS (SELECT CAST(vec_id % 60 AS VARCHAR) AS problem_id, 's' || vec_id AS stop_id, vec_id // 60 AS place, CASE WHEN vec_id % 3 = 0 THEN 'dropoff' ELSE 'pickup' END AS kind, vec_id % 50 AS scu, 'place' || (vec_id % 5) AS location,
     CASE WHEN vec_id % 11 <> 0 THEN CAST(embedding[1] AS DOUBLE) END AS x, CASE WHEN vec_id % 11 <> 0 THEN CAST(embedding[2] AS DOUBLE) END AS y, CASE WHEN vec_id % 11 <> 0 THEN CAST(embedding[3] AS DOUBLE) END AS z FROM embeddings)"""
+#: The edges of the open missions: dropoffs in order take pickups in order.
+_EDGES = f"""{A.SQL_MISSIONS}, {A.SQL_LEGS},
+    l AS (SELECT legs.* FROM legs JOIN missions ON missions.id = mission_id WHERE status IN ('accepted', 'in_progress')),
+    pk AS (SELECT mission_id, list({{'id': objective_id, 'c': commodity, 'at': location, 'ok': completed}} ORDER BY objective_id) AS picks FROM l WHERE kind = 'pickup' GROUP BY 1),
+    dr AS (SELECT l.*, row_number() OVER (PARTITION BY mission_id ORDER BY objective_id) AS r FROM l WHERE kind = 'dropoff'),
+    o AS (SELECT mission_id, 0 AS r, coalesce(picks, []) AS picks, coalesce(picks, []) AS free, picks[0] AS p FROM (SELECT DISTINCT mission_id FROM dr) LEFT JOIN pk USING (mission_id)
+          UNION ALL SELECT mission_id, r, picks, list_filter(free, lambda x: x.id <> p.id), p FROM (
+              SELECT o.mission_id, dr.r, picks, free, coalesce(list_filter(free, lambda x: x.c <> '' AND x.c = dr.commodity)[1], free[1], picks[1]) AS p FROM o JOIN dr ON dr.mission_id = o.mission_id AND dr.r = o.r + 1)),
+    edges AS (SELECT dr.mission_id, dr.mission_id || ':' || coalesce(p.id, 'none') || '->' || objective_id AS edge_id, coalesce(p.at, 'Unknown') AS from_location, coalesce(location, 'Unknown') AS to_location,
+                     coalesce(nullif(commodity, ''), nullif(p.c, ''), '') AS commodity, scu_total AS scu, p.at IS NOT NULL AS from_known, location IS NOT NULL AS to_known, completed AND coalesce(p.ok, true) AS done
+              FROM dr JOIN o ON o.mission_id = dr.mission_id AND o.r = dr.r)"""
 ORACLE_SQL = {
+    "route_edges": f"WITH RECURSIVE {_EDGES} SELECT * FROM edges",
+    "route_stop_count": f"WITH RECURSIVE {_EDGES} SELECT count(DISTINCT x) AS stops FROM (SELECT unnest([from_location, to_location]) AS x FROM edges)",
+    "payout_greedy": f"""WITH RECURSIVE {_AWARDS}, w AS (SELECT *, row_number() OVER (ORDER BY seq) AS r FROM a),
+        c AS (SELECT list({{'id': 'm' || event_id, 't': epoch_us(ts) // 1000}} ORDER BY epoch_us(ts) // 1000, event_id) AS unpaid FROM events WHERE event_type = 'signup' AND user_id % 3 < 2),
+        s AS (SELECT 0 AS r, unpaid, list_transform(unpaid[1:0], lambda x: x.id) AS near, CAST(0 AS BIGINT) AS amount FROM c
+              UNION ALL SELECT r, list_filter(unpaid, lambda x: len(near) = 0 OR x.id <> near[1]), near, amount FROM (
+                  SELECT w.r, unpaid, w.amount, list_transform(list_filter(unpaid, lambda x: x.t >= w.ts - {HOUR} AND x.t <= w.ts), lambda x: x.id) AS near FROM s JOIN w ON w.r = s.r + 1)),
+        n AS (SELECT unnest(near) AS mission_id, generate_subscripts(near, 1) AS place, len(near) AS n, amount FROM s)
+        SELECT mission_id, max(amount) FILTER (WHERE place = 1) AS payout, CASE WHEN bool_or(n > 1) THEN 'approximate' ELSE 'confirmed' END AS payout_confidence FROM n GROUP BY mission_id""",
     "payout_candidates": f"""WITH {_AWARDS}, c AS (SELECT epoch_us(ts) // 1000 AS done_at FROM events WHERE event_type = 'signup')
         SELECT amount, ts, count(done_at) AS candidates, CASE count(done_at) WHEN 0 THEN 'other_income' WHEN 1 THEN 'confirmed' ELSE 'approximate' END AS outcome FROM a LEFT JOIN c ON done_at BETWEEN ts - {HOUR} AND ts GROUP BY amount, ts""",
     "nearest_missions": f"""WITH {A.SQL_MISSIONS}, p AS (SELECT c_custkey AS pending_id, CASE WHEN c_custkey % 4 = 0 THEN CAST(c_custkey AS VARCHAR) ELSE 'none' END AS mission_id, CASE WHEN c_custkey % 2 = 0 THEN 'haul 1-urgent' ELSE 'haul 2-high' END AS key, 800000000000 + c_custkey * 86400000 AS ts FROM customer),

@@ -32,19 +32,21 @@ def log_lines(spark, d):
         .when(k < 70, F.concat(F.lit("<EndMission> "), ids, F.when(k < 65, " CompletionType[Complete]").otherwise(" CompletionType[Abandon]"), F.lit(" Reason[over]")))
         .when(k < 80, note(F.concat(F.lit("Fined "), said, F.lit(" UEC: late"))))
         .when(k < 90, F.concat(F.lit("<RequestLocationInventory> Player asks at Location[Stanton_Depot_"), leg, F.lit("]")))
-        .otherwise(F.concat(F.lit("<MissionEnded> noise for mission_id m"), uid))
+        .when(k < 95, F.concat(F.lit("<MissionEnded> noise for mission_id m"), uid)).otherwise(F.concat(F.lit("<Spawn> nothing about "), uid))
     )
     body = (
         F.when(kind == "signup", note(F.concat(F.lit("Contract Accepted: <EM4>[BP]*</EM4> Haul "), said, F.lit(" | Depot "), said, F.lit(" > Port : ")), ", ObjectiveId: []"))
         .when(kind == "view", F.concat(F.lit("<CLocalMissionPhaseMarker::CreateMarker> Creating marker: missionId [m"), uid, F.lit("], generator name [Covalex_Hauling], contract [HaulCargo_AToB_Waste_PressIce_Stanton1_SupplyGrade], contractDefinitionId [d"), said, F.lit("], objectiveId [pickup_"), leg, F.lit("_0], position [x: 1.5, y: -2.0, z: "), said, F.lit(".25]")))
-        .when(kind == "purchase", note(F.concat(F.lit("Awarded "), F.floor("value").cast("string"), F.lit(" aUEC: done"))))
+        .when(kind == "purchase", note(F.concat(F.lit("Awarded "), F.floor("paid").cast("string"), F.lit(" aUEC: done"))))
         .when(kind == "error", note(F.concat(F.lit("New Objective: Deliver 0/"), said, F.lit(" SCU of Waste to Everus Harbor:")), ", ObjectiveId: [dropoff_1_0]"))
         .otherwise(click)
     )
-    return e.select(
+    rows = e.select(
         "event_id", F.when(F.col("event_id") % 4 == 0, "live").otherwise("historical").alias("source"), F.lit(0).alias("file_rank"), F.col("event_id").cast("int").alias("line_no"),
-        F.concat(F.lit("<"), stamp, F.lit("Z> [Notice] "), body).alias("value"),
-    )
+        "ts", "props", "event_type", "user_id", "value",
+    ).withColumnRenamed("value", "paid")
+    body = F.concat(F.lit("<"), stamp, F.lit("Z> [Notice] "), body)
+    return P.fenced(rows, value=body).select("event_id", "source", "file_rank", "line_no", "value")
 
 
 def parse_log_lines(spark, d):
@@ -155,7 +157,7 @@ def redact_documents(spark, d):
 
 
 def mission_lines(spark, d):
-    return P.last_lines(log_lines(spark, d).drop("event_id")).select("line_no", F.length("value").alias("n"))
+    return P.last_lines(log_lines(spark, d).drop("event_id")).select("line_no", "source")
 
 
 def location_changes(spark, d):
@@ -191,6 +193,8 @@ _N = "CASE p_partkey % 12 " + " ".join(f"WHEN {i} THEN '{n}'" for i, n in enumer
 _DICT = "(VALUES " + ", ".join(f"({i}, '{n}')" for i, n in enumerate(NAMES)) + ") AS t(idx, value)"
 ORACLE_SQL = {
     "parse_log_lines": PARSED_SQL, "reduced_missions": REDUCED_SQL, "reduced_legs": REDUCED_LEGS_SQL,
+    "mission_lines": """SELECT CAST(event_id AS INTEGER) AS line_no, CASE WHEN event_id % 4 = 0 THEN 'live' ELSE 'historical' END AS source FROM events
+        WHERE event_type <> 'click' OR CAST(json_extract_string(props, '$.k') AS BIGINT) < 95 ORDER BY event_id DESC LIMIT 2000""",
     "template_parse": """SELECT event_id, CASE user_id % 3 WHEN 0 THEN 'SINGLE_TO_MULTI' WHEN 1 THEN 'MULTI_TO_SINGLE' ELSE 'A_TO_B' END AS variant, CASE user_id % 3 WHEN 0 THEN 'SUPPLY' WHEN 1 THEN 'SMALL' ELSE 'BULK' END AS grade,
         CASE user_id % 3 WHEN 0 THEN 'RefinedOre' WHEN 1 THEN 'cmat' ELSE '' END AS commodity_token, CASE user_id % 3 WHEN 0 THEN 'Refined Ore' WHEN 1 THEN 'Construction Materials' ELSE '' END AS commodity,
         CASE user_id % 3 WHEN 0 THEN 'SINGLE_TO_MULTI' WHEN 1 THEN 'MULTI_TO_SINGLE' ELSE 'A_TO_B' END AS stored_variant, CASE user_id % 3 WHEN 0 THEN 'SUPPLY' WHEN 1 THEN 'SMALL' ELSE 'BULK' END AS stored_grade FROM events""",
