@@ -58,18 +58,24 @@ def confusable_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
 def scored_pairs(inputs: DataFrame, dictionary: DataFrame, confusable: bool = True) -> DataFrame:
     """Distinct normalised inputs with each entry of the dictionary (value, idx) that can score, and its score.
 
-    The dictionary is counted before it is broadcast. Length alone bounds the edit part of a score (two letters read
+    The dictionary is counted before it is broadcast; beyond DICTIONARY_LIMIT entries it is dealt to blocks of about so
+    many, which the inputs meet one by one. Length alone bounds the edit part of a score (two letters read
     as one cost less than one), so hopeless pairs are dropped before the costly measure.
     """
     n = dictionary.count()
-    if n > DICTIONARY_LIMIT:
-        raise ValueError(f"{n} entries; a dictionary of up to {DICTIONARY_LIMIT} is meant")
-    entries = F.broadcast(dictionary.select("idx", "value", normalized(F.col("value")).alias("entry")).filter("entry <> ''"))
+    entries = dictionary.select("idx", "value", normalized(F.col("value")).alias("entry")).filter("entry <> ''")
     keys = inputs.select(normalized(F.col("input")).alias("key")).filter("key <> ''").distinct()
     a, b = F.length("key"), F.length("entry")
     inside = (F.least(a, b) >= 3) & (F.col("key").contains(F.col("entry")) | F.col("entry").contains(F.col("key")))
     bound = 1 - SWAP * F.abs(a - b) / F.greatest(a, b)
-    pairs = keys.join(entries, inside | (bound > 0))
+    near = inside | (bound > 0)
+    if n <= DICTIONARY_LIMIT:
+        pairs = keys.join(F.broadcast(entries), near)
+    else:
+        blocks = -(-n // DICTIONARY_LIMIT)
+        dealt = entries.withColumn("__block", F.pmod(F.xxhash64("entry"), F.lit(blocks)))
+        met = keys.withColumn("__block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<long>")))
+        pairs = met.join(dealt, "__block").filter(near).drop("__block")
     edit = confusable_similarity(F.col("key"), F.col("entry")) if confusable else similarity(F.col("key"), F.col("entry"))
     contained = F.when(inside, 0.5 + 0.5 * F.least(a, b) / F.greatest(a, b)).otherwise(0.0)
     return pairs.withColumn("score", F.when(F.col("key") == F.col("entry"), 1.0).otherwise(F.greatest(edit, contained) if confusable else edit))
@@ -93,6 +99,6 @@ def title_match(inputs: DataFrame, dictionary: DataFrame, threshold: float = TIT
 
 def preselected(matched: DataFrame, candidates: DataFrame) -> DataFrame:
     """matched (preselect_id, match, confident, ...) with `target`: the given id if it is a candidate, else a sure match's."""
-    ids = F.broadcast(candidates.select("id", F.col("value").alias("match")))
-    given = F.broadcast(candidates.select(F.col("id").alias("preselect_id"), F.col("id").alias("given")))
+    ids = candidates.select("id", F.col("value").alias("match"))
+    given = candidates.select(F.col("id").alias("preselect_id"), F.col("id").alias("given"))
     return matched.join(given, "preselect_id", "left").join(ids, "match", "left").withColumn("target", F.coalesce("given", F.when(F.col("confident"), F.col("id")))).drop("given", "id")

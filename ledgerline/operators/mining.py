@@ -104,15 +104,17 @@ def regions_of(body: str | None) -> list[str]:
 
 def in_area(found: Column, regions: list[str]) -> Column:
     names = [r.strip().lower() for r in regions if r.strip()]
-    regions = F.transform(F.array(*map(F.lit, names)), F.lower) if names else F.array().cast("array<string>")
+    regions = F.array(*map(F.lit, names)) if names else F.array().cast("array<string>")
     place = lambda f: F.lower(F.trim(f))
     return F.exists(found, lambda f: F.exists(regions, lambda r: place(f).contains(r) | r.contains(place(f))))
 
 
 def with_deposits(rocks: DataFrame, deposits: DataFrame) -> DataFrame:
-    """Rocks with the first deposit of their name."""
-    first = deposits.groupBy("name").agg(F.first("type").alias("type"), F.first("found_at").alias("found_at"))
-    return rocks.join(first, "name", "left")
+    """Rocks with the first deposit of their name: by `idx`, the place in the snapshot, where deposits have it; else the
+    least type and places."""
+    fields = F.struct("type", "found_at")
+    first = F.min_by(fields, F.struct("idx", fields)) if "idx" in deposits.columns else F.min(fields)
+    return rocks.join(deposits.groupBy("name").agg(first.alias("__first")), "name", "left").select(*rocks.columns, "__first.type", "__first.found_at")
 
 
 def area_rocks(rocks: DataFrame, deposits: DataFrame, regions: list[str]) -> DataFrame:

@@ -46,8 +46,8 @@ def patched_legs(legs: DataFrame, patches: DataFrame) -> DataFrame:
     Checking a leg off delivers all of it, taking that back delivers none; a delivered amount that is given wins; a
     new size of a completed leg is its delivered amount too. Patched legs carry the time as manual_override."""
     keys = ["mission_id", "objective_id"]
-    names = ["completed", "scu_delivered", "scu_total", "location", "commodity"]
-    p = patches.select(*keys, F.col("at").alias("__at"), *[(F.col(c) if c in patches.columns else F.lit(None)).alias(f"__{c}") for c in names])
+    kinds = {"completed": "boolean", "scu_delivered": "long", "scu_total": "long", "location": "string", "commodity": "string"}
+    p = patches.select(*keys, F.col("at").alias("__at"), *[(F.col(c) if c in patches.columns else F.lit(None)).cast(kind).alias(f"__{c}") for c, kind in kinds.items()])
     total, done = F.coalesce("__scu_total", "scu_total"), F.coalesce("__completed", "completed")
     delivered = (
         F.when(F.col("__scu_delivered").isNotNull(), F.col("__scu_delivered").cast("long")).when(F.col("__completed"), total).when(~F.col("__completed"), F.lit(0))
@@ -89,6 +89,22 @@ def recomputed(missions: DataFrame, legs: DataFrame, at: int) -> DataFrame:
     return out.withColumn("completed_at", when.cast("long")).withColumn("status", F.coalesce("__status", "status")).select(*missions.columns)
 
 
+def abandoned(missions: DataFrame, ids: DataFrame, at: int) -> DataFrame:
+    """missions of which those of the ids are ended by hand; the rows stay."""
+    return patched_missions(missions, ids.select("id", F.lit(at).cast("long").alias("at"), F.lit("abandoned").alias("status")))
+
+
+def paid(missions: DataFrame, payouts: DataFrame, at: int) -> DataFrame:
+    """missions with payouts (id, payout) set by hand."""
+    return patched_missions(missions, payouts.select("id", F.lit(at).cast("long").alias("at"), F.col("payout").cast("long").alias("payout")))
+
+
+def toggled(legs: DataFrame, keys: DataFrame, at: int) -> DataFrame:
+    """legs of which those of the keys (mission_id, objective_id) are checked off, or opened again if they were."""
+    now = legs.join(keys.select("mission_id", "objective_id").distinct(), ["mission_id", "objective_id"], "left_semi")
+    return patched_legs(legs, now.select("mission_id", "objective_id", F.lit(at).cast("long").alias("at"), (~F.col("completed")).alias("completed")))
+
+
 def deleted(missions: DataFrame, legs: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
     gone = ids.select("id")
     return missions.join(gone, "id", "left_anti"), legs.join(gone.withColumnRenamed("id", "mission_id"), "mission_id", "left_anti")

@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerline.functions.fuzzy import fuzzy_match
+from ledgerline.functions.logparse import last_lines
+from ledgerline.functions.redact import redacted_lines
+
 #: The title of a draft without one, rules of the reports.
 DEFAULT_TITLE = "OCR Captured Contract"
 MISSION_RULE, SALVAGE_RULE = "-" * 70, "=" * 70
@@ -67,5 +71,18 @@ def shows_banner(resolved: Column, exists: Column, state: Column) -> Column:
     return F.coalesce(F.when(~resolved, F.lit(False)).otherwise(~exists | F.coalesce(state == "disconnected", F.lit(False))), F.lit(False))
 
 
-def objectives_to_apply(objectives: DataFrame) -> DataFrame:
-    return objectives.withColumn("location", F.nullif(F.trim("location"), F.lit("")))
+def mission_line_extract(lines: DataFrame, log: list[str], user: str | None = None, most: int = 2000) -> DataFrame:
+    """The last lines about missions, in order, without the names of players and users. log: the columns of a log."""
+    kept = last_lines(lines, most).withColumn("seq", F.col("file_rank").cast("long") * F.lit(1 << 40) + F.col("line_no"))
+    return redacted_lines(kept, log, user=user).orderBy("seq")
+
+
+def objectives_to_apply(objectives: DataFrame, commodities: DataFrame | None = None, places: DataFrame | None = None) -> DataFrame:
+    """objectives with blank places gone, and names as the dictionaries (idx, value) write those that they come near."""
+    out = objectives.withColumn("location", F.nullif(F.trim("location"), F.lit("")))
+    for column, names in (("commodity", commodities), ("location", places)):
+        if names is not None:
+            read = out.select(F.col(column).alias("input")).filter("input IS NOT NULL").distinct()
+            near = fuzzy_match(read, names).select(F.col("input").alias(column), F.col("match").alias("__match"))
+            out = out.join(near, column, "left").withColumn(column, F.coalesce("__match", column)).select(*objectives.columns)
+    return out

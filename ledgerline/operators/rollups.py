@@ -33,6 +33,37 @@ def history(missions: DataFrame) -> DataFrame:
     return missions.filter(~is_open(F.col("status"))).orderBy(F.coalesce("completed_at", F.lit(0)).desc(), F.desc("created_seq"))
 
 
+def in_created_order(missions: DataFrame) -> DataFrame:
+    """The last created first."""
+    return missions.orderBy(F.desc("created_seq"))
+
+
+def history_view(missions: DataFrame) -> DataFrame:
+    """Ended missions as a viewer lists them: the last first by the time of completion, else of acceptance, else 0."""
+    return missions.filter(~is_open(F.col("status"))).withColumn("shown_at", F.coalesce("completed_at", "accepted_at", F.lit(0)).cast("long")).orderBy(F.desc("shown_at"), F.desc("created_seq"))
+
+
+def ordered_destinations(places: DataFrame) -> DataFrame:
+    """places (name, is_cargo_center): cargo centers first, then by name as people sort names."""
+    return places.orderBy(F.desc("is_cargo_center"), F.collate("name", "UNICODE"), "name")
+
+
+def choices(df: DataFrame, column: str) -> DataFrame:
+    """The distinct values of a column that hold something, sorted: what a list to choose from offers."""
+    return df.select(column).filter(F.trim(F.col(column).cast("string")) != "").distinct().orderBy(column)
+
+
+def first_few(df: DataFrame, most: int, *order: Column | str) -> DataFrame:
+    """The first rows in an order: a top-k report."""
+    return df.orderBy(*order).limit(most)
+
+
+def live_references(references: DataFrame, missions: DataFrame, legs: DataFrame) -> DataFrame:
+    """references (mission_id, objective_id) whose mission and leg still exist."""
+    kept = references.join(missions.select(F.col("id").alias("mission_id")), "mission_id", "left_semi")
+    return kept.join(legs.select("mission_id", "objective_id").distinct(), ["mission_id", "objective_id"], "left_semi")
+
+
 def incomplete_missions(missions: DataFrame, legs: DataFrame) -> DataFrame:
     """Missions with a dropoff that lacks its place or size."""
     lacking = legs.filter((F.col("kind") == "dropoff") & (F.col("location").isNull() | (F.col("scu_total") == 0)))
@@ -193,6 +224,13 @@ def status_rollup(missions: DataFrame, legs: DataFrame) -> DataFrame:
     )
 
 
+def incoming(edges: DataFrame) -> DataFrame:
+    """node, edges: the edges that end at a place as one array in order of edge_id."""
+    fields = [c for c in edges.columns if c != "to_location"]
+    order = F.struct("edge_id", F.struct(*fields).alias("edge"))
+    return edges.groupBy(F.col("to_location").alias("node")).agg(F.transform(F.array_sort(F.collect_list(order)), lambda x: x["edge"]).alias("edges"))
+
+
 def map_layout(edges: DataFrame, gap: int = 16) -> DataFrame:
     """Nodes of the edges with role, column, height and top: sources left, those with both roles between, sinks right."""
     ends = edges.select(F.col("from_location").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("into"), F.lit(None).cast("string").alias("commodity")).unionByName(

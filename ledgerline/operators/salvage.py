@@ -73,6 +73,11 @@ def ships_in_order(ships: DataFrame) -> DataFrame:
     return ships.orderBy(F.asc_nulls_last("cost_tier"), F.desc("cmat"))
 
 
+def ships_by_slug(wanted: DataFrame, ships: DataFrame) -> DataFrame:
+    """wanted (slug) with the ship of that slug; nulls where there is none."""
+    return wanted.join(ships, "slug", "left")
+
+
 def components_in_order(components: DataFrame) -> DataFrame:
     return components.orderBy(F.coalesce("sell_price", F.lit(-1)).desc(), "model")
 

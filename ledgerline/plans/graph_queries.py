@@ -67,7 +67,7 @@ def rarity_search(spark, d):
 def _deposits(spark, d):
     p = A.table(spark, d, "part")
     where = F.filter(F.array(F.when(F.col("p_partkey") % 2 == 0, "HUR-L3"), F.when(F.col("p_partkey") % 3 == 0, "Daymar"), F.when(F.col("p_partkey") % 5 == 0, "Pyro Asteroid Clusters")), lambda x: x.isNotNull())
-    return p.select(F.concat("p_name", F.lit(" "), F.col("p_partkey").cast("string")).alias("name"), F.col("p_type").alias("type"), where.alias("found_at"))
+    return p.select(F.concat("p_name", F.lit(" "), F.col("p_partkey").cast("string")).alias("name"), F.col("p_type").alias("type"), where.alias("found_at"), F.col("p_partkey").alias("idx"))
 
 
 def deposit_search(spark, d):

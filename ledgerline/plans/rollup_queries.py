@@ -50,7 +50,7 @@ def history(spark, d):
 
 def ordered_destinations(spark, d):
     n = A.table(spark, d, "nation")
-    return n.select(F.col("n_name").alias("name"), (F.col("n_regionkey") == 2).alias("is_cargo_center")).orderBy(F.desc("is_cargo_center"), "name")
+    return n.select(F.col("n_name").alias("name"), (F.col("n_regionkey") == 2).alias("is_cargo_center")).transform(R.ordered_destinations)
 
 
 def payout_labels(spark, d):
@@ -62,7 +62,7 @@ def location_matches(spark, d):
     """The nations whose names are contained, or contain, the place a probe stands for."""
     nation = A.table(spark, d, "nation").select(F.col("n_name").alias("name"))
     probes = A.table(spark, d, "nation").select(F.concat(F.lit("port "), F.lower("n_name"), F.lit(" dock")).alias("current"))
-    return probes.join(F.broadcast(nation), S.confident_location(F.col("current"), F.col("name")))
+    return probes.join(nation, S.confident_location(F.col("current"), F.col("name")))
 
 
 def first_last_events(spark, d):
