@@ -1,7 +1,8 @@
 """Missions kept up to date from a stream of log lines.
 
-Each micro-batch is parsed and appended to a table of events partitioned by a hash of the mission; the missions it
-touches are reduced again from their own events with the batch reducer, so a stream and a batch over the same lines
+Each micro-batch is parsed and appended to a table of events partitioned by a hash of the mission, then by batch; the
+missions it touches are reduced again from their own events, of which only the partitions of these hashes are read, with
+the batch reducer, so a stream and a batch over the same lines
 give the same tables, whatever the batches are, and replay changes nothing.
 """
 
@@ -13,8 +14,9 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ledgerline.functions.logparse import with_events
 from ledgerline.operators.reduce import reduce_events
+from ledgerline.sources.scratch import written
 
-BUCKETS = 64
+BUCKETS = 512
 
 
 def _bucketed(events: DataFrame) -> DataFrame:
@@ -30,10 +32,13 @@ def keep_missions(lines: DataFrame, path: str, trigger: dict | None = None) -> S
     """Start the query. Under `path`: events (all of them), missions and legs (versions by batch, the latest wins)."""
     def merge(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        # a repeated batch overwrites its own files, so replay after a failure adds nothing
-        _bucketed(batch).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/events/batch={batch_id}")
-        touched = spark.read.parquet(f"{path}/events/batch={batch_id}").select("mission_id", "bucket").filter("mission_id IS NOT NULL").distinct()
-        known = spark.read.parquet(f"{path}/events").filter(F.col("batch") <= batch_id).dropDuplicates(["seq"])
+        # a repeated batch overwrites its own partitions, so replay after a failure adds nothing
+        rows = _bucketed(batch).withColumn("batch", F.lit(batch_id).cast("long"))
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "batch").parquet(f"{path}/events")
+        events = spark.read.parquet(f"{path}/events").filter(F.col("batch") <= batch_id)
+        touched = written(events.filter(F.col("batch") == batch_id).select("mission_id", "bucket").filter("mission_id IS NOT NULL").distinct(), "touched")
+        buckets = [r["bucket"] for r in touched.select("bucket").distinct().collect()]  # BUCKETS at most
+        known = events.filter(F.col("bucket").isin(buckets)).dropDuplicates(["seq"])
         mine = known.join(touched, ["bucket", "mission_id"], "left_semi").drop("bucket", "batch")
         missions, legs, _, _ = reduce_events(mine)
         missions.write.mode("overwrite").parquet(f"{path}/missions/batch={batch_id}")
