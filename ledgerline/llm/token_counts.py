@@ -3,18 +3,19 @@
 An Aho-Corasick automaton over the vocabulary enumerates all pieces that end at each place of a word. Dynamic
 programming carries the best score and the number of pieces on it; ties go to the piece that starts first (a later
 candidate has to score strictly more). A character that no piece of one character covers can also be unknown, at the
-least score less 10; unknown characters in a row are one piece. Words begin at spaces, as with a metaspace marker.
-Equal words are counted once in a worker.
+least score less 10; unknown characters in a row are one piece. Words begin at spaces, as with a metaspace marker. Equal words are counted once in a worker. A word
+begins with its spaces; texts go through whole if the vocabulary has pieces that span words, or none for a space.
 
-This counts less than the model itself would in two ways. Its 256 byte pieces are left out, so uncovered characters in
-a row are one piece and not their UTF-8 bytes; and as words begin at every space, its 14 pieces of several spaces are
-never matched: each space of a run is a word of its own.
+With `by_bytes` (a model with byte pieces) unknown characters count as their UTF-8 bytes. The scores are those of the
+vocabulary's file: of piece_bpe_32k.model, a byte-pair model, they are merge ranks that unigram rules are applied to, so
+counts differ from that model's own.
 
 Null and empty texts have 0 tokens. Repeated rows are counted each. Empty table: no rows.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import ahocorasick
@@ -26,13 +27,24 @@ from ledgerline.llm.common import held
 
 MARK = "▁"
 PENALTY = 10.0
+WORD = re.compile(f"{MARK}+[^{MARK}]*")
 
 
-def pieces_of(path: str) -> list[tuple[str, float]]:
-    """The ordinary pieces of a sentencepiece model with their scores."""
+def _model(path: str):
     from sentencepiece import SentencePieceProcessor
 
-    model = SentencePieceProcessor(model_file=path)
+    return SentencePieceProcessor(model_file=path)
+
+
+def has_bytes(path: str) -> bool:
+    """Whether a sentencepiece model spells unknown characters in bytes."""
+    model = _model(path)
+    return any(model.is_byte(i) for i in range(model.get_piece_size()))
+
+
+def pieces_of(path: str) -> list[tuple[str, float]]:
+    """The ordinary pieces of a sentencepiece model with their scores."""
+    model = _model(path)
     special = lambda i: model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i)
     return [(model.id_to_piece(i), model.get_score(i)) for i in range(model.get_piece_size()) if not special(i)]
 
@@ -40,7 +52,7 @@ def pieces_of(path: str) -> list[tuple[str, float]]:
 class Counter(dict):
     """Pieces of a marked word."""
 
-    def __init__(self, vocabulary: list[tuple[str, float]], limit: int = 1 << 19):
+    def __init__(self, vocabulary: list[tuple[str, float]], by_bytes: bool = False, limit: int = 1 << 19):
         self.automaton = ahocorasick.Automaton()
         for piece, score in vocabulary:
             self.automaton.add_word(piece, (len(piece), score))
@@ -48,7 +60,8 @@ class Counter(dict):
             self.automaton.make_automaton()
         self.single = {p for p, _ in vocabulary if len(p) == 1}
         self.unknown = min((s for _, s in vocabulary), default=0.0) - PENALTY
-        self.empty, self.limit = not vocabulary, limit
+        self.empty, self.limit, self.by_bytes = not vocabulary, limit, by_bytes
+        self.whole = MARK not in self.single or any(MARK in p.lstrip(MARK) for p, _ in vocabulary)
 
     def best(self, word: str) -> tuple[float, int]:
         """Score and number of pieces of the best segmentation."""
@@ -67,12 +80,13 @@ class Counter(dict):
             if word[end] not in self.single:
                 x = self.unknown + score[end]
                 if top is None or x > top:
-                    top, found, unknown = x, count[end] + (not open_unknown[end]), True
+                    more = len(word[end].encode("utf-8", "surrogatepass")) if self.by_bytes else not open_unknown[end]
+                    top, found, unknown = x, count[end] + more, True
             score[end + 1], count[end + 1], open_unknown[end + 1] = top, found, unknown
         return score[n], count[n]
 
     def __missing__(self, word: str) -> int:
-        n = self.best(MARK + word)[1]
+        n = self.best(word)[1]
         if len(word) <= 64:  # what is remembered is bounded in bytes too
             if len(self) >= self.limit:
                 self.clear()
@@ -82,15 +96,17 @@ class Counter(dict):
     def of(self, text: str | None) -> int:
         if not text:
             return 0
-        text = text.replace(MARK, " ")
-        return sum(map(self.__getitem__, (text[1:] if text[0] == " " else text).split(" ")))
+        text = text.replace(" ", MARK)
+        if not text.startswith(MARK):
+            text = MARK + text
+        return self[text] if self.whole else sum(map(self.__getitem__, WORD.findall(text)))
 
 
 def counted(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_chars, n_tokens."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = held(f"counts {path}", lambda: Counter(pieces_of(path)))
+        counter = held(f"counts {path}", lambda: Counter(pieces_of(path), has_bytes(path)))
         for batch in batches:
             n = [counter.of(t) for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64())], ["doc_id", "n_chars", "n_tokens"])

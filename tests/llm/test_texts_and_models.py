@@ -99,15 +99,21 @@ def test_plan_uses_each_piece_once():
         assert max(filled.values(), default=0) <= 64
 
 
-def unigram(vocabulary):
-    t = Tokenizer(models.Unigram([("<unk>", 0.0), *vocabulary], 0, False))
-    t.pre_tokenizer = pre_tokenizers.Metaspace("▁", "always", True)
+def unigram(vocabulary, by_bytes=False):
+    """The tokenizer library's own model over whole texts."""
+    least = min(s for _, s in vocabulary)
+    spelled = [(f"<0x{i:02X}>", least) for i in range(256)] if by_bytes else []
+    t = Tokenizer(models.Unigram([("<unk>", 0.0), *vocabulary, *spelled], 0, by_bytes))
+    t.pre_tokenizer = pre_tokenizers.Metaspace("▁", "always", False)
     return t
 
 
 def test_token_counts_on_the_sample_table(spark):
-    docs = spark.read.parquet(f"{SF}/documents.parquet").unionByName(awkward(spark).select("doc_id", "text", "lang", "source", "n_chars"))
-    tok = unigram(token_counts.pieces_of(PIECES))
+    odd = spark.createDataFrame([(-1, "two  spaces   and ▁ \uff21\uff22 \U0001f600\n\n x ", "", "", 0), (-2, "   ", "", "", 0)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = spark.read.parquet(f"{SF}/documents.parquet").unionByName(awkward(spark).select("doc_id", "text", "lang", "source", "n_chars")).unionByName(odd)
+    assert token_counts.has_bytes(PIECES)
+    pieces = token_counts.pieces_of(PIECES)
+    tok = unigram(pieces, True)
     want = sorted((r.doc_id, len(r.text or ""), len(tok.encode(r.text or "", add_special_tokens=False).ids)) for r in docs.collect())
     assert sorted(tuple(r) for r in token_counts.counted(docs, PIECES).collect()) == want
     assert token_counts.counted(empty(spark), PIECES).collect() == []
