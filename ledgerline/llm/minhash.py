@@ -8,8 +8,9 @@ would. A pair of similarity s misses all tables with probability 1 - (1 - (1 - s
 2. In each bucket every node is paired with one centre, the node that meets most others over all tables: as many pairs
    as rows. Pairs are confirmed on the full shingle sets and give components.
 3. Buckets in which several components remain are searched for the links that centres missed: small buckets by their
-   pairs across components, large ones by clusters cut into blocks that are compared as matrices inside a task, which
-   hands out at most one link a row.
+   pairs across components. The nodes of large ones are banded again with more minhashes a key, so that texts that only
+   share a passage part: again small buckets are searched by pairs, and only what still falls together in large ones, in
+   clusters cut into blocks that are compared as matrices inside a task, which hands out at most one link a row.
 4. Components of all confirmed links.
 
 doc_id is taken to identify a text. Null or blank text: empty set, linked with nothing. Null doc_id: linked with
@@ -18,6 +19,7 @@ nothing, component_id null, kept. Repeated rows share a node. Empty table: no ro
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,6 +34,8 @@ from ledgerline.llm.components import components
 
 #: Buckets of up to so many nodes are searched by pairs, larger ones by blocks of so many nodes.
 PAIRS_UP_TO, BLOCK = 32, 512
+#: Tables of the second banding; its minhashes a key are as many as miss a pair of the least similarity with this chance.
+FINE_TABLES, FINE_MISS = 24, 1e-3
 SIGNED = "doc_id long, n_shingles long, h1 long, h2 long, u array<long>, v array<long>"
 
 
@@ -125,6 +129,29 @@ def forest(sets: list[np.ndarray], group: np.ndarray, percent: int, columns: int
     return out
 
 
+def _finer(nodes: DataFrame, texts: DataFrame, percent: int, seed: int = 12) -> DataFrame:
+    """node, comp, key: FINE_TABLES keys a node."""
+    rows = max(2, int(math.log(1 - FINE_MISS ** (1 / FINE_TABLES)) / math.log(percent / 100)))
+
+    def band(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by = _multipliers(FINE_TABLES * rows, seed)
+        for batch in batches:
+            keys = [np.empty(0, np.uint64)]
+            for text in batch.column(2):
+                parts = shingles.min_hashes(shingles.shingle_set(text.as_py()), by).reshape(FINE_TABLES, rows)
+                keys.append(np.array([xxhash.xxh3_64_intdigest(p.tobytes(), seed=t) for t, p in enumerate(parts)], np.uint64))
+            row = pa.array(np.repeat(np.arange(batch.num_rows), FINE_TABLES))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), pa.array(np.concatenate(keys).view(np.int64))], ["node", "comp", "key"])
+
+    return nodes.join(texts, "node").select("node", "comp", "text").mapInArrow(band, "node long, comp long, key long")
+
+
+def _across(rows: DataFrame) -> DataFrame:
+    """Pairs a, b of different components in the buckets of rows (key, node, comp)."""
+    x, y = (rows.select("key", F.col("node").alias(s), F.col("comp").alias(f"c{s}")) for s in "ab")
+    return x.join(y, "key").filter("a < b AND ca <> cb").select("a", "b").distinct()
+
+
 def _in_blocks(nodes: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """Links within clusters. nodes: node, comp, cluster."""
     sizes = nodes.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts"))
@@ -182,16 +209,18 @@ def near_duplicates(docs: DataFrame, percent: int = 85, side: int = 6, rows: int
     unresolved = of.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count(F.lit(1)).alias("m")).filter("c0 <> c1 AND m > 2").select("key")
     rest = materialize(of.join(unresolved, "key"), "minhash-rest")
     few = rest.filter(F.col("n") <= PAIRS_UP_TO).join(centres, "key").filter("node <> centre")
-    x, y = (few.select("key", F.col("node").alias(s), F.col("comp").alias(f"c{s}")) for s in "ab")
-    pairs = x.join(y, "key").filter("a < b AND ca <> cb").select("a", "b").distinct()
-    more = confirmed(pairs, texts, percent)
+    all_links = links.unionByName(confirmed(_across(few), texts, percent))
     many = rest.filter(F.col("n") > PAIRS_UP_TO)
-    if many.isEmpty():
-        all_links = links.unionByName(more)
-    else:
-        clusters = components(many.select(F.col("node").alias("a"), F.col("lo").alias("b")))
-        nodes = many.select("node", "comp").distinct().join(clusters.withColumnRenamed("component", "cluster"), "node")
-        all_links = links.unionByName(more).unionByName(_in_blocks(nodes, texts, percent))
+    if not many.isEmpty():
+        fine = materialize(_finer(many.select("node", "comp").distinct(), texts, percent), "minhash-fine")
+        mixed = fine.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.min("node").alias("lo")).filter("c0 <> c1")
+        met_again = materialize(fine.join(materialize(mixed.select("key", "n", "lo"), "minhash-mixed"), "key"), "minhash-again")
+        all_links = all_links.unionByName(confirmed(_across(met_again.filter(F.col("n") <= PAIRS_UP_TO)), texts, percent))
+        close = met_again.filter(F.col("n") > PAIRS_UP_TO)
+        if not close.isEmpty():
+            clusters = components(close.select(F.col("node").alias("a"), F.col("lo").alias("b")))
+            nodes = close.select("node", "comp").distinct().join(clusters.withColumnRenamed("component", "cluster"), "node")
+            all_links = all_links.unionByName(_in_blocks(nodes, texts, percent))
     last = components(all_links)
     return (
         members.join(last, "node", "left")
