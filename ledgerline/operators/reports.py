@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.functions.fuzzy import fuzzy_match
 from ledgerline.functions.logparse import last_lines
-from ledgerline.functions.redact import redacted_lines
+from ledgerline.functions.redact import identities, redacted
 
 #: The title of a draft without one, rules of the reports.
 DEFAULT_TITLE = "OCR Captured Contract"
@@ -72,9 +72,12 @@ def shows_banner(resolved: Column, exists: Column, state: Column) -> Column:
 
 
 def mission_line_extract(lines: DataFrame, log: list[str], user: str | None = None, most: int = 2000) -> DataFrame:
-    """The last lines about missions, in order, without the names of players and users. log: the columns of a log."""
-    kept = last_lines(lines, most).withColumn("seq", F.col("file_rank").cast("long") * F.lit(1 << 40) + F.col("line_no"))
-    return redacted_lines(kept, log, user=user).orderBy("seq")
+    """The last lines about missions, in order, without the names of players and users, which are looked for in all
+    lines. log: the columns of a log."""
+    at = F.col("file_rank").cast("long") * F.lit(1 << 40) + F.col("line_no")
+    who = identities(lines.withColumn("seq", at), log)
+    kept = last_lines(lines, most).withColumn("seq", at).join(who, log, "left")
+    return kept.withColumn("value", redacted(F.col("value"), F.col("handle"), F.col("geid"), user)).drop("handle", "geid").orderBy("seq")
 
 
 def objectives_to_apply(objectives: DataFrame, commodities: DataFrame | None = None, places: DataFrame | None = None) -> DataFrame:

@@ -291,3 +291,48 @@ def test_reports(spark):
     assert text.splitlines()[0] == "mission a" and text.splitlines()[-1] == "    - [dropoff] (no commodity) 4/9 SCU -> (no location) (open) [o]" and "  payout   : — (unknown)" in text
     assert tuple(reports.status_line(m).first()) == (1, "accepted=1")
     assert [r.title for r in reports.manual_drafts(spark.createDataFrame([(" ",), (" x ",)], "title string")).collect()] == [reports.DEFAULT_TITLE, "x"]
+
+
+def test_objectives_snap_to_names_and_lines_lose_identities(spark):
+    from ledgerline.operators import reports
+
+    o = spark.createDataFrame([("m", "Alurninum", "Sera phim Station"), ("m", None, " "), ("n", "Zzz", None)], "mission_id string, commodity string, location string")
+    names = spark.createDataFrame([(0, "Aluminum"), (1, "Stims")], "idx int, value string")
+    places = spark.createDataFrame([(0, "Seraphim Station"), (1, "Everus Harbor")], "idx int, value string")
+    got = {tuple(r) for r in reports.objectives_to_apply(o, names, places).collect()}
+    assert got == {("m", "Aluminum", "Seraphim Station"), ("m", None, None), ("n", "Zzz", None)}
+    assert {r.location for r in reports.objectives_to_apply(o).collect()} == {"Sera phim Station", None}
+    rows = [("l", 0, i, x) for i, x in enumerate(["Player[Abc] PlayerId[77]", "Awarded to Abc", "nothing", "New Objective of 77"])]
+    lines = spark.createDataFrame(rows, "log string, file_rank int, line_no int, value string")
+    assert [r.value for r in reports.mission_line_extract(lines, ["log"]).collect()] == ["Awarded to <PLAYER>", "New Objective of <PLAYERID>"]
+
+
+def test_a_dictionary_beyond_the_limit_is_searched_whole(spark, monkeypatch):
+    d = spark.createDataFrame([(i, n) for i, n in enumerate(["Aluminum", "Seraphim Station", "Stims", "Quartz", "Iron Ore", "Waste", "Agricium"])], "idx int, value string")
+    i = spark.createDataFrame([(x,) for x in ("Aluminun", "Seraphim", "5tirns", "qartz", "zzz", None, "iron ore")], "input string")
+    want = sorted(map(str, fuzzy.fuzzy_match(i, d).collect()))
+    monkeypatch.setattr(fuzzy, "DICTIONARY_LIMIT", 2)
+    assert sorted(map(str, fuzzy.fuzzy_match(i, d).collect())) == want
+
+
+def test_the_first_deposit_of_a_name(spark):
+    from ledgerline.operators import mining
+
+    rocks = spark.createDataFrame([("Quartz", "Common"), ("Gold", "Rare")], "name string, rarity string")
+    deposits = spark.createDataFrame([("Quartz", "B", ["x"], 1), ("Quartz", "A", ["y"], 2), ("Quartz", "C", ["z"], 0)], "name string, type string, found_at array<string>, idx int")
+    assert {(r.name, r.type) for r in mining.with_deposits(rocks, deposits).collect()} == {("Quartz", "C"), ("Gold", None)}
+    assert {(r.name, r.type) for r in mining.with_deposits(rocks, deposits.drop("idx")).collect()} == {("Quartz", "A"), ("Gold", None)}
+
+
+NOISY_PLACES = {
+    "Everus Harbor at Hurston's L2 Lagrange point": "Everus Harbor", "Green Glade Station j": "Green Glade Station", "Port Tressler above microTech. Hey folks": "Port Tressler", "HUR-L2 Faithful Dream Station the refinery": "HUR-L2 Faithful Dream Station",
+    "Baijini Point. Max Box Size 8 SCU": "Baijini Point", "Covalex Depot S4DC05 is waiting": "Covalex Depot S4DC05", "* Melodic Fields Station to Lorville": "Melodic Fields Station",
+}
+
+
+def test_places_end_where_other_words_begin(spark):
+    df = spark.createDataFrame([(k,) for k in NOISY_PLACES], "x string")
+    assert {r.x: r.p for r in df.select("x", noisytext.trim_destination(F.col("x")).alias("p")).collect()} == NOISY_PLACES
+    parts = {"0/32": 32, "0132": 32, "0106": None, "07150": 150, "0l120": 120, "32": None}
+    got = spark.createDataFrame([(k,) for k in parts], "x string").select("x", noisytext.merged_fraction(F.col("x")).alias("n")).collect()
+    assert {r.x: r.n for r in got} == parts | {"0132": None}
