@@ -162,3 +162,11 @@ def test_shards_with_awkward_rows(spark):
     assert max(sizes) - min(sizes) < 0.05 * sum(sizes) / 8
     mix = {s: sum(g.doc_id % 2 for g in got if g.shard == s) / sum(g.shard == s for g in got) for s in range(8)}
     assert all(0.4 < m < 0.6 for m in mix.values())
+
+
+def test_null_and_repeated_ids_keep_every_row(spark):
+    rows = [(None, "a b c", "x"), (None, "a b c", None), (None, None, "x"), (4, "", "y"), (4, "", "y"), (5, "q " * 50, "y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for got in (simhash.simhash_report(docs), sharding.shard_rows(docs)):
+        assert Counter(r.doc_id for r in got.collect()) == Counter(r[0] for r in rows)
+    assert sorted(r.slot for r in sharding.shard_rows(docs, 1).collect()) == list(range(6))

@@ -47,6 +47,17 @@ def test_cached_ids_equal_the_tokenizer(text):
     assert tokens.of(text) == tokens.encode(text)
 
 
+def test_packing_keeps_rows_without_ids(spark):
+    rows = [(None, "a b c", "x"), (None, "a b c", "x"), (None, None, "x"), (4, "", "y"), (4, "", "y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, length string")
+    check_packing(docs.collect(), packing.packed(docs, WORDS).collect())
+
+
+def test_page_columns_with_clashing_names(spark):
+    df = spark.createDataFrame([(1, "u", "<p>some words</p>", "t", 7), (1, "u", None, None, None), (None, None, "<p>x y</p>", "", 0)], "page_id long, url string, html string, text string, n_chars long")
+    assert Counter(tuple(r) for r in html_text.page_texts(df).collect()) == Counter([(1, "u", "some words", 10), (1, "u", "", 0), (None, None, "x y", 3)])
+
+
 def test_another_tokenizer_gets_texts_whole():
     tokens = packing.TokenBytes(public_tokenizers.path("byte_bpe_50k.json"))
     text = "Some  Words, it's ten 1000 words.\n\n  é " * 3
