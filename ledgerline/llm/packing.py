@@ -142,45 +142,59 @@ def pieces(docs: DataFrame, path: str, window: int = WINDOW) -> DataFrame:
     )
 
 
-def combinations(histogram: np.ndarray, window: int) -> list[tuple[int, ...]]:
+Combination = tuple[tuple[int, int], ...]  # lengths and how often each, the longest first
+
+
+def combinations(histogram: np.ndarray, window: int) -> list[Combination]:
     """Up to four lengths of the histogram that fill the window, or one of the most frequent as often as there are
     pieces of it, and one or two others."""
     there = np.flatnonzero(histogram[1:]) + 1
     present = set(there.tolist())
     common = there[np.argsort(-histogram[there], kind="stable")].tolist()
-    out = {(a,) * (window // a) for a in present if window % a == 0}
-    out |= {(window - a, a) for a in present if 2 * a < window and window - a in present}
+    out: set[Combination] = set()
+
+    def add(*lengths: int, repeated: tuple[int, int] = (0, 0)) -> None:
+        times = {a: lengths.count(a) for a in lengths}
+        if repeated[1]:
+            times[repeated[0]] = times.get(repeated[0], 0) + repeated[1]
+        out.add(tuple(sorted(times.items(), reverse=True)))
+
+    for a in present:
+        if window % a == 0:
+            add(repeated=(a, window // a))
+        if 2 * a < window and window - a in present:
+            add(window - a, a)
     for i, a in enumerate(common[:FREE3]):
         for b in common[i:FREE3]:
             if window - a - b in present:
-                out.add(tuple(sorted((a, b, window - a - b), reverse=True)))
+                add(a, b, window - a - b)
     for i, a in enumerate(common[:FREE4]):
         for j, b in enumerate(common[i:FREE4], i):
             for c in common[j:FREE4]:
                 if window - a - b - c in present:
-                    out.add(tuple(sorted((a, b, c, window - a - b - c), reverse=True)))
+                    add(a, b, c, window - a - b - c)
     for a in common[:REPEATED]:
         for times in range(2, min(window // a, int(histogram[a])) + 1):
             gap = window - times * a
             if gap in present:
-                out.add(tuple(sorted((a,) * times + (gap,), reverse=True)))
+                add(gap, repeated=(a, times))
             for b in common[:BESIDE]:
                 if gap > b and gap - b in present:
-                    out.add(tuple(sorted((a,) * times + (b, gap - b), reverse=True)))
+                    add(b, gap - b, repeated=(a, times))
     return sorted(out, reverse=True)
 
 
-def non_negative_counts(sets: list[tuple[int, ...]], histogram: np.ndarray, steps: int = 300) -> np.ndarray:
+def non_negative_counts(sets: list[Combination], histogram: np.ndarray, steps: int = 60) -> np.ndarray:
     """x >= 0 that brings the sum of x times each combination near the histogram, in least squares weighted by how many
     combinations use a length: projected gradient steps, scaled by row and column sums."""
-    column = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    row = np.array([a for s in sets for a in s])
-    per_row = np.maximum(np.bincount(row, minlength=len(histogram)), 1)
-    per_column = np.bincount(column, minlength=len(sets))
+    column = np.repeat(np.arange(len(sets), dtype=np.int32), [len(s) for s in sets])
+    row, times = np.array([pair for s in sets for pair in s], np.int32).T.copy()
+    per_row = np.maximum(np.bincount(row, times, len(histogram)), 1)
+    per_column = np.bincount(column, times, len(sets))
     x = np.zeros(len(sets))
     for _ in range(steps):
-        gap = (histogram - np.bincount(row, x[column], len(histogram))) / per_row
-        x = np.maximum(0, x + np.bincount(column, gap[row], len(sets)) / per_column)
+        gap = (histogram - np.bincount(row, x[column] * times, len(histogram))) / per_row
+        x = np.maximum(0, x + np.bincount(column, gap[row] * times, len(sets)) / per_column)
     return x
 
 
@@ -232,15 +246,15 @@ def plan(histogram: np.ndarray, window: int) -> list[tuple[int, int, int, int, i
     while placed and (sets := combinations(rest, window)):
         x = non_negative_counts(sets, rest.astype(float))
         placed, carried = 0, 0.5
-        for i in np.argsort(-x, kind="stable"):
+        for i in (order := np.argsort(-x, kind="stable"))[x[order] > 0]:
             # what rounding takes from one count goes on to the next
             carried += x[i]
-            lengths, times = np.unique(sets[i], return_counts=True)
-            n = min(int(carried), int((rest[lengths] // times).min()))
+            n = min(int(carried), *(int(rest[a]) // times for a, times in sets[i]))
             if n > 0:
                 carried -= n
-                rest[lengths] -= n * times
-                chosen.append((sets[i], n))
+                for a, times in sets[i]:
+                    rest[a] -= n * times
+                chosen.append((tuple(a for a, times in sets[i] for _ in range(times)), n))
                 placed += n
             carried = min(carried, 2.0)
     chosen += greedy(rest, window)
