@@ -83,7 +83,11 @@ def train(
     met = np.bincount(bucket, np.repeat(np.bincount(word, minlength=words_seen), sizes), BUCKETS)
     keep = met[bucket] >= least
     held_parts = np.add.reduceat(keep, np.cumsum(sizes) - sizes)  # of each word
-    used, bucket = np.unique(bucket[keep], return_inverse=True)
+    bucket = bucket[keep]
+    used = np.flatnonzero(np.bincount(bucket, minlength=BUCKETS))
+    number = np.zeros(BUCKETS, np.int32)
+    number[used] = np.arange(len(used))
+    bucket = number[bucket]
     del keep, met
     weights = weights / weights.sum()
     goal = np.eye(2)[labels]
@@ -93,10 +97,10 @@ def train(
         return np.bincount(bucket, np.repeat(of_words, held_parts), len(used))
 
     def texts_from(vectors: np.ndarray) -> np.ndarray:
-        out = np.empty((len(texts), dim))
+        out, sums = np.empty((len(texts), dim)), np.zeros(len(bucket) + 1)
         ends = np.cumsum(held_parts)
         for d in range(dim):
-            sums = np.concatenate([[0.0], np.cumsum(vectors[:, d][bucket])])
+            np.cumsum(vectors[bucket, d], out=sums[1:])
             words = (sums[ends] - sums[ends - held_parts]) / sizes
             out[:, d] = np.bincount(doc, words[word] * share, len(texts))
         return out
