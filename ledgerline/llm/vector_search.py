@@ -34,8 +34,8 @@ EXACT = float(1 << 53)
 BOUNDS = "query_id long, probe long, rid long, vec_id long, low double, high double"
 
 
-def quantised(df: DataFrame, scale: int = 256) -> DataFrame:
-    """vec_id, v: floor(scale * x) of each component as a double, of the vectors that take part."""
+def quantised(df: DataFrame, scale: int = 256, keep: tuple[str, ...] = ()) -> DataFrame:
+    """vec_id, v: floor(scale * x) of each component as a double, of the vectors that take part; and the columns to keep."""
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < F.lit(float("inf"))))
 
     def whole(x):
@@ -43,7 +43,7 @@ def quantised(df: DataFrame, scale: int = 256) -> DataFrame:
         return F.when(F.abs(y) < EXACT, F.floor(y).cast("double")).otherwise(y)
 
     return df.filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & (F.size("embedding") > 0)).filter(finite).select(
-        F.col("vec_id").cast("long"), F.transform("embedding", whole).alias("v")
+        F.col("vec_id").cast("long"), F.transform("embedding", whole).alias("v"), *keep
     )
 
 
