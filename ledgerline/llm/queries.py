@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerline.llm import hard_negatives, html_text, merkle, minhash, mixing, packing, repeats, sharding, simhash, token_counts, toxicity, vector_search
+from ledgerline.llm import hard_negatives, html_text, merkle, minhash, mixing, packing, pii, repeats, sharding, simhash, token_counts, toxicity, vector_search
 from ledgerline.llm.common import load
 
 #: Target shares of the expected tokens of documents labelled with quality 0 and 1.
@@ -64,7 +64,7 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mined(vectors, vectors.filter("vec_id % 100 = 0"))
 
 
-def _op13_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+def op13_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_report(load(spark, sf_dir, "documents"))
 
 
@@ -81,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_sharding": op10_sharding,
     "op11_merkle": op11_merkle,
     "op12_hard_negatives": op12_hard_negatives,
+    "op13_pii": op13_pii,
 
 }
 
