@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from ledgerline.functions import fuzzy, logparse, noisytext, redact, scalars
 from ledgerline.operators import capture, correlate, mutate, reduce, rollups, route, salvage
 from ledgerline.sources import logs, reference, state
-from ledgerline.streaming import missions as stream
 
 T = "<2026-01-02T03:04:{:02d}.500Z> "
 NOTE = '<SHUDEvent_OnNotification> Added notification "{}" [3] to queue. MissionId: [{}], ObjectiveId: [{}]'
@@ -80,28 +79,6 @@ def test_declared_beats_the_template_in_any_order(spark):
         assert [r.commodity for r in legs.collect()] == ["Waste"]
 
 
-def test_stream_equals_batch(spark, tmp_path):
-    chunks, out = tmp_path / "in", str(tmp_path / "out")
-    chunks.mkdir()
-    for i, part in enumerate(itertools.batched(story(), 4)):
-        (chunks / f"chunk-{i:04d}.log").write_text("".join(x + "\r\n" for x in part))
-    for _ in range(2):  # the second start replays nothing
-        q = stream.keep_missions(logs.stream_logs(spark, str(chunks), max_files=1), out, {"availableNow": True})
-        q.awaitTermination(120)
-    m, legs = stream.current(spark, out)
-    want_m, want_legs, _, _ = state_of(spark, story())
-    assert sorted(m.drop("created_seq").select(*[c for c in want_m[0].__fields__]).collect(), key=str) == want_m
-    assert sorted(legs.select(*want_legs[0].__fields__).collect(), key=str) == want_legs
-
-
-def test_logs_from_files(spark, tmp_path):
-    (tmp_path / "B.log").write_text("two\r\n\r\nthree\npart")
-    (tmp_path / "a.log").write_text("one\n")
-    got = [(r.file_rank, r.line_no, r.value) for r in logs.read_logs(spark, str(tmp_path)).orderBy("file_rank", "line_no").collect()]
-    assert [v for _, _, v in got] == ["one", "two", "three", "part"] and [k for k, _, _ in got] == [1, 2, 2, 2]
-    assert "part" not in [r.value for r in logs.read_logs(spark, str(tmp_path), "live").collect()]
-
-
 @pytest.mark.parametrize("done, awards, want", [
     ([("a", 5000)], [], {}),
     ([("a", 5000)], [(50, 5100)], {"a": (50, "confirmed")}),
