@@ -1,17 +1,12 @@
-"""Joins by time, by name, and the greedy claims that follow them."""
+"""Joins by time and by name, and the haul graph."""
 
 from __future__ import annotations
 
-from bisect import bisect_left, bisect_right
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ledgerline.functions.scalars import is_hauling_giver
-
-WINDOW_MS = 2000
+from ledgerline.operators.claims import WINDOW_MS
 
 
 def window_pairs(awards: DataFrame, completions: DataFrame, window: int = WINDOW_MS, by: tuple[str, ...] = ()) -> DataFrame:
@@ -32,59 +27,6 @@ def candidate_counts(awards: DataFrame, completions: DataFrame, window: int = WI
     )
 
 
-def claims(timeline: pd.DataFrame, window: int = WINDOW_MS) -> pd.DataFrame:
-    """Payouts of one cluster in time: awards in order of arrival claim the oldest unpaid completion of their window."""
-    done = timeline[timeline["mission_id"].notna()].sort_values(["ts", "seq"])
-    unpaid = [(m, s) for m, s in zip(done["mission_id"], done["seq"], strict=True)]
-    times = done["ts"].tolist()
-    paid: dict[str, int] = {}
-    sure: dict[str, str] = {}
-    for amount, ts, seq in timeline[timeline["mission_id"].isna()].sort_values("seq")[["amount", "ts", "seq"]].itertuples(index=False):
-        near = [m for m, s in unpaid[bisect_left(times, ts - window) : bisect_right(times, ts)] if m not in paid and s < seq]
-        if near:
-            paid[near[0]] = int(amount)
-            if len(near) == 1:
-                sure[near[0]] = sure.get(near[0], "confirmed")
-            else:
-                sure |= {m: "approximate" for m in near}
-    return pd.DataFrame([(m, paid.get(m), c) for m, c in sure.items()], columns=["mission_id", "payout", "payout_confidence"]).astype({"payout": "Int64"})
-
-
-def attributed(awards: DataFrame, missions: DataFrame, window: int = WINDOW_MS, by: tuple[str, ...] = ()) -> DataFrame:
-    """mission_id, payout, payout_confidence.
-
-    Candidates are missions that the game completed and a hauling giver gave. Events further apart than the window
-    can't meet, so each log (`by`; one log without it) is cut at such gaps and only a cluster is worked through in order.
-    The gaps are found between time cells of a window's length, of which only the first and last event is needed. A claim
-    depends on the claims before it, so a cluster is one task however long it is.
-    """
-    ended = missions.filter((F.col("status") == "complete") & (F.col("terminal_source") == "game") & is_hauling_giver(F.col("giver")))
-    seq = F.col("end_seq") if "end_seq" in missions.columns else F.lit(-1).cast("long")
-    events = ended.select(*by, F.col("id").alias("mission_id"), F.col("completed_at").alias("ts"), seq.alias("seq"), F.lit(None).cast("long").alias("amount")).unionByName(
-        awards.select(*by, F.lit(None).cast("string").alias("mission_id"), "ts", "seq", "amount")
-    )
-    events = events.filter("ts IS NOT NULL").withColumn("__cell", F.floor(F.col("ts") / max(window, 1)))
-    cells = events.groupBy(*[F.col(k).alias(f"__{i}") for i, k in enumerate(by)], F.col("__cell").alias("__at")).agg(F.min("ts").alias("__first"), F.max("ts").alias("__last"))
-    order = Window.partitionBy(*[f"__{i}" for i in range(len(by))]).orderBy("__at")
-    gap = (F.col("__first") - F.lag("__last").over(order) > window).cast("int")
-    cluster = F.sum(F.coalesce(gap, F.lit(0))).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    same = F.col("__cell") == F.col("__at")
-    for i, k in enumerate(by):
-        same &= F.col(k).eqNullSafe(F.col(f"__{i}"))
-    grouped = events.join(cells.withColumn("cluster", cluster), same).select(*by, "cluster", "mission_id", "ts", "seq", "amount").groupBy(*by, "cluster")
-    return grouped.applyInPandas(lambda x: claims(x, window), "mission_id string, payout long, payout_confidence string")
-
-
-def other_income(awards: DataFrame, completions: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    return candidate_counts(awards, completions, by=by).filter("outcome = 'other_income'").select(*by, "amount", "ts")
-
-
-def with_payouts(missions: DataFrame, payouts: DataFrame) -> DataFrame:
-    """missions with the attributed payouts where they had none."""
-    new = payouts.select(F.col("mission_id").alias("id"), F.col("payout").alias("__p"), F.col("payout_confidence").alias("__c"))
-    return missions.join(new, "id", "left").withColumn("payout_confidence", F.coalesce("payout_confidence", "__c")).withColumn("payout", F.coalesce("payout", "__p")).select(*missions.columns)
-
-
 def normalized_title(x: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(x, r"\s+", " ")))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ledgerline.functions.scalars import rarity_rank
-from ledgerline.operators import capture, correlate as C, mining as M, route as R, salvage as V
+from ledgerline.operators import capture, claims, correlate as C, mining as M, route as R, salvage as V
 from ledgerline.plans import adapter as A
 
 HOUR = 3_600_000
@@ -33,7 +33,16 @@ def payout_candidates(spark, d):
 
 def payout_greedy(spark, d):
     """All events are one log, as in payout_candidates."""
-    return C.attributed(_awards(spark, d), _completions(spark, d), HOUR)
+    return claims.attributed(_awards(spark, d), _completions(spark, d), HOUR)
+
+
+def earnings_ledger(spark, d):
+    """Every award with the mission it pays."""
+    return claims.ledger(_awards(spark, d), _completions(spark, d), HOUR)
+
+
+def other_income(spark, d):
+    return claims.other_income(_awards(spark, d), _completions(spark, d), HOUR)
 
 
 def nearest_missions(spark, d):
@@ -134,7 +143,7 @@ def objective_columns(spark, d):
 
 
 QUERIES = {
-    "payout_candidates": payout_candidates, "payout_greedy": payout_greedy, "nearest_missions": nearest_missions, "scan_lookup": scan_lookup, "rarity_rank_search": rarity_search, "deposit_search": deposit_search,
+    "payout_candidates": payout_candidates, "payout_greedy": payout_greedy, "earnings_ledger": earnings_ledger, "other_income": other_income, "nearest_missions": nearest_missions, "scan_lookup": scan_lookup, "rarity_rank_search": rarity_search, "deposit_search": deposit_search,
     "area_rocks": area_rocks, "resolve_body": bodies,
     "salvage_totals": lambda s, d: V.run_totals(_runs(s, d), _stripped(s, d)), "salvage_groups": salvage_groups, "salvage_lifetime": lambda s, d: V.lifetime(_runs(s, d), _stripped(s, d)),
     "path_distance": lambda s, d: R.path_distance(_visits(s, d)).select("problem_id", F.round("distance", 6).alias("distance")),
@@ -157,16 +166,19 @@ _EDGES = f"""{A.SQL_MISSIONS}, {A.SQL_LEGS},
     edges AS (SELECT dr.mission_id, dr.mission_id || ':' || coalesce(p.id, 'none') || '->' || objective_id AS edge_id, coalesce(p.at, 'Unknown') AS from_location, coalesce(location, 'Unknown') AS to_location,
                      coalesce(nullif(commodity, ''), nullif(p.c, ''), '') AS commodity, scu_total AS scu, p.at IS NOT NULL AS from_known, location IS NOT NULL AS to_known, completed AND coalesce(p.ok, true) AS done
               FROM dr JOIN o ON o.mission_id = dr.mission_id AND o.r = dr.r)"""
+#: Awards in order of arrival, each with the unpaid completions of its window, the oldest first: that one it pays.
+_CLAIMS = f"""{_AWARDS}, w AS (SELECT *, row_number() OVER (ORDER BY seq) AS r FROM a),
+        c AS (SELECT list({{'id': 'm' || event_id, 't': epoch_us(ts) // 1000, 's': event_id}} ORDER BY epoch_us(ts) // 1000, event_id) AS unpaid FROM events WHERE event_type = 'signup' AND user_id % 3 < 2),
+        s AS (SELECT 0 AS r, unpaid, list_transform(unpaid[1:0], lambda x: x.id) AS near, CAST(0 AS BIGINT) AS amount, CAST(0 AS BIGINT) AS ts FROM c
+              UNION ALL SELECT r, list_filter(unpaid, lambda x: len(near) = 0 OR x.id <> near[1]), near, amount, ts FROM (
+                  SELECT w.r, unpaid, w.amount, w.ts, list_transform(list_filter(unpaid, lambda x: x.t >= w.ts - {HOUR} AND x.t <= w.ts AND x.s < w.seq), lambda x: x.id) AS near FROM s JOIN w ON w.r = s.r + 1))"""
 ORACLE_SQL = {
     "route_edges": f"WITH RECURSIVE {_EDGES} SELECT * FROM edges",
     "route_stop_count": f"WITH RECURSIVE {_EDGES} SELECT count(DISTINCT x) AS stops FROM (SELECT unnest([from_location, to_location]) AS x FROM edges)",
-    "payout_greedy": f"""WITH RECURSIVE {_AWARDS}, w AS (SELECT *, row_number() OVER (ORDER BY seq) AS r FROM a),
-        c AS (SELECT list({{'id': 'm' || event_id, 't': epoch_us(ts) // 1000}} ORDER BY epoch_us(ts) // 1000, event_id) AS unpaid FROM events WHERE event_type = 'signup' AND user_id % 3 < 2),
-        s AS (SELECT 0 AS r, unpaid, list_transform(unpaid[1:0], lambda x: x.id) AS near, CAST(0 AS BIGINT) AS amount FROM c
-              UNION ALL SELECT r, list_filter(unpaid, lambda x: len(near) = 0 OR x.id <> near[1]), near, amount FROM (
-                  SELECT w.r, unpaid, w.amount, list_transform(list_filter(unpaid, lambda x: x.t >= w.ts - {HOUR} AND x.t <= w.ts), lambda x: x.id) AS near FROM s JOIN w ON w.r = s.r + 1)),
-        n AS (SELECT unnest(near) AS mission_id, generate_subscripts(near, 1) AS place, len(near) AS n, amount FROM s)
-        SELECT mission_id, max(amount) FILTER (WHERE place = 1) AS payout, CASE WHEN bool_or(n > 1) THEN 'approximate' ELSE 'confirmed' END AS payout_confidence FROM n GROUP BY mission_id""",
+    "payout_greedy": f"""WITH RECURSIVE {_CLAIMS}, n AS (SELECT unnest(near) AS mission_id, generate_subscripts(near, 1) AS place, len(near) AS n, amount FROM s)
+        SELECT mission_id, max(amount) FILTER (WHERE place = 1) AS payout, CASE WHEN max(n) FILTER (WHERE place = 1) = 1 THEN 'confirmed' ELSE 'approximate' END AS payout_confidence FROM n GROUP BY mission_id""",
+    "earnings_ledger": f"""WITH RECURSIVE {_CLAIMS} SELECT amount, ts, near[1] AS mission_id, CASE len(near) WHEN 0 THEN 'unknown' WHEN 1 THEN 'confirmed' ELSE 'approximate' END AS confidence FROM s WHERE r > 0""",
+    "other_income": f"""WITH RECURSIVE {_CLAIMS} SELECT amount, ts FROM s WHERE r > 0 AND len(near) = 0""",
     "payout_candidates": f"""WITH {_AWARDS}, c AS (SELECT epoch_us(ts) // 1000 AS done_at FROM events WHERE event_type = 'signup')
         SELECT amount, ts, count(done_at) AS candidates, CASE count(done_at) WHEN 0 THEN 'other_income' WHEN 1 THEN 'confirmed' ELSE 'approximate' END AS outcome FROM a LEFT JOIN c ON done_at BETWEEN ts - {HOUR} AND ts GROUP BY amount, ts""",
     "nearest_missions": f"""WITH {A.SQL_MISSIONS}, p AS (SELECT c_custkey AS pending_id, CASE WHEN c_custkey % 4 = 0 THEN CAST(c_custkey AS VARCHAR) ELSE 'none' END AS mission_id, CASE WHEN c_custkey % 2 = 0 THEN 'haul 1-urgent' ELSE 'haul 2-high' END AS key, 800000000000 + c_custkey * 86400000 AS ts FROM customer),

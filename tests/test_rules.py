@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerline.functions import fuzzy, logparse, noisytext, redact, scalars
-from ledgerline.operators import capture, correlate, mutate, reduce, rollups, route, salvage
+from ledgerline.operators import capture, claims, correlate, mutate, reduce, rollups, route, salvage
 from ledgerline.sources import logs, reference, state
 
 T = "<2026-01-02T03:04:{:02d}.500Z> "
@@ -85,11 +85,12 @@ def test_declared_beats_the_template_in_any_order(spark):
     ([("a", 5000), ("b", 5000), ("c", 5000)], [(1, 5100), (2, 5200)], {"a": (1, "approximate"), "b": (2, "approximate"), "c": (None, "approximate")}),
     ([("a", 5000)], [(50, 7001)], {}),
     ([("a", 5000), ("b", 9000)], [(1, 5000), (2, 11000)], {"a": (1, "confirmed"), "b": (2, "confirmed")}),
+    ([("a", 5000), ("b", 5000)], [(1, 5100), (2, 5200)], {"a": (1, "approximate"), "b": (2, "confirmed")}),
 ])
 def test_payouts(spark, done, awards, want):
     m = spark.createDataFrame([(i, t, "complete", "game", "Covalex", n) for n, (i, t) in enumerate(done)], "id string, completed_at long, status string, terminal_source string, giver string, end_seq long")
     a = spark.createDataFrame([(x, t, 100 + n) for n, (x, t) in enumerate(awards)], "amount long, ts long, seq long")
-    assert {r.mission_id: (r.payout, r.payout_confidence) for r in correlate.attributed(a, m).collect()} == want
+    assert {r.mission_id: (r.payout, r.payout_confidence) for r in claims.attributed(a, m).collect()} == want
 
 
 def greedy(awards, done, window):
@@ -100,7 +101,7 @@ def greedy(awards, done, window):
         if near:
             paid[near[0]] = amount
             for i in near:
-                sure[i] = "approximate" if len(near) > 1 else sure.get(i, "confirmed")
+                sure[i] = "approximate" if len(near) > 1 else "confirmed"
     return {i: (paid.get(i), c) for i, c in sure.items()}
 
 
@@ -114,25 +115,76 @@ def test_payout_query_meets_every_completion(spark):
     assert got == want and len({c for _, c in want.values()}) == 2
 
 
-@pytest.mark.parametrize("step", [3, 40, 400])
-def test_payouts_of_logs_in_clusters(spark, step):
+@pytest.mark.parametrize("step, jumble", [(3, 0), (40, 0), (400, 0), (40, 25)])
+def test_payouts_of_logs(spark, step, jumble):
+    """Logs in order of time, cut into ranges; and one that is not in order beside them."""
     r = random.Random(step)
-    done, awards, want = [], [], {}
+    done, awards, want, earned = [], [], {}, set()
     for log in ("x", "y", None):
         t, mine, his = 0, [], []
         for seq in range(60):
             t += r.randint(0, step)
+            at = t + (r.randint(-jumble, jumble) if log == "y" else 0)
             if r.random() < 0.5:
-                mine.append((f"{log}{seq}", t, seq))
+                mine.append((f"{log}{seq}", at, seq))
             else:
-                his.append((seq, t, seq))
+                his.append((seq, at, seq))
         done += [(log, *x) for x in mine]
         awards += [(log, *x) for x in his]
-        want |= greedy(his, mine, 100)
+        found = greedy(his, mine, 100)
+        want |= found
+        payer = {p: i for i, (p, _) in found.items() if p is not None}
+        earned |= {(log, a, t, payer.get(a), found[payer[a]][1] if a in payer else "unknown") for a, t, _ in his}
     m = spark.createDataFrame([(k, i, t, "complete", "game", "Covalex", s) for k, i, t, s in done], "log string, id string, completed_at long, status string, terminal_source string, giver string, end_seq long")
     a = spark.createDataFrame(awards, "log string, amount long, ts long, seq long")
-    got = {x.mission_id: (x.payout, x.payout_confidence) for x in correlate.attributed(a, m, 100, ("log",)).collect()}
+    got = {x.mission_id: (x.payout, x.payout_confidence) for x in claims.attributed(a, m, 100, ("log",)).collect()}
     assert got == want
+    book = claims.ledger(a.unionByName(a.withColumn("seq", F.col("seq") + 1000)), m, 100, ("log",)).collect()  # an award that comes again
+    assert len(book) == len(earned) and {tuple(x) for x in book} == earned
+    rest = {tuple(x) for x in claims.other_income(a, m, 100, ("log",)).collect()}
+    assert rest == {x[:3] for x in earned if x[3] is None}
+
+
+def test_functions_of_ranges_compose():
+    r = random.Random(2)
+    for _ in range(200):
+        n = r.randint(1, 40)
+        kinds, ts, out = [r.choice(["m", None]) for _ in range(n)], 0, []
+        for i, k in enumerate(kinds):
+            ts += r.randint(0, 4)
+            out.append((ts, 0, i, f"m{i}" if k else None, None if k else 1))
+            if k:
+                out.append((ts + 9, 1, i, f"m{i}", None))
+        out.sort(key=lambda x: x[:3])
+        cut = r.randint(1, len(out))
+        p, whole = 0, []
+        for part in (out[:cut], out[cut:]):
+            if part:
+                earlier = out[: out.index(part[0])]
+                x = pd.DataFrame(part, columns=["ts", "late", "seq", "mission_id", "amount"]).assign(gone=sum(e[1] == 1 for e in earlier), come=sum(e[1] == 0 and e[3] is not None for e in earlier), awards=sum(e[3] is None for e in earlier))
+                x["mission_id"] = x["mission_id"].astype(object).where(x["mission_id"].notna(), None)
+                c, low, high = claims.fold(x)
+                whole += [row.number for row in claims.replay(x, p).itertuples() if pd.isna(row.mission_id)]
+                p = min(max(p + c, low), high)
+        done = [(f"m{s}", t, s) for t, late, s, m, _ in out if m and not late]
+        awards = [(s, t, s) for t, _, s, m, _ in out if m is None]
+        number = {m: i for i, (m, _, _) in enumerate(sorted(done, key=lambda d: d[1:]))}
+        want = {p: number[m] for m, (p, _) in greedy(awards, done, 9).items() if p is not None}
+        assert [None if pd.isna(x) else int(x) for x in whole] == [want.get(s) for s, _, _ in sorted(awards, key=lambda a: a[1:])]
+
+
+def test_payouts_reach_the_missions_of_a_log(spark):
+    told = [
+        T.format(1) + "<CLocalMissionPhaseMarker::CreateMarker> missionId [m2], generator name [Redwind], contract [Redwind_Sys_SmallGrade_Multi3ToSingle_RefinedOre], objectiveId [dropoff_b_0]",
+        T.format(2) + "<CLocalMissionPhaseMarker::CreateMarker> missionId [m3], generator name [Bounty], contract [X], objectiveId [dropoff_b_0]",
+        T.format(3) + "<EndMission> MissionId[m3] CompletionType[Complete] Reason[ok]", T.format(8) + "<EndMission> MissionId[m2] CompletionType[Complete] Reason[ok]",
+        T.format(4) + NOTE.format("Awarded 50 aUEC: x", "0", ""), T.format(9) + NOTE.format("Awarded 700 aUEC: x", "0", ""), T.format(9) + NOTE.format("Awarded 700 aUEC: x", "0", ""),
+    ]
+    events = logparse.parse_lines(lines(spark, told)).cache()
+    m, _, awards, _ = reduce.reduce_events(events)
+    missions, book = claims.settled(m, events, awards)
+    assert {r.id: (r.payout, r.payout_confidence) for r in missions.collect()} == {"m2": (700, "confirmed"), "m3": (None, None)}
+    assert {(r.amount, r.mission_id, r.confidence) for r in book.collect()} == {(50, None, "unknown"), (700, "m2", "confirmed")}
 
 
 @pytest.mark.parametrize("within", [0, 1, 7, 100])
