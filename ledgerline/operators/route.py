@@ -1,11 +1,9 @@
 """Stops, constraints and the order of a route. Problems are independent, so they are spread by their key; the search
-inside a problem is sequential and runs on the few stops of one ship."""
+inside a problem is sequential, on the stops of one ship."""
 
 from __future__ import annotations
 
-import math
-from itertools import combinations, pairwise
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -62,82 +60,129 @@ def precedence_ok(visits: DataFrame, pairs: DataFrame, by: str = "problem_id") -
 
 
 class Problem:
+    """Stops of one ship as arrays, in the order of their ids; an order is an array of their numbers.
+
+    A turn of the stretch i..j is weighed for all j at once: the way changes only at the stretch's ends; a pickup may not
+    stand with its dropoff inside (of every place the last of its pickups is kept, so its greatest value up to j tells);
+    and as long as no load is clamped at nothing, the highest load inside is a difference of prefix sums. Where a clamp
+    may act, the turned order's loads are summed up anew.
+    """
+
     def __init__(self, stops: list[dict], capacity: float = 0, start: tuple[float, float, float] | None = None):
-        self.capacity, self.start = capacity, start
-        self.all = sorted(stops, key=lambda s: s["stop_id"])
-        self.at = {s["stop_id"]: (s["pos_x"], s["pos_y"], s["pos_z"]) for s in self.all if not any(pd.isna(s[f"pos_{c}"]) for c in "xyz")}
-        self.here = [s for s in self.all if s["stop_id"] in self.at]
-        drops = [s for s in self.all if s["kind"] == "dropoff"]
-        picks = [s for s in self.all if s["kind"] == "pickup"]
-        fits = lambda p, d: not p["commodity"] or not d["commodity"] or p["commodity"] == d["commodity"]
-        self.needs = {d["stop_id"]: {p["stop_id"] for p in picks if p["mission_id"] == d["mission_id"] and fits(p, d) and p["stop_id"] in self.at} for d in drops}
-
-    def length(self, order: list[dict]) -> float:
-        points = ([self.start] if self.start else []) + [self.at[s["stop_id"]] for s in order]
-        return sum(math.dist(a, b) for a, b in pairwise(points))
-
-    def fits(self, order: list[dict]) -> bool:
-        load = 0
-        for s in order:
-            load = load + s["scu"] if s["kind"] == "pickup" else max(0, load - s["scu"])
-            if s["kind"] == "pickup" and 0 < self.capacity < load:
-                return False
-        return True
-
-    def follows(self, order: list[dict]) -> bool:
-        seen: set[str] = set()
-        for s in order:
-            if self.needs.get(s["stop_id"], set()) - seen:
-                return False
-            seen.add(s["stop_id"])
-        return True
-
-    def seed(self) -> list[dict]:
+        self.capacity, self.start = capacity, None if start is None else np.array(start, float)
+        stops = sorted(stops, key=lambda s: s["stop_id"])
+        self.ids = [s["stop_id"] for s in stops]
+        self.point = np.array([[np.nan if s[f"pos_{c}"] is None else s[f"pos_{c}"] for c in "xyz"] for s in stops], float).reshape(-1, 3)
+        self.pickup = np.array([s["kind"] == "pickup" for s in stops], bool)
+        self.scu = np.array([s["scu"] for s in stops], float)
+        self.weight = np.where(self.pickup, self.scu, -self.scu)
+        self.known = ~np.isnan(self.point).any(axis=1)
+        self.drop, self.pick = self._pairs(stops)
+
+    def _pairs(self, stops: list[dict]) -> tuple[np.ndarray, np.ndarray]:
+        """Dropoffs with each of the pickups they need, in the order of the dropoffs; both have a position."""
+        by_mission: dict = {}
+        for n, s in enumerate(stops):
+            if self.known[n]:
+                by_mission.setdefault(s["mission_id"], ([], []))[0 if s["kind"] == "pickup" else 1].append((n, s["commodity"]))
+        pairs = [(d, p) for picks, drops in by_mission.values() for d, dc in drops for p, pc in picks if not pc or not dc or pc == dc]
+        out = np.array(sorted(pairs), np.int64).reshape(-1, 2)
+        return out[:, 0], out[:, 1]
+
+    def _far(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        d = self.point[b] - (self.point[a] if a.dtype.kind == "i" else a)
+        return np.sqrt(d[..., 0] * d[..., 0] + d[..., 1] * d[..., 1] + d[..., 2] * d[..., 2])
+
+    def length(self, order: np.ndarray) -> float:
+        first = self._far(self.start, order[:1]).sum() if self.start is not None else 0.0
+        return float(first + self._far(order[:-1], order[1:]).sum())
+
+    def fits(self, order: np.ndarray) -> bool:
+        if not self.capacity > 0 or not len(order):
+            return True
+        sums = np.cumsum(self.weight[order])
+        loads = sums - np.minimum(0, np.minimum.accumulate(sums))
+        return not (self.pickup[order] & (loads > self.capacity)).any()
+
+    def seed(self) -> np.ndarray:
         """The nearest stop that may be visited next; one that would overload the ship, or lacks a pickup, only at last."""
-        left, out, load, now, seen = list(self.here), [], 0, self.start, set()
-        while left:
-            def rank(s: dict) -> tuple:
-                ready = not (self.needs.get(s["stop_id"], set()) - seen)
-                room = s["kind"] != "pickup" or not self.capacity > 0 or load + s["scu"] <= self.capacity
-                return (0 if ready and room else 1 if ready else 2, math.dist(now, self.at[s["stop_id"]]) if now else 0.0, s["stop_id"])
-
-            s = min(left, key=rank)
-            left.remove(s)
-            out.append(s)
-            seen.add(s["stop_id"])
-            load = load + s["scu"] if s["kind"] == "pickup" else max(0, load - s["scu"])
-            now = self.at[s["stop_id"]]
+        left, out, load, now = np.flatnonzero(self.known), [], 0.0, self.start
+        waits = np.bincount(self.drop, minlength=len(self.ids))
+        follow = np.argsort(self.pick, kind="stable")
+        edges = np.searchsorted(self.pick[follow], np.arange(len(self.ids) + 1))
+        while len(left):
+            room = ~self.pickup[left] | (not self.capacity > 0) | (load + self.scu[left] <= self.capacity)
+            tier = np.where(waits[left] > 0, 2, np.where(room, 0, 1))
+            far = self._far(now, left) if now is not None else np.zeros(len(left))
+            best = np.flatnonzero(tier == tier.min())
+            at = best[np.argmin(far[best])]  # the first, so the least id
+            n = left[at]
+            left = np.delete(left, at)
+            out.append(n)
+            load = load + self.scu[n] if self.pickup[n] else max(0.0, load - self.scu[n])
+            now = self.point[n]
+            np.subtract.at(waits, self.drop[follow[edges[n] : edges[n + 1]]], 1)
+        return np.array(out, np.int64)
+
+    def _last_pick(self, order: np.ndarray) -> np.ndarray:
+        """Of each place in the order the last place of a pickup that its stop needs; -1 if it needs none."""
+        place = np.full(len(self.ids), -1)
+        place[order] = np.arange(len(order))
+        out = np.full(len(order), -1)
+        np.maximum.at(out, place[self.drop], place[self.pick])
         return out
 
-    def improved(self, order: list[dict]) -> list[dict]:
-        """Stretches are turned round as long as that shortens the way and breaks nothing. Only the two steps at a
-        stretch's ends change in length, so a turn is weighed by these."""
-        order, n = list(order), len(order)
-
-        def step(a: int, b: int) -> float:
-            """From one place in the order to another; nothing to the first without a start."""
-            if a < 0 and not self.start:
-                return 0.0
-            return math.dist(self.start if a < 0 else self.at[order[a]["stop_id"]], self.at[order[b]["stop_id"]])
-
-        turned, rounds = True, 0
+    def improved(self, order: np.ndarray) -> np.ndarray:
+        """Stretches are turned round as long as that shortens the way and breaks nothing, the first that does."""
+        n, turned, rounds = len(order), True, 0
         while turned and rounds <= n * n:
             turned, rounds = False, rounds + 1
-            for i, j in combinations(range(n), 2):
-                after = step(j, j + 1) if j + 1 < n else 0.0
-                now = step(i - 1, i) + after
-                then = step(i - 1, j) + (step(i, j + 1) if j + 1 < n else 0.0)
-                if then < now - EPSILON:
-                    trial = [*order[:i], *reversed(order[i : j + 1]), *order[j + 1 :]]
-                    if self.follows(trial) and self.fits(trial):
-                        order, turned = trial, True
+            last_pick = self._last_pick(order)
+            for i in range(n - 1):
+                j = i + 1
+                while j < n and (found := self._turn(order, last_pick, i, j)) is not None:
+                    order, j, turned = np.concatenate([order[:i], order[i : found + 1][::-1], order[found + 1 :]]), found + 1, True
+                    last_pick = self._last_pick(order)
         return order
 
-    def solved(self) -> tuple[list[dict], float, bool, bool]:
-        order = self.improved(self.seed()) if len(self.here) > 1 else self.here
-        missing = [s for s in self.all if s["stop_id"] not in self.at]
-        too_big = self.capacity > 0 and any(s["kind"] == "pickup" and s["scu"] > self.capacity for s in self.all)
-        return order + missing, self.length(order), bool(missing), too_big or not self.fits(order)
+    def _turn(self, order: np.ndarray, last_pick: np.ndarray, i: int, j: int) -> int | None:
+        """The first place from j on up to which the order from i on can be turned."""
+        within = np.flatnonzero(np.maximum.accumulate(last_pick[i:]) >= i)
+        end = i + within[0] if len(within) else len(order)  # a stretch up to here would hold a pickup and its dropoff
+        if end <= j:
+            return None
+        ends = order[j:end]
+        after = order[j + 1 : end + 1]
+        before = self.start if i == 0 else self.point[order[i - 1]]
+        now = np.zeros(len(ends))
+        then = np.zeros(len(ends))
+        if before is not None:
+            now += self._far(before, order[i : i + 1])
+            then += self._far(before, ends)
+        now[: len(after)] += self._far(ends[: len(after)], after)
+        then[: len(after)] += self._far(self.point[order[i]], after)
+        shorter = np.flatnonzero(then < now - EPSILON)
+        if not len(shorter) or not self.capacity > 0:
+            return j + int(shorter[0]) if len(shorter) else None
+        sums = np.concatenate([[0.0], np.cumsum(self.weight[order])])
+        plain = sums.min() >= 0 and sums.max() <= self.capacity  # no clamp acts now, and all fits
+        high = sums[i] + sums[j + 1 : end + 1] - np.minimum.accumulate(sums[i:end])[j - i :]
+        low = sums[i] + sums[j + 1 : end + 1] - np.maximum.accumulate(sums[i:end])[j - i :]
+        for k in shorter.tolist():
+            if plain and low[k] >= 0:
+                good = high[k] <= self.capacity
+            else:
+                good = self.fits(np.concatenate([order[:i], order[i : j + k + 1][::-1], order[j + k + 1 :]]))
+            if good:
+                return j + k
+        return None
+
+    def solved(self) -> tuple[list[str], float, bool, bool]:
+        order = np.flatnonzero(self.known)
+        order = self.improved(self.seed()) if len(order) > 1 else order
+        missing = np.flatnonzero(~self.known)
+        too_big = self.capacity > 0 and (self.pickup & (self.scu > self.capacity)).any()
+        return [self.ids[n] for n in [*order, *missing]], self.length(order), bool(len(missing)), bool(too_big or not self.fits(order))
 
 
 def optimized(stops: DataFrame, capacity: int = 0) -> DataFrame:
@@ -149,7 +194,7 @@ def optimized(stops: DataFrame, capacity: int = 0) -> DataFrame:
         first = group.iloc[0]
         start = tuple(float(first[f"start_{c}"]) for c in "xyz") if started and not pd.isna(first["start_x"]) else None
         order, length, missing, infeasible = Problem(group.to_dict("records"), capacity, start).solved()
-        return pd.DataFrame([(first["problem_id"], s["stop_id"], i, length, missing, infeasible) for i, s in enumerate(order)], columns=[c.split()[0] for c in ORDER.split(", ")])
+        return pd.DataFrame([(first["problem_id"], s, i, length, missing, infeasible) for i, s in enumerate(order)], columns=[c.split()[0] for c in ORDER.split(", ")])
 
     return stops.groupBy("problem_id").applyInPandas(solve, ORDER)
 

@@ -126,8 +126,7 @@ def _visits(spark, d):
 
 
 def optimize_route(spark, d):
-    small = _visits(spark, d).withColumn("problem_id", F.concat_ws("/", "problem_id", F.floor(F.col("place") / 8).cast("string")))
-    return R.optimized(small, 200)
+    return R.optimized(_visits(spark, d), 90).withColumn("total_distance", F.round("total_distance", 6))
 
 
 def _edges(spark, d):
@@ -204,6 +203,25 @@ ORACLE_SQL = {
         SELECT problem_id, round(coalesce(sum(d), 0), 6) AS distance FROM s GROUP BY problem_id""",
     "running_load": f"""WITH {_VISITS}, s AS (SELECT problem_id, stop_id, place, sum(CASE WHEN kind = 'pickup' THEN scu ELSE -scu END) OVER (PARTITION BY problem_id ORDER BY place) AS s FROM v)
         SELECT problem_id, stop_id, CAST(s - least(0, min(s) OVER (PARTITION BY problem_id ORDER BY place)) AS BIGINT) AS load FROM s""",
+    "optimize_route": f"""WITH RECURSIVE {_VISITS},
+        s AS (SELECT problem_id, {{'id': stop_id, 'pick': kind = 'pickup', 'w': scu, 'x': x, 'y': y, 'z': z, 'm': vec_mission}} AS s FROM (SELECT v.*, CAST(CAST(stop_id[2:] AS BIGINT) % 4 AS VARCHAR) AS vec_mission FROM v) WHERE x IS NOT NULL),
+        nn AS (SELECT problem_id, list(s ORDER BY s.id) AS rest, list(s ORDER BY s.id)[1:0] AS done, CAST(0 AS BIGINT) AS load FROM s GROUP BY problem_id
+               UNION ALL SELECT problem_id, list_filter(rest, lambda s: s.id <> pick.s.id), list_append(done, pick.s), CASE WHEN pick.s.pick THEN load + pick.s.w ELSE greatest(0, load - pick.s.w) END
+               FROM (SELECT *, list_sort(list_transform(rest, lambda s: {{'tier': CASE WHEN NOT s.pick AND len(list_filter(rest, lambda p: p.pick AND p.m = s.m)) > 0 THEN 2 WHEN NOT s.pick OR load + s.w <= 90 THEN 0 ELSE 1 END,
+                         'd': CASE WHEN len(done) = 0 THEN 0.0 ELSE sqrt((s.x - done[-1].x) ** 2 + (s.y - done[-1].y) ** 2 + (s.z - done[-1].z) ** 2) END, 'id': s.id, 's': s}}))[1] AS pick FROM nn WHERE len(rest) > 0)),
+        tw AS (SELECT problem_id, done AS o, 1 AS i, 2 AS j, false AS turned, len(done) < 2 AS over FROM nn WHERE len(rest) = 0
+               UNION ALL SELECT problem_id, CASE WHEN good THEN c ELSE o END, CASE WHEN j < len(o) THEN i WHEN i < len(o) - 1 THEN i + 1 ELSE 1 END, CASE WHEN j < len(o) THEN j + 1 WHEN i < len(o) - 1 THEN i + 2 ELSE 2 END,
+                      CASE WHEN i < len(o) - 1 OR j < len(o) THEN turned OR good ELSE false END, i >= len(o) - 1 AND j >= len(o) AND NOT turned AND NOT good
+               FROM (SELECT *, list_sum(list_transform(range(1, len(o)), lambda k: sqrt((c[k].x - c[k + 1].x) ** 2 + (c[k].y - c[k + 1].y) ** 2 + (c[k].z - c[k + 1].z) ** 2)))
+                             < list_sum(list_transform(range(1, len(o)), lambda k: sqrt((o[k].x - o[k + 1].x) ** 2 + (o[k].y - o[k + 1].y) ** 2 + (o[k].z - o[k + 1].z) ** 2))) - 1e-9
+                             AND len(list_filter(range(1, len(o) + 1), lambda b: c[b].pick AND len(list_filter(c[1:b], lambda d: NOT d.pick AND d.m = c[b].m)) > 0)) = 0
+                             AND list_reduce(list_transform(c, lambda s: CASE WHEN s.pick THEN s.w ELSE -s.w END), lambda a, x: CASE WHEN a < 0 OR a + x > 90 THEN -1 ELSE greatest(0, a + x) END, CAST(0 AS BIGINT)) >= 0 AS good
+                     FROM (SELECT *, list_concat(o[1:i - 1], list_reverse(o[i:j]), o[j + 1:]) AS c FROM tw WHERE NOT over))),
+        f AS (SELECT problem_id, o, list_reduce(list_transform(o, lambda s: CASE WHEN s.pick THEN s.w ELSE -s.w END), lambda a, x: CASE WHEN a < 0 OR a + x > 90 THEN -1 ELSE greatest(0, a + x) END, CAST(0 AS BIGINT)) < 0 AS infeasible,
+                     round(coalesce(list_sum(list_transform(range(1, len(o)), lambda k: sqrt((o[k].x - o[k + 1].x) ** 2 + (o[k].y - o[k + 1].y) ** 2 + (o[k].z - o[k + 1].z) ** 2))), 0), 6) AS total_distance FROM tw WHERE over),
+        m AS (SELECT problem_id, list(stop_id ORDER BY stop_id) AS missing FROM v WHERE x IS NULL GROUP BY problem_id),
+        w AS (SELECT problem_id, list_concat(list_transform(coalesce(o, []), lambda s: s.id), coalesce(missing, [])) AS ids, coalesce(total_distance, 0) AS total_distance, missing IS NOT NULL AS has_missing, coalesce(infeasible, false) AS infeasible FROM f FULL JOIN m USING (problem_id))
+        SELECT problem_id, unnest(ids) AS stop_id, CAST(generate_subscripts(ids, 1) - 1 AS INTEGER) AS place, total_distance, has_missing, infeasible FROM w""",
     "visit_order": f"""WITH {_VISITS}, f AS (SELECT problem_id, location, min(place) AS first FROM v GROUP BY ALL) SELECT problem_id, location, CAST(row_number() OVER (PARTITION BY problem_id ORDER BY first) AS INTEGER) AS number FROM f""",
     "precedence_pairs": f"WITH {A.SQL_LEGS} SELECT d.mission_id, d.objective_id AS dropoff, p.objective_id AS pickup FROM legs d JOIN legs p ON d.mission_id = p.mission_id AND d.kind = 'dropoff' AND p.kind = 'pickup' AND coalesce(d.commodity, '') = coalesce(p.commodity, '')",
     "objectives_column": "SELECT CAST(n_nationkey AS VARCHAR) AS page_id, 'PRIMARY OBJECTIVES' || chr(10) || 'Deliver Waste' AS text FROM nation",

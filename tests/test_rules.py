@@ -1,6 +1,6 @@
 """Parsers, reducer, correlation, routing and captures against small goldens with invented names."""
 
-import itertools
+import math
 import random
 
 import pandas as pd
@@ -249,16 +249,78 @@ def test_redaction(spark):
     assert got == ["nothing", "Player[<PLAYER>] PlayerId[<PLAYERID>] C:\\Users\\<USER>\\x", "spawn <PLAYER>[<PLAYERID>] seen by abc_d"]
 
 
-def test_route(spark):
-    stop = lambda i, kind, y, m="m", scu=1, c="": {"stop_id": i, "kind": kind, "pos_x": 0.0, "pos_y": y, "pos_z": 0.0, "mission_id": m, "scu": scu, "commodity": c, "location": i}
-    order, length, missing, bad = route.Problem([stop(f"p{y}", "pickup", float(y)) for y in (30, 0, 20, 10)], 0, (0.0, -5.0, 0.0)).solved()
-    assert ([s["pos_y"] for s in order], length, missing, bad) == ([0, 10, 20, 30], 35.0, False, False)
-    r = random.Random(4)
-    stops = [stop(f"{m}{k}{i}", k, r.uniform(0, 9), m, r.randint(1, 9)) for m in "ab" for k in ("pickup", "dropoff") for i in range(2)]
-    first = route.Problem(stops, 20)
-    order = first.solved()[0]
-    assert first.follows(order) and first.fits(order) and first.length(order) <= first.length(first.seed()) + 1e-9
-    assert [s["stop_id"] for s in route.Problem(stops[::-1], 20).solved()[0]] == [s["stop_id"] for s in order]
+def plain_route(stops, capacity, start):
+    """Nearest stop first, then every turn of a stretch tried in order on a copy of the whole order."""
+    stops = sorted(stops, key=lambda s: s["stop_id"])
+    here = [s for s in stops if s["pos_x"] is not None]
+    at = lambda s: (s["pos_x"], s["pos_y"], s["pos_z"])
+    far = lambda a, b: math.sqrt(sum((x - y) ** 2 for x, y in zip(a, b, strict=True)))
+    match = lambda p, d: p["mission_id"] == d["mission_id"] and (not p["commodity"] or not d["commodity"] or p["commodity"] == d["commodity"])
+    needs = {d["stop_id"]: {p["stop_id"] for p in here if p["kind"] == "pickup" and match(p, d)} for d in here if d["kind"] == "dropoff"}
+
+    def good(order):
+        load, seen = 0, set()
+        for s in order:
+            if needs.get(s["stop_id"], set()) - seen:
+                return False
+            seen.add(s["stop_id"])
+            load = load + s["scu"] if s["kind"] == "pickup" else max(0, load - s["scu"])
+            if s["kind"] == "pickup" and 0 < capacity < load:
+                return False
+        return True
+
+    def length(order):
+        points = ([start] if start else []) + [at(s) for s in order]
+        return sum(far(a, b) for a, b in zip(points, points[1:], strict=False))
+
+    left, order, load, now, seen = list(here), [], 0, start, set()
+    while left:
+        rank = lambda s: (2 if needs.get(s["stop_id"], set()) - seen else 0 if s["kind"] != "pickup" or capacity <= 0 or load + s["scu"] <= capacity else 1, far(now, at(s)) if now else 0.0, s["stop_id"])  # noqa: B023, E731
+        s = min(left, key=rank)
+        left.remove(s)
+        order.append(s)
+        seen.add(s["stop_id"])
+        load = load + s["scu"] if s["kind"] == "pickup" else max(0, load - s["scu"])
+        now = at(s)
+    turned = True
+    while turned:
+        turned = False
+        for i in range(len(order) - 1):
+            for j in range(i + 1, len(order)):
+                trial = order[:i] + order[i : j + 1][::-1] + order[j + 1 :]
+                if good(trial) and length(trial) < length(order) - 1e-9:
+                    order, turned = trial, True
+    fits = good(order)
+    return [s["stop_id"] for s in order] + [s["stop_id"] for s in stops if s["pos_x"] is None], length(order), fits
+
+
+def stop(i, kind, at, m="m", scu=1, c=""):
+    return {"stop_id": i, "kind": kind, "pos_x": at[0], "pos_y": at[1], "pos_z": at[2], "mission_id": m, "scu": scu, "commodity": c, "location": i}
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_routes_equal_those_of_the_plain_search(seed):
+    r = random.Random(seed)
+    n, capacity = r.randint(0, 16), r.choice([0, 0, 9, 15, 30])
+    stops = [stop(f"s{i:02d}", r.choice(["pickup", "dropoff"]), tuple(r.choice([r.uniform(0, 9), float(r.randint(0, 3))]) for _ in range(3)) if r.random() < 0.9 else (None,) * 3, r.choice("abc"), r.randint(1, 9), r.choice(["", "x", "y"])) for i in range(n)]
+    start = r.choice([None, (0.0, 0.0, 0.0)])
+    got = route.Problem(stops[::-1], capacity, start).solved()
+    want = plain_route(stops, capacity, start)
+    assert got[0] == want[0] and abs(got[1] - want[1]) < 1e-6
+    assert got[2] == any(s["pos_x"] is None for s in stops)
+    assert got[3] == (not want[2] or any(0 < capacity < s["scu"] for s in stops if s["kind"] == "pickup"))
+
+
+@pytest.mark.parametrize("capacity", [0, 900, 5000])
+def test_a_route_of_hundreds_of_stops(capacity):
+    r = random.Random(1)
+    stops = [stop(f"s{i:03d}", "pickup" if i % 2 else "dropoff", (r.random(), r.random(), r.random()), f"m{i // 4}", r.randint(1, 9)) for i in range(400)]
+    problem = route.Problem(stops, capacity)
+    seed = problem.seed()
+    order = problem.improved(seed)
+    place = {n: k for k, n in enumerate(order)}
+    assert sorted(order) == list(range(400)) and problem.length(order) < 0.95 * problem.length(seed)
+    assert problem.fits(order) and all(place[p] < place[d] for d, p in zip(problem.drop, problem.pick, strict=True))
 
 
 def test_captures(spark):
