@@ -113,7 +113,7 @@ def pivot_table(rows: DataFrame, pivots: Pivots) -> DataFrame:
                 y, shell = on_sphere(_matrix(part.column("v")))
                 dist = distances(y, pivots.get(d, np.empty((0, d + 1))))
                 near = dist.argmin(axis=1) if dist.shape[1] else np.zeros(len(y), int)
-                ring = (dist[np.arange(len(y)), near] * 16).astype(np.int32) if dist.shape[1] else np.zeros(len(y), np.int32)
+                ring = (dist[np.arange(len(y)), near] * 8).astype(np.int32) if dist.shape[1] else np.zeros(len(y), np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(y) + 1) * dist.shape[1], pa.int32()), pa.array(dist.ravel()))
                 of = [pa.array(np.full(len(y), d, np.int32)), pa.array(shell), pa.array(near.astype(np.int32)), pa.array(ring), lists]
                 yield pa.RecordBatch.from_arrays([*part.columns, *of], names)
@@ -148,17 +148,17 @@ class Table:
         chunk = F.pmod(F.xxhash64("rid"), F.coalesce("chunks", F.lit(1)))
         return placed.join(self.chunks, KEY, "left").withColumn("block", F.concat_ws(":", *KEY, chunk))
 
-    def search(self, requests: DataFrame) -> DataFrame:
+    def search(self, anchors: DataFrame, wants: DataFrame, same: bool) -> DataFrame:
         """request, rank, rid, vec_id, score: of each request the k best rows whose scores are between low and high.
 
-        requests, written: request, anchor, part (the task of its anchor), vec_id, label, v, dim, same (whether rows of
-        the same label are searched or the others), low, high, home (the anchor's block).
+        anchors, written: anchor, part (the task that serves it), vec_id, label, v, dim, home (its block). wants, written:
+        request, anchor, low, high, a few an anchor. same: whether rows of the anchor's label are searched or the others.
         """
-        first = self._best(self._visit(requests.select("request", F.col("home").alias("block")), requests))
+        first = self._best(self._visit(anchors.select("anchor", F.col("home").alias("block")), anchors, wants, same))
         kth = materialize(first.groupBy("request").agg(F.max(F.when(F.col("rank") == self.k, F.col("score"))).alias("kth")), "pivots-kth")
-        closer = materialize(requests.join(kth, "request", "left").withColumn("low", F.greatest("low", F.coalesce("kth", "low"))).drop("kth"), "pivots-closer")
-        pairs = materialize(self._near_blocks(closer), "pivots-pairs")
-        out = materialize(self._best(self._visit(pairs, closer)), "pivots-found")
+        closer = materialize(wants.join(kth, "request", "left").withColumn("low", F.greatest("low", F.coalesce("kth", "low"))).drop("kth"), "pivots-closer")
+        pairs = materialize(self._near_blocks(anchors, closer), "pivots-pairs")
+        out = materialize(self._best(self._visit(pairs, anchors, closer, same)), "pivots-found")
         discard(kth, closer, pairs)
         return out
 
@@ -166,13 +166,13 @@ class Table:
         order = Window.partitionBy("request").orderBy(F.desc("score"), "vec_id", "rid")
         return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= self.k)
 
-    def _near_blocks(self, requests: DataFrame, at_once: int = 4096) -> DataFrame:
-        """request, block: where a bracket of the block's own distances meets low and high."""
+    def _near_blocks(self, anchors: DataFrame, wants: DataFrame, at_once: int = 4096) -> DataFrame:
+        """anchor, block: where a bracket of the block's own distances meets what the anchor wants."""
         deals = max(1, -(-self.blocks.count() // at_once))
-        deal = F.pmod(F.xxhash64("block"), F.lit(deals)).cast("int")
-        left = requests.withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(deals - 1))))
-        parts = requests.select(F.col("dim").alias("dim"), F.col("part").alias("part")).distinct()  # columns of their own beside the left side's
-        right = self.blocks.withColumn("deal", deal).join(parts, "dim")
+        span = wants.groupBy("anchor").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+        left = anchors.select("anchor", "part", "v", "dim").join(span, "anchor").withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(deals - 1))))
+        parts = anchors.select(F.col("dim").alias("dim"), F.col("part").alias("part")).distinct()  # columns of their own beside the left side's
+        right = self.blocks.withColumn("deal", F.pmod(F.xxhash64("block"), F.lit(deals)).cast("int")).join(parts, "dim")
         pivots = self.pivots
 
         def meet(q: pa.Table, b: pa.Table) -> pa.Table:
@@ -183,20 +183,21 @@ class Table:
                 least, most = (_matrix(b.column(c))[:, : ends.shape[1]] for c in ("least", "most"))
                 size = np.exp2(b.column("shell").to_numpy().astype(float))
                 low, high = (q.column(c).to_numpy() for c in ("low", "high"))
-                names, request = b.column("block").to_numpy(zero_copy_only=False), q.column("request").to_numpy()
+                names, anchor = b.column("block").to_numpy(zero_copy_only=False), q.column("anchor").to_numpy()
                 for at in range(0, len(v), 64):
                     here = slice(at, at + 64)
                     below, above = brackets(ends[here], least, most, length[here, None] * size[None, :])
                     row, column = np.nonzero((above >= low[here, None]) & (below <= high[here, None]))
-                    out.append((request[at + row], names[column]))
+                    out.append((anchor[at + row], names[column]))
             none = [np.empty(0, np.int64)]
-            return pa.table({"request": np.concatenate(none + [x for x, _ in out]), "block": pa.array([n for _, x in out for n in x], pa.string())})
+            return pa.table({"anchor": np.concatenate(none + [x for x, _ in out]), "block": pa.array([n for _, x in out for n in x], pa.string())})
 
-        return left.groupBy("dim", "part", "deal").cogroup(right.groupBy("dim", "part", "deal")).applyInArrow(meet, "request long, block string")
+        return left.groupBy("dim", "part", "deal").cogroup(right.groupBy("dim", "part", "deal")).applyInArrow(meet, "anchor long, block string")
 
-    def _visit(self, pairs: DataFrame, requests: DataFrame) -> DataFrame:
-        """request, rid, vec_id, score: the k best in each block that a request visits."""
-        left = pairs.join(requests, "request")
+    def _visit(self, pairs: DataFrame, anchors: DataFrame, wants: DataFrame, same: bool) -> DataFrame:
+        """request, rid, vec_id, score: the k best in each block that an anchor visits."""
+        lists = wants.groupBy("anchor").agg(F.sort_array(F.collect_list(F.struct("request", "low", "high"))).alias("wants"))
+        left = pairs.join(anchors.join(lists, "anchor"), "anchor")
         needed = left.select(F.col("block").alias("block"), F.col("part").alias("part")).distinct()
         right = self.vectors.join(needed, "block")
         pivots, k = self.pivots, self.k
@@ -208,28 +209,31 @@ class Table:
                 dim, v, stored = b.column("dim")[0].as_py(), _matrix(b.column("v")), _matrix(b.column("dist"))
                 size = float(2.0 ** b.column("shell")[0].as_py())
                 ids, labels = b.column("vec_id").to_numpy(), b.column("label").to_numpy()
-                q = q.sort_by("anchor")
-                asked = _matrix(q.column("v"))
-                anchor, own, own_label, same, low, high, request = (q.column(c).to_numpy() for c in ("anchor", "vec_id", "label", "same", "low", "high", "request"))
+                asked, own, label = _matrix(q.column("v")), q.column("vec_id").to_numpy(), q.column("label").to_numpy()
                 ends, length = _ends(asked, pivots, dim)
-                for at in range(0, len(asked), 64):
-                    here = slice(at, at + 64)
-                    # requests of one anchor stand together and share its brackets
-                    _, one, of = np.unique(anchor[here], return_index=True, return_inverse=True)
-                    below, above = (x[of] for x in brackets(ends[here][one], stored, stored, np.broadcast_to(length[here][one][:, None] * size, (len(one), len(v)))))
-                    lo, hi = low[here, None], high[here, None]
-                    may = (ids[None, :] != own[here, None]) & ((labels[None, :] == own_label[here, None]) == same[here, None]) & (above >= lo) & (below <= hi)
-                    if len(v) >= k:
-                        sure = np.where(may & (below >= lo) & (above <= hi), below, -np.inf)
-                        may &= above >= np.partition(sure, -k, axis=1)[:, -k, None]
+                lists = q.column("wants").combine_chunks()
+                of = np.repeat(np.arange(len(own)), np.diff(lists.offsets.to_numpy()))
+                request, low, high = (lists.flatten().field(c).to_numpy() for c in ("request", "low", "high"))
+                least, most = (f.reduceat(x, np.searchsorted(of, np.arange(len(own)))) for f, x in ((np.minimum, low), (np.maximum, high)))
+                exact = np.abs(asked).max(initial=0) * np.abs(v).max(initial=0) * dim < EXACT
+                for at in range(0, len(own), 32):
+                    here = slice(at, at + 32)
+                    below, above = brackets(ends[here], stored, stored, np.broadcast_to(length[here, None] * size, (len(own[here]), len(v))))
+                    may = (ids[None, :] != own[here, None]) & ((labels[None, :] == label[here, None]) == same) & (above >= least[here, None]) & (below <= most[here, None])
                     row, column = np.nonzero(may)
-                    score = np.concatenate([none] + [exact_scores(asked[here][row[i : i + 16384]], v[column[i : i + 16384]]) for i in range(0, len(row), 16384)])
-                    fits = (score >= low[here][row]) & (score <= high[here][row])
-                    row, column, score = row[fits], column[fits], score[fits]
-                    order = np.lexsort((ids[column], ~score, row))  # ~ turns the order of longs round
-                    row, column, score = row[order], column[order], score[order]
-                    top = np.arange(len(row)) - np.searchsorted(row, row) < k
-                    out.append((request[at + row[top]], column[top], score[top]))
+                    if exact and 16 * len(row) > may.size:  # many survive: all scores at once
+                        score = (asked[here] @ v.T)[row, column].astype(np.int64)
+                    else:
+                        score = np.concatenate([none] + [exact_scores(asked[at + row[i : i + 16384]], v[column[i : i + 16384]]) for i in range(0, len(row), 16384)])
+                    edges = np.searchsorted(row, np.arange(len(own[here]) + 1))
+                    for n in range(*np.searchsorted(of, [at, at + len(own[here])])):
+                        mine = slice(edges[of[n] - at], edges[of[n] - at + 1])
+                        fit = np.flatnonzero((score[mine] >= low[n]) & (score[mine] <= high[n]))
+                        if len(fit) > k:
+                            among = score[mine][fit]
+                            fit = fit[among >= np.partition(among, -k)[-k]]
+                        fit = fit[np.lexsort((ids[column[mine][fit]], ~score[mine][fit]))[:k]]  # ~ turns the order of longs round
+                        out.append((np.full(len(fit), request[n]), column[mine][fit], score[mine][fit]))
             request, column, score = map(np.concatenate, zip(*out, strict=True))
             return pa.table({"request": request, "rid": b.column("rid").to_numpy()[column] if len(column) else none, "vec_id": b.column("vec_id").to_numpy()[column] if len(column) else none, "score": score})
 
@@ -253,14 +257,13 @@ def mined(rows: DataFrame, anchors: DataFrame, k: int = 5, low_percent: int = 80
     one = anchors.select("vec_id", "label", "v", F.xxhash64("v").alias("__h")).dropDuplicates(["vec_id", "label", "__h"]).select(F.monotonically_increasing_id().alias("rid"), "vec_id", "label", "v")
     placed = materialize(table.in_block(pivot_table(materialize(one, "pivots-anchors"), table.pivots)).select("rid", "vec_id", "label", "v", "dim", F.col("block").alias("home")), "pivots-asked")
     parts = max(1, -(-placed.count() // asked))
-    part = F.pmod(F.xxhash64("rid"), F.lit(parts)).cast("int").alias("part")
-    ask = placed.select(F.col("rid").alias("request"), F.col("rid").alias("anchor"), part, "vec_id", "label", "v", "dim", F.lit(True).alias("same"), F.lit(LEAST).alias("low"), F.lit(MOST).alias("high"), "home")
-    positives = table.search(materialize(ask, "pivots-positives"))
-    wanted = positives.select(F.col("request").alias("rid"), F.col("vec_id").alias("positive_id"), F.col("score").alias("high"), F.ceil(F.col("score").cast("decimal(20,0)") * low_percent / 100).cast("long").alias("low"))
-    wanted = wanted.filter("low <= high").withColumn("request", F.monotonically_increasing_id())
-    ask = materialize(wanted.join(placed, "rid").select("request", F.col("rid").alias("anchor"), part, "vec_id", "label", "v", "dim", F.lit(False).alias("same"), "low", "high", "home", "positive_id"), "pivots-negatives")
-    negatives = table.search(ask.drop("positive_id"))
-    who = ask.select("request", F.col("vec_id").alias("anchor_id"), "positive_id", F.col("high").alias("positive_score"))
+    placed = placed.withColumnRenamed("rid", "anchor").withColumn("part", F.pmod(F.xxhash64("anchor"), F.lit(parts)).cast("int"))
+    positives = table.search(placed, placed.select(F.col("anchor").alias("request"), F.col("anchor").alias("anchor"), F.lit(LEAST).alias("low"), F.lit(MOST).alias("high")), True)
+    low = F.ceil(F.col("score").cast("decimal(20,0)") * low_percent / 100).cast("long")
+    wanted = positives.select(F.col("request").alias("anchor"), F.col("vec_id").alias("positive_id"), F.col("score").alias("high"), low.alias("low"))
+    wanted = materialize(wanted.filter("low <= high").withColumn("request", F.monotonically_increasing_id()), "pivots-wanted")
+    negatives = table.search(placed, wanted.drop("positive_id"), False)
+    who = wanted.join(placed.select("anchor", F.col("vec_id").alias("anchor_id")), "anchor").select("request", "anchor_id", "positive_id", F.col("high").alias("positive_score"))
     return negatives.join(who, "request").select("anchor_id", "positive_id", "rank", F.col("vec_id").alias("negative_id"), "positive_score", F.col("score").alias("negative_score"))
 
 
