@@ -4,6 +4,12 @@ A page is a sequence of words and tags. Words score positive, tags negative, wor
 weights are log odds of lying inside the main region, fitted on labelled pages: the ones below, and pages of the table
 whose own markup labels them (one <article>). One linear scan (Kadane) finds the contiguous region with the best sum.
 
+The region says where the article is; its edges, where short blocks and many tags meet, are then settled by blocks. In
+an article or main with most of the region's words all is read that isn't mostly links: titles, leads, tables, code.
+Elsewhere the region goes on over the blocks of running text beside it, up to the first block of another kind, and over
+the headings before it. Reader comments are left out: from a heading that says so (COMMENT_WORDS), and entries in a
+row, late on the page, that each have a date and blocks of their own.
+
 The names of elements (class, role, label; outside articles the id) are weighed on the same pages: the weights of a
 name's words sum up to the log odds that words under it are main text, and a word that no labelled page knows speaks
 for the text. Where an element's least name outweighs a word, every word in it scores below zero;
@@ -14,7 +20,7 @@ page, if none has a tenth of its words) costs the penalty and is read.
 
 Text between block tags is a block: references decoded, white space turned into one space, trimmed; blocks are joined
 by two newlines. Nothing is cut for length. Null, empty or wordless html: an empty text. A boilerplate element that
-is never closed, or closes itself, ends where it begins; script, style, textarea and title run to the page's end. Repeated rows: extracted each. Empty table: no rows.
+is never closed, or closes itself, ends where it begins; script, style, textarea and title run to the page's end. Repeated rows: extracted each. Other columns take no part. Empty table: no rows.
 """
 
 from __future__ import annotations
@@ -25,6 +31,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -269,10 +276,131 @@ def blocks(parts: list[Piece]) -> str:
     return "\n\n".join(out)
 
 
+#: Elements that make up running text beside paragraphs.
+TEXTUAL = frozenset("p pre table ul ol dl blockquote figure details hr h1 h2 h3 h4 h5 h6".split())
+#: How the heading above reader comments begins, after its number if it has one.
+COMMENT_WORDS = "comments comment responses response replies reply thoughts discussion kommentare kommentar antworten commentaires commentaire réponses comentarios comentario respuestas"
+COMMENT_HEADING = re.compile(r"(?:\d+\s+(?:WORDS)(?:\s+(?:on|to|zu|auf|sur|à|en|a)\b.*)?|(?:WORDS)(?:\s*[(:].*)?)\s*".replace("WORDS", "|".join(COMMENT_WORDS.split())), re.I)
+DATED = re.compile(r"\b(?:\d{4}-\d\d?-\d\d?|\d\d?[./]\d\d?[./]\d{2,4}|\d\d?:\d\d|\d+\s+(?:minutes?|hours?|days?|weeks?|months?|years?)\s+ago)\b", re.I)
+
+
+class _Tree:
+    """The elements of a page's pieces, and which pieces are read."""
+
+    def __init__(self, parts: list[Piece], first: int, last: int) -> None:
+        self.parts, self.first, self.last = parts, first, last
+        self.read = [first <= i <= last for i in range(len(parts))]
+        self.end: dict[int, int] = {}
+        opened: dict[str, list[int]] = {}
+        for i, p in enumerate(parts):
+            if p.kind == "tag":
+                if p.key[0] != "/":
+                    opened.setdefault(p.key, []).append(i)
+                elif opened.get(p.key[1:]):
+                    self.end[opened[p.key[1:]].pop()] = i
+        text = [(0, 0) if p.kind != "text" else (p.words, p.words * p.linked) for p in parts]
+        self.words, self.linked = ([0, *accumulate(x)] for x in zip(*text, strict=True))
+
+    def of(self, a: int, b: int) -> tuple[int, int]:
+        """Words, and words in links, of the pieces a..b."""
+        return self.words[b + 1] - self.words[a], self.linked[b + 1] - self.linked[a]
+
+    def around(self, a: int, b: int) -> tuple[int, int]:
+        """The innermost block element that holds the pieces a..b; the page, if none does."""
+        return max(((i, j) for i, j in self.end.items() if i < a and b < j and self.parts[i].key in BLOCKS), default=(-1, len(self.parts)))
+
+    def children(self, a: int, b: int) -> list[tuple[int, int]]:
+        out, i = [], a + 1
+        while i < b:
+            end = min(self.end.get(i, i), b - 1)
+            out.append((i, end))
+            i = end + 1
+        return out
+
+    def plain(self, a: int, b: int) -> bool:
+        """Whether most words aren't in links."""
+        words, linked = self.of(a, b)
+        return linked * 2 <= words and self.parts[a].kind != "gone"
+
+    def fill(self, a: int, b: int) -> None:
+        """Read what stands in an element beside the region, but for what is mostly links."""
+        for i, j in self.children(a, b):
+            if j < self.first or i > self.last:
+                if self.plain(i, j):
+                    self.read[i : j + 1] = [True] * (j + 1 - i)
+            elif (i < self.first or j > self.last) and j > i:
+                self.read[i] = self.read[j] = True
+                self.fill(i, j)
+
+    def core(self) -> tuple[int, int] | None:
+        """The smallest article or main with most of the region's words; an article alone in it stands for a main."""
+        whole, _ = self.of(self.first, self.last)
+        inside = lambda x: self.of(max(x[0], self.first), min(x[1], self.last))[0] if max(x[0], self.first) <= min(x[1], self.last) else 0
+        held = [x for x in self.end.items() if self.parts[x[0]].key in ("article", "main") and inside(x) * 2 > whole]
+        return min(held, key=lambda x: x[1] - x[0], default=None)
+
+    def siblings(self, a: int, b: int) -> None:
+        """Read the blocks of running text that go on from the region in the element around it, up to the first that is
+        something else; before it also what holds a heading, and the headings before the element."""
+        textual = lambda i: self.parts[i].kind == "text" or self.parts[i].key in TEXTUAL or self.parts[i].key.lstrip("/") not in BLOCKS
+        heading = lambda i, j: any(p.key in HEADINGS for p in self.parts[i : j + 1])
+        for i, j in self.children(a, b):
+            if i <= self.last and j >= self.first and (i < self.first or j > self.last) and j > i:
+                self.read[i] = self.read[j] = True
+                self.fill(i, j)
+        after = [x for x in self.children(a, b) if x[0] > self.last]
+        before = [x for x in self.children(a, b) if x[1] < self.first][::-1]
+        for side, fits in ((after, lambda i, j: textual(i)), (before, lambda i, j: textual(i) or heading(i, j))):
+            for i, j in side:
+                if not self.plain(i, j) or not fits(i, j):
+                    break
+                self.read[i : j + 1] = [True] * (j + 1 - i)
+        while a >= 0:
+            up = self.around(a, b)
+            for i, j in [x for x in self.children(*up) if x[1] < a][::-1]:
+                if self.of(i, j)[0] and not (self.plain(i, j) and heading(i, j) and self.of(i, j)[0] <= 60):
+                    return
+                if self.of(i, j)[0]:
+                    self.read[i : j + 1] = [True] * (j + 1 - i)
+                    return
+            a, b = up
+
+    def drop_comments(self) -> None:
+        """Reader comments are left out: an element that begins with a heading of comments, or what follows such a heading
+        in its element; and the last element of several dated entries, each with blocks of its own."""
+        for i, j in sorted(self.end.items()):
+            if self.parts[i].key in HEADINGS and self.parts[i].key != "h1" and self.read[i] and COMMENT_HEADING.fullmatch(" ".join("".join(p.text for p in self.parts[i : j + 1]).split())):
+                a, b = self.around(i, j)
+                whole = a >= 0 and self.parts[a].key not in ("article", "main", "body", "html") and not self.of(a, i)[0]
+                self.read[a if whole else i : b] = [False] * (b - (a if whole else i))
+        half = self.words[-1] // 2
+        for a, b in sorted(self.end.items()):
+            if self.parts[a].key in ("div", "section", "ol", "ul") and self.read[a] and self.words[a] >= half:
+                entries = [x for x in self.children(a, b) if self.of(*x)[0]]
+                if len(entries) > 1 and all(self._entry(*x) for x in entries) and len({self.parts[i].key for i, _ in entries}) == 1:
+                    self.read[a : b + 1] = [False] * (b + 1 - a)
+
+    def _entry(self, a: int, b: int) -> bool:
+        head = " ".join(p.text for p in self.parts[a : b + 1] if p.kind == "text")[:200]
+        inner = any(p.kind == "tag" and p.key in BLOCKS for p in self.parts[a + 1 : b])
+        return self.parts[a].key in ("div", "li", "article", "section") and inner and (bool(DATED.search(head)) or any(p.key == "time" for p in self.parts[a:b]))
+
+
 def main_text(page: str | None, w: Weights) -> str:
     parts = pieces(page, w) if page else []
     first, last = best_region(parts, w)
-    return blocks(parts[first : last + 1])
+    if last < first:
+        return ""
+    tree = _Tree(parts, first, last)
+    core = tree.core()
+    if core:
+        tree.fill(*core)
+    else:
+        tree.siblings(*tree.around(first, last))
+    tree.drop_comments()
+    # what isn't read still parts the blocks beside it
+    inline = lambda p: p.kind == "tag" and p.key.lstrip("/") not in BLOCKS
+    return blocks([p if read or inline(p) else Piece("tag", "div") for p, read in zip(parts, tree.read, strict=True)])
 
 
 Labelled = tuple[str, list[tuple[int, int]]]  # a page, and where its main text begins and ends
