@@ -204,6 +204,19 @@ ORACLE_SQL = {
     "ocr_number": "SELECT event_id, event_id AS n FROM events",
     "redact_documents": r"SELECT event_id AS seq, 'Player[<PLAYER>] PlayerId[<PLAYERID>] at C:\Users\<USER>\log saw <PLAYER>[<PLAYERID>] <USER>' AS value FROM events",
     "current_location_changes": """SELECT user_id, event_id AS seq, upper(event_type[1]) || event_type[2:] AS location, event_type IS DISTINCT FROM lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS changed FROM events WHERE event_id % 4 = 0""",
+    "fuzzy_match_confusable": f"""WITH RECURSIVE i AS (SELECT p_partkey, {_N} AS name FROM part),
+        n AS (SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN regexp_replace(translate(name, 'iol', '10I'), 'm$', 'rn') WHEN 1 THEN name[1:6] ELSE name END AS input FROM i),
+        k AS (SELECT DISTINCT regexp_replace(lower(input), '[^a-z0-9]', '', 'g') AS a FROM n), c AS (SELECT idx, value, regexp_replace(lower(value), '[^a-z0-9]', '', 'g') AS b FROM {_DICT}),
+        t AS (SELECT a, b, idx, value, 0 AS s, CAST([] AS DOUBLE[]) AS d FROM k, c
+              UNION ALL SELECT a, b, idx, value, s + 1, list_append(d, CASE WHEN i = 0 THEN CAST(j AS DOUBLE) WHEN j = 0 THEN CAST(i AS DOUBLE) ELSE least(
+                  d[s - w + 1] + 1, d[s] + 1,
+                  d[s - w] + CASE WHEN a[i] = b[j] THEN 0 WHEN len(list_filter(['il1', 'o0', 's5', 'b8', 'g9q'], lambda g: contains(g, a[i]) AND contains(g, b[j]))) > 0 THEN 0.4 ELSE 1 END,
+                  CASE WHEN i > 1 AND a[i - 1:i] = 'rn' AND b[j] = 'm' THEN d[s - 2 * w] + 0.4 ELSE 1e9 END, CASE WHEN j > 1 AND b[j - 1:j] = 'rn' AND a[i] = 'm' THEN d[s - w - 1] + 0.4 ELSE 1e9 END) END)
+              FROM (SELECT *, length(b) + 1 AS w, s // (length(b) + 1) AS i, s % (length(b) + 1) AS j FROM t) WHERE s < (length(a) + 1) * w),
+        e AS (SELECT a, idx, value, greatest(greatest(0, 1 - d[-1] / greatest(length(a), length(b))), CASE WHEN least(length(a), length(b)) >= 3 AND (contains(a, b) OR contains(b, a)) THEN 0.5 + 0.5 * least(length(a), length(b)) / greatest(length(a), length(b)) ELSE 0 END) AS score
+              FROM t WHERE s = (length(a) + 1) * (length(b) + 1)),
+        m AS (SELECT a, arg_min(value, (-score, idx)) AS value, max(score) AS score FROM e GROUP BY a)
+        SELECT p_partkey, input, CASE WHEN score >= 0.6 THEN value END AS match, round(score, 6) AS score FROM n JOIN m ON a = regexp_replace(lower(input), '[^a-z0-9]', '', 'g')""",
     "title_match_margin": f"""WITH i AS (SELECT p_partkey, {_N} AS name FROM part),
         n AS (SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN regexp_replace(translate(name, 'iol', '10I'), 'm$', 'rn') WHEN 1 THEN name[1:6] ELSE name END AS input FROM i),
         k AS (SELECT p_partkey, regexp_replace(lower(input), '[^a-z0-9]', '', 'g') AS key FROM n), c AS (SELECT idx, regexp_replace(lower(value), '[^a-z0-9]', '', 'g') AS e FROM {_DICT}),
