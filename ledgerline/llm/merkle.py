@@ -124,7 +124,9 @@ def manifest(docs: DataFrame, fanout: int = 2, tampered_one_in: int = 7) -> Data
     changed = own | {"n_chars": F.col("n_chars").cast("decimal(20,0)") + 1}
     hit = (F.crc32(F.col("doc_id").cast("string").cast("binary")) % tampered_one_in == 0) & F.col("n_chars").isNotNull()
     leaves = docs.select("doc_id", "lang", leaf_of(own).alias("digest"), F.when(hit, leaf_of(changed)).alias("tampered"))
+    leaves = materialize(leaves, "merkle-digests")  # ranges are drawn from them before they are dealt: texts are read once
     nodes = indexed(leaves, "lang", ["doc_id", "digest"], "merkle-leaves")
+    discard(leaves)
     paths, subroots = grown(nodes, "lang", fanout, "merkle", ("doc_id", "digest", "tampered"))
     tops = indexed(subroots.select(F.lit(0).alias("all"), "lang", F.col("root").alias("digest")), "all", ["lang"], "merkle-subroots")
     ends, roots = grown(tops, "all", fanout, "merkle-top", ("lang", "digest"))
