@@ -4,6 +4,7 @@ import itertools
 import json
 import os
 import random
+import time
 import types
 from collections import Counter
 
@@ -13,8 +14,11 @@ from pyspark.sql import functions as F
 from ledgerline import schemas
 from ledgerline.functions import logparse
 from ledgerline.operators import reduce
+from ledgerline.operators.capture import NEAR_MS, SETTLE_MS, TTL_MS
+from ledgerline.operators.correlate import nearest_missions
 from ledgerline.sources import logs, tail
 from ledgerline.sources.store import KeyedTable
+from ledgerline.streaming import captures
 from ledgerline.streaming import missions as stream
 from tests.test_rules import NOISE, NOTE, T, lines, story
 
@@ -228,3 +232,68 @@ def test_keyed_table(spark, tmp_path):
     assert read() == want and table.manifest() == second
     assert table.upsert(make([(3, "whole", False)]), 2) and read()[3] == "whole"
     assert table.upsert(make([]), 3) and read()[3] == "whole"
+
+
+def test_the_queue_of_captures_equals_the_batch_rule_at_every_look(spark):
+    """A recorded sequence of captures, missions and reviews; at each look the batch rule over all that has come."""
+    r = random.Random(6)
+    state, pending, missions, told, now, was_open = {}, {}, [], [], 0, False
+    for _ in range(120):
+        now += r.choice([500, 1500, 4000, 20_000])
+        rows = []
+        for _ in range(r.randint(0, 2)):
+            kind = r.choice(["capture", "mission", "mission", "opened", "closed"])
+            i = f"{kind[0]}{len(told)}-{len(rows)}"
+            title = r.choice(["Cargo  run", "cargo run ", "Other", ""])
+            row = {"kind": kind, "id": i, "mission_id": r.choice([None, "none", *[m["id"] for m in missions[-2:]]]), "title": title, "ts": now + r.randint(-40_000, 10_000), "at": now}
+            rows.append(row)
+        told.append((now, rows))
+        for row in rows:
+            if row["kind"] == "capture":
+                pending[row["id"]] = row | {"reviewed_once": False}
+            elif row["kind"] == "mission":
+                missions.append(row)
+            else:
+                was_open = row["kind"] == "opened"
+        got = captures.step(state, rows, now, remember=1 << 40)
+        want = []
+        for i, p in list(pending.items()):
+            mine = captures.correlated({"mission_id": p["mission_id"], "title": p["title"], "ts": p["ts"]}, {m["id"]: m for m in missions})
+            age = now - p["at"]
+            if age >= TTL_MS:
+                del pending[i]
+                want.append((i, "expired"))
+            elif not p["reviewed_once"] and (mine is not None or age >= SETTLE_MS):
+                p["reviewed_once"] = not was_open
+                want.append((i, "deferred" if was_open else "review"))
+        seen = {}
+        for i, s, _ in got:
+            seen[i] = s
+        assert all(seen.get(i) == s or s == "deferred" and state["waiting"][i]["state"] == "deferred" for i, s in want)
+        assert set(seen) <= {i for i, _ in want}
+    reviewed = [i for n, (t, rows) in enumerate(told) for i in [x["id"] for x in rows if x["kind"] == "capture"]]
+    assert len(reviewed) > 10
+
+
+def test_correlation_equals_the_join(spark):
+    r = random.Random(8)
+    m = [(f"m{i}", r.choice(["A  b", "c"]), r.choice([None, r.randint(0, 90_000)]), i) for i in range(40)]
+    p = [(f"p{i}", r.choice(["none", "m5"]), r.choice([" a B ", "C", ""]), r.randint(0, 90_000)) for i in range(40)]
+    missions = spark.createDataFrame(m, "id string, title string, accepted_at long, created_seq long")
+    pending = spark.createDataFrame(p, "pending_id string, mission_id string, title string, ts long")
+    want = {x.pending_id: x.match for x in nearest_missions(pending, missions, NEAR_MS).collect()}
+    known = {i: {"title": t, "ts": at, "at": 0} for i, t, at, _ in m}
+    assert {i: captures.correlated({"mission_id": k, "title": t, "ts": ts}, known) for i, k, t, ts in p} == want
+
+
+def test_captures_and_missions_in_one_stream(spark, tmp_path):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    now = int(time.time() * 1000)
+    queued = [("k", "c1", "m1", "T", now, now), ("k", "c2", "no", "Haul  x", now, now), ("l", "c3", "m1", "T", now, now), ("l", "c4", "m9", "T", now, now - 90_000)]
+    spark.createDataFrame(queued, "key string, id string, mission_id string, title string, ts long, at long").write.parquet(str(tmp_path / "c"))
+    spark.createDataFrame([("k", "m1", "A", now, now), ("k", "m2", "haul x", now - 9, now)], "key string, id string, title string, ts long, at long").write.parquet(str(tmp_path / "m"))
+    read = lambda name: spark.readStream.schema(spark.read.parquet(str(tmp_path / name)).schema).parquet(str(tmp_path / name))
+    q = captures.reconcile_stream(read("c"), read("m")).writeStream.format("memory").queryName("looks").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    run(q)
+    got = {(x.key, x.pending_id, x.state, x.preselect_mission_id) for x in spark.table("looks").collect()}
+    assert got >= {("k", "c1", "review", "m1"), ("k", "c2", "review", None), ("l", "c4", "expired", None)}
