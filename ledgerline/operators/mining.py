@@ -65,6 +65,17 @@ def rocks_by_name(rocks: DataFrame, query: str) -> DataFrame:
     return rocks.withColumn("bucket", place).filter("bucket IS NOT NULL").orderBy("bucket", rarity_rank(F.col("rarity")).desc(), "name")
 
 
+def rock_values(rocks: DataFrame, query: str = "", rarity: str | None = None, deposits: DataFrame | None = None, regions: list[str] | None = None) -> DataFrame:
+    """The table of scan values: rocks whose names contain the query, of one rarity, near the regions where these are
+    given (by their deposits), with `rank`; the most common first."""
+    q = query.strip().lower()
+    out = rocks.filter(F.lower("name").contains(q) if q else F.lit(True)).filter(F.col("rarity") == rarity if rarity else F.lit(True))
+    if deposits is not None and regions is not None:
+        near = area_rocks(rocks.select("name", "rarity"), deposits, regions).select("name").distinct()
+        out = out.join(near, "name", "left_semi")
+    return out.withColumn("rank", rarity_rank(F.col("rarity"))).orderBy("rank", "name")
+
+
 def search_rocks(rocks: DataFrame, query: str, tolerance: float = 1.0) -> DataFrame:
     """By scan value if the query is a number (commas and spaces aside), else by name."""
     plain = query.replace(",", "").replace(" ", "")
@@ -86,14 +97,10 @@ def search_deposits(deposits: DataFrame, kind: str | None = None, query: str = "
 
 def body_of(place: Column) -> Column:
     """The first body one of whose names the place contains."""
-    p = F.lower(F.trim(place))
-    out = F.lit(None).cast("string")
-    for body, words in reversed(BODY_KEYWORDS.items()):
-        hit = F.lit(False)
-        for w in words:
-            hit = hit | p.contains(w)
-        out = F.when(hit, body).otherwise(out)
-    return F.when(p != "", out)
+    bodies = F.array(*[F.struct(F.lit(body).alias("body"), F.array(*map(F.lit, words)).alias("words")) for body, words in BODY_KEYWORDS.items()])
+    at = lambda p: F.get(F.filter(bodies, lambda b: F.exists(b["words"], lambda w: p.contains(w))), F.lit(0))["body"]
+    # a list of one, so that the place is worked out once
+    return F.when(F.trim(place) != "", F.get(F.transform(F.array(F.lower(F.trim(place))), at), F.lit(0)))
 
 
 def regions_of(body: str | None) -> list[str]:

@@ -87,11 +87,18 @@ def area_rocks(spark, d):
     return M.area_rocks(_rocks(spark, d), _deposits(spark, d), M.regions_of("Crusader")).select("name", "rarity")
 
 
+#: Every name of a body's places, in the order in which bodies are tried.
+_WORDS = [(i, body, w) for i, (body, words) in enumerate(M.BODY_KEYWORDS.items()) for w in words]
+
+
 def bodies(spark, d):
-    n = A.table(spark, d, "nation")
-    key = F.col("n_nationkey")
-    place = F.when(key % 5 == 0, "Everus Harbor").when(key % 5 == 1, "Ruin Station").when(key % 5 == 2, "PORT TRESSLER").when(key % 5 == 3, "Seraphim").otherwise("nowhere")
-    return n.select("n_nationkey", M.body_of(place).alias("body"))
+    """Each customer at one of the places, written in some way, a few nowhere."""
+    c = A.table(spark, d, "customer")
+    n = F.col("c_custkey")
+    word = F.element_at(F.array(*[F.lit(w) for _, _, w in _WORDS]), (n % len(_WORDS) + 1).cast("int"))
+    written = F.when(n % 3 == 0, F.upper(word)).when(n % 3 == 1, F.concat(F.lit("  at "), word, F.lit(" II "))).otherwise(word)
+    place = F.when(n % 17 == 0, F.lit("nowhere")).when(n % 19 == 0, F.lit(" ")).otherwise(F.concat(written, F.when(n % 5 == 0, " x").otherwise("")))
+    return c.select("c_custkey", M.body_of(place).alias("body"))
 
 
 def _runs(spark, d):
@@ -190,7 +197,10 @@ ORACLE_SQL = {
     "deposit_search": """SELECT p_name || ' ' || p_partkey AS name, p_type AS type, concat_ws('; ', 'HUR-L3', CASE WHEN p_partkey % 3 = 0 THEN 'Daymar' END, CASE WHEN p_partkey % 5 = 0 THEN 'Pyro Asteroid Clusters' END) AS places
         FROM part WHERE starts_with(p_type, 'ECO') AND p_partkey % 2 = 0""",
     "area_rocks": f"WITH {_ROCKS} SELECT name, rarity FROM rocks WHERE p_partkey % 2 = 0 OR p_partkey % 3 = 0",
-    "resolve_body": "SELECT n_nationkey, CASE n_nationkey % 5 WHEN 0 THEN 'Hurston' WHEN 1 THEN 'Pyro' WHEN 2 THEN 'microTech' WHEN 3 THEN 'Crusader' END AS body FROM nation",
+    "resolve_body": "WITH w AS (SELECT * FROM (VALUES " + ", ".join(f"({n}, {i}, '{body}', '{w.replace(chr(39), chr(39) * 2)}')" for n, (i, body, w) in enumerate(_WORDS)) + f""") AS t(n, i, body, word)),
+        p AS (SELECT c_custkey, CASE WHEN c_custkey % 17 = 0 THEN 'nowhere' WHEN c_custkey % 19 = 0 THEN ' ' ELSE concat(CASE c_custkey % 3 WHEN 0 THEN upper(word) WHEN 1 THEN '  at ' || word || ' II ' ELSE word END, CASE WHEN c_custkey % 5 = 0 THEN ' x' END) END AS place
+              FROM customer JOIN w ON n = c_custkey % {len(_WORDS)})
+        SELECT c_custkey, arg_min(body, i) AS body FROM p LEFT JOIN w ON contains(lower(trim(place)), word) GROUP BY c_custkey""",
     "salvage_totals": """WITH s AS (SELECT l_orderkey AS id, sum(CASE WHEN l_returnflag = 'R' THEN CAST(l_quantity AS BIGINT) * (l_suppkey % 5) * 1000 END) AS sold FROM lineitem GROUP BY 1),
         r AS (SELECT o_orderkey AS id, o_orderkey % 5 AS crew, CAST((o_custkey % 20) * 7200 + (o_custkey % 7) * 12000 AS DOUBLE) AS m FROM orders)
         SELECT id, m AS materials_value, CAST(coalesce(sold, 0) AS DOUBLE) AS components_value, m + coalesce(sold, 0) AS total_value, (m + coalesce(sold, 0)) / greatest(1, crew) AS per_crew FROM r LEFT JOIN s USING (id)""",
