@@ -144,6 +144,20 @@ def ocr_objectives(spark, d):
     )
 
 
+#: What is read on after a place, and whether it belongs to it.
+ENDINGS = [
+    (" to Lorville", False), (" to", True), (" from Bay", False), (" we need it", False), (" we", True), (" is late", False), (" is-7", True), (" are lookingly", False), (" they x", False), (" the refinery", False), (" todayish", True), (" today", False),
+    (" Reward 5", False), (" max  box size 8", False), (". More", False), (" above X", False), (" hey you", False), (" good morning", False), (" j", False), (" containers here", False), (" Containerized", True), (" at Hurston's L2", False), (" Lagrange point", False), ("", True),
+]
+
+
+def place_endings(spark, d):
+    c = A.table(spark, d, "customer")
+    n = F.col("c_custkey")
+    read = F.concat(F.lit("* Place "), (n % 90 + 10).cast("string"), F.element_at(F.array(*[F.lit(e) for e, _ in ENDINGS]), (n % len(ENDINGS) + 1).cast("int")))
+    return c.select("c_custkey", O.trim_destination(read).alias("place"))
+
+
 def ocr_numbers(spark, d):
     e = A.table(spark, d, "events")
     return e.select("event_id", O.ocr_number(F.translate(F.concat(F.lit("x"), F.col("event_id").cast("string")), "018", "OlB")).alias("n"))
@@ -186,7 +200,7 @@ def title_margin(spark, d):
 
 QUERIES = {
     "parse_log_lines": parse_log_lines, "reduced_missions": reduced_missions, "reduced_legs": reduced_legs, "template_parse": template_parse, "title_route": title_route, "humanize_location": humanize,
-    "ocr_objectives": ocr_objectives, "ocr_number": ocr_numbers, "redact_documents": redact_documents, "mission_lines": mission_lines, "current_location_changes": location_changes,
+    "ocr_objectives": ocr_objectives, "place_endings": place_endings, "ocr_number": ocr_numbers, "redact_documents": redact_documents, "mission_lines": mission_lines, "current_location_changes": location_changes,
     "fuzzy_match_confusable": fuzzy_confusable, "title_match_margin": title_margin,
 }
 _N = "CASE p_partkey % 12 " + " ".join(f"WHEN {i} THEN '{n}'" for i, n in enumerate(NAMES)) + " END"
@@ -201,6 +215,7 @@ ORACLE_SQL = {
     "title_route": "SELECT event_id, 'Stop ' || user_id AS pickup, CASE WHEN user_id % 2 = 0 THEN 'Bay ' || user_id END AS dropoff FROM events",
     "humanize_location": "SELECT n_nationkey, CASE n_nationkey % 3 WHEN 0 THEN 'HDPC-Farnes' || n_nationkey WHEN 1 THEN 'RR-HUR-LEO' ELSE 'Big Lagoon ' || n_nationkey END AS place FROM nation",
     "ocr_objectives": """SELECT o_orderkey, o_orderkey * 7 + 12500 AS reward, CAST(8 AS BIGINT) AS box_size, 2 AS n, o_custkey % 600 + 20 AS scu, 'Baijini Point' AS pickup_at, 'dropoff' AS second, 'Everus Station' AS dropoff_at, 'Hauling from Depot | x' AS title FROM orders""",
+    "place_endings": "SELECT c_custkey, 'Place ' || (c_custkey % 90 + 10) || [" + ", ".join("'" + (e if kept else "") + "'" for e, kept in ENDINGS) + f"][c_custkey % {len(ENDINGS)} + 1] AS place FROM customer",
     "ocr_number": "SELECT event_id, event_id AS n FROM events",
     "redact_documents": r"SELECT event_id AS seq, 'Player[<PLAYER>] PlayerId[<PLAYERID>] at C:\Users\<USER>\log saw <PLAYER>[<PLAYERID>] <USER>' AS value FROM events",
     "current_location_changes": """SELECT user_id, event_id AS seq, upper(event_type[1]) || event_type[2:] AS location, event_type IS DISTINCT FROM lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS changed FROM events WHERE event_id % 4 = 0""",

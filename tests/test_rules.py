@@ -461,6 +461,7 @@ def test_the_first_deposit_of_a_name(spark):
 
 
 NOISY_PLACES = {
+    "Levski to": "Levski to", "Foo Bay we": "Foo Bay we", "Port is-7": "Port is-7", "Levski to Lorville": "Levski", "Foo Bay we wait": "Foo Bay", "Port is late": "Port", "Port is hey": "Port is", "Gate are lookingly": "Gate", "Gate todayish": "Gate todayish",
     "Everus Harbor at Hurston's L2 Lagrange point": "Everus Harbor", "Green Glade Station j": "Green Glade Station", "Port Tressler above microTech. Hey folks": "Port Tressler", "HUR-L2 Faithful Dream Station the refinery": "HUR-L2 Faithful Dream Station",
     "Baijini Point. Max Box Size 8 SCU": "Baijini Point", "Covalex Depot S4DC05 is waiting": "Covalex Depot S4DC05", "* Melodic Fields Station to Lorville": "Melodic Fields Station",
 }
