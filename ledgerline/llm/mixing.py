@@ -3,7 +3,8 @@
 A classifier trained on a labelled table (multinomial naive Bayes over hashed words, softmax of the mean log likelihood
 a word, with a scale and biases that are fitted across halves of the sample) predicts each document's domain posteriors. Rates
 then minimise the squared distance between the domains' expected tokens, the sum of rate * tokens * posterior, and their
-targets, subject to rate >= `least` (0 or more). Every projected-gradient step moves a document by its own posteriors
+targets, subject to rate >= `least` (0 or more) and, so that a rare domain isn't repeated without end, rate <= `most`
+(REPEATS); what targets then lack is told (`missing`). Every projected-gradient step moves a document by its own posteriors
 times the domains' residuals, scaled by the inverse of the Gram matrix of the documents above the bound, so all that the driver sees and sends
 is one small vector a step; a document's rate is the fold of these vectors over its posteriors, and no state is kept.
 
@@ -29,6 +30,8 @@ from pyspark.sql.types import ArrayType, DoubleType
 from ledgerline.llm.common import held, materialize, unit_hash
 
 BUCKETS = 1 << 16
+#: How often a document may be repeated.
+REPEATS = 16.0
 
 
 @dataclass
@@ -136,19 +139,19 @@ def copies(rate: Column) -> Column:
     return F.floor(rate + unit_hash(F.lit(31), "doc_id", "__mark")).cast("int")
 
 
-def rate(steps: list[list[float]], least: float) -> Column:
-    """A document's rate after the steps: each subtracts posterior . step, never below `least`."""
-    out = F.lit(max(1.0, least))
+def rate(steps: list[list[float]], least: float, most: float = float("inf")) -> Column:
+    """A document's rate after the steps: each subtracts posterior . step, never below `least` nor above `most`."""
+    out = F.lit(min(most, max(1.0, least)))
     if not steps:
         return out
     dot = lambda s: F.aggregate(F.zip_with("__posterior", s, lambda p, g: p * g), F.lit(0.0), lambda a, x: a + x)
-    return F.aggregate(F.array(*[F.array(*map(F.lit, s)) for s in steps]), out, lambda r, s: F.greatest(F.lit(least), r - dot(s)))
+    return F.aggregate(F.array(*[F.array(*map(F.lit, s)) for s in steps]), out, lambda r, s: F.least(F.lit(most), F.greatest(F.lit(least), r - dot(s))))
 
 
-def solve(judged: DataFrame, n: int, weights: list[float] | None, least: float, total: float | None, most: int = 60, near: float = 1e-4) -> list[list[float]]:
-    """The steps that bring the expected tokens of the domains as near to their targets as they get. judged: tokens,
+def solve(judged: DataFrame, n: int, weights: list[float] | None, least: float, total: float | None, at_most: int = 60, near: float = 1e-4, most: float = float("inf")) -> tuple[list[list[float]], list[float]]:
+    """The steps, and how many tokens each domain lacks of its target after them (less than nothing: has beyond it). The steps bring the expected tokens of the domains as near to their targets as they get. judged: tokens,
     posterior. Targets that no rates reach (posteriors too soft for them) leave about the least-squares remainder: after
-    `most` steps up to 15 % more of it in the tests.
+    `at_most` steps up to 15 % more of it in the tests.
 
     weights: the domains' target shares. total: tokens to reach; by default the tokens there are, or, if rates under 1
     aren't allowed, the least number for which no domain has to shrink.
@@ -158,8 +161,8 @@ def solve(judged: DataFrame, n: int, weights: list[float] | None, least: float,
 
     def sums(steps: list[list[float]]) -> tuple[np.ndarray, np.ndarray]:
         """Expected tokens of the domains, and the Gram matrix of the documents whose rates can still fall."""
-        rated = judged.withColumn("__rate", rate(steps, least))
-        free = (F.col("__rate") > least) if steps else F.lit(True)
+        rated = judged.withColumn("__rate", rate(steps, least, most))
+        free = ((F.col("__rate") > least) & (F.col("__rate") < most)) if steps else F.lit(True)
         first = rated.agg(
             *[F.sum(t * F.col("__rate") * p[i]) for i in range(n)], *[F.sum(F.when(free, t * p[i] * p[j])) for i in range(n) for j in range(n)]
         ).first()
@@ -168,7 +171,7 @@ def solve(judged: DataFrame, n: int, weights: list[float] | None, least: float,
 
     now, gram = sums([])
     if now.sum() <= 0:
-        return []
+        return [], [0.0] * n
     share = np.array(weights if weights else [1 / n] * n) / sum(weights or [1.0])
     if total is None:
         total = float((now / np.maximum(share, 1e-9)).max()) if least >= 1 else float(now.sum())
@@ -177,7 +180,7 @@ def solve(judged: DataFrame, n: int, weights: list[float] | None, least: float,
     plain = 1 / max(1e-30, float(np.linalg.eigvalsh(gram)[-1]))
     steps: list[list[float]] = []
     error, size, boost = now - target, 1.0, 1.0
-    while len(steps) < most and np.abs(error).max() > near * total:
+    while len(steps) < at_most and np.abs(error).max() > near * total:
         if size >= 1 / 64:
             move = size * np.linalg.pinv(gram + 1e-9 * np.trace(gram) * np.eye(n)) @ error
         else:
@@ -194,27 +197,30 @@ def solve(judged: DataFrame, n: int, weights: list[float] | None, least: float,
             boost = 1.0
         else:
             break
-    return steps
+    return steps, (-error).tolist()
 
 
-def mixed_rates(docs: DataFrame, labels: DataFrame, weights: list[float] | None = None, least: float = 0.0, column: str = "quality") -> DataFrame:
-    """doc_id, tokens, posteriors (one array), rate, copies: a row a row of docs."""
+def mixed_rates(docs: DataFrame, labels: DataFrame, weights: list[float] | None = None, least: float = 0.0, column: str = "quality", most: float = REPEATS) -> DataFrame:
+    """doc_id, tokens, posteriors (one array), rate, copies, missing (an array: the tokens that each domain lacks of its
+    target, the same in every row): a row a row of docs."""
     model = fit(docs, labels, column)
     judged = materialize(posteriors(docs, model, "doc_id"), "mixing-posteriors")
-    steps = solve(judged, len(model.domains), weights, least, None)
-    rated = judged.withColumn("rate", rate(steps, least))
+    steps, missing = solve(judged, len(model.domains), weights, least, None, most=most)
+    rated = judged.withColumn("rate", rate(steps, least, most))
     return rated.select(
         "doc_id", F.col("__tokens").alias("tokens"), F.col("__posterior").alias("posteriors"), "rate", copies(F.col("rate")).alias("copies"),
+        F.array(*[F.lit(float(x)) for x in missing]).alias("missing"),
     )
 
 
-def mixed(docs: DataFrame, labels: DataFrame, weights: list[float] | None = None, least: float = 1.0, column: str = "quality") -> DataFrame:
-    """The rows of docs as often as their rates say. With least = 1 every row stays and rare domains are repeated."""
+def mixed(docs: DataFrame, labels: DataFrame, weights: list[float] | None = None, least: float = 1.0, column: str = "quality", most: float = REPEATS) -> DataFrame:
+    """The rows of docs as often as their rates say. With least = 1 every row stays and rare domains are repeated, each
+    document `most` times at most."""
     model = fit(docs, labels, column)
     judged = materialize(posteriors(docs, model, *docs.columns), "mixing-judged")
-    steps = solve(judged, len(model.domains), weights, least, None)
+    steps, _ = solve(judged, len(model.domains), weights, least, None, most=most)
     return (
-        judged.withColumn("__copies", copies(rate(steps, least)))
+        judged.withColumn("__copies", copies(rate(steps, least, most)))
         .filter("__copies > 0")
         .withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
         .select(*docs.columns)

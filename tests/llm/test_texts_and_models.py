@@ -400,7 +400,7 @@ def test_rates_leave_as_little_as_plain_projected_gradient(spark, soft, weights,
     rows = [(int(x), [float(y) for y in q]) for x, q in zip(t, p)]
     judged = spark.createDataFrame(rows, "__tokens long, __posterior array<double>").cache()
     total = float(3 * t.sum()) if least else float(t.sum())
-    steps = mixing.solve(judged, n, weights, least, total)
+    steps, missing = mixing.solve(judged, n, weights, least, total)
     rated = judged.withColumn("rate", mixing.rate(steps, least)).collect()
     part, target = p * t[:, None], np.array(weights) * total
     left = lambda x: np.linalg.norm(x @ part - target)
@@ -466,3 +466,16 @@ def test_pipeline_stages(spark, tmp_path):
         else:
             check_packing(before, rows)
         docs, before = out, rows
+
+
+def test_a_rare_domain_is_repeated_up_to_the_limit_and_what_lacks_is_told(spark):
+    rare = lambda i: i % 100 == 0
+    rows = [(i, ("uvula wombat xenon yodel zebra " if rare(i) else "apple bread cider dates eggs ") * 10) for i in range(1500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(rare(i))) for i in range(1500)], "doc_id long, quality int")
+    out = mixing.mixed(docs, labels, [0.1, 0.9]).groupBy("doc_id").count().collect()
+    assert len(out) == 1500 and max(r["count"] for r in out) == 16 and all(r["count"] == (16 if rare(r.doc_id) else 1) for r in out)
+    rates = mixing.mixed_rates(docs, labels, [0.1, 0.9], 1.0).collect()
+    assert {round(r.rate) for r in rates if rare(r.doc_id)} == {16} and len({tuple(r.missing) for r in rates}) == 1
+    common, scarce = rates[0].missing
+    assert abs(scarce - (9 * 1485 - 16 * 15) * 50) < 0.02 * scarce and abs(common) < 0.02 * 1485 * 50
