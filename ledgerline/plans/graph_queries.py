@@ -141,11 +141,18 @@ def _edges(spark, d):
 
 
 def objective_columns(spark, d):
-    """Word boxes written from page ids: two columns, the right one under the heading."""
-    n = A.table(spark, d, "nation").select(F.col("n_nationkey").cast("string").alias("page_id"))
-    box = lambda text, x, y: F.struct(F.lit(text).alias("text"), F.lit(float(x)).alias("x0"), F.lit(float(y)).alias("y0"), F.lit(x + 60.0).alias("x1"), F.lit(y + 20.0).alias("y1"))
-    words = F.array(box("left", 10, 200), box("PRIMARY", 500, 100), box("OBJECTIVES", 570, 100), box("Deliver", 500, 140), box("Waste", 570, 141), box("noise", 10, 140))
-    return capture.objectives_column(n.select("page_id", F.lit(1000).alias("img_w"), F.inline(words)))
+    """Every turn of a conversation as a page in two columns, its words (as codes) dealt to rows of four, the first left;
+    pages of even turns have the heading over the right column, on the others only the gap between the columns tells."""
+    c = A.table(spark, d, "conversations").filter("text IS NOT NULL")
+    words = F.filter(F.split("text", r"\s+"), lambda w: w != "")
+    codes = F.transform(words, lambda w: F.substring(F.md5(w.cast("binary")), 1, 6))
+    box = lambda text, x, y: F.struct(text.alias("text"), x.cast("double").alias("x0"), y.cast("double").alias("y0"), (x + 60).cast("double").alias("x1"), (y + 20).cast("double").alias("y1"))
+    placed = F.transform(codes, lambda w, i: box(w, F.when(i % 4 == 0, 10).otherwise(430 + 70 * (i % 4)), 140 + 30 * F.floor(i / 4)))
+    heads = F.array(box(F.lit("PRIMARY"), F.lit(500), F.lit(100)), box(F.lit("OBJECTIVES"), F.lit(570), F.lit(100)))
+    boxes = F.when((F.col("turn") % 2 == 0) & (F.size(placed) > 0), F.concat(heads, placed)).otherwise(placed)
+    page = F.concat_ws("-", "conv_id", "turn", F.xxhash64("role", "text").cast("string"))
+    out = capture.objectives_column(c.select(page.alias("page_id"), F.lit(1000).alias("img_w"), F.inline(boxes)))
+    return out.select(F.regexp_extract("page_id", r"^([^-]*-[^-]*)-", 1).alias("page"), "text")
 
 
 QUERIES = {
@@ -234,5 +241,8 @@ ORACLE_SQL = {
         SELECT problem_id, unnest(ids) AS stop_id, CAST(generate_subscripts(ids, 1) - 1 AS INTEGER) AS place, total_distance, has_missing, infeasible FROM w""",
     "visit_order": f"""WITH {_VISITS}, f AS (SELECT problem_id, location, min(place) AS first FROM v GROUP BY ALL) SELECT problem_id, location, CAST(row_number() OVER (PARTITION BY problem_id ORDER BY first) AS INTEGER) AS number FROM f""",
     "precedence_pairs": f"WITH {A.SQL_LEGS} SELECT d.mission_id, d.objective_id AS dropoff, p.objective_id AS pickup FROM legs d JOIN legs p ON d.mission_id = p.mission_id AND d.kind = 'dropoff' AND p.kind = 'pickup' AND coalesce(d.commodity, '') = coalesce(p.commodity, '')",
-    "objectives_column": "SELECT CAST(n_nationkey AS VARCHAR) AS page_id, 'PRIMARY OBJECTIVES' || chr(10) || 'Deliver Waste' AS text FROM nation",
+    "objectives_column": r"""WITH w AS (SELECT concat_ws('-', conv_id, turn) AS page, turn, list_transform(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> ''), lambda x: md5(x)[1:6]) AS w FROM conversations WHERE text IS NOT NULL),
+        r AS (SELECT page, turn, len(w) AS n, list_transform(range(0, (len(w) + 3) // 4), lambda i: array_to_string(w[4 * i + 1:4 * i + 4], ' ')) AS whole,
+                     list_filter(list_transform(range(0, (len(w) + 3) // 4), lambda i: array_to_string(w[4 * i + 2:4 * i + 4], ' ')), lambda x: x <> '') AS beside FROM w WHERE len(w) > 0)
+        SELECT page, CASE WHEN turn % 2 = 0 THEN array_to_string(list_concat(['PRIMARY OBJECTIVES'], beside), chr(10)) WHEN n >= 6 THEN array_to_string(beside, chr(10)) ELSE array_to_string(whole, chr(10)) END AS text FROM r""",
 }

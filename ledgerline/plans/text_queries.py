@@ -127,11 +127,18 @@ def title_route(spark, d):
     return e.withColumn("r", P.title_route(title)).select("event_id", "r.pickup", "r.dropoff")
 
 
+#: Internal ids of places and what people write; {n} is a number.
+PLACE_IDS = [
+    ("Stanton1_DistributionCentre_Hurston_farnes{n}", "HDPC-Farnes{n}"), ("RR_HUR_LEO", "RR-HUR-LEO"), ("Pyro2_big_LAGOON_{n}", "Big Lagoon {n}"), ("stanton_port_tressler", "Port Tressler"), (" Stanton4_NewBabbage_{n} ", "Newbabbage {n}"),
+    ("pyro_ABCD_x", "ABCD X"), ("___", "___"), ("Stanton2_distributioncentre_crusader_AB", "CDPC-AB"), ("A1", "A1"), ("ORBITAL_hub  {n}", "Orbital Hub {n}"), ("", ""), ("STANTON_RR_{n}", "RR-{n}"),
+]
+
+
 def humanize(spark, d):
-    n = A.table(spark, d, "nation")
-    key = F.col("n_nationkey")
-    raw = F.when(key % 3 == 0, F.concat(F.lit("Stanton1_DistributionCentre_Hurston_farnes"), key.cast("string"))).when(key % 3 == 1, F.lit("RR_HUR_LEO")).otherwise(F.concat(F.lit("Pyro2_big_LAGOON_"), key.cast("string")))
-    return n.select("n_nationkey", P.humanize_location(raw).alias("place"))
+    c = A.table(spark, d, "customer")
+    key = F.col("c_custkey")
+    raw = F.element_at(F.array(*[F.lit(x) for x, _ in PLACE_IDS]), (key % len(PLACE_IDS) + 1).cast("int"))
+    return c.select("c_custkey", P.humanize_location(F.replace(raw, F.lit("{n}"), (key % 900).cast("string"))).alias("place"))
 
 
 def ocr_objectives(spark, d):
@@ -213,7 +220,7 @@ ORACLE_SQL = {
         CASE user_id % 3 WHEN 0 THEN 'RefinedOre' WHEN 1 THEN 'cmat' ELSE '' END AS commodity_token, CASE user_id % 3 WHEN 0 THEN 'Refined Ore' WHEN 1 THEN 'Construction Materials' ELSE '' END AS commodity,
         CASE user_id % 3 WHEN 0 THEN 'SINGLE_TO_MULTI' WHEN 1 THEN 'MULTI_TO_SINGLE' ELSE 'A_TO_B' END AS stored_variant, CASE user_id % 3 WHEN 0 THEN 'SUPPLY' WHEN 1 THEN 'SMALL' ELSE 'BULK' END AS stored_grade FROM events""",
     "title_route": "SELECT event_id, 'Stop ' || user_id AS pickup, CASE WHEN user_id % 2 = 0 THEN 'Bay ' || user_id END AS dropoff FROM events",
-    "humanize_location": "SELECT n_nationkey, CASE n_nationkey % 3 WHEN 0 THEN 'HDPC-Farnes' || n_nationkey WHEN 1 THEN 'RR-HUR-LEO' ELSE 'Big Lagoon ' || n_nationkey END AS place FROM nation",
+    "humanize_location": "SELECT c_custkey, replace([" + ", ".join(f"'{x}'" for _, x in PLACE_IDS) + f"][c_custkey % {len(PLACE_IDS)} + 1], '{{n}}', CAST(c_custkey % 900 AS VARCHAR)) AS place FROM customer",
     "ocr_objectives": """SELECT o_orderkey, o_orderkey * 7 + 12500 AS reward, CAST(8 AS BIGINT) AS box_size, 2 AS n, o_custkey % 600 + 20 AS scu, 'Baijini Point' AS pickup_at, 'dropoff' AS second, 'Everus Station' AS dropoff_at, 'Hauling from Depot | x' AS title FROM orders""",
     "place_endings": "SELECT c_custkey, 'Place ' || (c_custkey % 90 + 10) || [" + ", ".join("'" + (e if kept else "") + "'" for e, kept in ENDINGS) + f"][c_custkey % {len(ENDINGS)} + 1] AS place FROM customer",
     "ocr_number": "SELECT event_id, event_id AS n FROM events",
