@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ledgerline.functions.scalars import is_hauling_giver
+from ledgerline.operators.reduce import reduce_events
 from ledgerline.sources.scratch import written
 
 WINDOW_MS = 2000
@@ -214,3 +215,11 @@ def settled(missions: DataFrame, events: DataFrame, awards: DataFrame, window: i
     rows = written(claim_rows(awards, missions.join(ends, "id", "left"), window), "claims")
     payouts = rows.filter("mission_id IS NOT NULL").select("mission_id", F.col("amount").alias("payout"), F.col("confidence").alias("payout_confidence"))
     return with_payouts(missions, payouts), rows.filter("amount IS NOT NULL").select("amount", "ts", "mission_id", "confidence")
+
+
+def settled_log(events: DataFrame, window: int = WINDOW_MS) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """missions with their payouts, legs, the earnings ledger and fines of one log's events."""
+    events = written(events, "claims-events")
+    missions, legs, awards, fines = reduce_events(events)
+    missions, earnings = settled(written(missions, "claims-missions"), events, awards, window)
+    return missions, legs, earnings, fines

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ledgerline.functions import fuzzy, logparse as P, noisytext as O, redact as D
-from ledgerline.operators import reduce as E
+from ledgerline.operators import claims, reduce as E
 from ledgerline.plans import adapter as A
 
 #: A fixed dictionary for matching: name, place in the dictionary.
@@ -96,6 +96,24 @@ SELECT m.*, CASE WHEN ends.completion_type = 'complete' THEN 'complete' WHEN end
 FROM m LEFT JOIN ends ON ends.mission_id = id LEFT JOIN state ON state.mission_id = id LEFT JOIN since ON since.mission_id = id"""
 
 
+def settled_missions(spark, d):
+    """The missions of the parsed log with the payouts that its awards bring them; the window is an hour, as the test
+    events are far apart."""
+    missions = claims.settled_log(P.parse_lines(log_lines(spark, d).drop("event_id")), 3_600_000)[0]
+    return missions.select("id", "payout", "payout_confidence")
+
+
+SETTLED_SQL = f"""WITH RECURSIVE red AS ({REDUCED_SQL}), pp AS ({PARSED_SQL}), ed AS (SELECT mission_id, max(seq) AS end_seq FROM pp WHERE type = 'missionEnded' GROUP BY mission_id),
+    w AS (SELECT *, row_number() OVER (ORDER BY seq) AS r FROM (SELECT amount, ts, min(seq) AS seq FROM pp WHERE type = 'payoutAwarded' GROUP BY ALL)),
+    c AS (SELECT list({{'id': id, 't': completed_at, 's': end_seq}} ORDER BY completed_at, end_seq) AS unpaid FROM red JOIN ed ON mission_id = id WHERE status = 'complete' AND terminal_source = 'game' AND giver = 'Covalex_Hauling'),
+    s AS (SELECT 0 AS r, unpaid, list_transform(unpaid[1:0], lambda x: x.id) AS near, CAST(0 AS BIGINT) AS amount FROM c
+          UNION ALL SELECT r, list_filter(unpaid, lambda x: len(near) = 0 OR x.id <> near[1]), near, amount FROM (
+              SELECT w.r, unpaid, w.amount, list_transform(list_filter(unpaid, lambda x: x.t >= w.ts - 3600000 AND x.t <= w.ts AND x.s < w.seq), lambda x: x.id) AS near FROM s JOIN w ON w.r = s.r + 1)),
+    n AS (SELECT unnest(near) AS mission_id, generate_subscripts(near, 1) AS place, len(near) AS n, amount FROM s),
+    y AS (SELECT mission_id, max(amount) FILTER (WHERE place = 1) AS payout, CASE WHEN max(n) FILTER (WHERE place = 1) = 1 THEN 'confirmed' ELSE 'approximate' END AS sure FROM n GROUP BY mission_id)
+    SELECT id, payout, sure AS payout_confidence FROM red LEFT JOIN y ON mission_id = id"""
+
+
 def reduced_legs(spark, d):
     _, legs, _, _ = E.reduce_events(P.parse_lines(log_lines(spark, d).drop("event_id")))
     return legs.select("mission_id", "objective_id", "kind", "commodity", "scu_total", "scu_delivered", "location", "completed", "pos_z")
@@ -206,14 +224,14 @@ def title_margin(spark, d):
 
 
 QUERIES = {
-    "parse_log_lines": parse_log_lines, "reduced_missions": reduced_missions, "reduced_legs": reduced_legs, "template_parse": template_parse, "title_route": title_route, "humanize_location": humanize,
+    "parse_log_lines": parse_log_lines, "reduced_missions": reduced_missions, "settled_missions": settled_missions, "reduced_legs": reduced_legs, "template_parse": template_parse, "title_route": title_route, "humanize_location": humanize,
     "ocr_objectives": ocr_objectives, "place_endings": place_endings, "ocr_number": ocr_numbers, "redact_documents": redact_documents, "mission_lines": mission_lines, "current_location_changes": location_changes,
     "fuzzy_match_confusable": fuzzy_confusable, "title_match_margin": title_margin,
 }
 _N = "CASE p_partkey % 12 " + " ".join(f"WHEN {i} THEN '{n}'" for i, n in enumerate(NAMES)) + " END"
 _DICT = "(VALUES " + ", ".join(f"({i}, '{n}')" for i, n in enumerate(NAMES)) + ") AS t(idx, value)"
 ORACLE_SQL = {
-    "parse_log_lines": PARSED_SQL, "reduced_missions": REDUCED_SQL, "reduced_legs": REDUCED_LEGS_SQL,
+    "parse_log_lines": PARSED_SQL, "reduced_missions": REDUCED_SQL, "settled_missions": SETTLED_SQL, "reduced_legs": REDUCED_LEGS_SQL,
     "mission_lines": """SELECT CAST(event_id AS INTEGER) AS line_no, CASE WHEN event_id % 4 = 0 THEN 'live' ELSE 'historical' END AS source FROM events
         WHERE event_type <> 'click' OR CAST(json_extract_string(props, '$.k') AS BIGINT) < 95 ORDER BY event_id DESC LIMIT 2000""",
     "template_parse": """SELECT event_id, CASE user_id % 3 WHEN 0 THEN 'SINGLE_TO_MULTI' WHEN 1 THEN 'MULTI_TO_SINGLE' ELSE 'A_TO_B' END AS variant, CASE user_id % 3 WHEN 0 THEN 'SUPPLY' WHEN 1 THEN 'SMALL' ELSE 'BULK' END AS grade,
