@@ -105,6 +105,32 @@ def updated_runs(runs: DataFrame, patches: DataFrame) -> DataFrame:
     return out.select(*runs.columns)
 
 
+def with_runs(runs: DataFrame, drafts: DataFrame) -> DataFrame:
+    """runs and those begun: drafts have id, at (ms), created_seq, and any of crew_size, notes, rmc_scu, cmat_scu,
+    construction_scu (null: as usual)."""
+    given = lambda c, usual: F.coalesce(F.col(c), F.lit(usual)) if c in drafts.columns else F.lit(usual)
+    new = drafts.select(
+        "id", F.col("at").alias("started_at"), F.lit(None).cast("long").alias("completed_at"), F.lit("active").alias("status"), F.greatest(F.lit(1), given("crew_size", 1).cast("int")).alias("crew_size"), given("notes", "").alias("notes"),
+        *[given(c, 0.0).cast("double").alias(c) for c in ("rmc_scu", "cmat_scu", "construction_scu")], "created_seq",
+    )
+    return runs.unionByName(new.select(*[c for c in new.columns if c in runs.columns]), allowMissingColumns=True)
+
+
+def with_stripped(stripped: DataFrame, added: DataFrame, runs: DataFrame) -> DataFrame:
+    """stripped and the added components (its columns) of runs that there are; the others are left out."""
+    new = cleaned_stripped(added.join(runs.select(F.col("id").alias("run_id")).distinct(), "run_id", "left_semi"))
+    return stripped.unionByName(new.withColumn("sold", F.coalesce("sold", F.lit(False))).select(*[c for c in stripped.columns if c in new.columns]), allowMissingColumns=True)
+
+
+def patched_stripped(stripped: DataFrame, patches: DataFrame) -> DataFrame:
+    """patches: run_id, id and any of type, model, qty, sell_price_each, sold (null: as it is)."""
+    names = [c for c in patches.columns if c not in ("run_id", "id")]
+    p = patches.select("run_id", "id", *[F.col(c).alias(f"__{c}") for c in names])
+    whole = lambda c: F.when(F.col(f"__{c}").isNotNull(), F.greatest(F.lit(0), F.col(f"__{c}").cast("long"))) if c in ("qty", "sell_price_each") else F.col(f"__{c}")
+    out = stripped.join(p, ["run_id", "id"], "left")
+    return out.withColumns({c: F.coalesce(whole(c), F.col(c)) for c in names}).select(*stripped.columns)
+
+
 def cleaned_stripped(stripped: DataFrame) -> DataFrame:
     """Quantities and prices are whole and not negative."""
     return stripped.withColumn("qty", F.greatest(F.lit(0), F.col("qty").cast("int"))).withColumn("sell_price_each", F.greatest(F.lit(0), F.col("sell_price_each").cast("long")))

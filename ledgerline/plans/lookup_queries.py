@@ -125,6 +125,24 @@ def updated_runs(spark, d):
     return V.updated_runs(runs, patches).select("id", "status", "crew_size", "rmc_scu", "completed_at")
 
 
+def begun_runs(spark, d):
+    """Runs begun by customers beside those that there are, by crew and state."""
+    n = F.col("c_custkey")
+    drafts = A.table(spark, d, "customer").select((n + 50_000_000).alias("id"), n.alias("at"), n.alias("created_seq"), F.when(n % 3 > 0, n % 7 - 2.5).alias("crew_size"), F.when(n % 2 == 0, n * 0.5).alias("rmc_scu"))
+    out = V.with_runs(G._runs(spark, d), drafts)
+    return out.groupBy("crew_size", "status").agg(F.count(F.lit(1)).alias("n"), F.sum("rmc_scu").alias("rmc"))
+
+
+def stripped_commands(spark, d):
+    """Components patched, and others added to runs, some of which there are not."""
+    s = G._stripped(spark, d).filter("qty > 10").dropDuplicates(["run_id", "id"])
+    patches = s.filter("qty % 4 = 0").select("run_id", "id", (F.col("qty") - 20.5).alias("qty"), F.when(F.col("qty") % 8 == 0, True).alias("sold"))
+    n = F.col("c_custkey")
+    added = A.table(spark, d, "customer").select((n * 40).alias("run_id"), n.cast("string").alias("id"), F.lit("radar").alias("type"), F.lit("new").alias("model"), (n % 9 - 4).alias("qty"), (n % 5 - 2).alias("sell_price_each"), F.when(n % 2 == 0, True).alias("sold"))
+    out = V.with_stripped(V.patched_stripped(s, patches), added, G._runs(spark, d))
+    return out.groupBy("run_id").agg(F.count(F.lit(1)).alias("n"), F.sum("qty").alias("qty"), F.sum("sell_price_each").alias("price"), F.count(F.when(F.col("sold"), 1)).alias("sold"))
+
+
 def priced_components(spark, d):
     """Stripped components with the price that the reference has for their type and model, whole and not negative."""
     c = A.table(spark, d, "part").filter("p_partkey < 5").select(F.lit("weapon").alias("type"), F.concat(F.lit("model"), F.col("p_partkey").cast("string")).alias("model"), (F.col("p_partkey") * 7).alias("sell_price"))
@@ -180,7 +198,7 @@ def preselected(spark, d):
 QUERIES = {
     "rock_value_table": rock_values, "rock_search_by_value": searched_rocks, "rocks_of_table": rocks_of_table, "deposits_of_table": deposits_of_table, "terminals_of_table": terminals, "ships_of_table": ships, "venues": venues,
     "merged_locations": merged_locations, "worksheet_ships": worksheet_ships, "route_stops": route_stops, "route_start": route_start, "route_checks": route_checks, "manual_missions": manual_missions, "manual_drafts": manual_drafts,
-    "salvage_runs_updated": updated_runs, "salvage_reference_prices": priced_components, "salvage_next_number": next_salvage_number, "salvage_newest_run": newest_run, "salvage_history": run_history, "component_search": searched_components,
+    "salvage_runs_updated": updated_runs, "salvage_runs_begun": begun_runs, "salvage_stripped_commands": stripped_commands, "salvage_reference_prices": priced_components, "salvage_next_number": next_salvage_number, "salvage_newest_run": newest_run, "salvage_history": run_history, "component_search": searched_components,
     "next_payout_bracket": next_brackets, "captures_reviewed": reviewed_captures, "title_preselected": preselected,
 }
 _NEAR = 30_000
@@ -211,6 +229,13 @@ ORACLE_SQL = {
         p AS (SELECT *, CASE WHEN id % 3 = 0 THEN ['sold', 'active', 'active'][CAST(floor(id / 3) AS BIGINT) % 3 + 1] END AS new FROM r)
         SELECT id, coalesce(new, status) AS status, CASE WHEN id % 3 = 0 AND id % 2 = 0 THEN greatest(1, CAST(id % 4 - 2 AS INTEGER)) ELSE crew END AS crew_size, CASE WHEN id % 3 = 0 AND id % 5 = 0 THEN CAST(id AS DOUBLE) ELSE rmc END AS rmc_scu,
                CASE WHEN new IS NULL THEN done WHEN new = 'active' THEN NULL ELSE coalesce(done, id) END AS completed_at FROM p""",
+    "salvage_runs_begun": """WITH r AS (SELECT CAST(o_orderkey % 5 AS INTEGER) AS crew_size, CASE WHEN o_orderstatus = 'F' THEN 'sold' ELSE 'active' END AS status, CAST(o_custkey % 20 AS DOUBLE) AS rmc FROM orders
+            UNION ALL SELECT CASE WHEN c_custkey % 3 > 0 THEN greatest(1, CAST(trunc(c_custkey % 7 - 2.5) AS INTEGER)) ELSE 1 END, 'active', CASE WHEN c_custkey % 2 = 0 THEN c_custkey * 0.5 ELSE 0 END FROM customer)
+        SELECT crew_size, status, count(*) AS n, sum(rmc) AS rmc FROM r GROUP BY ALL""",
+    "salvage_stripped_commands": """WITH s AS (SELECT DISTINCT l_orderkey AS run_id, l_partkey, l_suppkey, l_linenumber, CAST(l_quantity AS BIGINT) AS q, l_extendedprice, l_returnflag = 'R' AS sold FROM lineitem WHERE CAST(l_quantity AS BIGINT) > 10),
+        e AS (SELECT run_id, CASE WHEN q % 4 = 0 THEN greatest(0, CAST(trunc(q - 20.5) AS BIGINT)) ELSE q END AS qty, (l_suppkey % 5) * 1000 AS price, sold OR q % 8 = 0 AS sold FROM s
+              UNION ALL SELECT c_custkey * 40, greatest(0, c_custkey % 9 - 4), greatest(0, c_custkey % 5 - 2), c_custkey % 2 = 0 FROM customer WHERE c_custkey * 40 IN (SELECT o_orderkey FROM orders))
+        SELECT run_id, count(*) AS n, CAST(sum(qty) AS BIGINT) AS qty, CAST(sum(price) AS BIGINT) AS price, count(*) FILTER (WHERE sold) AS sold FROM e GROUP BY run_id""",
     "salvage_reference_prices": """WITH s AS (SELECT ['weapon','powerplant','shield','quantumdrive','cooler','radar'][l_linenumber % 6 + 1] AS type, 'model' || (l_partkey % 9) AS model, greatest(0, CAST(l_quantity AS BIGINT) - 20) AS q, greatest(0, (l_suppkey % 5) * 1000 - 1500) AS price, l_partkey % 9 AS k FROM lineitem),
         c AS (SELECT 'weapon' AS type, 'model' || p_partkey AS model, p_partkey * 7 AS reference_price FROM part WHERE p_partkey < 5)
         SELECT type, model, reference_price, CAST(sum(q) AS BIGINT) AS qty, CAST(sum(price) AS BIGINT) AS price, count(*) AS n FROM s LEFT JOIN c USING (type, model) GROUP BY ALL""",
