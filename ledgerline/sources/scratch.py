@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 def written(df: DataFrame, label: str) -> DataFrame:
     """df as a table in `spark.checkpoint.dir`, read back: it is worked out once, and readers prune its columns.
 
-    Without that setting a local folder is made, but only where all runs in one process.
+    It goes when the driver ends. Without that setting a local folder is made, but only where all runs in one process.
     """
     spark = df.sparkSession
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
@@ -23,4 +23,6 @@ def written(df: DataFrame, label: str) -> DataFrame:
         shared = spark.sparkContext.getCheckpointDir()
     path = f"{shared.rstrip('/')}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(where)
     return spark.read.schema(df.schema).parquet(path)
