@@ -151,6 +151,7 @@ def applied_objectives(legs: DataFrame, objectives: DataFrame, at: int) -> DataF
         rows = assigned(x.sort_values("objective_id").to_dict("records"), o.sort_values("pos").to_dict("records"), at) if len(o) else []
         return pd.DataFrame(rows, columns=[c.split()[0] for c in APPLIED.split(", ")])
 
+    objectives = objectives.select(*[F.col(c).alias(c) for c in objectives.columns])  # columns of their own, where both come of one table
     return objectives.groupBy("mission_id").cogroup(legs.groupBy("mission_id")).applyInPandas(work, APPLIED)
 
 

@@ -176,6 +176,15 @@ def next_brackets(spark, d):
     return t.select("mission_id", S.partial_payout(F.lit(100_000), F.col("done"), F.col("total")).alias("pays"), S.next_bracket(ratio).alias("next"))
 
 
+def applied_objectives(spark, d):
+    """Of every fifth order objectives read for a third of its open lines, with new sizes, and one of nothing known, which
+    takes the first open dropoff that is left or is inserted."""
+    legs = A.legs(spark, d).filter(F.col("mission_id").cast("long") % 5 == 0).withColumn("manual_override", F.lit(None).cast("long"))
+    some = legs.filter(~F.col("completed") & (F.col("scu_total") % 3 == 0)).select("mission_id", F.col("objective_id").cast("int").alias("pos"), "kind", "commodity", (F.col("scu_total") + 1).alias("scu"), "location")
+    odd = legs.select("mission_id").distinct().select("mission_id", F.lit(999).alias("pos"), F.lit("dropoff").alias("kind"), F.lit("Nothing known").alias("commodity"), F.lit(7).cast("long").alias("scu"), F.lit("Nowhere").alias("location"))
+    return capture.applied_objectives(legs, some.unionByName(odd), 5)
+
+
 def reviewed_captures(spark, d):
     """Captures of three ages; a mission of their id or of their title and day."""
     n = F.col("c_custkey")
@@ -199,7 +208,7 @@ QUERIES = {
     "rock_value_table": rock_values, "rock_search_by_value": searched_rocks, "rocks_of_table": rocks_of_table, "deposits_of_table": deposits_of_table, "terminals_of_table": terminals, "ships_of_table": ships, "venues": venues,
     "merged_locations": merged_locations, "worksheet_ships": worksheet_ships, "route_stops": route_stops, "route_start": route_start, "route_checks": route_checks, "manual_missions": manual_missions, "manual_drafts": manual_drafts,
     "salvage_runs_updated": updated_runs, "salvage_runs_begun": begun_runs, "salvage_stripped_commands": stripped_commands, "salvage_reference_prices": priced_components, "salvage_next_number": next_salvage_number, "salvage_newest_run": newest_run, "salvage_history": run_history, "component_search": searched_components,
-    "next_payout_bracket": next_brackets, "captures_reviewed": reviewed_captures, "title_preselected": preselected,
+    "next_payout_bracket": next_brackets, "captures_reviewed": reviewed_captures, "objectives_applied": applied_objectives, "title_preselected": preselected,
 }
 _NEAR = 30_000
 ORACLE_SQL = {
@@ -249,6 +258,12 @@ ORACLE_SQL = {
     "captures_reviewed": f"""WITH {A.SQL_MISSIONS}, p AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 2 = 0 THEN 'haul 1-urgent' ELSE 'haul nothing' END AS title, 800000000000 + c_custkey * 86400000 AS ts, [1000, 5000, 70000][c_custkey % 3 + 1] AS age FROM customer),
         h AS (SELECT DISTINCT k FROM p JOIN missions ON (k % 4 = 0 AND id = CAST(k AS VARCHAR)) OR (lower(missions.title) = p.title AND abs(accepted_at - ts) <= {_NEAR}))
         SELECT k AS pending_id, CASE WHEN age >= 60000 THEN 'expired' WHEN k % 5 = 0 THEN 'kept' WHEN age >= 3000 OR k IN (SELECT k FROM h) THEN 'review' ELSE 'kept' END AS state FROM p""",
+    "objectives_applied": f"""WITH {A.SQL_LEGS}, l AS (SELECT *, concat_ws('|', kind, lower(trim(coalesce(commodity, ''))), lower(trim(coalesce(location, '')))) AS key FROM legs WHERE CAST(mission_id AS BIGINT) % 5 = 0),
+        f AS (SELECT *, row_number() OVER (PARTITION BY mission_id, key ORDER BY objective_id) AS r FROM l WHERE NOT completed), o AS (SELECT *, row_number() OVER (PARTITION BY mission_id, key ORDER BY objective_id) AS r FROM l WHERE NOT completed AND scu_total % 3 = 0),
+        m AS (SELECT f.mission_id, f.objective_id, f.kind, o.commodity, o.scu_total + 1 AS scu_total, coalesce(o.location, f.location) AS location FROM o JOIN f USING (mission_id, key, r)),
+        n AS (SELECT mission_id, count(*) AS n FROM o GROUP BY mission_id), rest AS (SELECT mission_id, min(objective_id) AS first FROM f WHERE kind = 'dropoff' AND (mission_id, objective_id) NOT IN (SELECT mission_id, objective_id FROM m) GROUP BY mission_id)
+        SELECT *, 'filled' AS action FROM m
+        UNION ALL SELECT i.mission_id, coalesce(first, 'manual_dropoff_5_' || coalesce(n, 0)), 'dropoff', 'Nothing known', 7, 'Nowhere', CASE WHEN first IS NULL THEN 'inserted' ELSE 'filled' END FROM (SELECT DISTINCT mission_id FROM l) i LEFT JOIN rest USING (mission_id) LEFT JOIN n USING (mission_id)""",
     "title_preselected": """WITH i AS (SELECT c_custkey, 'nation' || (c_custkey % 25) AS key, CASE WHEN c_custkey % 3 = 0 THEN c_custkey % 40 END AS pre FROM customer), e AS (SELECT n_nationkey AS id, regexp_replace(lower(n_name), '[^a-z0-9]', '', 'g') AS e FROM nation),
         s AS (SELECT DISTINCT key, id, 1 - levenshtein(key, e) / CAST(greatest(length(key), length(e)) AS DOUBLE) AS score FROM i, e), r AS (SELECT *, row_number() OVER w AS place, lead(score) OVER w AS nxt FROM s WINDOW w AS (PARTITION BY key ORDER BY score DESC, id)),
         b AS (SELECT key, CASE WHEN score >= 0.6 AND score - coalesce(nxt, 0) >= 0.08 THEN id END AS sure FROM r WHERE place = 1)
