@@ -473,3 +473,18 @@ def test_places_end_where_other_words_begin(spark):
     parts = {"0/32": 32, "0132": 32, "0106": None, "07150": 150, "0l120": 120, "32": None}
     got = spark.createDataFrame([(k,) for k in parts], "x string").select("x", noisytext.merged_fraction(F.col("x")).alias("n")).collect()
     assert {r.x: r.n for r in got} == parts | {"0132": None}
+
+
+def test_objectives_of_many_missions_go_in_batches(spark):
+    """Not a Python group a mission."""
+    legs = [(f"m{i}", f"o{n}", "dropoff", c, n, None, n == 2, None) for i in range(1200) for n, c in enumerate(("Ice", "Waste", "Iron"))]
+    found = [(f"m{i}", n, "dropoff", c, 5 + n, "Hub") for i in range(1, 1201) for n, c in enumerate(("Waste", "Gold", "Odd"))]
+    x = spark.createDataFrame(legs, "mission_id string, objective_id string, kind string, commodity string, scu_total long, location string, completed boolean, manual_override long")
+    out = capture.applied_objectives(x, spark.createDataFrame(found, "mission_id string, pos int, kind string, commodity string, scu long, location string"), 9)
+    want = {("Waste", "o1", "filled"), ("Gold", "o0", "filled"), ("Odd", "manual_dropoff_9_2", "inserted")}
+    rows = {}
+    for r in out.collect():
+        rows.setdefault(r.mission_id, set()).add((r.commodity, r.objective_id, r.action))
+    assert len(rows) == 1200 and all(rows[f"m{i}"] == want for i in range(1, 1200))
+    assert rows["m1200"] == {(c, f"manual_dropoff_9_{n}", "inserted") for n, c in enumerate(("Waste", "Gold", "Odd"))}
+    assert "InPandas" not in out._jdf.queryExecution().toString()
