@@ -1,6 +1,10 @@
 """Blocks of a worksheet's cells."""
 
+import duckdb
+
+from ledgerline.plans import lookup_queries
 from ledgerline.sources import worksheets as W
+from tests.oracle import rows as rows_of
 
 SHEET = """
 Cost : 1,300 (150)||||
@@ -51,3 +55,14 @@ def test_components_haulers_and_prices(spark):
     assert {tuple(r)[1:] for r in W.components(cells).collect()} == {("shield", "M1", "Mil", 2.0, "A", 1500.0), ("shield", "M2", None, None, "3", None), ("weapon", "Gun", "Laser", 3.0, None, 99.0), ("weapon", "Bow", None, None, None, None)}
     assert [tuple(r) for r in W.haulers(cells).collect()] == [("b", "Hull", 96.0)]
     assert [tuple(r) for r in W.material_prices(cells).collect()] == [("b", 8000.0, 12000.0)]
+
+
+def test_the_ship_apart_stands_beside_any_number_of_ships(spark, tmp_path):
+    """A nation with more than 88 ships a block: none of them lies in the box of the one apart."""
+    n = 400
+    suppliers = [(i, f"Supplier#{i}", 5 * (i // 2 % 2)) for i in range(n)]
+    spark.createDataFrame(suppliers, "s_suppkey long, s_name string, s_nationkey int").coalesce(1).write.parquet(str(tmp_path / "supplier.parquet"))
+    got = lookup_queries.worksheet_ships(spark, str(tmp_path)).toPandas()
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW supplier AS SELECT * FROM read_parquet('{tmp_path}/supplier.parquet/*.parquet')")
+    assert rows_of(got) == rows_of(con.sql(lookup_queries.ORACLE_SQL["worksheet_ships"]).df())
