@@ -4,10 +4,10 @@ In a log that is written in order of time the claims are a queue: completions ar
 an award has to know is the number p of the first one that no earlier award has taken or passed. With a the number of
 completions that have left the window and b of those that have arrived, it takes max(p, a) if that is below b, so that
 p becomes min(max(p, a) + 1, b) in either case. Steps of that form compose: any run of awards is one function
-min(max(p + c, low), high). So a log is cut into ranges of time of about equal size wherever that may be, each range is
+min(max(p + c, low), high). So a log is cut into ranges of time of about RANGE_ROWS rows wherever that may be, each range is
 folded into its three numbers, the ranges' numbers are run through in order (a row a range), and then every range knows
-its own p and is worked out by itself. A log whose events are not in order of time is cut only at gaps longer than the
-window, and each cluster between gaps is one task.
+its own p and is worked out by itself. Completions that no award can find are left out before. A log whose events are still
+not in order of time is cut only at gaps longer than the window, and each cluster between gaps is one task.
 """
 
 from __future__ import annotations
@@ -27,6 +27,8 @@ from ledgerline.sources.scratch import written
 WINDOW_MS = 2000
 ROW = "mission_id string, amount long, ts long, seq long, confidence string"
 FAR = 1 << 62
+#: About how many rows of a log a range has, which is what a task holds at a time.
+RANGE_ROWS = 50_000
 
 
 def claims(timeline: pd.DataFrame, window: int = WINDOW_MS) -> pd.DataFrame:
@@ -111,6 +113,14 @@ def replay(x: pd.DataFrame, p: int) -> pd.DataFrame:
 REPLAYED = ["number", "mission_id", "amount", "ts", "seq", "near", "born", "died"]
 
 
+def _in_reach(done: DataFrame, asked: DataFrame, window: int, by: tuple[str, ...]) -> DataFrame:
+    """Completions but for those that no award can find: none of the awards of their time cell and the next one arrives
+    after them. Such a completion has no effect, wherever it stands."""
+    cell = F.floor(F.col("ts") / max(window, 1))
+    last = asked.select(*by, F.explode(F.array(cell, cell - 1)).alias("__cell"), F.col("seq").alias("__last")).groupBy(*by, "__cell").agg(F.max("__last").alias("__last"))
+    return _beside(done.withColumn("__cell", cell), last, [*by, "__cell"]).filter("seq IS NULL OR seq < __last").drop("__cell", "__last")
+
+
 def claim_rows(awards: DataFrame, missions: DataFrame, window: int = WINDOW_MS, by: tuple[str, ...] = ()) -> DataFrame:
     """The log's columns (`by`; one log without) and ROW: every award, once for each amount and time, with the mission it
     pays (none: other income), and without an amount the missions that an award left over.
@@ -126,8 +136,12 @@ def claim_rows(awards: DataFrame, missions: DataFrame, window: int = WINDOW_MS,
     done = ended.select(*by, F.col("completed_at").cast("long").alias("ts"), F.lit(0).alias("late"), seq.cast("long").alias("seq"), F.col("id").cast("string").alias("mission_id"), none.cast("long").alias("amount"))
     once = awards.filter("ts IS NOT NULL AND amount IS NOT NULL").groupBy(*by, F.col("amount").cast("long").alias("amount"), F.col("ts").cast("long").alias("ts")).agg(F.min("seq").cast("long").alias("seq"))
     asked = once.select(*by, "ts", F.lit(0).alias("late"), "seq", none.cast("string").alias("mission_id"), "amount")
-    both = done.unionByName(done.withColumn("ts", F.col("ts") + window).withColumn("late", F.lit(1))).unionByName(asked)
-    timeline = written(both.repartitionByRange(*by, "ts", "late", "seq", "mission_id").withColumn("part", F.spark_partition_id()), "claims-timeline")
+    done = _in_reach(done, asked, window, by)
+    both = written(done.unionByName(asked), "claims-rows")
+    late = both.filter("mission_id IS NOT NULL").withColumn("ts", F.col("ts") + window).withColumn("late", F.lit(1))
+    both = both.unionByName(late)
+    ranges = max(both.sparkSession.sparkContext.defaultParallelism, -(-both.count() // RANGE_ROWS))
+    timeline = written(both.repartitionByRange(ranges, *by, "ts", "late", "seq", "mission_id").withColumn("part", F.spark_partition_id()), "claims-timeline")
     keys = [*by, "part"]
 
     late, award = F.col("late") == 1, F.col("mission_id").isNull()

@@ -504,3 +504,18 @@ def test_pages_of_equal_words_stay_apart(spark, tmp_path):
     assert "InPandas" not in plan
     words = spark.createDataFrame([("p", 1000, t, x, y, x + 80, y + 20) for t, x, y in (("left", 0, 0), ("left", 0, 40), ("right", 600, 0), ("side", 600, 40))], "page_id string, img_w int, text string, x0 int, y0 int, x1 int, y1 int")
     assert [tuple(r) for r in capture.objectives_column(words).collect()] == [("p", "right\nside")]
+
+
+def test_ranges_of_a_log_follow_its_size(spark, monkeypatch):
+    """And a log that comes again with later numbers at the same times stays a queue, as no award finds the later ends."""
+    kept, write = {}, claims.written
+    monkeypatch.setattr(claims, "written", lambda df, label: kept.setdefault(label, write(df, label)))
+    monkeypatch.setattr(claims, "RANGE_ROWS", 50)
+    a = [(10 + i % 7, 100 * i + 50, 2 * i + 1) for i in range(1000)]
+    m = [(f"m{i}", 100 * i, "complete", "game", "Covalex", 2 * i) for i in range(1000)]
+    awards = spark.createDataFrame(a, "amount long, ts long, seq long")
+    missions = spark.createDataFrame(m + [(f"n{i}", t, *x, seq + 5000) for i, (_, t, *x, seq) in enumerate(m)], "id string, completed_at long, status string, terminal_source string, giver string, end_seq long")
+    monkeypatch.setattr(claims, "_clusters", None)
+    rest = claims.claim_rows(awards, missions, 60)
+    assert {(r.mission_id, r.ts, r.confidence) for r in rest.collect()} == {(f"m{i}", 100 * i + 50, "confirmed") for i in range(1000)}
+    assert kept["claims-timeline"].groupBy("part").count().agg(F.max("count")).first()[0] <= 4 * 50
