@@ -118,7 +118,7 @@ def with_runs(runs: DataFrame, drafts: DataFrame) -> DataFrame:
 
 def with_stripped(stripped: DataFrame, added: DataFrame, runs: DataFrame) -> DataFrame:
     """stripped and the added components (its columns) of runs that there are; the others are left out."""
-    new = cleaned_stripped(added.join(runs.select(F.col("id").alias("run_id")).distinct(), "run_id", "left_semi"))
+    new = cleaned_stripped(added.join(runs.select(F.col("id").alias("run_id")), "run_id", "left_semi"))
     return stripped.unionByName(new.withColumn("sold", F.coalesce("sold", F.lit(False))).select(*[c for c in stripped.columns if c in new.columns]), allowMissingColumns=True)
 
 
