@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ledgerline.functions.scalars import half_up, leg_key
+from ledgerline.sources.sizes import spread
 
 OPEN_STATUS = ("accepted", "in_progress")
 UNKNOWN = {"dropoff": "Unknown destination", "pickup": "Unknown pickup"}
@@ -58,10 +59,12 @@ def first_few(df: DataFrame, most: int, *order: Column | str) -> DataFrame:
     return df.orderBy(*order).limit(most)
 
 
-def live_references(references: DataFrame, missions: DataFrame, legs: DataFrame) -> DataFrame:
-    """references (mission_id, objective_id) whose mission and leg still exist."""
-    kept = references.join(missions.select(F.col("id").alias("mission_id")), "mission_id", "left_semi")
-    return kept.join(legs.select("mission_id", "objective_id").distinct(), ["mission_id", "objective_id"], "left_semi")
+def live_references(references: DataFrame, missions: DataFrame, legs: DataFrame, rows: int = 0) -> DataFrame:
+    """references (mission_id, objective_id) whose mission and leg still exist; rows: about how many there are of either."""
+    keys = ["mission_id", "objective_id"]
+    there = spread(legs.select(*keys), rows, *keys).distinct()
+    kept = spread(references, rows, *keys).join(there, keys, "left_semi")
+    return kept.join(missions.select(F.col("id").alias("mission_id")), "mission_id", "left_semi")
 
 
 def incomplete_missions(missions: DataFrame, legs: DataFrame) -> DataFrame:

@@ -63,7 +63,7 @@ def nested(spark, d):
 def references(spark, d):
     legs = A.legs(spark, d)
     refs = legs.select(F.when(F.col("scu_total") % 3 == 0, "gone").otherwise(F.col("mission_id")).alias("mission_id"), F.when(F.col("scu_total") % 3 == 1, "gone").otherwise(F.col("objective_id")).alias("objective_id"))
-    return R.live_references(refs, A.missions(spark, d), legs)
+    return R.live_references(refs, A.missions(spark, d), legs, A.table(spark, d, "lineitem").count())
 
 
 def ships(spark, d):

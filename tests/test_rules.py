@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 
 from ledgerline.functions import fuzzy, logparse, noisytext, redact, scalars
 from ledgerline.operators import capture, claims, correlate, mutate, reduce, rollups, route, salvage
-from ledgerline.plans import graph_queries
-from ledgerline.sources import logs, reference, state
-from tests.oracle import rows
+from ledgerline.plans import catalog, graph_queries
+from ledgerline.sources import logs, reference, sizes, state
+from tests.conftest import SF
+from tests.oracle import oracle, rows
 
 T = "<2026-01-02T03:04:{:02d}.500Z> "
 NOTE = '<SHUDEvent_OnNotification> Added notification "{}" [3] to queue. MissionId: [{}], ObjectiveId: [{}]'
@@ -519,3 +520,11 @@ def test_ranges_of_a_log_follow_its_size(spark, monkeypatch):
     rest = claims.claim_rows(awards, missions, 60)
     assert {(r.mission_id, r.ts, r.confidence) for r in rest.collect()} == {(f"m{i}", 100 * i + 50, "confirmed") for i in range(1000)}
     assert kept["claims-timeline"].groupBy("part").count().agg(F.max("count")).first()[0] <= 4 * 50
+
+
+@pytest.mark.parametrize("name", ["leg_references", "salvage_stripped_commands"])
+def test_parts_follow_the_rows(spark, monkeypatch, name):
+    monkeypatch.setattr(sizes, "TASK_ROWS", 500)
+    out = catalog.QUERIES[name](spark, SF)
+    assert "REPARTITION_BY_NUM" in out._jdf.queryExecution().toString()
+    assert rows(out.toPandas()) == rows(oracle(SF, catalog.ORACLE_SQL[name]))
