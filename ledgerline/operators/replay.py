@@ -64,16 +64,19 @@ def _legs(legs: DataFrame, events: DataFrame) -> DataFrame:
     token = F.nullif(P.commodity_name(P.commodity_token(F.col("contract_template"))), F.lit(""))
     said = mine.groupBy(*KEYS).agg(
         F.min("seq").alias("first_seq"), last_of(F.col("kind")).alias("e_kind"), last_of(F.nullif(F.col("commodity"), F.lit("")), declared & free).alias("e_commodity"), first_of(token, marker & free).alias("token"),
-        last_of(F.col("scu_total"), declared & free).alias("e_scu"), last_of(F.col("location"), declared & free).alias("e_location"), last_of(F.col("position"), marker).alias("e_position"),
+        last_of(F.col("scu_total"), declared & free).alias("e_scu"), last_of(F.col("location"), declared & free).alias("e_location"), last_of(F.col("position"), marker).alias("e_position"), last_of(F.struct("seq", F.col("scu_total").alias("size")), declared & free & F.col("scu_total").isNotNull()).alias("e_size"),
         F.min(F.when(closed & free, F.col("seq"))).alias("done_seq"), F.max(F.when(closed & free, F.col("seq"))).alias("redone"), F.sum((~free & ~marker).cast("long")).alias("guarded"),
     )
     finished = events.filter("type = 'missionEnded' AND completion_type = 'complete'").groupBy("mission_id").agg(F.max("seq").alias("end_seq"))
     both = own.withColumn("stored", F.lit(True)).join(said, KEYS, "full").join(finished, "mission_id", "left")
     at = F.greatest("redone", F.when(F.col("stored") | (F.col("first_seq") < F.col("end_seq")), F.col("end_seq")))
     both = written(both.withColumn("at", at), "replay-both")
-    sizes = mine.filter(declared & free & F.col("scu_total").isNotNull()).select(*KEYS, "seq", F.col("scu_total").alias("size"))
-    moved = sizes.join(both.filter("at IS NOT NULL").select(*KEYS, "at"), KEYS).filter("seq < at").groupBy(*KEYS).agg(F.max_by("size", "seq").alias("moved"))
-    both = both.join(moved, KEYS, "left")
+    both = both.withColumn("moved", F.when(F.col("e_size.seq") < F.col("at"), F.col("e_size.size")))
+    again = both.filter("e_size.seq >= at").select(*KEYS, "at")  # legs of which a size was told after they were done: the one before counts
+    if not again.isEmpty():
+        sizes = mine.filter(declared & free & F.col("scu_total").isNotNull()).select(*KEYS, "seq", F.col("scu_total").alias("size"))
+        earlier = sizes.join(again, KEYS).filter("seq < at").groupBy(*KEYS).agg(F.max_by("size", "seq").alias("earlier"))
+        both = both.join(earlier, KEYS, "left").withColumn("moved", F.coalesce("moved", "earlier"))
     done = F.coalesce("completed", F.lit(False)) | F.col("at").isNotNull()
     delivered = F.when(F.col("at").isNull(), F.coalesce("scu_delivered", F.lit(0))).otherwise(F.coalesce("moved", "scu_total", F.lit(0)))
     new = {
@@ -125,7 +128,8 @@ def replayed(missions: DataFrame, legs: DataFrame, events: DataFrame) -> Replaye
     )
     base = missions.agg(F.coalesce(F.max("created_seq"), F.lit(-1)).alias("base"))
     s = missions.select(*MISSION).withColumn("stored", F.lit(True))
-    both = s.join(said, "id", "full").join(_running(events, whole), "id", "left").crossJoin(F.broadcast(base))  # one row
+    told = s.join(said, "id", "full")
+    both = told.join(_running(events, whole), "id", "left").crossJoin(F.broadcast(base))  # one row
     stored, over = F.coalesce("stored", F.lit(False)), F.col("end").isNotNull()
     sticky = F.coalesce(F.col("terminal_source").isin("game", "manual"), F.lit(False))
     template = F.col("m.contract_template")
@@ -140,15 +144,15 @@ def replayed(missions: DataFrame, legs: DataFrame, events: DataFrame) -> Replaye
         "created_seq": F.coalesce("created_seq", F.col("base") + 1 + F.col("first_seq")), "title_pickup": F.coalesce("title_pickup", "e_pickup"), "title_dropoff": F.coalesce("title_dropoff", "e_dropoff"),
         "session": F.when((F.col("live") == 1) | (F.col("session") == "live"), "live").otherwise("historical"), "terminal_source": F.when(over, "game").otherwise(F.col("terminal_source")),
     }
-    out = written(both.select(*[new[c].alias(c) for c in MISSION], stored.alias("stored"), "accepts", "opened", "titled"), "replay-missions")
-    after = out.select(*MISSION)
-    placed = with_title_places(out.filter("titled = 1").select(*MISSION), whole.select(*LEG))
+    after = both.select(*[new[c].alias(c) for c in MISSION])
+    routes = told.filter("titled = 1").select("id", *[new[c].alias(c) for c in ("variant", "title_pickup", "title_dropoff")])  # the status isn't needed
+    placed = with_title_places(routes, whole.select(*LEG))
 
     counted = lambda kind, what, reason: [F.lit(kind).alias("kind"), F.lit(what).alias("what"), F.col("mission_id"), F.col("objective_id") if what == "leg" else F.lit(None).cast("string").alias("objective_id"), F.lit(reason).cast("string").alias("reason")]
-    m = out.withColumnRenamed("id", "mission_id")
+    m = told.select(F.col("id").alias("mission_id"), stored.alias("stored"), "accepts", "opened")
     again = F.col("accepts") - F.when(F.col("stored"), 0).otherwise(F.col("opened"))
-    decisions = m.filter("NOT stored").select(*counted("added", "mission", None), F.lit(1).cast("long").alias("n"))
-    decisions = decisions.unionByName(m.filter(again > 0).select(*counted("skipped", "mission", "already stored"), again.cast("long").alias("n")))
+    case = lambda which, kind, reason, n: F.when(which, F.struct(*counted(kind, "mission", reason), n.cast("long").alias("n")))
+    decisions = m.select(F.inline(F.array(case(~F.col("stored"), "added", None, F.lit(1)), case(again > 0, "skipped", "already stored", again)))).filter("kind IS NOT NULL")
     for kind, which, reason, n in (("added", "NOT stored", None, F.lit(1)), ("updated", "changed", None, F.lit(1)), ("skipped", "guarded > 0", "edited by the user", F.col("guarded"))):
         decisions = decisions.unionByName(whole.filter(which).select(*counted(kind, "leg", reason), n.cast("long").alias("n")))
     return Replayed(after, placed, decisions)
