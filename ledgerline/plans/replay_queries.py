@@ -13,9 +13,9 @@ from ledgerline.sources.scratch import written
 NAMES = lambda schema: [c.split(" ", 1) for c in schema.split(", ")]
 
 
-def _stored(spark, d, lines):
+def _stored(orders, lines):
     """missions, legs."""
-    m = A.missions(spark, d).filter(F.col("id").cast("long") % 3 != 0)
+    m = orders.filter(F.col("id").cast("long") % 3 != 0)
     m = m.select(*[(F.col(c) if c in m.columns else F.lit(None)).cast(k).alias(c) for c, k in NAMES(schemas.MISSIONS)])
     key, n = F.col("mission_id").cast("long"), F.col("objective_id").cast("int")
     l = lines.filter((key % 3 != 0) & ((key % 5 != 0) | (n % 2 == 1)))
@@ -24,7 +24,7 @@ def _stored(spark, d, lines):
     return m, l.select(*[(F.col(c) if c in l.columns else F.lit(None)).cast(k).alias(c) for c, k in NAMES(schemas.LEGS)])
 
 
-def _events(spark, d, lines):
+def _events(orders, lines):
     """Of every second order, in its lines' order: its acceptance, each line declared (a third with another size), some
     lines closed, and its end, if it is one of the finished."""
     legs = lines.filter(F.col("mission_id").cast("long") % 2 == 0)
@@ -35,15 +35,15 @@ def _events(spark, d, lines):
     common = {"mission_id": F.col("mission_id"), "source": source}
     declared = wide(legs, **common, type=F.lit("objectiveDeclared"), seq=base + n * 2, ts=base + n, objective_id=F.col("objective_id"), kind=F.col("kind"), commodity=F.col("commodity"), scu_total=F.col("scu_total") + F.when(n % 3 == 0, 5).otherwise(0), location=F.col("location"))
     closed = wide(legs.filter((n % 2 == 0) | (key % 8 == 0)), **common, type=F.lit("objectiveCompleted"), seq=base + 500 + n, ts=base + 500 + n, objective_id=F.col("objective_id"))
-    m = A.missions(spark, d).filter(F.col("id").cast("long") % 2 == 0).withColumnRenamed("id", "mission_id")
+    m = orders.filter(F.col("id").cast("long") % 2 == 0).withColumnRenamed("id", "mission_id")
     opened = wide(m, **common, type=F.lit("missionAccepted"), seq=base + 1, ts=base, title=F.concat(F.lit("Told "), F.col("mission_id")))
     ended = wide(m.filter((F.col("status") == "complete") & (key % 6 != 0)), **common, type=F.lit("missionEnded"), seq=base + 900, ts=base + 900, completion_type=F.when(key % 10 == 0, "abandon").otherwise("complete"))
     return declared.unionByName(closed).unionByName(opened).unionByName(ended)
 
 
 def _replayed(spark, d):
-    lines = written(A.legs(spark, d), "replay-lines")  # read three times
-    return replay.replayed(*_stored(spark, d, lines), _events(spark, d, lines))
+    lines, orders = written(A.legs(spark, d), "replay-lines"), written(A.missions(spark, d), "replay-orders")  # each read three times
+    return replay.replayed(*_stored(orders, lines), _events(orders, lines))
 
 
 def replayed_missions(spark, d):

@@ -7,6 +7,9 @@ import pytest
 from ledgerline import schemas
 from ledgerline.functions import logparse
 from ledgerline.operators import replay
+from ledgerline.plans import adapter
+from ledgerline.sources import sizes
+from tests.conftest import SF
 
 NAMES = lambda schema: [c.split(" ")[0] for c in schema.split(", ")]
 VARIANT = {"HaulCargo_AToB_X_Waste_Sys1_SupplyGrade": ("A_TO_B", "SUPPLY", "Waste"), "HaulCargo_AToB_X_Ice_Sys1_SmallGrade": ("A_TO_B", "SMALL", "Ice")}
@@ -183,3 +186,39 @@ def test_no_events_and_no_tables(spark, missions, legs):
     got = same(spark, missions, legs, [])
     assert got.decisions.collect() == []
     same(spark, missions, legs, random_case(3)[2])
+
+
+def shuffled(spark, act):
+    """How many rows are written to shuffles."""
+    context = spark.sparkContext._jsc.sc()
+
+    def stages():
+        context.listenerBus().waitUntilEmpty()
+        found = context.statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), spark._jvm.java.util.ArrayList())
+        return {(x.stageId(), x.attemptId()): x.shuffleWriteRecords() for x in (found.apply(i) for i in range(found.size()))}
+
+    before = stages()
+    act()
+    return sum(n for k, n in stages().items() if k not in before)
+
+
+def test_legs_and_events_are_shuffled_once(spark):
+    missions, legs, events = random_case(21, n=400)
+    n = shuffled(spark, lambda: result(spark, missions, legs, events).legs.collect())
+    titled = [e for e in events if e["type"] in ("missionAccepted", "missionMarker")]
+    assert n <= len(legs) + len(events) + len(missions) + len(titled) + 20  # counts are a row a task
+
+
+def test_lines_are_not_shuffled_for_a_small_dimension_and_meet_a_large_one_in_parts(spark, monkeypatch):
+    whole = sorted(map(tuple, adapter.legs(spark, SF).collect()))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "100000")
+    try:
+        plan = adapter.legs(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "hashpartitioning(l_suppkey" not in plan
+    monkeypatch.setattr(sizes, "SENT_ROWS", 1)
+    monkeypatch.setattr(sizes, "TASK_ROWS", 500)
+    parted = adapter.legs(spark, SF)
+    assert "SortMergeJoin" in parted._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, parted.collect())) == whole
