@@ -222,3 +222,10 @@ def test_lines_are_not_shuffled_for_a_small_dimension_and_meet_a_large_one_in_pa
     parted = adapter.legs(spark, SF)
     assert "SortMergeJoin" in parted._jdf.queryExecution().executedPlan().toString()
     assert sorted(map(tuple, parted.collect())) == whole
+
+
+def test_missions_are_worked_out_without_another_shuffle_of_legs_or_events(spark):
+    missions, legs, events = random_case(22, n=400)
+    n = shuffled(spark, lambda: result(spark, missions, legs, events).missions.collect())
+    closed = [e for e in events if e["type"] == "objectiveCompleted"]
+    assert n <= len(legs) + 2 * len(events) + len(closed) + len(missions) + 20  # events once by leg and once by mission
