@@ -23,7 +23,7 @@ from ledgerline import schemas
 from ledgerline.functions import logparse as P
 from ledgerline.functions.scalars import leg_key
 from ledgerline.operators.reduce import first_of, last_of, with_title_places
-from ledgerline.sources.scratch import written
+from ledgerline.sources.scratch import FILE_ROWS, written
 from ledgerline.sources.sizes import parts_of
 
 MISSION = [c.split(" ")[0] for c in schemas.MISSIONS.split(", ")]
@@ -191,7 +191,7 @@ def replayed(missions: DataFrame, legs: DataFrame, events: DataFrame) -> Replaye
     Running this again over its own result changes nothing but what a later event of the same kind would have changed.
     Events are written out; each of the three tables is worked out when it is read.
     """
-    events = written(events, "replay-events")
+    events = written(events, "replay-events", FILE_ROWS)
     parts = parts_of(events.sparkSession, events.count() + legs.count())
     whole = _legs(_met(legs, events, parts))
     told = _told(missions, events, parts)

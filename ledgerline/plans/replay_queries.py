@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ledgerline import schemas
 from ledgerline.operators import replay
 from ledgerline.plans import adapter as A
-from ledgerline.sources.scratch import written
+from ledgerline.sources.scratch import FILE_ROWS, written
 
 NAMES = lambda schema: [c.split(" ", 1) for c in schema.split(", ")]
 
@@ -42,7 +42,7 @@ def _events(orders, lines):
 
 
 def _replayed(spark, d):
-    lines, orders = written(A.legs(spark, d), "replay-lines"), written(A.missions(spark, d), "replay-orders")  # each read three times
+    lines, orders = written(A.legs(spark, d), "replay-lines", FILE_ROWS), written(A.missions(spark, d), "replay-orders", FILE_ROWS)  # each read three times
     return replay.replayed(*_stored(orders, lines), _events(orders, lines))
 
 

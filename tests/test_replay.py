@@ -8,7 +8,7 @@ from ledgerline import schemas
 from ledgerline.functions import logparse
 from ledgerline.operators import replay
 from ledgerline.plans import adapter
-from ledgerline.sources import sizes
+from ledgerline.sources import scratch, sizes
 from tests.conftest import SF
 
 NAMES = lambda schema: [c.split(" ")[0] for c in schema.split(", ")]
@@ -229,3 +229,9 @@ def test_missions_are_worked_out_without_another_shuffle_of_legs_or_events(spark
     n = shuffled(spark, lambda: result(spark, missions, legs, events).missions.collect())
     closed = [e for e in events if e["type"] == "objectiveCompleted"]
     assert n <= len(legs) + 2 * len(events) + len(closed) + len(missions) + 20  # events once by leg and once by mission
+
+
+def test_written_files_have_a_bounded_number_of_rows(spark):
+    back = scratch.written(spark.range(0, 95, 1, 2), "files", 10)
+    counts = back.groupBy("_metadata.file_path").count().collect()
+    assert sum(r["count"] for r in counts) == 95 and max(r["count"] for r in counts) <= 10
